@@ -83,10 +83,13 @@ def fill_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     return df.fillna(dict(defaults))
 
 
-def fill_with_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace NULL with the column mean; means come from one scalar aggregate."""
-    means = df.select(*[F.avg(c).alias(c) for c in cols])
-    return df.select(*[F.coalesce(F.col(c), means.select(c).scalar()).alias(c) if c in cols
+def fill_with_means(df: DataFrame, cols: Sequence[str], decimals: int | None = None) -> DataFrame:
+    """Replace NULL with the column mean (scalar subqueries, merged into one scan)."""
+    from ..functions.metrics import exact_mean
+
+    def mean(c):
+        return F.avg(c) if decimals is None else exact_mean(c, decimals)
+    return df.select(*[F.coalesce(F.col(c), df.select(mean(c)).scalar()).alias(c) if c in cols
                        else F.col(c) for c in df.columns])
 
 
