@@ -53,7 +53,10 @@ def step_series_daily(series: DataFrame, date_col: str, value_cols: Sequence[str
     """
     w = Window.orderBy(date_col)
     nxt = F.lead(date_col).over(w)
-    end = F.coalesce(F.date_sub(nxt, 1), last_day if last_day is not None else F.col(date_col))
+    # the last observation holds until last_day (never before its own date:
+    # sequence() would count backwards)
+    tail = F.col(date_col) if last_day is None else F.greatest(last_day, F.col(date_col))
+    end = F.coalesce(F.date_sub(nxt, 1), tail)
     ranged = series.select(F.col(date_col).alias("__from"), end.alias("__to"), *value_cols)
     return ranged.select(F.explode(F.sequence("__from", "__to")).alias("Date"), *value_cols)
 
