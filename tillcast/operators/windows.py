@@ -164,6 +164,15 @@ def refurb_features(df: DataFrame, open_col: str = "Open", store: str = "Store",
     return with_panel_windows(staged, counters, store, order, reach=reach, **kw)
 
 
-def group_mean_over(df: DataFrame, keys: Sequence[str], target: str, name: str) -> DataFrame:
-    """Group mean as an analytic column (same values as aggregate + join)."""
-    return df.withColumn(name, F.avg(target).over(Window.partitionBy(*keys)))
+def group_mean_over(df: DataFrame, keys: Sequence[str], target: str, name: str,
+                    decimals: int | None = 2) -> DataFrame:
+    """Group mean as an analytic column (same values as aggregate + join).
+
+    Prefer aggregate + join on large facts: each distinct key set here costs
+    its own exchange and sort.
+    """
+    w = Window.partitionBy(*keys)
+    if decimals is None:
+        return df.withColumn(name, F.avg(target).over(w))
+    return df.withColumn(name, F.try_divide(F.round(F.sum(target).over(w), decimals),
+                                            F.count(target).over(w)))
