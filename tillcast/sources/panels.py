@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.metrics import exact_mean
 from .tables import read
 
 # The cut-off that splits the dense panel into a training and a
@@ -202,7 +203,7 @@ def indicators_long(spark: SparkSession, sf_dir: str, freq: str = "M") -> DataFr
                   F.date_format("o_orderdate", fmt).alias("TIME"))
     wide = g.agg(F.count(F.lit(1)).cast("double").alias("ORDERS"),
                  F.count_if(F.col("o_orderpriority") == "1-URGENT").cast("double").alias("URGENT"),
-                 F.round(F.avg("o_totalprice"), 2).alias("AVGPRICE"))
+                 exact_mean("o_totalprice").alias("AVGPRICE"))
     return (wide.unpivot(["LOCATION", "TIME"], ["ORDERS", "URGENT", "AVGPRICE"], "INDICATOR", "Value")
                 .select("LOCATION", "INDICATOR", F.lit(freq).alias("FREQUENCY"), "TIME", "Value"))
 
