@@ -1 +1,369 @@
-"""Registered queries."""
+"""Registered split, regression, ensemble and model queries (ML*, RS3, RS7, PF18).
+
+Group-mean learners stand in wherever an operator needs an exact oracle;
+Spark ML tree models are registered without SQL (rows-only check) and return
+keyed rows with rounded predictions.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
+
+from ..catalog import register
+from ..functions import metrics as M
+from ..operators import split
+from ..sources import panels
+from ..sources.panels import P1_SQL, sql_with
+from ..sources.tables import read
+from . import blend, features, models, ols, recursive
+from .forecast import HOLDOUT_SQL, HOLDOUT_START, fit_group_mean, holdout_frame, sales_train
+
+_P1 = sql_with(P1_SQL)
+_HOLD = sql_with(P1_SQL, HOLDOUT_SQL)
+_HEX = "CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT)"
+
+
+def _key(spark_cols=True):
+    if spark_cols:
+        return F.concat_ws("|", F.col("Store").cast("string"), F.col("Date").cast("string"))
+    return "CAST(Store AS VARCHAR) || '|' || CAST(Date AS VARCHAR)"
+
+
+# ------------------------------------------------------------------ splits
+
+@register("ml1_time_holdout", _P1 + f"""
+SELECT CASE WHEN Date < DATE '{HOLDOUT_START}' THEN 'fit' ELSE 'valid' END AS part,
+       CAST(count(*) AS BIGINT) AS n_rows, CAST(min(Date) AS DATE) AS first_day, CAST(max(Date) AS DATE) AS last_day
+FROM train WHERE Sales > 0 GROUP BY 1""")
+def ml1(spark, sf):
+    t = panels.p1_train(spark, sf).filter(F.col("Sales") > 0)
+    fit, valid = split.time_holdout(t, HOLDOUT_START)
+    def summ(df, name):
+        return df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).cast("long").alias("n_rows"),
+                      F.min("Date").alias("first_day"), F.max("Date").alias("last_day"))
+    return summ(fit, "fit").unionByName(summ(valid, "valid"))
+
+
+@register("ml2_fraction_holdout", _P1 + f"""
+SELECT Store, Date FROM train
+WHERE {_HEX.format(x="'0|' || " + _key(False))} / 4294967296.0 < 0.0125""")
+def ml2(spark, sf):
+    t = panels.p1_train(spark, sf)
+    _, held = split.fraction_holdout(t, 0.0125, _key())
+    return held.select("Store", "Date")
+
+
+@register("ml3_fixed_size_holdout", _P1 + f"""
+SELECT Store, Date FROM train ORDER BY md5('0|' || {_key(False)}) LIMIT 100""")
+def ml3(spark, sf):
+    t = panels.p1_train(spark, sf).select("Store", "Date")
+    _, held = split.fixed_size_holdout(t, 100, _key())
+    return held
+
+
+@register("ml4_store_folds", """
+SELECT CAST(n_nationkey AS INTEGER) AS Store,
+       CAST(CAST(('0x' || substr(md5(CAST(n_nationkey AS VARCHAR)), 1, 8)) AS BIGINT) % 10 AS INTEGER) AS fold
+FROM nation""")
+def ml4(spark, sf):
+    stores = read(spark, sf, "nation", "n_nationkey").select(F.col("n_nationkey").cast("int").alias("Store"))
+    return split.store_folds(stores, 10)
+
+
+@register("ml5_parity_split", _P1 + """
+SELECT CAST(dayofyear(Date) % 2 AS INTEGER) AS parity, CAST(count(*) AS BIGINT) AS n_rows FROM train GROUP BY 1""")
+def ml5(spark, sf):
+    even, odd = split.parity_split(panels.p1_train(spark, sf))
+    return (even.agg(F.lit(0).alias("parity"), F.count(F.lit(1)).cast("long").alias("n_rows"))
+            .unionByName(odd.agg(F.lit(1).alias("parity"), F.count(F.lit(1)).cast("long").alias("n_rows"))))
+
+
+# ------------------------------------------------------ per-store regression
+
+_OLS_SQL = _P1 + """,
+o AS (SELECT *, ln(Sales) AS y FROM train WHERE Sales > 0),
+fit AS (SELECT * FROM o WHERE Date < DATE '2000-06-01'),
+m AS (SELECT Store, regr_slope(y, Customers) AS slope, regr_intercept(y, Customers) AS intercept FROM fit GROUP BY Store),
+sc AS (SELECT o.Store, o.Date, o.Sales, exp(m.intercept + m.slope * o.Customers) AS pred
+       FROM o JOIN m USING (Store) WHERE o.Date >= DATE '2000-06-01' AND month(o.Date) IN (8, 9))"""
+
+
+def _ols_scored(spark, sf):
+    o = panels.p1_train(spark, sf).filter(F.col("Sales") > 0).withColumn("y", F.ln("Sales"))
+    cut = F.lit("2000-06-01").cast("date")
+    m = ols.fit_one_feature(o.filter(F.col("Date") < cut), "Customers", "y")
+    sc = (o.filter((F.col("Date") >= cut) & F.month("Date").isin(8, 9)).join(m, "Store")
+           .select("Store", "Date", "Sales", F.exp(F.col("intercept") + F.col("slope") * F.col("Customers")).alias("pred")))
+    return m, sc
+
+
+@register("ml11_per_store_ols_one_feature", _OLS_SQL + """
+SELECT Store, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM m""")
+def ml11(spark, sf):
+    m, _ = _ols_scored(spark, sf)
+    return m.select("Store", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+
+
+@register("ml11_per_store_ols_moments")
+def ml11b(spark, sf):
+    """Several regressors per store: moment sums in one groupBy, pinv solve per store row."""
+    o = panels.p1_train(spark, sf).filter(F.col("Sales") > 0).withColumn("y", F.ln("Sales"))
+    feats = ["Customers", "Promo", "SchoolHoliday", "DayOfWeek"]
+    fitted = ols.fit_per_store(o, feats, "y")
+    return fitted.select("Store", "n", F.transform("coef", lambda c: F.round(c, 6)).alias("coef"))
+
+
+@register("ml12_score_per_store", _OLS_SQL + "\nSELECT Store, Date, round(pred, 2) AS pred FROM sc")
+def ml12(spark, sf):
+    _, sc = _ols_scored(spark, sf)
+    return sc.select("Store", "Date", F.round("pred", 2).alias("pred"))
+
+
+@register("ml13_per_store_error", _OLS_SQL + """,
+per AS (SELECT Store, sum(power((pred - Sales) / Sales, 2)) AS sse, count(*) AS n FROM sc GROUP BY Store)
+SELECT round(sqrt(sum(sse) / sum(n)), 6) AS rmspe, CAST(count(*) AS BIGINT) AS stores FROM per""")
+def ml13(spark, sf):
+    _, sc = _ols_scored(spark, sf)
+    per = sc.groupBy("Store").agg(F.sum(M.sq_rel_error("pred", "Sales")).alias("sse"),
+                                  F.count(F.lit(1)).alias("n"))
+    return per.agg(F.round(F.sqrt(F.sum("sse") / F.sum("n")), 6).alias("rmspe"),
+                   F.count(F.lit(1)).cast("long").alias("stores"))
+
+
+# ---------------------------------------------------------------- blends
+
+@register("ml17_weighted_blend", _HOLD + """
+SELECT Store, Date, round((p1 * 1.0 + p2 * 2.0 + p3 * 6.0) / 9.0, 4) AS blend FROM hold""")
+def ml17(spark, sf):
+    h = holdout_frame(spark, sf)
+    return h.select("Store", "Date", F.round(blend.weighted_blend(["p1", "p2", "p3"], [1, 2, 6]), 4).alias("blend"))
+
+
+@register("ml19_blend_weight_grid", _HOLD + """,
+grid AS (SELECT a.i, b.j FROM range(0, 11) a(i), range(0, 11) b(j) WHERE a.i + b.j <= 10),
+h AS (SELECT * FROM hold WHERE Sales <> 0 AND p1 IS NOT NULL AND p2 IS NOT NULL AND p3 IS NOT NULL)
+SELECT (i - 5) / 10.0 AS w_p1, (j - 5) / 10.0 AS w_p2, (20 - i - j) / 10.0 AS w_p3,
+       round(sqrt(avg(power(((i - 5) / 10.0 * p1 + (j - 5) / 10.0 * p2 + (20 - i - j) / 10.0 * p3 - Sales) / Sales, 2))), 6) AS rmspe
+FROM grid, h GROUP BY i, j""")
+def ml19(spark, sf):
+    g = blend.grid_search(holdout_frame(spark, sf), ["p1", "p2"], "p3", "Sales", 10)
+    return g.withColumn("rmspe", F.round("rmspe", 6))
+
+
+@register("ml20_two_fold_stack_group_means", _P1 + f""",
+st AS (SELECT *, CAST(dayofyear(Date) % 2 AS INTEGER) AS parity FROM train WHERE Sales > 0),
+fa AS (SELECT Store, Promo, DayOfWeek, round(sum(Sales), 2) / count(Sales) AS p FROM st WHERE parity = 0 AND Date < DATE '{HOLDOUT_START}' GROUP BY ALL),
+fb AS (SELECT Store, Promo, DayOfWeek, round(sum(Sales), 2) / count(Sales) AS p FROM st WHERE parity = 1 AND Date < DATE '{HOLDOUT_START}' GROUP BY ALL),
+fl AS (SELECT Store, Promo, DayOfWeek, round(sum(Sales), 2) / count(Sales) AS p FROM st WHERE Date < DATE '{HOLDOUT_START}' GROUP BY ALL)
+SELECT s.Store, s.Date, CASE WHEN s.Date >= DATE '{HOLDOUT_START}' THEN fl.p WHEN s.parity = 0 THEN fb.p ELSE fa.p END AS trainAB
+FROM st s LEFT JOIN fa USING (Store, Promo, DayOfWeek) LEFT JOIN fb USING (Store, Promo, DayOfWeek)
+          LEFT JOIN fl USING (Store, Promo, DayOfWeek)""")
+def ml20(spark, sf):
+    t = sales_train(spark, sf).withColumn("parity", (F.dayofyear("Date") % 2).cast("int"))
+    keys = ["Store", "Promo", "DayOfWeek"]
+    cut = F.lit(HOLDOUT_START).cast("date")
+    fit_part, later = t.filter(F.col("Date") < cut), t.filter(F.col("Date") >= cut)
+
+    def fit_fn(df):
+        return fit_group_mean(df, keys, "Sales", "p")
+
+    def score_fn(model, df, name):
+        return df.join(model, keys, "left").select("Store", "Date", F.col("p").alias(name))
+
+    oof = models.two_fold_stack(fit_part, F.col("parity") == 0, F.col("parity") == 1, fit_fn, score_fn)
+    full = score_fn(fit_fn(fit_part), later, "trainAB")
+    return oof.unionByName(full)
+
+
+_REC_SQL = _P1 + f""",
+h AS (SELECT Store, Sales, row_number() OVER (PARTITION BY Store ORDER BY Date DESC) AS k FROM train),
+s0 AS (SELECT Store, list(Sales ORDER BY k DESC) AS vals FROM h WHERE k <= 7 GROUP BY Store),
+rec AS (SELECT Store, 0 AS step, vals, CAST(NULL AS DOUBLE) AS pred FROM s0
+        UNION ALL
+        SELECT Store, step + 1, list_append(vals[2:7], (vals[1] + vals[2] + vals[3] + vals[4] + vals[5] + vals[6] + vals[7]) / 7),
+               (vals[1] + vals[2] + vals[3] + vals[4] + vals[5] + vals[6] + vals[7]) / 7
+        FROM rec WHERE step < 14)
+SELECT Store, step, round(pred, 4) AS pred FROM rec WHERE step > 0"""
+
+
+@register("ml22_recursive_moving_average", _REC_SQL.replace("WITH ", "WITH RECURSIVE ", 1))
+def ml22(spark, sf):
+    state = recursive.last_values(panels.p1_train(spark, sf), "Sales", 7)
+    out = recursive.moving_average_forecast(state, 14, 7)
+    return out.select("Store", F.col("step").cast("int").alias("step"), F.round("pred", 4).alias("pred"))
+
+
+@register("ml22_recursive_model_forecast")
+def ml22b(spark, sf):
+    """Linear model on seven lags, rolled forward 14 days with checkpoints."""
+    from ..operators import windows
+    lags = [f"Sales_lag{k}" for k in range(1, 8)]
+    t = windows.shift_cols(panels.p1_train(spark, sf).select("Store", "Date", "Sales"), ["Sales"], list(range(1, 8)))
+    t = t.dropna()
+    asm = models.assembler(lags)
+    lr = LinearRegression(featuresCol="features", labelCol="Sales", regParam=0.0)
+    model = lr.fit(asm.transform(t))
+    state = recursive.last_values(t, "Sales", 7)
+    out = recursive.model_forecast(state, model, lags, 14, assemble=asm.transform)
+    return out.select("Store", F.col("step").cast("int").alias("step"), F.round("pred", 2).alias("pred"))
+
+
+# ------------------------------------------------------------- Spark ML
+
+def _train_valid(spark, sf):
+    df = models.model_frame(spark, sf)
+    cut = F.lit(HOLDOUT_START).cast("date")
+    return df.filter(F.col("Date") < cut), df.filter(F.col("Date") >= cut)
+
+
+def _scored(model, df, name="pred"):
+    p = models.predict_sales(model, df, ["Store", "Date", "Sales"], name)
+    return p.select("Store", "Date", F.round(name, 2).alias(name))
+
+
+@register("ml6_random_forest")
+def ml6(spark, sf):
+    fit, valid = _train_valid(spark, sf)
+    m = models.forest(models.NUMERIC_FEATURES, trees=10, depth=8).fit(fit)
+    return _scored(m, valid)
+
+
+@register("ml7_gradient_boosting")
+def ml7(spark, sf):
+    fit, valid = _train_valid(spark, sf)
+    m = models.boosted(models.NUMERIC_FEATURES, iters=10, depth=5, step=0.1).fit(fit)
+    return _scored(m, valid)
+
+
+@register("ml8_boosting_xgb_style")
+def ml8(spark, sf):
+    fit, valid = _train_valid(spark, sf)
+    m = models.boosted(models.NUMERIC_FEATURES, iters=10, depth=6, step=0.2, sample=0.7, col_sample="0.7").fit(fit)
+    return _scored(m, valid)
+
+
+@register("ml9_early_stopping")
+def ml9(spark, sf):
+    df = models.model_frame(spark, sf).withColumn(
+        "is_valid", split.hash_unit(_key()) < 0.0125)
+    m = models.boosted(models.NUMERIC_FEATURES, iters=30, depth=4, step=0.3, validation_col="is_valid").fit(df)
+    gbt = m.stages[-1]
+    return spark.createDataFrame([(int(gbt.getNumTrees), 30)], "trees_kept int, max_trees int")
+
+
+@register("ml10_importance_table")
+def ml10(spark, sf):
+    fit, _ = _train_valid(spark, sf)
+    m = models.boosted(models.NUMERIC_FEATURES, iters=8, depth=5).fit(fit)
+    imp = models.importance(spark, m, models.NUMERIC_FEATURES)
+    return imp.select("variable", *[F.round(c, 6).alias(c) for c in
+                                    ("relative_importance", "scaled_importance", "percentage")])
+
+
+@register("ml14_batch_predict_submission")
+def ml14(spark, sf):
+    fit, _ = _train_valid(spark, sf)
+    m = models.boosted(models.NUMERIC_FEATURES, iters=8, depth=5).fit(fit)
+    test = models.model_frame(spark, sf, include_test=True).filter(F.col("Id").isNotNull())
+    p = models.predict_sales(m, test, ["Id", "Open"], "Sales")
+    return p.select("Id", F.when(F.col("Open") == 0, 0.0).otherwise(F.round("Sales", 2)).alias("Sales"))
+
+
+@register("ml15_refit_on_all_rows")
+def ml15(spark, sf):
+    fit, valid = _train_valid(spark, sf)
+    all_rows = fit.unionByName(valid)
+    m = models.boosted(models.NUMERIC_FEATURES, iters=8, depth=5).fit(all_rows)
+    test = models.model_frame(spark, sf, include_test=True).filter(F.col("Id").isNotNull())
+    p = models.predict_sales(m, test, ["Id"], "Sales")
+    return p.select("Id", F.round("Sales", 2).alias("Sales"))
+
+
+@register("ml16_feature_subset_models")
+def ml16(spark, sf):
+    fit, valid = _train_valid(spark, sf)
+    full = models.boosted(models.NUMERIC_FEATURES, iters=6, depth=5).fit(fit)
+    ranked_names = models.top_features(models.importance(spark, full, models.NUMERIC_FEATURES),
+                                       len(models.NUMERIC_FEATURES))
+    subsets = {"a": models.strided(ranked_names), "b": ranked_names[::2]}
+    out = None
+    for name, feats in subsets.items():
+        m = models.boosted(feats, iters=6, depth=5).fit(fit)
+        p = _scored(m, valid, "pred").withColumn("subset", F.lit(name))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@register("ml18_seed_average")
+def ml18(spark, sf):
+    fit, valid = _train_valid(spark, sf)
+    a = _scored(models.forest(models.NUMERIC_FEATURES, trees=6, depth=8, seed=1).fit(fit), valid, "p_a")
+    b = _scored(models.forest(models.NUMERIC_FEATURES, trees=6, depth=8, seed=2).fit(fit), valid, "p_b")
+    j = a.join(b, ["Store", "Date"])
+    return j.select("Store", "Date", F.round((F.col("p_a") + F.col("p_b")) / 2, 2).alias("pred"))
+
+
+@register("ml20_two_fold_stack_models")
+def ml20b(spark, sf):
+    fit, valid = _train_valid(spark, sf)
+    fit = fit.withColumn("parity", (F.col("day_of_year") % 2).cast("int"))
+    feats = models.NUMERIC_FEATURES
+
+    def fit_fn(df):
+        return models.boosted(feats, iters=5, depth=4).fit(df)
+
+    def score_fn(model, df, name):
+        return models.predict_sales(model, df, ["Store", "Date"], name)
+
+    oof = models.two_fold_stack(fit, F.col("parity") == 0, F.col("parity") == 1, fit_fn, score_fn)
+    return oof.select("Store", "Date", F.round("trainAB", 2).alias("trainAB"))
+
+
+@register("ml21_kfold_oof_logloss")
+def ml21(spark, sf):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer
+    c = read(spark, sf, "customer", "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    idx = StringIndexer(inputCol="c_mktsegment", outputCol="label", stringOrderType="alphabetAsc").fit(c)
+    data = models.assembler(["c_acctbal", "c_nationkey"]).transform(idx.transform(c))
+    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=20)
+
+    def fit_fn(df):
+        return lr.fit(df)
+
+    def score_fn(model, df):
+        p = model.transform(df).select("c_custkey", "label", vector_to_array("probability").alias("prob"))
+        return p.select("c_custkey", F.element_at("prob", F.col("label").cast("int") + 1).alias("p_true"))
+
+    oof = models.kfold_oof(data, 3, "c_custkey", fit_fn, score_fn)
+    return oof.agg(F.round(M.log_loss("p_true"), 4).alias("log_loss"), F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("rs3_category_indexer_unseen")
+def rs3(spark, sf):
+    tr, te = panels.p1_train(spark, sf), panels.p1_test(spark, sf)
+    ind = models.category_indexer("StateHoliday").fit(tr.filter(F.col("Date") < F.lit("1996-01-01").cast("date")))
+    return ind.transform(te.fillna({"StateHoliday": "0"})).select("Id", "StateHoliday_idx")
+
+
+@register("rs7_feature_vector_assembly")
+def rs7(spark, sf):
+    df = models.model_frame(spark, sf)
+    v = models.assembler(models.NUMERIC_FEATURES).transform(df)
+    return v.select("Store", "Date", F.size(vector_to_array("features")).alias("n_features"))
+
+
+@register("pf18_attach_predictions_by_key")
+def pf18(spark, sf):
+    fit, valid = _train_valid(spark, sf)
+    m = models.forest(models.NUMERIC_FEATURES, trees=4, depth=6).fit(fit)
+    return models.predict_sales(m, valid, ["Store", "Date", "Sales"], "pred").select(
+        "Store", "Date", "Sales", F.round("pred", 2).alias("pred"))
+
+
+@register("fe_feature_table")
+def fe(spark, sf):
+    """The whole feature table (rows-only: its pieces are checked one by one)."""
+    return features.feature_table(spark, sf)
