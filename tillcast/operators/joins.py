@@ -37,6 +37,21 @@ def attach_scalar(df: DataFrame, name: str, source: DataFrame, agg: Column) -> D
     return df.withColumn(name, scalar_of(source, agg))
 
 
+# Rows a hinted broadcast may carry (a calendar-keyed side series is far below).
+BROADCAST_ROW_LIMIT = 2_000_000
+
+
+def broadcast_if_bounded(df: DataFrame, key_space_rows: int, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Broadcast hint only when the side's *key space* bounds its size.
+
+    ``key_space_rows`` is a proof, not an estimate: for a table with one row
+    per (state, day) it is #states x #days, known from two tiny scalars
+    before the side is computed.  Above ``limit`` the join stays a shuffle
+    join (AQE may still broadcast it after measuring it).
+    """
+    return F.broadcast(df) if 0 <= key_space_rows <= limit else df
+
+
 def attach_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of an aggregate back to detail rows."""
     return df.join(stats, list(keys), "left")

@@ -129,39 +129,61 @@ def closed_neighbours(df: DataFrame, open_col: str = "Open", store: str = "Store
     return with_panel_windows(df, build, store, order, reach=1, **kw)
 
 
-def refurb_features(df: DataFrame, open_col: str = "Open", store: str = "Store",
-                    order: Sequence[str] | str = "Date", run: int = 5, horizon: int = 15,
-                    **kw) -> DataFrame:
-    """Refurbishment flags and counters.
-
-    DayBeforeRefurb: open, then ``run`` closed rows of the same store.
-    DayAfterRefurb: ``run`` closed rows, then open.
-    DaysBeforeRefurb: k+1 for the farthest before-flag k rows ahead (k < horizon), else 0.
-    DaysAfterRefurb: k+1 for the farthest after-flag k rows back (k < horizon), else 0.
-    """
-    def flags(w, _pos):
+def refurb_flags(df: DataFrame, open_col: str = "Open", store: str = "Store",
+                 order: Sequence[str] | str = "Date", run: int = 5, **kw) -> DataFrame:
+    """DayBeforeRefurb: open, then ``run`` closed rows of the same store.
+    DayAfterRefurb: ``run`` closed rows, then open.  Missing ``Open`` never matches."""
+    def build(w, _pos):
         o = F.col(open_col)
         ahead = w.rowsBetween(1, run)
         behind = w.rowsBetween(-run, -1)
-        before = ((o == 1) & (F.count(open_col).over(ahead) == run) & (F.max(open_col).over(ahead) == 0))
-        after = ((o == 1) & (F.count(open_col).over(behind) == run) & (F.max(open_col).over(behind) == 0))
+        before = (o == 1) & (F.count(open_col).over(ahead) == run) & (F.max(open_col).over(ahead) == 0)
+        after = (o == 1) & (F.count(open_col).over(behind) == run) & (F.max(open_col).over(behind) == 0)
         return [F.when(before, 1).otherwise(0).alias("DayBeforeRefurb"),
                 F.when(after, 1).otherwise(0).alias("DayAfterRefurb")]
+    return with_panel_windows(df, build, store, order, reach=run, **kw)
+
+
+def refurb_counters(df: DataFrame, before_flag: str = "DayBeforeRefurb", after_flag: str = "DayAfterRefurb",
+                    store: str = "Store", order: Sequence[str] | str = "Date", horizon: int = 15,
+                    **kw) -> DataFrame:
+    """DaysBeforeRefurb: k+1 for the farthest before-flag k rows ahead (k < horizon), else 0.
+    DaysAfterRefurb: k+1 for the farthest after-flag k rows back (k < horizon), else 0.
 
-    def counters(w, pos):
+    One framed max/min per column replaces the reference's 15 overwriting passes.
+    """
+    def build(w, pos):
         fwd = w.rowsBetween(0, horizon - 1)
         back = w.rowsBetween(-(horizon - 1), 0)
-        far_before = F.max(F.when(F.col("DayBeforeRefurb") == 1, pos)).over(fwd)
-        far_after = F.min(F.when(F.col("DayAfterRefurb") == 1, pos)).over(back)
+        far_before = F.max(F.when(F.col(before_flag) == 1, pos)).over(fwd)
+        far_after = F.min(F.when(F.col(after_flag) == 1, pos)).over(back)
         return [F.coalesce(far_before - pos + 1, F.lit(0)).cast("int").alias("DaysBeforeRefurb"),
                 F.coalesce(pos - far_after + 1, F.lit(0)).cast("int").alias("DaysAfterRefurb")]
+    return with_panel_windows(df, build, store, order, reach=horizon, **kw)
+
+
+def refurb_features(df: DataFrame, open_col: str = "Open", store: str = "Store",
+                    order: Sequence[str] | str = "Date", run: int = 5, horizon: int = 15,
+                    **kw) -> DataFrame:
+    """Refurbishment flags, then their countdown / count-up columns."""
+    flagged = refurb_flags(df, open_col, store, order, run, **kw)
+    return refurb_counters(flagged, store=store, order=order, horizon=horizon, **kw)
 
-    def build(w, pos):
-        return flags(w, pos)
 
-    reach = max(run, horizon)
-    staged = with_panel_windows(df, build, store, order, reach=reach, **kw)
-    return with_panel_windows(staged, counters, store, order, reach=reach, **kw)
+def group_means_over(df: DataFrame, specs, target: str = "Sales", fit: Column | None = None,
+                     decimals: int = 2) -> DataFrame:
+    """Several group means as analytic columns, fitted on rows where ``fit`` holds.
+
+    ``specs``: ((keys...), name) pairs.  When every key set starts with the
+    column the frame is already hash-partitioned on (``repartition(store)``),
+    Spark adds only local sorts -- no exchange per key set.
+    """
+    y = F.col(target) if fit is None else F.when(fit, F.col(target))
+    cols = []
+    for keys, name in specs:
+        w = Window.partitionBy(*keys)
+        cols.append(F.try_divide(F.round(F.sum(y).over(w), decimals), F.count(y).over(w)).alias(name))
+    return df.select("*", *cols)
 
 
 def group_mean_over(df: DataFrame, keys: Sequence[str], target: str, name: str,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..functions import scalars as S
-from ..operators import clean, joins, reshape, stats, windows
+from ..operators import clean, joins, stats, windows
 from ..sources import panels
 
 # lag/lead depths of the feature banks (columns and offsets).
@@ -33,22 +33,30 @@ WEATHER_BANKS = {
 
 def feature_table(spark: SparkSession, sf_dir: str, with_weather: bool = True, style: str = "suffix",
                   blocked: bool = False) -> DataFrame:
-    train = panels.p1_train(spark, sf_dir).withColumn("type", F.lit("train"))
-    test = clean.fill_open(panels.p1_test(spark, sf_dir), 1).withColumn("type", F.lit("test"))
-    data = reshape.union_all([train, test])
+    data = panels.p1_all(spark, sf_dir)                      # train + test, tagged, one pass
+    data = clean.fill_open(data, 1)
     data = data.select("*", *C.calendar_columns("Date"))
     data = data.withColumn("StateHoliday", S.standard_holiday("StateHoliday"))
     data = clean.open_rule_sales(data)
     data = joins.join_on(data, panels.store_states(spark, sf_dir), "Store")
-    data = stats.attach_target_means(data, fit_on=data.filter(F.col("type") == "train"))
     if with_weather:
-        st = F.col("State")
+        # side series are keyed by (state, day) / day: calendar-bounded, joined
+        # before the store exchange so the panel is shuffled once for them all
+        # (shipping days may run past the order calendar: double the bound)
+        days = 2 * panels.calendar_days(spark, sf_dir)
+        states = panels.state_count(spark, sf_dir)
         w = panels.weather(spark, sf_dir).withColumnRenamed("State", "__key")
-        data = (data.withColumn("__key", S.remap_state(st, panels.COMPOUND_STATE, "MI"))
+        w = joins.broadcast_if_bounded(w, states * days)
+        data = (data.withColumn("__key", S.remap_state(F.col("State"), panels.COMPOUND_STATE, "MI"))
                     .join(w, ["__key", "Date"], "left").drop("__key"))
-        data = joins.join_on(data, panels.trend_all(spark, sf_dir), "Date", "left")
-        last = data.select(F.max("Date")).scalar()
-        data = joins.asof_attach(data, panels.releases(spark, sf_dir), "Released", ["Actual"], last_day=last)
+        data = joins.join_on(data, joins.broadcast_if_bounded(panels.trend_all(spark, sf_dir), days), "Date", "left")
+        _, last = panels.calendar_bounds(spark, sf_dir)
+        daily = joins.step_series_daily(panels.releases(spark, sf_dir), "Released", ["Actual"], last)
+        data = joins.join_on(data, joins.broadcast_if_bounded(daily, days), "Date", "left")
+    if not blocked:
+        # one exchange on Store; every later window only sorts locally
+        data = data.repartition("Store")
+    data = windows.group_means_over(data, stats.TARGET_MEANS, "Sales", fit=F.col("type") == "train")
     kw = dict(style=style, blocked=blocked)
     data = windows.promo_flags(data, blocked=blocked)
     data = windows.shift_cols(data, ["Open"], OPEN_BANK, **kw)

@@ -61,11 +61,28 @@ def orders_by_store_day(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.max(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int")).alias("Promo")))
 
 
+def calendar_bounds(spark: SparkSession, sf_dir: str):
+    """First and last order day as scalar subqueries (one merged scan of one column)."""
+    o = read(spark, sf_dir, "orders", "o_orderdate")
+    return (o.select(F.min(F.to_date("o_orderdate"))).scalar(),
+            o.select(F.max(F.to_date("o_orderdate"))).scalar())
+
+
+def calendar_days(spark: SparkSession, sf_dir: str) -> int:
+    """Number of days in the order calendar (one tiny aggregate)."""
+    o = read(spark, sf_dir, "orders", "o_orderdate")
+    row = o.agg(F.datediff(F.max(F.to_date("o_orderdate")), F.min(F.to_date("o_orderdate")))).first()
+    return 0 if row[0] is None else int(row[0]) + 1
+
+
+def state_count(spark: SparkSession, sf_dir: str) -> int:
+    """Distinct state codes of the weather series (regions: a fixed, tiny table)."""
+    return read(spark, sf_dir, "region", "r_name").select(state_code(F.col("r_name"))).distinct().count()
+
+
 def p1_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (nation, day) between the first and last order day."""
-    o = read(spark, sf_dir, "orders", "o_orderdate")
-    lo = o.select(F.min(F.to_date("o_orderdate"))).scalar()
-    hi = o.select(F.max(F.to_date("o_orderdate"))).scalar()
+    lo, hi = calendar_bounds(spark, sf_dir)
     days = (read(spark, sf_dir, "nation", "n_nationkey")
             .select(F.col("n_nationkey").cast("int").alias("Store"),
                     F.explode(F.sequence(lo, hi)).alias("Date")))
@@ -84,20 +101,34 @@ def p1_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p1_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training and forecast rows in one pass, tagged by ``type``.
+
+    Forecast rows (from TEST_START) carry an ``Id``, no Sales/Customers and
+    a few missing ``Open`` values; training rows have a NULL ``Id``.
+    """
+    p = p1_dense(spark, sf_dir)
+    start = F.lit(TEST_START).cast("date")
+    is_test = F.col("Date") >= start
+    gap = is_test & (F.col("Store") == GAP_STORE) & (F.dayofmonth("Date") % 5 == 0)
+    return p.select(
+        F.when(is_test, (F.col("Store") * 1000 + F.datediff("Date", start) + 1).cast("int")).alias("Id"),
+        "Store", "DayOfWeek", "Date",
+        F.when(is_test, F.lit(None)).otherwise(F.col("Sales")).cast("double").alias("Sales"),
+        F.when(is_test, F.lit(None)).otherwise(F.col("Customers")).cast("int").alias("Customers"),
+        F.when(gap, F.lit(None)).otherwise(F.col("Open")).cast("int").alias("Open"),
+        "Promo", "StateHoliday", "SchoolHoliday",
+        F.when(is_test, "test").otherwise("train").alias("type"))
+
+
 def p1_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_dense(spark, sf_dir).filter(F.col("Date") < F.lit(TEST_START).cast("date"))
+    return p1_all(spark, sf_dir).filter(F.col("type") == "train").drop("Id", "type")
 
 
 def p1_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecast period: no Sales/Customers, an ``Id``, a few missing ``Open``."""
-    p = p1_dense(spark, sf_dir).filter(F.col("Date") >= F.lit(TEST_START).cast("date"))
-    offset = F.datediff("Date", F.lit(TEST_START).cast("date"))
-    return p.select(
-        (F.col("Store") * 1000 + offset + 1).cast("int").alias("Id"),
-        "Store", "DayOfWeek", "Date",
-        F.when((F.col("Store") == GAP_STORE) & (F.dayofmonth("Date") % 5 == 0), F.lit(None))
-         .otherwise(F.col("Open")).cast("int").alias("Open"),
-        "Promo", "StateHoliday", "SchoolHoliday")
+    return (p1_all(spark, sf_dir).filter(F.col("type") == "test")
+            .select("Id", "Store", "DayOfWeek", "Date", "Open", "Promo", "StateHoliday", "SchoolHoliday"))
 
 
 def store_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,18 +201,22 @@ def _shipments_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X1: per (state code, day) numeric series and a most-frequent string code."""
+    """X1: per (state code, day) numeric series and a most-frequent string code.
+
+    One pass over the shipments: a (state, day, code) partial aggregate, then
+    a roll-up to (state, day) that also picks the mode (highest count, then
+    the smallest code).
+    """
     x = _shipments_by_state(spark, sf_dir)
-    num = x.groupBy("State", "Date").agg(
-        F.round(F.avg("l_quantity"), 4).alias("Mean_TemperatureC"),
-        F.round(F.max("l_discount") * 100, 4).alias("Max_Wind_SpeedKm_h"),
-        F.round(F.sum("l_tax"), 4).alias("Precipitationmm"),
-        F.count(F.lit(1)).cast("int").alias("Goog_trend"))
-    # mode with a total order: highest count, then the smallest code
-    ev = (x.groupBy("State", "Date", "l_returnflag").agg(F.count(F.lit(1)).alias("cnt"))
-           .groupBy("State", "Date")
-           .agg(F.min(F.struct(-F.col("cnt"), F.col("l_returnflag"))).getField("l_returnflag").alias("Events")))
-    return num.join(ev, ["State", "Date"])
+    g = x.groupBy("State", "Date", "l_returnflag").agg(
+        F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"),
+        F.max("l_discount").alias("md"), F.sum("l_tax").alias("t"))
+    return g.groupBy("State", "Date").agg(
+        F.round(F.sum("q") / F.sum("n"), 4).alias("Mean_TemperatureC"),
+        F.round(F.max("md") * 100, 4).alias("Max_Wind_SpeedKm_h"),
+        F.round(F.sum("t"), 4).alias("Precipitationmm"),
+        F.sum("n").cast("int").alias("Goog_trend"),
+        F.min(F.struct(-F.col("n"), F.col("l_returnflag"))).getField("l_returnflag").alias("Events"))
 
 
 def trend_all(spark: SparkSession, sf_dir: str) -> DataFrame:
