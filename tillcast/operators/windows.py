@@ -43,11 +43,15 @@ def with_panel_windows(df: DataFrame, build: Callable[[WindowSpec, Column], list
                        reach: int = 15, blocked: bool = False, block_rows: int = 4096) -> DataFrame:
     """Add the columns returned by ``build(window, position)``.
 
-    ``position`` is a per-store row number (1-based) usable inside frames.
+    ``position`` is a per-store row number (1-based) usable inside frames;
+    it is computed only when ``build`` uses it.
     """
     order = _order_cols(order)
     if not blocked:
         w = panel_window(store, order)
+        probe = build(w, F.col("__pos"))
+        if not any("__pos" in str(c) for c in probe):
+            return df.select("*", *probe)
         with_pos = df.withColumn("__pos", F.row_number().over(w))
         return with_pos.select("*", *build(w, F.col("__pos"))).drop("__pos")
     return _blocked(df, build, store, order, reach, block_rows)
@@ -86,18 +90,63 @@ def _blocked(df, build, store, order, reach, block_rows):
     return out.filter(~F.col("__halo")).drop("__pos", "__blk", "__halo")
 
 
+# ---- expression builders: several features share one Window operator ----
+
+def lag_exprs(w: WindowSpec, cols: Sequence[str], offsets: Sequence[int], style: str = "suffix") -> list[Column]:
+    out = []
+    for c in cols:
+        for k in offsets:
+            fn = F.lag(c, k) if k > 0 else F.lead(c, -k)
+            out.append(fn.over(w).alias(lag_name(c, k, style)))
+    return out
+
+
+def promo_exprs(w: WindowSpec, promo: str = "Promo", older_second_rule: bool = False) -> list[Column]:
+    p = F.col(promo)
+    prev1, prev2 = F.lag(promo, 1).over(w), F.lag(promo, 2).over(w)
+    first = F.when((p == 1) & (prev1 == 0), 1).otherwise(0)
+    prev_first = F.when((prev1 == 1) & (prev2 == 0), 1).otherwise(0)
+    second = F.when((p == 1) & (prev_first == 1), 1).otherwise(0)
+    out = [first.alias("PromoFirstDate"), second.alias("PromoSecondDate")]
+    if older_second_rule:
+        out.append(F.when((p == 1) & (prev2 == 0), 1).otherwise(0).alias("PromoSecondDateOld"))
+    return out
+
+
+def closed_exprs(w: WindowSpec, open_col: str = "Open") -> list[Column]:
+    o = F.col(open_col)
+    return [F.when((o == 1) & (F.lead(open_col, 1).over(w) == 0), 1).otherwise(0).alias("DayBeforeClosed"),
+            F.when((o == 1) & (F.lag(open_col, 1).over(w) == 0), 1).otherwise(0).alias("DayAfterClosed")]
+
+
+def refurb_flag_exprs(w: WindowSpec, open_col: str = "Open", run: int = 5) -> list[Column]:
+    """Open now and ``run`` closed rows ahead / behind; a missing ``Open`` never matches."""
+    o = F.col(open_col)
+    ahead, behind = w.rowsBetween(1, run), w.rowsBetween(-run, -1)
+    before = (o == 1) & (F.count(open_col).over(ahead) == run) & (F.max(open_col).over(ahead) == 0)
+    after = (o == 1) & (F.count(open_col).over(behind) == run) & (F.max(open_col).over(behind) == 0)
+    return [F.when(before, 1).otherwise(0).alias("DayBeforeRefurb"),
+            F.when(after, 1).otherwise(0).alias("DayAfterRefurb")]
+
+
+def refurb_counter_exprs(w: WindowSpec, pos: Column, before_flag: str = "DayBeforeRefurb",
+                         after_flag: str = "DayAfterRefurb", horizon: int = 15) -> list[Column]:
+    """Farthest flag within ``horizon`` rows wins (one framed max/min, not 15 passes)."""
+    fwd, back = w.rowsBetween(0, horizon - 1), w.rowsBetween(-(horizon - 1), 0)
+    far_before = F.max(F.when(F.col(before_flag) == 1, pos)).over(fwd)
+    far_after = F.min(F.when(F.col(after_flag) == 1, pos)).over(back)
+    return [F.coalesce(far_before - pos + 1, F.lit(0)).cast("int").alias("DaysBeforeRefurb"),
+            F.coalesce(pos - far_after + 1, F.lit(0)).cast("int").alias("DaysAfterRefurb")]
+
+
+# ---- operators ----
+
 def shift_cols(df: DataFrame, cols: Sequence[str], offsets: Sequence[int], store: str = "Store",
                order: Sequence[str] | str = "Date", style: str = "suffix", **kw) -> DataFrame:
     """Lag (k > 0) / lead (k < 0) bank: one sort for all columns and offsets."""
-    def build(w, _pos):
-        out = []
-        for c in cols:
-            for k in offsets:
-                fn = F.lag(c, k) if k > 0 else F.lead(c, -k)
-                out.append(fn.over(w).alias(lag_name(c, k, style)))
-        return out
     reach = max(abs(k) for k in offsets)
-    return with_panel_windows(df, build, store, order, reach=reach, **kw)
+    return with_panel_windows(df, lambda w, _p: lag_exprs(w, cols, offsets, style), store, order,
+                              reach=reach, **kw)
 
 
 def promo_flags(df: DataFrame, promo: str = "Promo", store: str = "Store",
@@ -106,60 +155,31 @@ def promo_flags(df: DataFrame, promo: str = "Promo", store: str = "Store",
     """PromoFirstDate: promo now, not on the previous row of the same store.
     PromoSecondDate: promo now and the previous row was a first day.
     ``older_second_rule``: promo now and promo two rows back is 0."""
-    def build(w, _pos):
-        p = F.col(promo)
-        first = F.when((p == 1) & (F.lag(promo, 1).over(w) == 0), 1).otherwise(0)
-        prev_first = F.when((F.lag(promo, 1).over(w) == 1) & (F.lag(promo, 2).over(w) == 0), 1).otherwise(0)
-        second = F.when((p == 1) & (prev_first == 1), 1).otherwise(0)
-        out = [first.alias("PromoFirstDate"), second.alias("PromoSecondDate")]
-        if older_second_rule:
-            out.append(F.when((p == 1) & (F.lag(promo, 2).over(w) == 0), 1).otherwise(0)
-                       .alias("PromoSecondDateOld"))
-        return out
-    return with_panel_windows(df, build, store, order, reach=2, **kw)
+    return with_panel_windows(df, lambda w, _p: promo_exprs(w, promo, older_second_rule), store, order,
+                              reach=2, **kw)
 
 
 def closed_neighbours(df: DataFrame, open_col: str = "Open", store: str = "Store",
                       order: Sequence[str] | str = "Date", **kw) -> DataFrame:
     """DayBeforeClosed / DayAfterClosed: open now, closed on the next / previous row."""
-    def build(w, _pos):
-        o = F.col(open_col)
-        return [F.when((o == 1) & (F.lead(open_col, 1).over(w) == 0), 1).otherwise(0).alias("DayBeforeClosed"),
-                F.when((o == 1) & (F.lag(open_col, 1).over(w) == 0), 1).otherwise(0).alias("DayAfterClosed")]
-    return with_panel_windows(df, build, store, order, reach=1, **kw)
+    return with_panel_windows(df, lambda w, _p: closed_exprs(w, open_col), store, order, reach=1, **kw)
 
 
 def refurb_flags(df: DataFrame, open_col: str = "Open", store: str = "Store",
                  order: Sequence[str] | str = "Date", run: int = 5, **kw) -> DataFrame:
     """DayBeforeRefurb: open, then ``run`` closed rows of the same store.
-    DayAfterRefurb: ``run`` closed rows, then open.  Missing ``Open`` never matches."""
-    def build(w, _pos):
-        o = F.col(open_col)
-        ahead = w.rowsBetween(1, run)
-        behind = w.rowsBetween(-run, -1)
-        before = (o == 1) & (F.count(open_col).over(ahead) == run) & (F.max(open_col).over(ahead) == 0)
-        after = (o == 1) & (F.count(open_col).over(behind) == run) & (F.max(open_col).over(behind) == 0)
-        return [F.when(before, 1).otherwise(0).alias("DayBeforeRefurb"),
-                F.when(after, 1).otherwise(0).alias("DayAfterRefurb")]
-    return with_panel_windows(df, build, store, order, reach=run, **kw)
+    DayAfterRefurb: ``run`` closed rows, then open."""
+    return with_panel_windows(df, lambda w, _p: refurb_flag_exprs(w, open_col, run), store, order,
+                              reach=run, **kw)
 
 
 def refurb_counters(df: DataFrame, before_flag: str = "DayBeforeRefurb", after_flag: str = "DayAfterRefurb",
                     store: str = "Store", order: Sequence[str] | str = "Date", horizon: int = 15,
                     **kw) -> DataFrame:
     """DaysBeforeRefurb: k+1 for the farthest before-flag k rows ahead (k < horizon), else 0.
-    DaysAfterRefurb: k+1 for the farthest after-flag k rows back (k < horizon), else 0.
-
-    One framed max/min per column replaces the reference's 15 overwriting passes.
-    """
-    def build(w, pos):
-        fwd = w.rowsBetween(0, horizon - 1)
-        back = w.rowsBetween(-(horizon - 1), 0)
-        far_before = F.max(F.when(F.col(before_flag) == 1, pos)).over(fwd)
-        far_after = F.min(F.when(F.col(after_flag) == 1, pos)).over(back)
-        return [F.coalesce(far_before - pos + 1, F.lit(0)).cast("int").alias("DaysBeforeRefurb"),
-                F.coalesce(pos - far_after + 1, F.lit(0)).cast("int").alias("DaysAfterRefurb")]
-    return with_panel_windows(df, build, store, order, reach=horizon, **kw)
+    DaysAfterRefurb: k+1 for the farthest after-flag k rows back (k < horizon), else 0."""
+    return with_panel_windows(df, lambda w, p: refurb_counter_exprs(w, p, before_flag, after_flag, horizon),
+                              store, order, reach=horizon, **kw)
 
 
 def refurb_features(df: DataFrame, open_col: str = "Open", store: str = "Store",

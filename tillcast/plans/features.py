@@ -57,13 +57,18 @@ def feature_table(spark: SparkSession, sf_dir: str, with_weather: bool = True, s
         # one exchange on Store; every later window only sorts locally
         data = data.repartition("Store")
     data = windows.group_means_over(data, stats.TARGET_MEANS, "Sales", fit=F.col("type") == "train")
-    kw = dict(style=style, blocked=blocked)
-    data = windows.promo_flags(data, blocked=blocked)
-    data = windows.shift_cols(data, ["Open"], OPEN_BANK, **kw)
-    if with_weather:
-        for col, offs in WEATHER_BANKS.items():
-            data = windows.shift_cols(data, [col], offs, **kw)
-    return windows.refurb_features(data, blocked=blocked)
+    banks = {"Open": OPEN_BANK, **(WEATHER_BANKS if with_weather else {})}
+    reach = max(abs(k) for offs in banks.values() for k in offs)
+
+    def first_pass(w, _pos):
+        # promo runs, every lag/lead bank and the refurb flags: one Window operator
+        cols = windows.promo_exprs(w)
+        for col, offs in banks.items():
+            cols += windows.lag_exprs(w, [col], offs, style)
+        return cols + windows.refurb_flag_exprs(w)
+
+    data = windows.with_panel_windows(data, first_pass, reach=reach, blocked=blocked)
+    return windows.refurb_counters(data, blocked=blocked)
 
 
 def write_by_type(df: DataFrame, path: str, fmt: str = "parquet") -> None:

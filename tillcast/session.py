@@ -33,6 +33,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: executors live in the driver JVM (applies when this
+            # call starts the JVM; a cluster sets its own executor memory)
+            builder = builder.config("spark.driver.memory", os.environ.get("TILLCAST_DRIVER_MEMORY", "16g"))
     for k, v in SCALE_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
