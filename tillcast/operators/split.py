@@ -36,6 +36,12 @@ def fixed_size_holdout(df: DataFrame, n: int, key: Column, salt: str = "0") -> t
     return rest.drop("__h"), held.drop("__h")
 
 
+def fold_of(key: Column, k: int) -> Column:
+    """Fold id in 0..k-1 from an md5 of the key (same value in any engine)."""
+    h = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
+    return F.pmod(h, F.lit(k)).cast("int")
+
+
 def store_folds(stores: DataFrame, k: int, store: str = "Store") -> DataFrame:
     """All rows of a store share one fold in 0..k-1."""
     h = F.conv(F.substring(F.md5(F.col(store).cast("string")), 1, 8), 16, 10).cast("long")

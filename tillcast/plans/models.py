@@ -118,6 +118,26 @@ def kfold_oof(df: DataFrame, k: int, key: str, fit_fn, score_fn) -> DataFrame:
     return out
 
 
+def oof_frequency_probs(df: DataFrame, key: str, feature: str, label: str, k: int = 3) -> DataFrame:
+    """Out-of-fold class probabilities of a frequency learner P(label | feature).
+
+    Rows of fold f are scored with counts from the other folds (Laplace
+    smoothed over the label levels): totals minus the fold's own counts, so
+    every fold is scored from one pass of aggregates, never a refit loop.
+    The count tables are bounded by k x levels(feature) x levels(label).
+    """
+    d = df.select(key, feature, label, split.fold_of(F.col(key), k).alias("fold"))
+    n_labels = d.select(F.count_distinct(label)).scalar()
+    by_fold = d.groupBy("fold", feature, label).agg(F.count(F.lit(1)).alias("c_f"))
+    tot = d.groupBy(feature, label).agg(F.count(F.lit(1)).alias("c_all"))
+    nf = d.groupBy("fold", feature).agg(F.count(F.lit(1)).alias("n_f"))
+    n_all = d.groupBy(feature).agg(F.count(F.lit(1)).alias("n_all"))
+    scored = (d.join(by_fold, ["fold", feature, label]).join(tot, [feature, label])
+               .join(nf, ["fold", feature]).join(n_all, feature))
+    p = (F.col("c_all") - F.col("c_f") + 1) / (F.col("n_all") - F.col("n_f") + n_labels)
+    return scored.select(key, "fold", p.alias("p_true"))
+
+
 def category_indexer(col: str, out: str | None = None) -> StringIndexer:
     """Levels seen at fit; unseen levels at scoring get their own index."""
     return StringIndexer(inputCol=col, outputCol=out or f"{col}_idx", handleInvalid="keep",

@@ -135,10 +135,10 @@ def ml13(spark, sf):
 # ---------------------------------------------------------------- blends
 
 @register("ml17_weighted_blend", _HOLD + """
-SELECT Store, Date, round((p1 * 1.0 + p2 * 2.0 + p3 * 6.0) / 9.0, 4) AS blend FROM hold""")
+SELECT Store, Date, (p1 * 1.0 + p2 * 2.0 + p3 * 6.0) / 9.0 AS blend FROM hold""")
 def ml17(spark, sf):
     h = holdout_frame(spark, sf)
-    return h.select("Store", "Date", F.round(blend.weighted_blend(["p1", "p2", "p3"], [1, 2, 6]), 4).alias("blend"))
+    return h.select("Store", "Date", blend.weighted_blend(["p1", "p2", "p3"], [1, 2, 6]).alias("blend"))
 
 
 @register("ml19_blend_weight_grid", _HOLD + """,
@@ -341,6 +341,25 @@ def ml21(spark, sf):
     return oof.agg(F.round(M.log_loss("p_true"), 4).alias("log_loss"), F.count(F.lit(1)).cast("long").alias("n"))
 
 
+@register("ml21_kfold_oof_frequency_logloss", """
+WITH d AS (SELECT c_custkey, c_nationkey, c_mktsegment,
+                  CAST(CAST(('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 8)) AS BIGINT) % 3 AS INTEGER) AS fold
+           FROM customer),
+s AS (SELECT count(DISTINCT c_mktsegment) AS n_labels FROM d),
+cf AS (SELECT fold, c_nationkey, c_mktsegment, count(*) AS c_f FROM d GROUP BY ALL),
+ca AS (SELECT c_nationkey, c_mktsegment, count(*) AS c_all FROM d GROUP BY ALL),
+nf AS (SELECT fold, c_nationkey, count(*) AS n_f FROM d GROUP BY ALL),
+na AS (SELECT c_nationkey, count(*) AS n_all FROM d GROUP BY ALL),
+p AS (SELECT (ca.c_all - cf.c_f + 1) / (na.n_all - nf.n_f + s.n_labels) AS p_true
+      FROM d JOIN cf USING (fold, c_nationkey, c_mktsegment) JOIN ca USING (c_nationkey, c_mktsegment)
+             JOIN nf USING (fold, c_nationkey) JOIN na USING (c_nationkey), s)
+SELECT round(avg(-ln(p_true)), 6) AS log_loss, CAST(count(*) AS BIGINT) AS n FROM p""")
+def ml21b(spark, sf):
+    c = read(spark, sf, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
+    p = models.oof_frequency_probs(c, "c_custkey", "c_nationkey", "c_mktsegment", 3)
+    return p.agg(F.round(F.avg(-F.ln("p_true")), 6).alias("log_loss"), F.count(F.lit(1)).cast("long").alias("n"))
+
+
 @register("rs3_category_indexer_unseen")
 def rs3(spark, sf):
     tr, te = panels.p1_train(spark, sf), panels.p1_test(spark, sf)

@@ -1,0 +1,2 @@
+"""No streaming operators: the reference processes finished files only (no
+watermarks, event-time windows or incremental state), so nothing is built here."""
