@@ -64,7 +64,11 @@ def score_per_store(df: DataFrame, models: DataFrame, features: Sequence[str], s
 
 
 def fit_one_feature(df: DataFrame, x: str, y: str, store: str = "Store") -> DataFrame:
-    """Closed form for one regressor: slope and intercept per store."""
-    return df.groupBy(store).agg(F.regr_slope(F.col(y), F.col(x)).alias("slope"),
-                                 F.regr_intercept(F.col(y), F.col(x)).alias("intercept"),
+    """Closed form for one regressor: slope and intercept per store.
+
+    A store whose regressor never varies has no slope: both are NULL.
+    """
+    has_var = F.regr_sxx(F.col(y), F.col(x)) > 0
+    return df.groupBy(store).agg(F.when(has_var, F.regr_slope(F.col(y), F.col(x))).alias("slope"),
+                                 F.when(has_var, F.regr_intercept(F.col(y), F.col(x))).alias("intercept"),
                                  F.regr_count(F.col(y), F.col(x)).alias("n"))

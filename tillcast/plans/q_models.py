@@ -85,7 +85,8 @@ def ml5(spark, sf):
 _OLS_SQL = _P1 + """,
 o AS (SELECT *, ln(Sales) AS y FROM train WHERE Sales > 0),
 fit AS (SELECT * FROM o WHERE Date < DATE '2000-06-01'),
-m AS (SELECT Store, regr_slope(y, Customers) AS slope, regr_intercept(y, Customers) AS intercept FROM fit GROUP BY Store),
+m AS (SELECT Store, CASE WHEN regr_sxx(y, Customers) > 0 THEN regr_slope(y, Customers) END AS slope,
+             CASE WHEN regr_sxx(y, Customers) > 0 THEN regr_intercept(y, Customers) END AS intercept FROM fit GROUP BY Store),
 sc AS (SELECT o.Store, o.Date, o.Sales, exp(m.intercept + m.slope * o.Customers) AS pred
        FROM o JOIN m USING (Store) WHERE o.Date >= DATE '2000-06-01' AND month(o.Date) IN (8, 9))"""
 
