@@ -129,3 +129,10 @@ def test_bucketize_right_closed(spark):
     df = spark.createDataFrame([(0.0,), (1500.0,), (1500.5,), (20000.0,), (20001.0,), (None,)], "d double")
     got = [r[0] for r in df.select(S.bucketize("d")).collect()]
     assert got == [0, 1, 2, 4, 5, None]
+
+
+def test_positional_select_and_drop(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "a int, b int, c int, d int")
+    assert clean.select_positions(df, keep=[1, 3]).columns == ["a", "c"]
+    assert clean.select_positions(df, drop=[2, 4]).columns == ["a", "c"]
+    assert clean.all_but(df, ["b"]) == ["a", "c", "d"]

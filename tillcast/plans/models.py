@@ -109,7 +109,7 @@ def two_fold_stack(df: DataFrame, fold_a, fold_b, fit_fn, score_fn, name: str =
 
 def kfold_oof(df: DataFrame, k: int, key: str, fit_fn, score_fn) -> DataFrame:
     """Out-of-fold scores: fold membership is a hash of the key (stable on reruns)."""
-    folded = df.join(split.store_folds(df.select(key).distinct(), k, key), key)
+    folded = df.withColumn("fold", split.fold_of(F.col(key), k))  # no join: a pure function of the key
     parts = [score_fn(fit_fn(folded.filter(F.col("fold") != f)), folded.filter(F.col("fold") == f))
              for f in range(k)]
     out = parts[0]
