@@ -78,10 +78,10 @@ def q_recursive_forecast(spark, sf):
 
 
 def _model_data(spark, sf):
-    df = models.model_frame(spark, sf).cache()
-    df.count()
+    df = models.model_frame(spark, sf)
     cut = F.lit("2000-06-01").cast("date")
-    return df, df.filter(F.col("Date") < cut), df.filter(F.col("Date") >= cut)
+    fit = models.sized_for_training(df.filter(F.col("Date") < cut))
+    return fit, fit, df.filter(F.col("Date") >= cut)
 
 
 def q_gbt_50_trees(spark, sf):

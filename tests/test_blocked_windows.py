@@ -45,3 +45,10 @@ def test_hot_store_spans_tasks(spark):
     plain = windows.shift_cols(df, ["Open"], [1, -1, 5], order="Seq")
     blocked = windows.shift_cols(df, ["Open"], [1, -1, 5], order="Seq", blocked=True, block_rows=100)
     _same(plain, blocked, ["Store", "Seq"])
+
+
+def test_blocked_feature_table_equals_plain(spark, sf_small):
+    from tillcast.plans import features
+    plain = features.feature_table(spark, sf_small).filter(F.col("Store") < 3)
+    blocked = features.feature_table(spark, sf_small, blocked=True).filter(F.col("Store") < 3)
+    _same(plain, blocked, ["Store", "Date"])

@@ -53,10 +53,15 @@ def feature_table(spark: SparkSession, sf_dir: str, with_weather: bool = True, s
         _, last = panels.calendar_bounds(spark, sf_dir)
         daily = joins.step_series_daily(panels.releases(spark, sf_dir), "Released", ["Actual"], last)
         data = joins.join_on(data, joins.broadcast_if_bounded(daily, days), "Date", "left")
+    train_rows = F.col("type") == "train"
     if not blocked:
         # one exchange on Store; every later window only sorts locally
         data = data.repartition("Store")
-    data = windows.group_means_over(data, stats.TARGET_MEANS, "Sales", fit=F.col("type") == "train")
+        data = windows.group_means_over(data, stats.TARGET_MEANS, "Sales", fit=train_rows)
+    else:
+        # a store may be arbitrarily large: partial aggregates + joins (AQE
+        # splits a hot key on the big side) instead of store-keyed windows
+        data = stats.attach_target_means(data, fit_on=data.filter(train_rows))
     banks = {"Open": OPEN_BANK, **(WEATHER_BANKS if with_weather else {})}
     reach = max(abs(k) for offs in banks.values() for k in offs)
 

@@ -59,6 +59,27 @@ def model_frame(spark: SparkSession, sf_dir: str, include_test: bool = False) ->
     return stats.attach_target_means(df, fit_on=fit).fillna({"CompetitionDistance": 75000.0})
 
 
+# Rows per training partition: tree and boosting fits run one distributed
+# pass per tree level, so each task should carry a substantial slice.
+ROWS_PER_TRAIN_PARTITION = 1_000_000
+
+
+def sized_for_training(df: DataFrame, rows_per_partition: int = ROWS_PER_TRAIN_PARTITION) -> DataFrame:
+    """Cache the training input and size its partitions by row count.
+
+    Iterative fitters pay a per-task cost on every pass; after one counting
+    pass the cached input is narrowed (``coalesce``: no shuffle) to
+    max(default parallelism, rows / rows_per_partition) partitions, which
+    grows with the data.
+    """
+    cached = df.cache()
+    rows = cached.count()
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    want = max(parallel, -(-rows // rows_per_partition))
+    have = cached.rdd.getNumPartitions()
+    return cached.coalesce(want) if want < have else cached
+
+
 def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep")
 

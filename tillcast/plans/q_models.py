@@ -216,7 +216,7 @@ def ml22b(spark, sf):
 def _train_valid(spark, sf):
     df = models.model_frame(spark, sf)
     cut = F.lit(HOLDOUT_START).cast("date")
-    return df.filter(F.col("Date") < cut), df.filter(F.col("Date") >= cut)
+    return models.sized_for_training(df.filter(F.col("Date") < cut)), df.filter(F.col("Date") >= cut)
 
 
 def _scored(model, df, name="pred"):
