@@ -77,7 +77,7 @@ def calendar_days(spark: SparkSession, sf_dir: str) -> int:
 
 def state_count(spark: SparkSession, sf_dir: str) -> int:
     """Distinct state codes of the weather series (regions: a fixed, tiny table)."""
-    return read(spark, sf_dir, "region", "r_name").select(state_code(F.col("r_name"))).distinct().count()
+    return int(read(spark, sf_dir, "region", "r_name").agg(F.count_distinct(state_code(F.col("r_name")))).first()[0])
 
 
 def p1_dense(spark: SparkSession, sf_dir: str) -> DataFrame:

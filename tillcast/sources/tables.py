@@ -1,4 +1,9 @@
-"""Reading the driver's parquet tables with explicit column pruning."""
+"""Reading the driver's parquet tables with declared schemas and pruning.
+
+Declared schemas mean no schema-inference job per read (on a cluster with
+many files that is a driver-side footer scan), and naming the columns keeps
+``ReadSchema`` to what each plan uses.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table_path
 
+# Fixed schemas of the driver's tables (as written by its generator).
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": ("o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+               "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"),
+    "lineitem": ("l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                 "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+                 "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"),
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
 
 def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """Parquet scan; naming the columns keeps ``ReadSchema`` to what is used."""
-    df = spark.read.parquet(table_path(sf_dir, name))
+    """Parquet scan with the declared schema; named columns only."""
+    reader = spark.read
+    if name in SCHEMAS:
+        reader = reader.schema(SCHEMAS[name])
+    df = reader.parquet(table_path(sf_dir, name))
     return df.select(*cols) if cols else df
