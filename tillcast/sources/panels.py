@@ -193,10 +193,11 @@ def _shipments_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     n = read(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")
     r = read(spark, sf_dir, "region", "r_regionkey", "r_name")
-    # nation/region are fixed 25/5-row tables: joined to supplier first so
-    # the fact side meets one already-resolved dimension.
+    # nation/region resolve to a state per supplier first, so the fact side
+    # meets one dimension; Catalyst broadcasts the tiny sides from their
+    # measured file sizes (no hint needed).
     geo = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", state_code(F.col("r_name")).alias("State"))
-    sup = s.join(F.broadcast(geo), s.s_nationkey == geo.n_nationkey).select("s_suppkey", "State")
+    sup = s.join(geo, s.s_nationkey == geo.n_nationkey).select("s_suppkey", "State")
     return li.join(sup, li.l_suppkey == sup.s_suppkey).withColumn("Date", F.to_date("l_shipdate"))
 
 
