@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..functions.metrics import exact_mean
+from ..operators import windows
 from ..sources import panels
 
 # The base learners' key sets (store/promo mean, + month, + weekday).
@@ -43,12 +44,21 @@ def base_predictions(df: DataFrame, fit_on: DataFrame, target: str = "Sales") ->
     return out
 
 
+def with_base_predictions(df: DataFrame, fit: Column, store: str = "Store") -> DataFrame:
+    """p1..p3 as windowed group means over the rows where ``fit`` holds.
+
+    Every learner's keys start with the store, so one exchange on the store
+    serves all three (local sorts only) instead of an aggregate + join each.
+    """
+    specs = [(keys, name) for name, keys in BASE_LEARNERS.items()]
+    return windows.group_means_over(df.repartition(store), specs, "Sales", fit=fit)
+
+
 def holdout_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdout rows (positive sales, from HOLDOUT_START) with honest p1..p3."""
     t = sales_train(spark, sf_dir)
     cut = F.lit(HOLDOUT_START).cast("date")
-    fit, hold = t.filter(F.col("Date") < cut), t.filter(F.col("Date") >= cut)
-    return base_predictions(hold, fit)
+    return with_base_predictions(t, F.col("Date") < cut).filter(F.col("Date") >= cut)
 
 
 HOLDOUT_SQL = f"""

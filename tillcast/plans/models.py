@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..functions import scalars as S
-from ..operators import split, stats
+from ..operators import split, stats, windows
 from ..sources import panels
 from .forecast import HOLDOUT_START
 
@@ -55,8 +55,10 @@ def model_frame(spark: SparkSession, sf_dir: str, include_test: bool = False) ->
                    S.letter_ordinal("Assortment").alias("Assortment_o"),
                    S.promo_interval_code("PromoInterval").alias("PromoInterval_c"),
                    S.log1p_target("Sales").alias(LABEL))
-    fit = df.filter((F.col("Date") < F.lit(HOLDOUT_START).cast("date")) & F.col("Sales").isNotNull())
-    return stats.attach_target_means(df, fit_on=fit).fillna({"CompetitionDistance": 75000.0})
+    fit = (F.col("Date") < F.lit(HOLDOUT_START).cast("date")) & F.col("Sales").isNotNull()
+    # one store exchange; the three target means are local windows over it
+    df = windows.group_means_over(df.repartition("Store"), stats.TARGET_MEANS, "Sales", fit=fit)
+    return df.fillna({"CompetitionDistance": 75000.0})
 
 
 # Rows per training partition: tree and boosting fits run one distributed

@@ -361,6 +361,29 @@ def ml21b(spark, sf):
     return p.agg(F.round(F.avg(-F.ln("p_true")), 6).alias("log_loss"), F.count(F.lit(1)).cast("long").alias("n"))
 
 
+@register("ag15_rmspe_evaluator")
+def ag15b(spark, sf):
+    """RMSPE (log space) of a boosted model through the Evaluator interface."""
+    from .evaluation import RMSPEEvaluator
+    fit, valid = _train_valid(spark, sf)
+    m = models.boosted(models.NUMERIC_FEATURES, iters=8, depth=5).fit(fit)
+    scored = m.transform(valid)
+    v = RMSPEEvaluator(predictionCol="prediction", labelCol=models.LABEL, logSpace=True).evaluate(scored)
+    return scored.agg(F.count(F.lit(1)).cast("long").alias("n")).withColumn("rmspe", F.round(F.lit(v), 4))
+
+
+@register("ag16_regression_evaluator")
+def ag16b(spark, sf):
+    """MSE / R2 of a boosted model on log sales via RegressionEvaluator."""
+    from .evaluation import regression_metrics
+    fit, valid = _train_valid(spark, sf)
+    m = models.boosted(models.NUMERIC_FEATURES, iters=8, depth=5).fit(fit)
+    met = regression_metrics(m.transform(valid), models.LABEL)
+    scored = m.transform(valid)
+    return scored.agg(F.count(F.lit(1)).cast("long").alias("n")).select(
+        "n", *[F.round(F.lit(v), 5).alias(k) for k, v in met.items()])
+
+
 @register("rs3_category_indexer_unseen")
 def rs3(spark, sf):
     tr, te = panels.p1_train(spark, sf), panels.p1_test(spark, sf)
