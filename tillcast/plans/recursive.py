@@ -23,10 +23,20 @@ from ..session import cut_lineage
 
 
 def last_values(df: DataFrame, value: str, n: int, store: str = "Store", order: str = "Date",
-                name: str = "state") -> DataFrame:
-    """Per store, the last ``n`` values oldest first (bounded array per store)."""
-    w = Window.partitionBy(store).orderBy(F.col(order).desc())
-    tail = df.select(store, order, value, F.row_number().over(w).alias("__k")).filter(F.col("__k") <= n)
+                name: str = "state", buckets: int = 16) -> DataFrame:
+    """Per store, the last ``n`` values oldest first (a bounded array per store).
+
+    Exact two-phase top-n that never gives one task a whole store: first the
+    top n per (store, hash bucket of the order key) -- a hot store spreads
+    over ``buckets`` tasks -- then the top n of those <= buckets * n
+    candidates per store.
+    """
+    bucket = F.pmod(F.hash(F.col(order)), F.lit(buckets))
+    w1 = Window.partitionBy(store, "__b").orderBy(F.col(order).desc())
+    cand = (df.select(store, order, value, bucket.alias("__b"))
+              .withColumn("__k", F.row_number().over(w1)).filter(F.col("__k") <= n))
+    w2 = Window.partitionBy(store).orderBy(F.col(order).desc())
+    tail = cand.withColumn("__k", F.row_number().over(w2)).filter(F.col("__k") <= n)
     return tail.groupBy(store).agg(
         F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias(name))
 
@@ -51,19 +61,27 @@ def moving_average_forecast(state: DataFrame, horizon: int, window: int, store:
 def model_forecast(state: DataFrame, model: Transformer, lag_cols: Sequence[str], horizon: int,
                    store: str = "Store", state_col: str = "state", checkpoint_every: int = 5,
                    assemble=None) -> DataFrame:
-    """Day-by-day scoring: lag features from the state array, predict, roll."""
+    """Day-by-day scoring: lag features from the state array, predict, roll.
+
+    The state table has one row per store and carries the day's prediction,
+    so each step scores the model once; it is checkpointed (reliably, into
+    the shared checkpoint folder) so no step re-derives earlier ones.
+    """
     n = len(lag_cols)
-    cur = state
-    out = None
+    cur = cut_lineage(state.select(store, state_col))
+    outs = []
     for step in range(1, horizon + 1):
-        feats = cur.select(store, state_col, *[F.col(state_col)[n - 1 - i].alias(c) for i, c in enumerate(lag_cols)])
+        feats = cur.select(store, state_col,
+                           *[F.col(state_col)[n - 1 - i].alias(c) for i, c in enumerate(lag_cols)])
         if assemble is not None:
             feats = assemble(feats)
         scored = model.transform(feats).select(store, state_col, F.col("prediction").alias("pred"))
-        day = scored.select(store, F.lit(step).alias("step"), "pred")
-        out = day if out is None else out.unionByName(day)
-        cur = scored.select(store, F.slice(F.concat(state_col, F.array("pred")), 2, n).alias(state_col))
-        if step % checkpoint_every == 0:
+        cur = scored.select(store, F.slice(F.concat(state_col, F.array("pred")), 2, n).alias(state_col),
+                            "pred", F.lit(step).alias("step"))
+        if step % checkpoint_every == 0 or step == horizon:
             cur = cut_lineage(cur)
-            out = cut_lineage(out)
+        outs.append(cur.select(store, "step", "pred"))
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
     return out
