@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from .plans import (q_cleaning, q_scalars, q_joins, q_aggregates, q_windows,  # noqa: F401
-                        q_reshape, q_models)
+                        q_reshape, q_models, q_sparse)
 
 
 def queries() -> dict[str, QueryFn]:
