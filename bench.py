@@ -42,7 +42,7 @@ def q_lag_bank_orders(spark, sf):
     """Sparse panel (customer x order) that grows with the data: 14+14 lags/leads."""
     p = panels.p2_sparse(spark, sf)
     offs = list(range(1, 15)) + [-k for k in range(1, 15)]
-    run_noop(windows.shift_cols(p, ["Sales", "Open"], offs, order=["Date", "Seq"]))
+    run_noop(windows.shift_cols(p, ["Sales", "Open"], offs, order=["Date", "Seq"], blocked=True))
 
 
 def q_lag_bank_lineitem(spark, sf):
@@ -51,13 +51,13 @@ def q_lag_bank_lineitem(spark, sf):
     p = li.select(F.col("l_suppkey").alias("Store"), F.to_date("l_shipdate").alias("Date"),
                   "l_orderkey", "l_linenumber", "l_quantity")
     out = windows.shift_cols(p, ["l_quantity"], [1, 2, 3, 7, 14, -1, -2, -3],
-                             order=["Date", "l_orderkey", "l_linenumber"])
+                             order=["Date", "l_orderkey", "l_linenumber"], blocked=True)
     run_noop(out)
 
 
 def q_refurb_sparse(spark, sf):
     p = panels.p2_sparse(spark, sf)
-    run_noop(windows.refurb_features(p, order=["Date", "Seq"]))
+    run_noop(windows.refurb_features(p, order=["Date", "Seq"], blocked=True))
 
 
 def q_per_store_ols(spark, sf):

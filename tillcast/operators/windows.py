@@ -38,45 +38,51 @@ def lag_name(col: str, k: int, style: str = "suffix") -> str:
     return f"{col}_lag{k}" if k > 0 else f"{col}_lead{-k}"
 
 
-def with_panel_windows(df: DataFrame, build: Callable[[WindowSpec, Column], list[Column]],
-                       store: str = "Store", order: Sequence[str] | str = "Date",
+def with_panel_windows(df: DataFrame, build, store: str = "Store", order: Sequence[str] | str = "Date",
                        reach: int = 15, blocked: bool = False, block_rows: int = 4096) -> DataFrame:
     """Add the columns returned by ``build(window, position)``.
 
-    ``position`` is a per-store row number (1-based) usable inside frames;
-    it is computed only when ``build`` uses it.
+    ``build`` may be a list of builders applied as successive passes (a later
+    pass may read an earlier pass's columns); ``reach`` is then the sum of
+    the passes' row reaches.  ``position`` is a per-store row number
+    (1-based) usable inside frames; it is computed only when a builder uses it.
     """
+    builds = list(build) if isinstance(build, (list, tuple)) else [build]
     order = _order_cols(order)
     if not blocked:
         w = panel_window(store, order)
-        probe = build(w, F.col("__pos"))
-        if not any("__pos" in str(c) for c in probe):
-            return df.select("*", *probe)
-        with_pos = df.withColumn("__pos", F.row_number().over(w))
-        return with_pos.select("*", *build(w, F.col("__pos"))).drop("__pos")
-    return _blocked(df, build, store, order, reach, block_rows)
-
-
-def _blocked(df, build, store, order, reach, block_rows):
+        out = df
+        probes = [b(w, F.col("__pos")) for b in builds]
+        need_pos = any("__pos" in str(c) for cols in probes for c in cols)
+        if need_pos:
+            out = out.withColumn("__pos", F.row_number().over(w))
+        for b in builds:
+            out = out.select("*", *b(w, F.col("__pos")))
+        return out.drop("__pos") if need_pos else out
+    return _blocked(df, builds, store, order, reach, block_rows)
+
+
+def _blocked(df, builds, store, order, reach, block_rows):
     """Exact windows over (store, block) groups with halos (skew-safe path)."""
     if block_rows < 2 * reach:
         raise ValueError("block_rows must be at least twice the reach")
-    # 1. Global row number per store without a per-store task: range-partition
-    #    on (store, order) so a hot store spans many tasks, number rows inside
+    # 1. Row number per store without a per-store task: range-partition on
+    #    (store, order) so a hot store spans many tasks, number rows inside
     #    each task, then add the count of the store's rows in earlier tasks.
     ranged = (df.repartitionByRange(store, *order).sortWithinPartitions(store, *order)
                 .withColumn("__pid", F.spark_partition_id())
                 .withColumn("__mid", F.monotonically_increasing_id()))
     firsts = (ranged.groupBy("__pid", store)
                     .agg(F.min("__mid").alias("__m0"), F.count(F.lit(1)).alias("__n")))
-    # one row per (task, store) pair: bounded by #tasks + #stores
+    # one row per (task, store) pair: at most #tasks + #stores rows
     before = F.sum("__n").over(Window.partitionBy(store).orderBy("__pid")
                                .rowsBetween(Window.unboundedPreceding, -1))
     offsets = firsts.select("__pid", store, "__m0", F.coalesce(before, F.lit(0)).alias("__off"))
     pos = (ranged.join(offsets, ["__pid", store])
                  .select("*", (F.col("__off") + F.col("__mid") - F.col("__m0") + 1).alias("__pos"))
                  .drop("__pid", "__mid", "__m0", "__off"))
-    # 2. Blocks of block_rows consecutive rows; halo copies to the neighbours.
+    # 2. Blocks of block_rows consecutive rows of a store; halo copies of the
+    #    ``reach`` rows next to each block edge go to the neighbouring block.
     blk = F.floor((F.col("__pos") - 1) / block_rows)
     inner = (F.col("__pos") - 1) % block_rows
     own = pos.withColumn("__blk", blk).withColumn("__halo", F.lit(False))
@@ -84,9 +90,10 @@ def _blocked(df, build, store, order, reach, block_rows):
                     .withColumn("__blk", blk + 1).withColumn("__halo", F.lit(True)))
     next_halo = (pos.filter(inner < reach)
                     .withColumn("__blk", blk - 1).withColumn("__halo", F.lit(True)))
-    all_rows = own.unionByName(prev_halo).unionByName(next_halo)
+    out = own.unionByName(prev_halo).unionByName(next_halo)
     w = Window.partitionBy(store, "__blk").orderBy("__pos")
-    out = all_rows.select("*", *build(w, F.col("__pos")))
+    for b in builds:  # all passes over the same blocks: one numbering, one exchange
+        out = out.select("*", *b(w, F.col("__pos")))
     return out.filter(~F.col("__halo")).drop("__pos", "__blk", "__halo")
 
 
@@ -185,9 +192,11 @@ def refurb_counters(df: DataFrame, before_flag: str = "DayBeforeRefurb", after_f
 def refurb_features(df: DataFrame, open_col: str = "Open", store: str = "Store",
                     order: Sequence[str] | str = "Date", run: int = 5, horizon: int = 15,
                     **kw) -> DataFrame:
-    """Refurbishment flags, then their countdown / count-up columns."""
-    flagged = refurb_flags(df, open_col, store, order, run, **kw)
-    return refurb_counters(flagged, store=store, order=order, horizon=horizon, **kw)
+    """Refurbishment flags, then their countdown / count-up columns (two passes
+    over one window / one blocking)."""
+    passes = [lambda w, _p: refurb_flag_exprs(w, open_col, run),
+              lambda w, p: refurb_counter_exprs(w, p, horizon=horizon)]
+    return with_panel_windows(df, passes, store, order, reach=run + horizon, **kw)
 
 
 def group_means_over(df: DataFrame, specs, target: str = "Sales", fit: Column | None = None,

@@ -72,8 +72,11 @@ def feature_table(spark: SparkSession, sf_dir: str, with_weather: bool = True, s
             cols += windows.lag_exprs(w, [col], offs, style)
         return cols + windows.refurb_flag_exprs(w)
 
-    data = windows.with_panel_windows(data, first_pass, reach=reach, blocked=blocked)
-    return windows.refurb_counters(data, blocked=blocked)
+    def counters(w, pos):
+        return windows.refurb_counter_exprs(w, pos)
+
+    # two passes (counters read the flags), one numbering / exchange
+    return windows.with_panel_windows(data, [first_pass, counters], reach=reach + 15, blocked=blocked)
 
 
 def write_by_type(df: DataFrame, path: str, fmt: str = "parquet") -> None:

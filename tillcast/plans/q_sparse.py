@@ -4,6 +4,10 @@ The dense nation-by-day panel keeps a fixed row count at every scale; these
 run the same operators on the per-customer order panel (P2, order key as
 tie-break), a (supplier, ship day) panel from lineitem and the per-user
 event panel (P3), so their work and output scale with the input.
+
+A customer or supplier history is not bounded by the calendar (one may hold
+a third of all rows), so window features here use the blocked path: exact,
+and no group ever larger than one block plus its halos.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ SELECT Store, Seq, PromoFirstDate,
        CASE WHEN Promo = 1 AND lag(PromoFirstDate, 1) {_W2} = 1 THEN 1 ELSE 0 END AS PromoSecondDate FROM pf""")
 def wn6s(spark, sf):
     p = panels.p2_sparse(spark, sf).select("Store", "Date", "Seq", "Promo")
-    return windows.promo_flags(p, order=_ORDER2).select("Store", "Seq", "PromoFirstDate", "PromoSecondDate")
+    return windows.promo_flags(p, order=_ORDER2, blocked=True).select("Store", "Seq", "PromoFirstDate", "PromoSecondDate")
 
 
 def _refurb_sparse_sql():
@@ -50,7 +54,7 @@ SELECT Store, Seq, DayBeforeRefurb, DayAfterRefurb, CAST({db} AS INTEGER) AS Day
 @register("wn13_refurb_counters_sparse", _refurb_sparse_sql())
 def wn13s(spark, sf):
     p = panels.p2_sparse(spark, sf).select("Store", "Date", "Seq", "Open")
-    out = windows.refurb_features(p, order=_ORDER2)
+    out = windows.refurb_features(p, order=_ORDER2, blocked=True)
     return out.select("Store", "Seq", "DayBeforeRefurb", "DayAfterRefurb", "DaysBeforeRefurb", "DaysAfterRefurb")
 
 
@@ -64,7 +68,8 @@ _WL = "OVER (PARTITION BY l_suppkey ORDER BY CAST(l_shipdate AS DATE), l_orderke
 def wn3l(spark, sf):
     li = read(spark, sf, "lineitem", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
     p = li.withColumn("Date", F.to_date("l_shipdate"))
-    out = windows.shift_cols(p, ["l_quantity"], _LI_OFFS, store="l_suppkey", order=["Date", "l_orderkey", "l_linenumber"])
+    out = windows.shift_cols(p, ["l_quantity"], _LI_OFFS, store="l_suppkey", order=["Date", "l_orderkey", "l_linenumber"],
+                             blocked=True)
     return out.drop("l_suppkey", "l_shipdate", "Date", "l_quantity")
 
 

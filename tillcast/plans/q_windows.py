@@ -71,7 +71,7 @@ _W2 = "OVER (PARTITION BY Store ORDER BY Date, Seq)"
           + f"\nSELECT Store, Seq, {_shift_sql('Sales', [1, 2, 3], _W2)} FROM p2")
 def wn5(spark, sf):
     p = panels.p2_sparse(spark, sf).select("Store", "Date", "Seq", "Sales")
-    return windows.shift_cols(p, ["Sales"], [1, 2, 3], order=["Date", "Seq"]).drop("Date", "Sales")
+    return windows.shift_cols(p, ["Sales"], [1, 2, 3], order=["Date", "Seq"], blocked=True).drop("Date", "Sales")
 
 
 _PROMO_SQL = _P1 + f""",
