@@ -225,10 +225,10 @@ def cl9(spark, sf):
 
 
 @register("cl10_clamp_negative", _P1 + """
-SELECT Store, Date, greatest(ln(1 + Sales) - 12.0, 0.0) AS clamped FROM train WHERE Sales > 0""")
+SELECT Store, Date, round(greatest(ln(1 + Sales) - 12.0, 0.0), 6) AS clamped FROM train WHERE Sales > 0""")
 def cl10(spark, sf):
     t = panels.p1_train(spark, sf).filter(F.col("Sales") > 0)
-    return t.select("Store", "Date", S.clamp_at_zero(F.log1p("Sales") - 12.0).alias("clamped"))
+    return t.select("Store", "Date", F.round(S.clamp_at_zero(F.log1p("Sales") - 12.0), 6).alias("clamped"))
 
 
 @register("cl11_zero_closed_forecast", _P1 + """,
