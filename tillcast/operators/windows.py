@@ -1,19 +1,19 @@
 """Panel-aware window features (lags, leads, promo runs, closure runs).
 
-Every window is ``partitionBy(store).orderBy(order...)``: offsets are by row
-position inside a store, as in the reference, and never cross stores.
-
-Scale: all features of one call share one window specification, so Spark
-plans a single exchange on the store key and a single sort, then evaluates
-every lag/lead/frame in one ``Window`` operator.  A window group is one
-store's history.  On a panel keyed by (store, day) the group is bounded by
-the calendar length (one row per day), not by the table size; for panels
-whose key repeats (``p2_sparse``) the order key is part of the ordering.
-When a single store can hold an unbounded share of the rows, use
-``blocked=True``: rows are numbered per store without a per-store task, cut
-into fixed-size blocks with a halo of ``reach`` rows from each neighbour, and
-the same expressions run over (store, block) groups -- exact for any offset
-up to ``reach``.
+Offsets are by row position inside a store, as in the reference, and never
+cross stores.  Every feature is written against ``off(col, k)``, the
+store-guarded value k rows back/ahead, so the same expressions run on two
+physical layouts:
+
+* plain (default): ``partitionBy(store).orderBy(order...)``.  All features of
+  one call share the specification: one exchange on the store, one sort, one
+  ``Window`` operator.  A group is one store's history; on a panel keyed by
+  (store, day) that is bounded by the calendar length, not by the table.
+* ``blocked=True``, for panels where one store may hold an unbounded share of
+  the rows (customers, suppliers, users): the rows form one globally sorted
+  (store, order) sequence, cut into fixed-size blocks with ``reach`` halo
+  rows from each neighbour; groups are blocks, so no task ever holds more
+  than ``block_rows + 2 * reach`` rows, and results are exact.
 """
 
 from __future__ import annotations
@@ -38,79 +38,88 @@ def lag_name(col: str, k: int, style: str = "suffix") -> str:
     return f"{col}_lag{k}" if k > 0 else f"{col}_lead{-k}"
 
 
+Offset = Callable[[str, int], Column]
+
+
 def with_panel_windows(df: DataFrame, build, store: str = "Store", order: Sequence[str] | str = "Date",
                        reach: int = 15, blocked: bool = False, block_rows: int = 4096) -> DataFrame:
-    """Add the columns returned by ``build(window, position)``.
+    """Add the columns returned by ``build(window, off)``.
 
-    ``build`` may be a list of builders applied as successive passes (a later
-    pass may read an earlier pass's columns); ``reach`` is then the sum of
-    the passes' row reaches.  ``position`` is a per-store row number
-    (1-based) usable inside frames; it is computed only when a builder uses it.
+    ``off(col, k)`` is the store-guarded value of ``col`` k rows back (k > 0)
+    or ahead (k < 0): NULL past the store's first/last row.  ``build`` may be
+    a list of builders applied as successive passes (a later pass may read an
+    earlier pass's columns); ``reach`` is then the sum of their reaches.
     """
     builds = list(build) if isinstance(build, (list, tuple)) else [build]
     order = _order_cols(order)
     if not blocked:
         w = panel_window(store, order)
+
+        def off(col, k):  # the partition is the store: no guard needed
+            return (F.lag(col, k) if k > 0 else F.lead(col, -k)).over(w)
         out = df
-        probes = [b(w, F.col("__pos")) for b in builds]
-        need_pos = any("__pos" in str(c) for cols in probes for c in cols)
-        if need_pos:
-            out = out.withColumn("__pos", F.row_number().over(w))
         for b in builds:
-            out = out.select("*", *b(w, F.col("__pos")))
-        return out.drop("__pos") if need_pos else out
+            out = out.select("*", *b(w, off))
+        return out
     return _blocked(df, builds, store, order, reach, block_rows)
 
 
 def _blocked(df, builds, store, order, reach, block_rows):
-    """Exact windows over (store, block) groups with halos (skew-safe path)."""
+    """Exact windows over fixed-size blocks of the global (store, order) sequence.
+
+    1. Range-partition and sort on (store, order): the tasks, in id order,
+       hold one globally sorted sequence, and a hot store spans many tasks.
+    2. Global row index = rows in earlier tasks + index inside the task.  The
+       per-task count table has one row per task (a proven bound), so it is
+       broadcast; no per-store numbering, no join keyed by store.
+    3. Blocks of ``block_rows`` consecutive rows plus ``reach`` halo rows
+       copied from each neighbouring block; every offset is store-guarded,
+       so blocks may mix stores and a store may span many blocks.
+    """
     if block_rows < 2 * reach:
         raise ValueError("block_rows must be at least twice the reach")
-    # 1. Row number per store without a per-store task: range-partition on
-    #    (store, order) so a hot store spans many tasks, number rows inside
-    #    each task, then add the count of the store's rows in earlier tasks.
     ranged = (df.repartitionByRange(store, *order).sortWithinPartitions(store, *order)
                 .withColumn("__pid", F.spark_partition_id())
                 .withColumn("__mid", F.monotonically_increasing_id()))
-    firsts = (ranged.groupBy("__pid", store)
-                    .agg(F.min("__mid").alias("__m0"), F.count(F.lit(1)).alias("__n")))
-    # one row per (task, store) pair: at most #tasks + #stores rows
-    before = F.sum("__n").over(Window.partitionBy(store).orderBy("__pid")
-                               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = firsts.select("__pid", store, "__m0", F.coalesce(before, F.lit(0)).alias("__off"))
-    pos = (ranged.join(offsets, ["__pid", store])
-                 .select("*", (F.col("__off") + F.col("__mid") - F.col("__m0") + 1).alias("__pos"))
-                 .drop("__pid", "__mid", "__m0", "__off"))
-    # 2. Blocks of block_rows consecutive rows of a store; halo copies of the
-    #    ``reach`` rows next to each block edge go to the neighbouring block.
-    blk = F.floor((F.col("__pos") - 1) / block_rows)
-    inner = (F.col("__pos") - 1) % block_rows
-    own = pos.withColumn("__blk", blk).withColumn("__halo", F.lit(False))
-    prev_halo = (pos.filter(inner >= block_rows - reach)
-                    .withColumn("__blk", blk + 1).withColumn("__halo", F.lit(True)))
-    next_halo = (pos.filter(inner < reach)
-                    .withColumn("__blk", blk - 1).withColumn("__halo", F.lit(True)))
-    out = own.unionByName(prev_halo).unionByName(next_halo)
-    w = Window.partitionBy(store, "__blk").orderBy("__pos")
+    per_task = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))
+    starts = per_task.select("__pid", F.coalesce(earlier, F.lit(0)).alias("__start"))
+    local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
+    seq = (ranged.join(F.broadcast(starts), "__pid")
+                 .select("*", (F.col("__start") + local).alias("__g"))
+                 .drop("__pid", "__mid", "__start"))
+    blk = F.floor(F.col("__g") / block_rows)
+    inner = F.col("__g") % block_rows
+
+    def target(b, halo):
+        return F.struct(b.alias("b"), F.lit(halo).alias("h"))
+    # each row goes to its block, and rows near an edge also go to the
+    # neighbouring block as halo: one projection, no union of re-scans
+    targets = F.array(target(blk, False),
+                      F.when(inner >= block_rows - reach, target(blk + 1, True)),
+                      F.when(inner < reach, target(blk - 1, True)))
+    out = (seq.select("*", F.explode(F.filter(targets, lambda t: t.isNotNull())).alias("__t"))
+              .select("*", F.col("__t.b").alias("__blk"), F.col("__t.h").alias("__halo")).drop("__t"))
+    w = Window.partitionBy("__blk").orderBy("__g")
+
+    def off(col, k):
+        shift = (lambda c: F.lag(c, k)) if k > 0 else (lambda c: F.lead(c, -k))
+        return F.when(shift(store).over(w) == F.col(store), shift(col).over(w))
+
     for b in builds:  # all passes over the same blocks: one numbering, one exchange
-        out = out.select("*", *b(w, F.col("__pos")))
-    return out.filter(~F.col("__halo")).drop("__pos", "__blk", "__halo")
+        out = out.select("*", *b(w, off))
+    return out.filter(~F.col("__halo")).drop("__g", "__blk", "__halo")
 
 
 # ---- expression builders: several features share one Window operator ----
 
-def lag_exprs(w: WindowSpec, cols: Sequence[str], offsets: Sequence[int], style: str = "suffix") -> list[Column]:
-    out = []
-    for c in cols:
-        for k in offsets:
-            fn = F.lag(c, k) if k > 0 else F.lead(c, -k)
-            out.append(fn.over(w).alias(lag_name(c, k, style)))
-    return out
+def lag_exprs(off: Offset, cols: Sequence[str], offsets: Sequence[int], style: str = "suffix") -> list[Column]:
+    return [off(c, k).alias(lag_name(c, k, style)) for c in cols for k in offsets]
 
 
-def promo_exprs(w: WindowSpec, promo: str = "Promo", older_second_rule: bool = False) -> list[Column]:
+def promo_exprs(off: Offset, promo: str = "Promo", older_second_rule: bool = False) -> list[Column]:
     p = F.col(promo)
-    prev1, prev2 = F.lag(promo, 1).over(w), F.lag(promo, 2).over(w)
+    prev1, prev2 = off(promo, 1), off(promo, 2)
     first = F.when((p == 1) & (prev1 == 0), 1).otherwise(0)
     prev_first = F.when((prev1 == 1) & (prev2 == 0), 1).otherwise(0)
     second = F.when((p == 1) & (prev_first == 1), 1).otherwise(0)
@@ -120,30 +129,34 @@ def promo_exprs(w: WindowSpec, promo: str = "Promo", older_second_rule: bool = F
     return out
 
 
-def closed_exprs(w: WindowSpec, open_col: str = "Open") -> list[Column]:
+def closed_exprs(off: Offset, open_col: str = "Open") -> list[Column]:
     o = F.col(open_col)
-    return [F.when((o == 1) & (F.lead(open_col, 1).over(w) == 0), 1).otherwise(0).alias("DayBeforeClosed"),
-            F.when((o == 1) & (F.lag(open_col, 1).over(w) == 0), 1).otherwise(0).alias("DayAfterClosed")]
+    return [F.when((o == 1) & (off(open_col, -1) == 0), 1).otherwise(0).alias("DayBeforeClosed"),
+            F.when((o == 1) & (off(open_col, 1) == 0), 1).otherwise(0).alias("DayAfterClosed")]
 
 
-def refurb_flag_exprs(w: WindowSpec, open_col: str = "Open", run: int = 5) -> list[Column]:
-    """Open now and ``run`` closed rows ahead / behind; a missing ``Open`` never matches."""
+def refurb_flag_exprs(off: Offset, open_col: str = "Open", run: int = 5) -> list[Column]:
+    """Open now and ``run`` closed rows of the same store ahead / behind
+    (a missing row or a missing ``Open`` never matches)."""
     o = F.col(open_col)
-    ahead, behind = w.rowsBetween(1, run), w.rowsBetween(-run, -1)
-    before = (o == 1) & (F.count(open_col).over(ahead) == run) & (F.max(open_col).over(ahead) == 0)
-    after = (o == 1) & (F.count(open_col).over(behind) == run) & (F.max(open_col).over(behind) == 0)
+    before, after = o == 1, o == 1
+    for k in range(1, run + 1):
+        before = before & (off(open_col, -k) == 0)
+        after = after & (off(open_col, k) == 0)
     return [F.when(before, 1).otherwise(0).alias("DayBeforeRefurb"),
             F.when(after, 1).otherwise(0).alias("DayAfterRefurb")]
 
 
-def refurb_counter_exprs(w: WindowSpec, pos: Column, before_flag: str = "DayBeforeRefurb",
-                         after_flag: str = "DayAfterRefurb", horizon: int = 15) -> list[Column]:
-    """Farthest flag within ``horizon`` rows wins (one framed max/min, not 15 passes)."""
-    fwd, back = w.rowsBetween(0, horizon - 1), w.rowsBetween(-(horizon - 1), 0)
-    far_before = F.max(F.when(F.col(before_flag) == 1, pos)).over(fwd)
-    far_after = F.min(F.when(F.col(after_flag) == 1, pos)).over(back)
-    return [F.coalesce(far_before - pos + 1, F.lit(0)).cast("int").alias("DaysBeforeRefurb"),
-            F.coalesce(pos - far_after + 1, F.lit(0)).cast("int").alias("DaysAfterRefurb")]
+def refurb_counter_exprs(off: Offset, before_flag: str = "DayBeforeRefurb", after_flag: str = "DayAfterRefurb",
+                         horizon: int = 15) -> list[Column]:
+    """k+1 for the farthest flag within ``horizon`` rows (the last of the
+    reference's overwriting assignments wins), else 0."""
+    days_before = F.when(F.col(before_flag) == 1, 1).otherwise(0)
+    days_after = F.when(F.col(after_flag) == 1, 1).otherwise(0)
+    for k in range(1, horizon):  # nearer first; each farther hit overrides
+        days_before = F.when(off(before_flag, -k) == 1, k + 1).otherwise(days_before)
+        days_after = F.when(off(after_flag, k) == 1, k + 1).otherwise(days_after)
+    return [days_before.cast("int").alias("DaysBeforeRefurb"), days_after.cast("int").alias("DaysAfterRefurb")]
 
 
 # ---- operators ----
@@ -152,7 +165,7 @@ def shift_cols(df: DataFrame, cols: Sequence[str], offsets: Sequence[int], store
                order: Sequence[str] | str = "Date", style: str = "suffix", **kw) -> DataFrame:
     """Lag (k > 0) / lead (k < 0) bank: one sort for all columns and offsets."""
     reach = max(abs(k) for k in offsets)
-    return with_panel_windows(df, lambda w, _p: lag_exprs(w, cols, offsets, style), store, order,
+    return with_panel_windows(df, lambda _w, off: lag_exprs(off, cols, offsets, style), store, order,
                               reach=reach, **kw)
 
 
@@ -162,21 +175,21 @@ def promo_flags(df: DataFrame, promo: str = "Promo", store: str = "Store",
     """PromoFirstDate: promo now, not on the previous row of the same store.
     PromoSecondDate: promo now and the previous row was a first day.
     ``older_second_rule``: promo now and promo two rows back is 0."""
-    return with_panel_windows(df, lambda w, _p: promo_exprs(w, promo, older_second_rule), store, order,
+    return with_panel_windows(df, lambda _w, off: promo_exprs(off, promo, older_second_rule), store, order,
                               reach=2, **kw)
 
 
 def closed_neighbours(df: DataFrame, open_col: str = "Open", store: str = "Store",
                       order: Sequence[str] | str = "Date", **kw) -> DataFrame:
     """DayBeforeClosed / DayAfterClosed: open now, closed on the next / previous row."""
-    return with_panel_windows(df, lambda w, _p: closed_exprs(w, open_col), store, order, reach=1, **kw)
+    return with_panel_windows(df, lambda _w, off: closed_exprs(off, open_col), store, order, reach=1, **kw)
 
 
 def refurb_flags(df: DataFrame, open_col: str = "Open", store: str = "Store",
                  order: Sequence[str] | str = "Date", run: int = 5, **kw) -> DataFrame:
     """DayBeforeRefurb: open, then ``run`` closed rows of the same store.
     DayAfterRefurb: ``run`` closed rows, then open."""
-    return with_panel_windows(df, lambda w, _p: refurb_flag_exprs(w, open_col, run), store, order,
+    return with_panel_windows(df, lambda _w, off: refurb_flag_exprs(off, open_col, run), store, order,
                               reach=run, **kw)
 
 
@@ -185,7 +198,7 @@ def refurb_counters(df: DataFrame, before_flag: str = "DayBeforeRefurb", after_f
                     **kw) -> DataFrame:
     """DaysBeforeRefurb: k+1 for the farthest before-flag k rows ahead (k < horizon), else 0.
     DaysAfterRefurb: k+1 for the farthest after-flag k rows back (k < horizon), else 0."""
-    return with_panel_windows(df, lambda w, p: refurb_counter_exprs(w, p, before_flag, after_flag, horizon),
+    return with_panel_windows(df, lambda _w, off: refurb_counter_exprs(off, before_flag, after_flag, horizon),
                               store, order, reach=horizon, **kw)
 
 
@@ -194,8 +207,8 @@ def refurb_features(df: DataFrame, open_col: str = "Open", store: str = "Store",
                     **kw) -> DataFrame:
     """Refurbishment flags, then their countdown / count-up columns (two passes
     over one window / one blocking)."""
-    passes = [lambda w, _p: refurb_flag_exprs(w, open_col, run),
-              lambda w, p: refurb_counter_exprs(w, p, horizon=horizon)]
+    passes = [lambda _w, off: refurb_flag_exprs(off, open_col, run),
+              lambda _w, off: refurb_counter_exprs(off, horizon=horizon)]
     return with_panel_windows(df, passes, store, order, reach=run + horizon, **kw)
 
 

@@ -65,15 +65,15 @@ def feature_table(spark: SparkSession, sf_dir: str, with_weather: bool = True, s
     banks = {"Open": OPEN_BANK, **(WEATHER_BANKS if with_weather else {})}
     reach = max(abs(k) for offs in banks.values() for k in offs)
 
-    def first_pass(w, _pos):
+    def first_pass(_w, off):
         # promo runs, every lag/lead bank and the refurb flags: one Window operator
-        cols = windows.promo_exprs(w)
+        cols = windows.promo_exprs(off)
         for col, offs in banks.items():
-            cols += windows.lag_exprs(w, [col], offs, style)
-        return cols + windows.refurb_flag_exprs(w)
+            cols += windows.lag_exprs(off, [col], offs, style)
+        return cols + windows.refurb_flag_exprs(off)
 
-    def counters(w, pos):
-        return windows.refurb_counter_exprs(w, pos)
+    def counters(_w, off):
+        return windows.refurb_counter_exprs(off)
 
     # two passes (counters read the flags), one numbering / exchange
     return windows.with_panel_windows(data, [first_pass, counters], reach=reach + 15, blocked=blocked)
