@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 

@@ -9,7 +9,7 @@ from ..functions import metrics as M
 from ..operators import split, stats
 from ..sources import panels
 from ..sources.panels import P1_SQL, STORE_SQL, sql_with
-from .forecast import HOLDOUT_SQL, holdout_frame, sales_train
+from .forecast import HOLDOUT_SQL, holdout_frame
 
 _TRAIN = sql_with(P1_SQL)
 
