@@ -61,3 +61,23 @@ def test_union_count_is_sum(spark, sf_small):
     tr, te = panels.p1_train(spark, sf_small), panels.p1_test(spark, sf_small)
     from tillcast.operators import reshape
     assert reshape.union_all([tr, te]).count() == tr.count() + te.count() == panels.p1_dense(spark, sf_small).count()
+
+
+def test_row_order_does_not_change_features(spark, sf_small):
+    p = panels.p1_dense(spark, sf_small).select("Store", "Date", "Open", "Promo")
+    shuffled = p.repartition(7, F.rand(seed=3))
+    a = windows.refurb_features(windows.promo_flags(p))
+    b = windows.refurb_features(windows.promo_flags(shuffled))
+    cols = sorted(a.columns)
+    assert a.select(*cols).exceptAll(b.select(*cols)).count() == 0
+    assert a.count() == b.count()
+
+
+def test_default_quantiles_are_sketches(spark, sf_small):
+    from tillcast.operators import stats
+    t = panels.p1_train(spark, sf_small)
+    assert "percentile_approx" in _plan(stats.describe_long(t, ["Sales"])).lower() or \
+        "approximatepercentile" in _plan(stats.describe_long(t, ["Sales"])).lower()
+    exact = stats.describe_long(t, ["Sales"], exact=True).collect()
+    approx = stats.describe_long(t, ["Sales"]).collect()
+    assert {r["stat"] for r in exact} == {r["stat"] for r in approx}

@@ -50,7 +50,19 @@ def mean_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str] | None = Non
     return df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def describe_long(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+# Sketch accuracy for quartiles (relative rank error ~ 1 / accuracy).
+QUANTILE_ACCURACY = 10000
+
+
+def quantile(x: Column, q: float, exact: bool = False) -> Column:
+    """Quartile of a column.  Default: a mergeable sketch with bounded memory
+    per group.  ``exact=True`` buffers every value of the group in one task
+    (linear interpolation, R type 7) -- only for inputs bounded by
+    construction, e.g. the calendar-sized dense panel."""
+    return F.percentile(x, q) if exact else F.percentile_approx(x, q, QUANTILE_ACCURACY).cast("double")
+
+
+def describe_long(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
     """count, mean, std (sample), min, 25%, 50%, 75%, max per column; long form."""
     cols = list(cols or numeric_columns(df))
     aggs = []
@@ -58,22 +70,23 @@ def describe_long(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
         x = F.col(c).cast("double")
         aggs += [F.count(x).cast("double").alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"),
                  F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"),
-                 F.percentile(x, 0.25).alias(f"{c}|25%"), F.percentile(x, 0.5).alias(f"{c}|50%"),
-                 F.percentile(x, 0.75).alias(f"{c}|75%"), F.max(x).alias(f"{c}|max")]
+                 quantile(x, 0.25, exact).alias(f"{c}|25%"), quantile(x, 0.5, exact).alias(f"{c}|50%"),
+                 quantile(x, 0.75, exact).alias(f"{c}|75%"), F.max(x).alias(f"{c}|max")]
     wide = df.agg(*aggs)
     long = wide.unpivot([], wide.columns, "key", "value")
     return long.select(F.split("key", r"\|").getItem(0).alias("column"),
                        F.split("key", r"\|").getItem(1).alias("stat"), "value")
 
 
-def six_number_summary(df: DataFrame, value_cols: Sequence[str], group: Column | None = None) -> DataFrame:
+def six_number_summary(df: DataFrame, value_cols: Sequence[str], group: Column | None = None,
+                       exact: bool = False) -> DataFrame:
     """Min, Q1, median, mean, Q3, max and sd per series (series = unpivoted column)."""
     long = df.unpivot([] if group is None else [group.alias("subset")], list(value_cols), "series", "v")
     keys = ["series"] if group is None else ["subset", "series"]
     v = F.col("v").cast("double")
     return long.groupBy(*keys).agg(
-        F.min(v).alias("min"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("median"),
-        F.avg(v).alias("mean"), F.percentile(v, 0.75).alias("q3"), F.max(v).alias("max"),
+        F.min(v).alias("min"), quantile(v, 0.25, exact).alias("q1"), quantile(v, 0.5, exact).alias("median"),
+        F.avg(v).alias("mean"), quantile(v, 0.75, exact).alias("q3"), F.max(v).alias("max"),
         F.stddev_samp(v).alias("sd"))
 
 
