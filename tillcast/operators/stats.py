@@ -90,8 +90,12 @@ def six_number_summary(df: DataFrame, value_cols: Sequence[str], group: Column |
         F.stddev_samp(v).alias("sd"))
 
 
-def profile(df: DataFrame, exact: bool = True, max_levels: int = 20) -> DataFrame:
-    """Shape, distinct count, a few sample levels and any-null flag per column."""
+def profile(df: DataFrame, exact: bool = False) -> DataFrame:
+    """Shape, distinct count and any-null flag per column, in one pass.
+
+    Default distinct counts are HyperLogLog sketches (no per-column Expand of
+    the rows); ``exact=True`` for small tables.
+    """
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for c in df.columns:
         nd = F.count_distinct(F.col(c)) if exact else F.approx_count_distinct(F.col(c))
