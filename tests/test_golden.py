@@ -136,3 +136,22 @@ def test_positional_select_and_drop(spark):
     assert clean.select_positions(df, keep=[1, 3]).columns == ["a", "c"]
     assert clean.select_positions(df, drop=[2, 4]).columns == ["a", "c"]
     assert clean.all_but(df, ["b"]) == ["a", "c", "d"]
+
+
+def test_asof_step_series(spark):
+    from tillcast.operators import joins
+    days = spark.createDataFrame([(1, d) for d in _days(8)], "Store int, Date date")
+    rel = spark.createDataFrame([(dt.date(2020, 1, 2), 10.0), (dt.date(2020, 1, 5), 20.0)],
+                                "Released date, Actual double")
+    out = joins.asof_attach(days, rel, "Released", ["Actual"], last_day=F.lit(dt.date(2020, 1, 8)))
+    got = [r["Actual"] for r in out.orderBy("Date").collect()]
+    assert got == [None, 10.0, 10.0, 10.0, 20.0, 20.0, 20.0, 20.0]
+
+
+def test_exact_mean_is_order_independent(spark):
+    from tillcast.functions.metrics import exact_mean
+    vals = [0.1, 0.2, 0.3, 1e6 + 0.01, 7.77] * 40
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    a = df.repartition(1).agg(exact_mean("x")).first()[0]
+    b = df.repartition(13).agg(exact_mean("x")).first()[0]
+    assert a == b == round(sum(vals), 2) / len(vals)
