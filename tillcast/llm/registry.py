@@ -1,0 +1,37 @@
+"""Queries of this subpackage; the entry module adds them to the library's own."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QueryFn = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, QueryFn] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn: QueryFn) -> QueryFn:
+        if name in QUERIES:
+            raise KeyError(f"duplicate query {name}")
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+    return deco
+
+
+def load_all() -> None:
+    from . import bpe, packing  # noqa: F401
+
+
+def queries() -> dict[str, QueryFn]:
+    load_all()
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    load_all()
+    return dict(ORACLES)
