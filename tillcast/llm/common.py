@@ -35,6 +35,25 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordB
         yield batch.slice(i, rows)
 
 
+class Memo(dict):
+    """Remembered values of a function, bounded: of over ``limit`` keys, those not used
+    since the last turn are forgotten at the next one."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def append_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType, pa.DataType]],
                    start: Callable[[], Callable[[list[str | None]], Iterable[Iterable]]]) -> DataFrame:
     """All columns of ``df`` plus ``fields``, computed from ``text_col`` in Arrow batches.
@@ -56,3 +75,16 @@ def append_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataT
                 yield pa.RecordBatch.from_arrays(part.columns + cols, names=part.schema.names + names)
 
     return df.mapInArrow(run, schema)
+
+
+def class_sample(rows: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
+    """About ``per_class`` rows of each class, the same ones at every run: those whose key hashes low.
+
+    Only for fitting classifiers; a class with fewer rows is taken whole.
+    """
+    space = 1 << 30
+    place = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(space))
+    wanted = F.lit(False)
+    for value, n in rows.filter(F.col(label).isNotNull()).groupBy(label).count().collect():
+        wanted |= (F.col(label) == F.lit(value)) & (place < F.lit(min(space, space * per_class // n + 1)))
+    return rows.filter(wanted)

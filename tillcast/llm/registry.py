@@ -24,7 +24,8 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import bpe, packing  # noqa: F401
+    from . import (bpe, ctw, langid, nearest, packing, secrets, sharding, simhash, sketches,  # noqa: F401
+                   toxicity)
 
 
 def queries() -> dict[str, QueryFn]:
