@@ -23,6 +23,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import Memo, documents, slices
 from .registry import register
 
 WINDOW = 4096
 END_ID = 2
-MEMO_WORDS = 400_000  # distinct words whose ids a worker remembers
-# Composed Latin letters only: lower case is all that the tokenizer's normal form
-# and pre-tokenisation do to them, so its merges can be asked for directly.
-LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
-TRAILING = ".,;:!?*$%&#\"')"
+MEMO_WORDS = 600_000  # distinct words whose ids a worker remembers
+# Composed Latin letters, then ASCII punctuation: lower case is all that the tokenizer's
+# normal form and pre-tokenisation do to such letters, so its merges can be asked for directly.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*$%&#\"')|]*)").fullmatch
 SEQUENCES_PER_TASK = 1 << 36
 
 
@@ -66,48 +66,38 @@ class WordTokenizer:
 
     No merge crosses a space or line feed, so a text's ids are those of its
     words in order; other white space stays inside a word and is left to the
-    tokenizer.  Nor does one cross from a letter to ASCII punctuation, so stems
-    are remembered apart from the punctuation behind them, ASCII stems in lower
-    case (the tokenizer's own normal form).
+    tokenizer.  Nor does one cross from a letter to ASCII punctuation, so letters
+    are remembered apart from the punctuation behind them, in lower case (the
+    tokenizer's own normal form).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: set[str]) -> None:
-        """Fill the memo for words that are not in it."""
-        split = []
-        for word in words:
-            stem = word.rstrip(TRAILING)
-            if not stem or not stem[-1].isalpha():
-                stem = word
-            tail = word[len(stem):]
-            split.append((word, stem.lower() if stem.isascii() else stem, tail))
-        if len(self.stems) > MEMO_WORDS:
-            self.stems = {"": b""}
-        new = {x for _, stem, tail in split for x in (stem, tail)}.difference(self.stems)
-        letters = {x for x in new if LETTERS(x)}
-        model = self.tokenizer.model
-        for part in letters:
-            ids = [t.id for t in model.tokenize(part.lower().encode().decode("latin-1").translate(BYTE_LEVEL))]
-            self.stems[part] = np.array(ids, dtype="<u4").tobytes()
-        rest = list(new - letters)
-        for part, enc in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.stems[part] = np.array(enc.ids, dtype="<u4").tobytes()
-        for word, stem, tail in split:
-            self.memo[word] = self.stems[stem] + self.stems[tail]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {"": b""}
-        self.learn(set().union(*split).difference(self.memo))
-        get = self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), dtype="<u4") for words in split]
+        self.merge = self.tokenizer.model.tokenize
+        self.words, self.stems = Memo(self.word, MEMO_WORDS), Memo(self.stem, MEMO_WORDS)
+        self.others = Memo(self.whole, MEMO_WORDS)
+
+    def whole(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return pack_ids("<%dI" % len(ids), *ids)
+
+    def stem(self, letters: str) -> bytes:
+        found = self.merge(letters.encode().decode("latin-1").translate(BYTE_LEVEL))
+        return pack_ids("<%dI" % len(found), *[t.id for t in found])
+
+    def word(self, word: str) -> bytes:
+        split = PLAIN(word)
+        if split is None:
+            return self.whole(word) if word else b""
+        letters, tail = split.groups()
+        ids = self.stems[letters.lower()]
+        return ids + self.others[tail] if tail else ids
+
+    def encode(self, text: str | None) -> np.ndarray:
+        words = (text or "").replace("\n", " ").split(" ")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype="<u4")
 
 
 @lru_cache(maxsize=2)
@@ -208,8 +198,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for part in slices(batch):
                 docs_, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
-                for doc, body in zip(docs_, words.encode(texts), strict=True):
-                    ids = np.concatenate([body, end])
+                for doc, text in zip(docs_, texts, strict=True):
+                    ids = np.concatenate([words.encode(text), end])
                     total, whole = len(ids), len(ids) // window * window
                     for at in range(0, whole, window):
                         close([(doc, at, ids[at:at + window], total)])
