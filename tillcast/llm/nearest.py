@@ -52,6 +52,11 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, np.sqrt(((x - q * scale[:, None]) ** 2).sum(1))
 
 
+def distances(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Euclidean distances, summed from the first component to the last."""
+    return np.sqrt(np.cumsum((rows - one) ** 2, axis=1)[:, -1]) if len(rows) else np.zeros(0)
+
+
 def tile_nearest(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[tuple]:
     """(query, candidate, distance) of the k nearest candidates of each query, by bounds first."""
     exact = np.float32 if q.shape[1] <= 1000 else np.float64
@@ -71,7 +76,7 @@ def tile_nearest(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
         alive = ~own & (near - error <= limit[:, None])
         for row, query in enumerate(ids):
             at = np.flatnonzero(alive[row])
-            d = np.sqrt(((c[at] - part[row]) ** 2).sum(1))
+            d = distances(c[at], part[row])
             order = np.lexsort((cid[at], d))[:k]
             out += [(query, cid[at[j]], d[j]) for j in order]
     return out
@@ -135,7 +140,16 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     return _merged(_merged(pairs, k, ranked=False).repartition("query_id"), k, ranked=True)
 
 
-@register("op7_int8_block_join")
+@register("op7_int8_block_join", sql=f"""
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+d AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.e, v.e) AS score
+  FROM v AS q JOIN v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM d QUALIFY rank <= {K}""")
 def op7(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest(vectors, F.col("vec_id") % 100 == 0)
