@@ -33,12 +33,11 @@ from .secrets import let
 
 TABLES = 3
 BASE_WIDTH = 8  # cells of each table of a fingerprint
-STRIPE = 24  # digests of both texts in a stripe of a retry, about
-WIDER = (16, 32)  # cells of each table of a stripe, by retry
-ROUNDS = 12
+STRIPE = 8  # digests of both texts in a stripe of a retry, about
+WIDER = (8, 16, 21)  # cells of each table of a stripe, by retry; a digest's cells are bits of one long
+ROUNDS = 8
 PARAGRAPH = r"\n+|(?<=[.!?]) (?=[A-E])"
 _CHECK = 77
-_KEYS = "array<bigint>"
 _FOUND = "array<struct<k:bigint,n:int>>"
 
 
@@ -55,23 +54,32 @@ def _check(k: Column) -> Column:
     return F.xxhash64(k, F.lit(_CHECK)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _hits(k: Column, cell: Column, width: int, salt: int) -> Column:
-    """Whether a digest belongs to a cell; cells of table j are j*width to (j+1)*width-1."""
-    table = F.floor(cell / width).cast("int")
-    mixed = F.xxhash64(k, F.lit(salt) + table)
-    return F.pmod(mixed, F.lit(width)) == cell % width
+def _mask(k: Column, width: int, salt: int) -> Column:
+    """The cells of a digest, one in each table, as bits of a long."""
+    def bits(h: Column) -> Column:
+        one = F.lit(1).cast("bigint")
+        places = [F.pmod(F.shiftrightunsigned(h, 20 * j), F.lit(width)).cast("int") + j * width for j in range(TABLES)]
+        marks = [F.call_function("shiftleft", one, p) for p in places]
+        return marks[0].bitwiseOR(marks[1]).bitwiseOR(marks[2])
+    return let(F.xxhash64(k, F.lit(salt)), bits)
+
+
+def _hits(mask: Column, cell: Column) -> Column:
+    return F.call_function("shiftright", mask, cell).bitwiseAND(F.lit(1)) == 1
 
 
 def cells(digests: Column, width: int, salt: int) -> Column:
     """The sketch of an array of digests: TABLES x width cells (n, k, c)."""
-    def cell(i: Column) -> Column:
-        def add(acc: Column, k: Column) -> Column:
-            return F.when(_hits(k, i, width, salt), F.struct(
-                (acc["n"] + 1).alias("n"), acc["k"].bitwiseXOR(k).alias("k"), acc["c"].bitwiseXOR(_check(k)).alias("c"))
+    marked = F.transform(digests, lambda k: F.struct(k.alias("k"), _check(k).alias("c"), _mask(k, width, salt).alias("m")))
+
+    def cell(i: Column, items: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            return F.when(_hits(x["m"], i), F.struct(
+                (acc["n"] + 1).alias("n"), acc["k"].bitwiseXOR(x["k"]).alias("k"), acc["c"].bitwiseXOR(x["c"]).alias("c"))
             ).otherwise(acc)
         zero = F.lit(0).cast("bigint")
-        return F.aggregate(digests, F.struct(F.lit(0).alias("n"), zero.alias("k"), zero.alias("c")), add)
-    return F.transform(F.sequence(F.lit(0), F.lit(TABLES * width - 1)), cell)
+        return F.aggregate(items, F.struct(F.lit(0).alias("n"), zero.alias("k"), zero.alias("c")), add)
+    return let(marked, lambda items: F.transform(F.sequence(F.lit(0), F.lit(TABLES * width - 1)), lambda i: cell(i, items)))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -85,14 +93,19 @@ def peel(difference: Column, width: int, salt: int) -> Column:
         single = F.filter(cs, lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"])))
         return F.array_distinct(F.transform(single, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"))))
 
+    def mark(found: Column) -> Column:
+        return F.transform(found, lambda f: F.struct(
+            f["k"].alias("k"), f["n"].alias("n"), _check(f["k"]).alias("c"), _mask(f["k"], width, salt).alias("m")))
+
     def round_(acc: Column, _: Column) -> Column:
         def take(found: Column) -> Column:
-            def clear(c: Column, i: Column) -> Column:
-                return F.aggregate(found, c, lambda a, f: F.when(_hits(f["k"], i, width, salt), F.struct(
-                    (a["n"] - f["n"]).alias("n"), a["k"].bitwiseXOR(f["k"]).alias("k"),
-                    a["c"].bitwiseXOR(_check(f["k"])).alias("c"))).otherwise(a))
+            def clear(marked: Column) -> Column:
+                return F.transform(acc["cells"], lambda c, i: F.aggregate(
+                    marked, c, lambda a, f: F.when(_hits(f["m"], i), F.struct(
+                        (a["n"] - f["n"]).alias("n"), a["k"].bitwiseXOR(f["k"]).alias("k"),
+                        a["c"].bitwiseXOR(f["c"]).alias("c"))).otherwise(a)))
             return F.when(F.size(found) == 0, acc).otherwise(F.struct(
-                F.transform(acc["cells"], clear).alias("cells"), F.concat(acc["found"], found).alias("found")))
+                let(mark(found), clear).alias("cells"), F.concat(acc["found"], found).alias("found")))
         return let(pure(acc["cells"]), take)
 
     start = F.struct(difference.alias("cells"), F.array().cast(_FOUND).alias("found"))
