@@ -58,21 +58,25 @@ def append_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataT
                    start: Callable[[], Callable[[list[str | None]], Iterable[Iterable]]]) -> DataFrame:
     """All columns of ``df`` plus ``fields``, computed from ``text_col`` in Arrow batches.
 
+    A column of ``df`` with the name of a field (names compare without case) is replaced.
     ``start()`` runs once in each task and returns a function from a list of
     texts to one list per field.  Other columns pass through untouched, so no
     join by id is needed afterwards; no shuffle, rows keep their partitions.
     """
     names = [f[0] for f in fields]
     kinds = [f[2] for f in fields]
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(n, t) for n, t, _ in fields])
+    taken = {n.lower() for n in names}
+    kept = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in taken]
+    schema = T.StructType([df.schema.fields[i] for i in kept] + [T.StructField(n, t) for n, t, _ in fields])
+    text_at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = start()
         for batch in batches:
             for part in slices(batch):
-                found = score(part.column(text_col).to_pylist())
+                found = score(part.column(text_at).to_pylist())
                 cols = [pa.array(v, type=k) for v, k in zip(found, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(part.columns + cols, names=part.schema.names + names)
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in kept] + cols, names=schema.names)
 
     return df.mapInArrow(run, schema)
 

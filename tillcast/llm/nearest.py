@@ -143,8 +143,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
 @register("op7_int8_block_join", sql=f"""
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 d AS (
   SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.e, v.e) AS score
   FROM v AS q JOIN v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e) WHERE q.vec_id % 100 = 0)

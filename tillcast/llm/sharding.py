@@ -15,7 +15,8 @@ itself over the limit exceeds it, alone on its page.
 
 Edge cases: null and empty texts weigh 0 bytes; null ids hash as empty text;
 repeated rows are sharded one by one; an empty table gives no rows; extra
-columns pass through whatever their names.
+columns pass through, but for those with the names of result columns, which are
+replaced (names that start with an underscore are used inside).
 """
 
 from __future__ import annotations
@@ -117,12 +118,12 @@ WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS row_bytes,
          ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h
   FROM documents),
-at AS (SELECT d.*, b.b FROM d, range(0, {HASH_BITS + 1}) AS b(b)),
+lv AS (SELECT d.*, b.b FROM d, range(0, {HASH_BITS + 1}) AS b(b)),
 fits AS (
-  SELECT b, h >> ({HASH_BITS} - b)::INT AS p FROM at GROUP BY ALL HAVING sum(row_bytes) <= {SHARD_BYTES}),
+  SELECT b, h >> ({HASH_BITS} - b)::INT AS p FROM lv GROUP BY 1, 2 HAVING sum(row_bytes) <= {SHARD_BYTES}),
 leaf AS (
-  SELECT doc_id, row_bytes, h, min(at.b) AS bits
-  FROM at JOIN fits ON at.b = fits.b AND at.h >> ({HASH_BITS} - at.b)::INT = fits.p
+  SELECT doc_id, row_bytes, h, min(lv.b) AS bits
+  FROM lv JOIN fits ON lv.b = fits.b AND lv.h >> ({HASH_BITS} - lv.b)::INT = fits.p
   GROUP BY doc_id, row_bytes, h)
 SELECT doc_id, row_bytes, CAST(bits AS INTEGER) AS shard_bits,
        (1::BIGINT << bits::INT) | (h >> ({HASH_BITS} - bits)::INT) AS shard_id, CAST(0 AS BIGINT) AS page

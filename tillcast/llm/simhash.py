@@ -214,16 +214,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the smallest id, then the smallest fingerprint."""
-    groups = near_duplicates(docs, id_col, text_col)
+    groups = cut_lineage(near_duplicates(docs, id_col, text_col))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")
-    fp = fresh_name(docs, "fingerprint")
     # components of null ids only have no name: their rows are told apart by fingerprint
     kept = (groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f"))
             .agg(F.min(order).alias("first")).select("first.*"))
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("fingerprint").alias("_kept_fp"))
-    rows = with_fingerprint(docs, text_col, fp)
-    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["_kept_id"]) & (rows[fp] == kept["_kept_fp"]), "left_semi")
-    return rows.dropDuplicates([id_col, fp]).drop(fp)
+    key = [fresh_name(docs, n) for n in ("kept_id", "kept_no_id", "kept_print")]
+    kept = kept.select(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "fingerprint").toDF(*key)
+    id_ = F.col(id_col).cast("bigint")
+    rows = with_fingerprint(docs, text_col, key[2]).withColumns({key[0]: F.coalesce(id_, F.lit(0)), key[1]: id_.isNull()})
+    rows = rows.join(kept, key, "left_semi")
+    repeated = groups.groupBy("doc_id", "fingerprint").count().filter("count > 1")
+    if not repeated.isEmpty():  # rows that share id and fingerprint: any one of them stays
+        rows = rows.dropDuplicates(key)
+    return rows.select(*docs.columns)
 
 
 @register("op5_simhash_bk_tree")
