@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import re
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -31,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, documents, fresh_name
+from .common import Memo, append_columns, documents, fresh_name
 from .registry import register
 
-MEMO_CHUNKS = 300_000  # distinct chunks whose ids a worker remembers
+MEMO_CHUNKS = 800_000  # distinct chunks whose ids a worker remembers
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*$%&#\"')|]*)").fullmatch
 _MASK = (1 << 64) - 1
 
 
@@ -108,88 +110,108 @@ class BytePairTables:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = pattern
         self.whole = PerfectHash(ranks)
-        self.bytes_of = {i: b for b, i in ranks.items()}
+        self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
         self.single = [ranks.get(bytes([i]), -1) for i in range(256)]
-        self.pairs: dict[int, int] = {}  # left << 32 | right -> rank of both joined
+        self.pairs: list[dict[int, int]] = [{}] * len(self.bytes_of)  # by left id: right id -> id of both joined
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut], -1), ranks.get(token[cut:], -1)
                 if left >= 0 and right >= 0:
-                    self.pairs[left << 32 | right] = rank
+                    if not self.pairs[left]:
+                        self.pairs[left] = {}
+                    self.pairs[left][right] = rank
+
 
+def merge_bytes(data: bytes, single: list[int], pairs: list[dict[int, int]]) -> list[int]:
+    """Ids of a pre-token: lowest rank first, leftmost among equals, by a heap over linked bytes.
 
-def merge_bytes(data: bytes, single: list[int], pairs: dict[int, int]) -> list[int]:
-    """Ids of a pre-token: lowest rank first, leftmost among equals, by a heap over linked bytes."""
+    ``rank`` holds what each place's pair would merge to now; heap items that
+    differ from it are out of date.
+    """
     ids = [single[b] for b in data]
     if -1 in ids:
         raise ValueError("the vocabulary lacks a byte of this text")
-    n, get = len(ids), pairs.get
+    n = len(ids)
+    rank = [pairs[a].get(b) for a, b in zip(ids, ids[1:])]
+    heap = [(r, i) for i, r in enumerate(rank) if r is not None]
+    if not heap:
+        return ids
+    heapify(heap)
+    rank.append(None)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := get(a << 32 | b)) is not None]
-    heapq.heapify(heap)
     while heap:
-        r, i, left, right = heapq.heappop(heap)
+        r, i = heappop(heap)
+        if rank[i] != r:
+            continue
         j = after[i]
-        if ids[i] != left or j >= n or ids[j] != right:
-            continue  # one of the two has merged with another neighbour meanwhile
-        ids[i], ids[j] = r, -1
+        ids[i], ids[j], rank[i], rank[j] = r, -1, None, None
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            q = get(r << 32 | ids[k])
+            q = rank[i] = pairs[r].get(ids[k])
             if q is not None:
-                heapq.heappush(heap, (q, i, r, ids[k]))
+                heappush(heap, (q, i))
         h = before[i]
         if h >= 0:
-            q = get(ids[h] << 32 | r)
+            q = rank[h] = pairs[ids[h]].get(r)
             if q is not None:
-                heapq.heappush(heap, (q, h, ids[h], r))
+                heappush(heap, (q, h))
     return [x for x in ids if x >= 0]
 
 
+def as_ids(ids: tuple[int, ...]) -> tuple[int, ...]:
+    return ids
+
+
 class Encoder:
-    def __init__(self, tables: BytePairTables):
+    """Ids of texts, by chunks between spaces; what ``finish`` makes of a chunk's ids is remembered."""
+
+    def __init__(self, tables: BytePairTables, finish=as_ids):
         import regex
-        self.t = tables
+        self.t, self.finish = tables, finish
         self.find = regex.compile(tables.pattern).findall
-        self.spaces = regex.compile(r" \s").search
-        self.first: dict[str, list[int]] = {}  # chunk at the start of a text
-        self.after: dict[str, list[int]] = {}  # chunk after a space, which belongs to it
-        self.pieces: dict[str, list[int]] = {}  # pre-token
-
-    def pretoken(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            data = piece.encode("utf-8", "surrogatepass")
-            rank = self.t.whole.get(data)
-            ids = [rank] if rank >= 0 else merge_bytes(data, self.t.single, self.t.pairs)
-            if len(self.pieces) >= MEMO_CHUNKS:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
-
-    def chunk(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pretoken, self.find(text))))
-
-    def encode(self, text: str) -> list[int]:
+        # letters, then punctuation: the usual pattern's two pre-tokens
+        self.plain = PLAIN if tables.pattern == split_pattern() else lambda _: None
+        self.pieces = Memo(self.pretoken, MEMO_CHUNKS)
+        self.first = Memo(self.chunk, MEMO_CHUNKS)  # chunk at the start of a text
+        self.after = Memo(self.spaced, MEMO_CHUNKS)  # chunk after a space, which belongs to it
+
+    def pretoken(self, piece: str) -> tuple[int, ...]:
+        data = piece.encode("utf-8", "surrogatepass")
+        rank = self.t.whole.get(data)
+        return (rank,) if rank >= 0 else tuple(merge_bytes(data, self.t.single, self.t.pairs))
+
+    def chunk(self, text: str):
+        return self.finish(tuple(chain.from_iterable(map(self.pieces.__getitem__, self.find(text)))))
+
+    def spaced(self, text: str):
+        """For the chunk after a space; None if white space follows, where the space may belong to another pre-token."""
+        if not text or text[0].isspace():
+            return None
+        split = self.plain(text)
+        if split is None:
+            return self.chunk(" " + text)
+        letters, tail = split.groups()
+        ids = self.pieces[" " + letters]
+        return self.finish(ids + self.pieces[tail] if tail else ids)
+
+    def chunks(self, text: str) -> list:
+        """What ``finish`` makes of the ids of each chunk, in order."""
         if not text:
             return []
-        if self.spaces(text):
-            return self.chunk(text)
-        if len(self.after) > MEMO_CHUNKS or len(self.first) > MEMO_CHUNKS:
-            self.first, self.after = {}, {}
         head, *tail = text.split(" ")
-        if head and head not in self.first:
-            self.first[head] = self.chunk(head)
-        after = self.after
-        for piece in set(tail).difference(after):
-            after[piece] = self.chunk(" " + piece)
-        ids = list(self.first[head]) if head else []
-        ids.extend(chain.from_iterable(map(after.__getitem__, tail)))
-        return ids
+        found = list(map(self.after.__getitem__, tail))
+        if None in found:
+            return [self.chunk(text)]
+        return [self.first[head], *found] if head else found
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self.chunks(text)))
 
 
-def decode(ids: list[int], bytes_of: dict[int, bytes]) -> bytes:
+def decode(ids, bytes_of: list[bytes]) -> bytes:
     return b"".join(map(bytes_of.__getitem__, ids))
 
 
@@ -220,15 +242,22 @@ def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, text_col: str
 
     def start():
         tables = shared.value
-        enc, written = Encoder(tables), {i: str(i) for i in tables.bytes_of}
+
+        decimal = list(map(str, range(len(tables.bytes_of))))
+
+        def written(ids: tuple[int, ...]) -> tuple[str, bytes]:
+            return " ".join([decimal[i] for i in ids]), decode(ids, tables.bytes_of)
+
+        enc = Encoder(tables, written)
 
         def run(texts):
             n, a, b = [], [], []
             for t in texts:
-                ids = enc.encode(t or "")
-                n.append(len(ids))
-                a.append(hashlib.sha256(" ".join(map(written.__getitem__, ids)).encode()).hexdigest())
-                b.append(hashlib.sha256(decode(ids, tables.bytes_of)).hexdigest())
+                found = enc.chunks(t or "")
+                ids = " ".join([c[0] for c in found])
+                n.append(ids.count(" ") + 1 if ids else 0)
+                a.append(hashlib.sha256(ids.encode()).hexdigest())
+                b.append(hashlib.sha256(b"".join([c[1] for c in found])).hexdigest())
             return n, a, b
         return run
 
