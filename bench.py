@@ -82,22 +82,20 @@ def q_recursive_forecast(spark, sf):
 def _model_data(spark, sf):
     df = models.model_frame(spark, sf)
     cut = F.lit("2000-06-01").cast("date")
-    fit = models.sized_for_training(df.filter(F.col("Date") < cut))
-    return fit, fit, df.filter(F.col("Date") >= cut)
+    fit = models.training_input(df.filter(F.col("Date") < cut))
+    return fit, df.filter(F.col("Date") >= cut)
 
 
 def q_gbt_50_trees(spark, sf):
-    df, fit, valid = _model_data(spark, sf)
+    fit, valid = _model_data(spark, sf)
     m = models.boosted(models.NUMERIC_FEATURES, iters=50, depth=6, step=0.1).fit(fit)
     run_noop(models.predict_sales(m, valid, ["Store", "Date"]))
-    df.unpersist()
 
 
 def q_rf_50_trees(spark, sf):
-    df, fit, valid = _model_data(spark, sf)
+    fit, valid = _model_data(spark, sf)
     m = models.forest(models.NUMERIC_FEATURES, trees=50, depth=12).fit(fit)
     run_noop(models.predict_sales(m, valid, ["Store", "Date"]))
-    df.unpersist()
 
 
 QUERIES = {

@@ -52,3 +52,22 @@ def test_blocked_feature_table_equals_plain(spark, sf_small):
     plain = features.feature_table(spark, sf_small).filter(F.col("Store") < 3)
     blocked = features.feature_table(spark, sf_small, blocked=True).filter(F.col("Store") < 3)
     _same(plain, blocked, ["Store", "Date"])
+
+
+def test_large_hot_store_loses_no_row(spark):
+    """Half a million rows in many tasks, a third of them in one store, coalescing on and off."""
+    df = (spark.range(0, 500_000, numPartitions=8)
+          .select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 997 + 1).alias("Store"),
+                  F.xxhash64("id").alias("Seq"), F.col("id").alias("V"))).withColumn("pad", F.repeat(F.lit("x"), 40))
+    plain = windows.shift_cols(df, ["V"], [1, -7], order="Seq")
+    want = plain.agg(F.count("*"), F.sum(F.xxhash64("Store", "Seq", "V", "V_lag1", "V_lead7").cast("decimal(38,0)"))).first()
+    assert want[0] == 500_000
+    for coalesce in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        try:
+            blocked = windows.shift_cols(df, ["V"], [1, -7], order="Seq", blocked=True)
+            got = blocked.agg(F.count("*"), F.sum(F.xxhash64("Store", "Seq", "V", "V_lag1", "V_lead7")
+                                                  .cast("decimal(38,0)"))).first()
+        finally:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert got == want

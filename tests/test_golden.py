@@ -120,7 +120,7 @@ def test_null_rules(spark):
 
 def test_one_hot_plus_dropped_level_sums_to_one(spark):
     df = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "t string")
-    out = reshape.one_hot(df, "t")
+    out = reshape.one_hot(df, "t", ["a", "b", "c"])
     rows = out.select((F.col("t_b") + F.col("t_c") + (F.col("t") == "a").cast("int")).alias("s")).collect()
     assert {r["s"] for r in rows} == {1}
 
@@ -148,6 +148,20 @@ def test_asof_step_series(spark):
     assert got == [None, 10.0, 10.0, 10.0, 20.0, 20.0, 20.0, 20.0]
 
 
+def test_asof_repeated_days_timestamps_and_rows_after_the_last_release(spark):
+    from tillcast.operators import joins
+    days = spark.createDataFrame([(1, d) for d in _days(8)], "Store int, Date date")
+    at = dt.datetime
+    rel = spark.createDataFrame([(at(2020, 1, 2, 7), 10.0), (at(2020, 1, 2, 9), 11.0), (at(2020, 1, 2, 9), 10.5),
+                                 (at(2020, 1, 5, 23), 20.0), (None, 99.0)], "Released timestamp, Actual double")
+    out = joins.asof_attach(days, rel, "Released", ["Actual"]).orderBy("Date").collect()
+    assert [r["Actual"] for r in out] == [None, 11.0, 11.0, 11.0, 20.0, 20.0, 20.0, 20.0]
+    stamped = days.withColumn("Date", F.col("Date").cast("timestamp") + F.expr("interval 5 hours"))
+    again = joins.asof_attach(stamped, rel, "Released", ["Actual"]).orderBy("Date").collect()
+    assert [r["Actual"] for r in again] == [r["Actual"] for r in out]
+    assert joins.asof_attach(days, rel.filter("false"), "Released", ["Actual"]).count() == 8
+
+
 def test_exact_mean_is_order_independent(spark):
     from tillcast.functions.metrics import exact_mean
     vals = [0.1, 0.2, 0.3, 1e6 + 0.01, 7.77] * 40

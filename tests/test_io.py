@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillcast.sources import files
@@ -17,62 +18,83 @@ def test_csv_with_schema_and_nulls(spark, tmp_path):
     p = tmp_path / "store.csv"
     _write(p, 'Store,StoreType,Assortment,CompetitionDistance,CompetitionOpenSinceMonth,CompetitionOpenSinceYear,'
               'Promo2,Promo2SinceWeek,Promo2SinceYear,PromoInterval\n'
-              '1,"c","a",1270,9,2008,0,,,\n2,"a","a",570,11,2007,1,13,2010,"Jan,Apr,Jul,Oct"\n')
+              '41,"d","b",315,2,1999,0,,,\n42,"b","c",90,,,1,7,2003,"Feb,May,Aug,Nov"\n')
     df = files.read_csv(spark, str(p), files.STORE_SCHEMA)
     rows = df.orderBy("Store").collect()
-    assert rows[0]["Promo2SinceWeek"] is None and rows[1]["PromoInterval"] == "Jan,Apr,Jul,Oct"
+    assert rows[0]["Promo2SinceWeek"] is None and rows[1]["PromoInterval"] == "Feb,May,Aug,Nov"
     assert dict(df.dtypes)["CompetitionDistance"] == "double"
 
 
 def test_train_codes_stay_strings(spark, tmp_path):
     p = tmp_path / "train.csv"
     _write(p, 'Store,DayOfWeek,Date,Sales,Customers,Open,Promo,StateHoliday,SchoolHoliday\n'
-              '1,5,2015-07-31,5263,555,1,1,"0","1"\n1,4,2015-07-30,0,0,0,0,a,0\n')
+              '41,2,2001-03-06,777,31,1,0,"0","1"\n41,1,2001-03-05,0,0,0,0,a,0\n')
     df = files.read_csv(spark, str(p), files.TRAIN_SCHEMA)
     assert sorted(r[0] for r in df.select("StateHoliday").collect()) == ["0", "a"]
 
 
 def test_semicolon_and_bom(spark, tmp_path):
     p = tmp_path / "ALL.csv"
-    _write(p, "﻿Date;Goog_trend\n2013-01-01;61\n2013-01-02;62\n")
+    _write(p, "﻿Date;Goog_trend\n2001-02-03;11\n2001-02-04;12\n")
     df = files.read_csv(spark, str(p), files.TREND_SCHEMA, sep=";")
-    assert df.count() == 2 and df.agg(F.sum("Goog_trend")).first()[0] == 123
+    assert df.count() == 2 and df.agg(F.sum("Goog_trend")).first()[0] == 23
 
 
 def test_keyed_files_from_names(spark, tmp_path):
     d = tmp_path / "trends"
     d.mkdir()
-    _write(d / "BE.csv", "Date;Goog_trend\n2013-01-01;69\n")
-    _write(d / "NI.csv", "Date;Goog_trend\n2013-01-01;50\n")
-    df = files.read_keyed_files(spark, str(d / "*.csv"), files.TREND_SCHEMA, restore={"NI": "HB,NI"})
-    assert {r["State"]: r["Goog_trend"] for r in df.collect()} == {"BE": 69, "HB,NI": 50}
+    _write(d / "AA.csv", "Date;Goog_trend\n2001-02-03;33\n")
+    _write(d / "BB.csv", "Date;Goog_trend\n2001-02-03;44\n")
+    df = files.read_keyed_files(spark, str(d / "*.csv"), files.TREND_SCHEMA, restore={"BB": "CC,BB"})
+    assert {r["State"]: r["Goog_trend"] for r in df.collect()} == {"AA": 33, "CC,BB": 44}
+
+
+def test_keyed_files_with_a_state_column(spark, tmp_path):
+    d = tmp_path / "trends"
+    d.mkdir()
+    _write(d / "AA.csv", '"Date";"State";"Goog_trend"\n2001-02-03;"AA";33\n2001-02-04;"AA";34\n')
+    _write(d / "NI.csv", '"Date";"State";"Goog_trend"\n2001-02-03;"HB,NI";44\n')
+    df = files.read_keyed_files(spark, str(d / "*.csv"), files.STATE_TREND_SCHEMA)
+    got = sorted((r["State"], str(r["Date"]), r["Goog_trend"]) for r in df.collect())
+    assert got == [("AA", "2001-02-03", 33), ("AA", "2001-02-04", 34), ("HB,NI", "2001-02-03", 44)]
+
+
+def test_a_layout_that_differs_fails_loudly(spark, tmp_path):
+    p = tmp_path / "AA.csv"
+    _write(p, '"Date";"State";"Goog_trend"\n2001-02-03;"AA";33\n')
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        files.read_csv(spark, str(p), files.TREND_SCHEMA, sep=";").collect()
+    q = tmp_path / "BB.csv"
+    _write(q, "Date;Goog_trend\n2001-02-03;33\n2001-02-04;many\n")
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        files.read_csv(spark, str(q), files.TREND_SCHEMA, sep=";").collect()
 
 
 def test_weekly_report(spark, tmp_path):
     p = tmp_path / "report.csv"
-    _write(p, "Category: All\n\nInterest over time\nWeek,rossmann\n"
-              "2012-12-30 - 2013-01-05,69\n2013-01-06 - 2013-01-12,70\n\nTop regions\nBE,100\n")
+    _write(p, "Category: All\n\nInterest over time\nWeek,some term\n"
+              "2001-02-04 - 2001-02-10,21\n2001-02-11 - 2001-02-17,22\n\nTop regions\nAA,100\n")
     df = files.read_weekly_report(spark, str(p)).orderBy("week_start").collect()
-    assert [(str(r[0]), str(r[1]), r[2]) for r in df] == [("2012-12-30", "2013-01-05", 69),
-                                                         ("2013-01-06", "2013-01-12", 70)]
+    assert [(str(r[0]), str(r[1]), r[2]) for r in df] == [("2001-02-04", "2001-02-10", 21),
+                                                         ("2001-02-11", "2001-02-17", 22)]
 
 
 def test_wide_indicators_with_footer(spark, tmp_path):
     p = tmp_path / "wdi.csv"
-    _write(p, '﻿Country Name,Country Code,Series Name,Series Code,2004 [YR2004],2005 [YR2005]\n'
-              'Germany,DEU,"Population, total",SP.POP.TOTL,82516260,..\n\n\n'
-              'Data from database: World Development Indicators,,,,,\nLast Updated: 12/22/2015,,,,,\n')
+    _write(p, '﻿Country Name,Country Code,Series Name,Series Code,1991 [YR1991],1992 [YR1992]\n'
+              'Freedonia,FRE,"Ducks, total",D.K.TOT,1234567,..\n\n\n'
+              'Data from database: Invented Indicators,,,,,\nLast Updated: 02/03/2001,,,,,\n')
     df = files.read_wide_indicators(spark, str(p))
     got = {r["year"]: r["value"] for r in df.collect()}
-    assert got == {2004: 82516260.0, 2005: None}
+    assert got == {1991: 1234567.0, 1992: None}
 
 
 def test_release_timestamps(spark, tmp_path):
     p = tmp_path / "conf.csv"
-    _write(p, "DateTime,Actual,Consensus,Previous,Revised\n10/28/2015 07:00:00,9.4,9.4,9.6,9.6\n"
-              "09/24/2015 07:00:00,9.6,9.8,9.9,\n")
+    _write(p, "DateTime,Actual,Consensus,Previous,Revised\n04/18/2001 09:30:00,5.5,5.4,5.1,5.2\n"
+              "03/14/2001 09:30:00,5.1,5.0,4.9,\n")
     df = files.read_releases(spark, str(p)).orderBy("Released").collect()
-    assert str(df[0]["Released"]).startswith("2015-09-24 07:00") and df[0]["Revised"] is None
+    assert str(df[0]["Released"]).startswith("2001-03-14 09:30") and df[0]["Revised"] is None
 
 
 def test_sinks_round_trip(spark, tmp_path):

@@ -1,8 +1,8 @@
-"""Scale helpers: bounded broadcast hints, training partition sizing, checkpoints."""
+"""Scale helpers: training input, exact sums, checkpoints."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from tillcast.operators import joins
 from tillcast.plans import models
 from tillcast.session import cut_lineage, ensure_checkpoint_dir
 
@@ -11,26 +11,40 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_broadcast_only_within_key_space_bound(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # isolate the hint
-    try:
-        big = spark.range(0, 1000).withColumn("k", F.col("id") % 50)
-        side = spark.range(0, 50).withColumnRenamed("id", "k")
-        hinted = big.join(joins.broadcast_if_bounded(side, key_space_rows=50), "k")
-        unhinted = big.join(joins.broadcast_if_bounded(side, key_space_rows=10**9), "k")
-        assert "BroadcastHashJoin" in _plan(hinted)
-        assert "BroadcastHashJoin" not in _plan(unhinted)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
-def test_training_partitions_follow_row_count(spark):
-    df = spark.range(0, 5000).repartition(40)
-    sized = models.sized_for_training(df, rows_per_partition=1000)
-    parallel = spark.sparkContext.defaultParallelism
-    assert sized.rdd.getNumPartitions() == max(parallel, 5)
-    assert sized.count() == 5000
-    sized.unpersist()
+def test_training_input_is_spread_and_stored(spark):
+    df = spark.range(0, 5000, numPartitions=1).withColumn("Store", F.lit(1)).withColumn("Date", F.col("id"))
+    got = models.training_input(df)
+    sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 5000 and max(sizes) < 2000  # one store, many tasks
+    assert spark._jsc.sc().getPersistentRDDs().isEmpty()
+
+
+def test_unset_checkpoint_dir_is_an_error_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
+
+
+def test_exact_mean_of_huge_sums(spark):
+    from tillcast.functions.metrics import exact_mean
+    df = spark.range(0, 400_000).select((F.col("id") * 7919 % 100_003 / 100 + 3e9 + (F.col("id") % 7) * 1e9).alias("x"))
+    got = {df.repartition(n).agg(exact_mean("x")).first()[0] for n in (1, 7, 16)}
+    assert len(got) == 1 and got.pop() * 400_000 > 1e15
 
 
 def test_checkpoint_dir_comes_from_session(spark):

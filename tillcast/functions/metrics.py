@@ -15,11 +15,16 @@ def _c(c) -> Column:
 def exact_mean(c, decimals: int = 2) -> Column:
     """Mean of values carrying ``decimals`` decimals (money).
 
-    The sum is rounded back to the input's precision before one IEEE
-    division, so the result does not depend on summation order: the same
-    value on every partitioning, rerun and engine.
+    The sum is taken in decimals (28 digits a value, 38 in all), where order
+    does not matter, before one IEEE division: the same value on every
+    partitioning, rerun and engine, for totals of any size.
     """
-    return F.try_divide(F.round(F.sum(_c(c)), decimals), F.count(_c(c)))
+    return F.try_divide(exact_sum(c, decimals), F.count(_c(c)))
+
+
+def exact_sum(c, decimals: int = 2) -> Column:
+    """Sum of values carrying ``decimals`` decimals, independent of their order."""
+    return F.sum(_c(c).cast(f"decimal(28,{decimals})")).cast("double")
 
 
 def sq_rel_error(pred, target) -> Column:

@@ -33,25 +33,6 @@ def scalar_of(df: DataFrame, agg: Column) -> Column:
     return df.select(agg).scalar()
 
 
-def attach_scalar(df: DataFrame, name: str, source: DataFrame, agg: Column) -> DataFrame:
-    return df.withColumn(name, scalar_of(source, agg))
-
-
-# Rows a hinted broadcast may carry (a calendar-keyed side series is far below).
-BROADCAST_ROW_LIMIT = 2_000_000
-
-
-def broadcast_if_bounded(df: DataFrame, key_space_rows: int, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only when the side's *key space* bounds its size.
-
-    ``key_space_rows`` is a proof, not an estimate: for a table with one row
-    per (state, day) it is #states x #days, known from two tiny scalars
-    before the side is computed.  Above ``limit`` the join stays a shuffle
-    join (AQE may still broadcast it after measuring it).
-    """
-    return F.broadcast(df) if 0 <= key_space_rows <= limit else df
-
-
 def attach_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of an aggregate back to detail rows."""
     return df.join(stats, list(keys), "left")
@@ -61,26 +42,35 @@ def step_series_daily(series: DataFrame, date_col: str, value_cols: Sequence[str
                       last_day: Column | None = None) -> DataFrame:
     """Turn an irregular (or monthly/annual) series into one row per day.
 
-    Each observation holds from its date until the day before the next one;
-    the last one holds until ``last_day`` (default: itself).  The series has
-    one row per date, so the ordering window below spans at most the calendar
-    length whatever the fact size.
+    Dates and timestamps count by day; of several observations on one day the
+    latest one holds (at one time: the greatest values, in column order), and
+    those without a date are dropped.  Each observation holds from its day
+    until the day before the next one; the last one holds until ``last_day``
+    (default: itself).  The series is reduced to one row per day first, so the
+    ordering window spans at most the calendar length whatever the fact size.
     """
-    w = Window.orderBy(date_col)
-    nxt = F.lead(date_col).over(w)
+    latest = F.max(F.struct(F.col(date_col).alias("__at"), *value_cols)).alias("__v")
+    days = (series.filter(F.col(date_col).isNotNull()).groupBy(F.to_date(date_col).alias("__from")).agg(latest)
+            .select("__from", *[F.col("__v")[c].alias(c) for c in value_cols]))
+    nxt = F.lead("__from").over(Window.orderBy("__from"))
     # the last observation holds until last_day (never before its own date:
     # sequence() would count backwards)
-    tail = F.col(date_col) if last_day is None else F.greatest(last_day, F.col(date_col))
-    end = F.coalesce(F.date_sub(nxt, 1), tail)
-    ranged = series.select(F.col(date_col).alias("__from"), end.alias("__to"), *value_cols)
+    tail = F.col("__from") if last_day is None else F.greatest(last_day, F.col("__from"))
+    ranged = days.select("__from", F.coalesce(F.date_sub(nxt, 1), tail).alias("__to"), *value_cols)
     return ranged.select(F.explode(F.sequence("__from", "__to")).alias("Date"), *value_cols)
 
 
 def asof_attach(df: DataFrame, series: DataFrame, date_col: str, value_cols: Sequence[str],
                 on: str = "Date", last_day: Column | None = None) -> DataFrame:
-    """Each row gets the latest observation dated on or before its day."""
-    daily = step_series_daily(series, date_col, value_cols, last_day).withColumnRenamed("Date", on)
-    return df.join(daily, on, "left")
+    """Each row gets the latest observation dated on or before its day.
+
+    The last observation is carried to ``last_day``, by default the last day
+    of ``df``.  ``on`` may be a date or a timestamp.
+    """
+    if last_day is None:
+        last_day = df.select(F.max(F.to_date(on))).scalar()
+    daily = step_series_daily(series, date_col, value_cols, last_day).withColumnRenamed("Date", "__on")
+    return df.withColumn("__on", F.to_date(on)).join(daily, "__on", "left").drop("__on")
 
 
 def blend_by_id(preds: Sequence[DataFrame], weights: Sequence[float], key: str = "Id",

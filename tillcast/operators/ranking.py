@@ -1,8 +1,7 @@
 """Sorts, limits and rankings (SO*).
 
-Rankings here run over small tables (feature lists, grid results); the
-global orderings are bounded by the number of features or grid points.
-Top-n uses ``orderBy().limit()`` which Spark plans as TakeOrderedAndProject
+Rankings number a range-partitioned sequence (sequence.py), so no task holds
+the whole table.  Top-n uses ``orderBy().limit()`` which Spark plans as TakeOrderedAndProject
 (per-task top-n, then a merge), never a full global sort.
 """
 
@@ -10,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sequence import numbered
+
 
 def sort_panel(df: DataFrame, keys: Sequence[str] = ("Store", "Date")) -> DataFrame:
     return df.orderBy(*[F.col(k).asc_nulls_last() for k in keys])
@@ -29,15 +30,16 @@ def arg_min_rows(df: DataFrame, metric: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, metric: str, name: str = "rank", tie: str | None = None) -> DataFrame:
+    """Rank from 1 by descending metric."""
     order = [F.col(metric).desc()] + ([F.col(tie)] if tie else [])
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    return numbered(df, *order, name=name).withColumn(name, F.col(name) + 1)
 
 
 def strided_subset(ranked_df: DataFrame, rank: str = "rank", keep_top: int = 2, step: int = 4,
-                   start: int = 3, limit: int = 100) -> DataFrame:
-    """Ranks 1..keep_top plus every ``step``-th rank from ``start`` up to ``limit``."""
+                   start: int = 3) -> DataFrame:
+    """Ranks 1..keep_top plus every ``step``-th rank from ``start``."""
     r = F.col(rank)
-    cond = (r <= keep_top) | ((r >= start) & (r <= limit) & ((r - start) % step == 0))
+    cond = (r <= keep_top) | ((r >= start) & ((r - start) % step == 0))
     return ranked_df.filter(cond)
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sequence import numbered
+
 
 def union_all(frames: Sequence[DataFrame], allow_missing: bool = True) -> DataFrame:
     """Union by name; columns missing from a frame become NULL."""
@@ -19,31 +21,21 @@ def union_levels(frames: Sequence[DataFrame], col: str) -> DataFrame:
     return union_all([f.select(col) for f in frames]).filter(F.col(col).isNotNull()).distinct()
 
 
-def level_list(df: DataFrame, col: str, max_levels: int = 1000) -> list:
-    """Sorted distinct levels, refusing unbounded lists (they feed a projection)."""
-    levels = df.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col).limit(max_levels + 1)
-    vals = [r[0] for r in levels.collect()]
-    if len(vals) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels; use an indexer instead")
-    return vals
-
+def one_hot(df: DataFrame, col: str, levels: Sequence, prefix: str | None = None,
+            drop_first: bool = True) -> DataFrame:
+    """Indicator columns ``{prefix}_{level}``; the first of ``levels`` is dropped.
 
-def one_hot(df: DataFrame, col: str, prefix: str | None = None, drop_first: bool = True,
-            levels: Sequence | None = None) -> DataFrame:
-    """Indicator columns ``{prefix}_{level}``; the first sorted level is dropped."""
+    The levels name the output's columns, so the caller states them.
+    """
     prefix = prefix or col
-    levels = list(levels) if levels is not None else level_list(df, col)
-    keep = levels[1:] if drop_first else levels
+    keep = list(levels)[1:] if drop_first else list(levels)
     return df.select("*", *[(F.col(col) == F.lit(v)).cast("int").alias(f"{prefix}_{v}") for v in keep])
 
 
 def joint_label_codes(frames: Sequence[DataFrame], col: str, code: str | None = None) -> DataFrame:
-    """Level -> 1-based code, ordered by level value, fitted on all frames.
-
-    The ordering window runs over the distinct-level table only.
-    """
+    """Level -> 1-based code, ordered by level value, fitted on all frames."""
     code = code or f"{col}_code"
-    return union_levels(frames, col).select(col, F.dense_rank().over(Window.orderBy(col)).alias(code))
+    return numbered(union_levels(frames, col), col, name=code).withColumn(code, F.col(code) + 1)
 
 
 def apply_label_codes(df: DataFrame, codes: DataFrame, col: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from .clean import numeric_columns
+from .sequence import numbered
 
 # The three target means of the feature table and their keys.
 TARGET_MEANS = (
@@ -50,62 +51,71 @@ def mean_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str] | None = Non
     return df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in cols])
 
 
-# Sketch accuracy for quartiles (relative rank error ~ 1 / accuracy).
+QUARTILES = (0.25, 0.5, 0.75)
+# Sketch accuracy (relative rank error about 1 / accuracy).
 QUANTILE_ACCURACY = 10000
 
 
-def quantile(x: Column, q: float, exact: bool = False) -> Column:
-    """Quartile of a column.  Default: a mergeable sketch with bounded memory
-    per group.  ``exact=True`` buffers every value of the group in one task
-    (linear interpolation, R type 7) -- only for inputs bounded by
-    construction, e.g. the calendar-sized dense panel."""
-    return F.percentile(x, q) if exact else F.percentile_approx(x, q, QUANTILE_ACCURACY).cast("double")
+def quantile_sketch(x: Column, probs: Sequence[float] = QUARTILES) -> Column:
+    """Approximate quantiles as an array: a mergeable sketch, bounded memory for each group."""
+    return F.percentile_approx(x, list(probs), QUANTILE_ACCURACY).cast("array<double>")
 
 
-def describe_long(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] = QUARTILES) -> DataFrame:
+    """keys + q (array): quantiles by linear interpolation between neighbours in rank.
+
+    The values are numbered in one sorted sequence over all tasks, so no group
+    is buffered in one task; only the few ranks asked for are looked up.
+    """
+    rows = numbered(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v")), *keys, "__v")
+    spans = rows.groupBy(*keys).agg(F.min("__g").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    asked = spans.select(*keys, "__first", "__n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("__i", "__p"))
+    asked = asked.withColumn("__at", F.col("__p") * (F.col("__n") - 1))
+    asked = asked.select(*keys, "__i", (F.col("__at") - F.floor("__at")).alias("__part"), F.explode(F.array(
+        F.struct(F.lit(0).alias("up"), (F.col("__first") + F.floor("__at")).alias("g")),
+        F.struct(F.lit(1).alias("up"), (F.col("__first") + F.ceil("__at")).alias("g")))).alias("__r"))
+    found = asked.join(rows.select(F.col("__g"), "__v"), F.col("__r.g") == F.col("__g"))
+    low, high = F.max(F.when(F.col("__r.up") == 0, F.col("__v"))), F.max(F.when(F.col("__r.up") == 1, F.col("__v")))
+    q = found.groupBy(*keys, "__i").agg((low + (high - low) * F.max("__part")).alias("__q"))
+    return q.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__i", "__q"))),
+                                            lambda s: s["__q"]).alias("q"))
+
+
+def describe_long(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std (sample), min, 25%, 50%, 75%, max per column; long form."""
     cols = list(cols or numeric_columns(df))
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).cast("double").alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"),
-                 F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"),
-                 quantile(x, 0.25, exact).alias(f"{c}|25%"), quantile(x, 0.5, exact).alias(f"{c}|50%"),
-                 quantile(x, 0.75, exact).alias(f"{c}|75%"), F.max(x).alias(f"{c}|max")]
-    wide = df.agg(*aggs)
-    long = wide.unpivot([], wide.columns, "key", "value")
-    return long.select(F.split("key", r"\|").getItem(0).alias("column"),
-                       F.split("key", r"\|").getItem(1).alias("stat"), "value")
-
-
-def six_number_summary(df: DataFrame, value_cols: Sequence[str], group: Column | None = None,
-                       exact: bool = False) -> DataFrame:
-    """Min, Q1, median, mean, Q3, max and sd per series (series = unpivoted column)."""
-    long = df.unpivot([] if group is None else [group.alias("subset")], list(value_cols), "series", "v")
-    keys = ["series"] if group is None else ["subset", "series"]
-    v = F.col("v").cast("double")
-    return long.groupBy(*keys).agg(
-        F.min(v).alias("min"), quantile(v, 0.25, exact).alias("q1"), quantile(v, 0.5, exact).alias("median"),
-        F.avg(v).alias("mean"), quantile(v, 0.75, exact).alias("q3"), F.max(v).alias("max"),
-        F.stddev_samp(v).alias("sd"))
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "v")
+    s = long.groupBy("column").agg(F.count("v").cast("double").alias("count"), F.avg("v").alias("mean"),
+                                   F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    s = s.join(exact_quantiles(long, ["column"], "v"), "column", "left")
+    s = s.withColumns({"25%": F.get("q", F.lit(0)), "50%": F.get("q", F.lit(1)), "75%": F.get("q", F.lit(2))})
+    return s.unpivot(["column"], ["count", "mean", "std", "min", "25%", "50%", "75%", "max"], "stat", "value")
 
 
-def profile(df: DataFrame, exact: bool = False) -> DataFrame:
-    """Shape, distinct count and any-null flag per column, in one pass.
-
-    Default distinct counts are HyperLogLog sketches (no per-column Expand of
-    the rows); ``exact=True`` for small tables.
-    """
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for c in df.columns:
-        nd = F.count_distinct(F.col(c)) if exact else F.approx_count_distinct(F.col(c))
-        aggs += [nd.alias(f"{c}|distinct"), F.max(F.col(c).isNull().cast("int")).alias(f"{c}|null")]
-    wide = df.agg(*aggs)
-    parts = [F.struct(F.lit(c).alias("column"), F.col(f"{c}|distinct").cast("long").alias("n_distinct"),
-                      F.col(f"{c}|null").alias("has_null")) for c in df.columns]
-    return (wide.select(F.col("__rows").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
-                        F.explode(F.array(*parts)).alias("p"))
-                .select("n_rows", "n_columns", "p.*"))
+def six_number_summary(df: DataFrame, value_cols: Sequence[str], group: str | None = None) -> DataFrame:
+    """Min, Q1, median, mean, Q3, max and sd per series (series = unpivoted column)."""
+    keys = ["series"] if group is None else [group, "series"]
+    long = df.select(*keys[:-1], *[F.col(c).cast("double").alias(c) for c in value_cols]).unpivot(
+        keys[:-1], list(value_cols), "series", "v")
+    s = long.groupBy(*keys).agg(F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"),
+                                F.stddev_samp("v").alias("sd"))
+    s = s.join(exact_quantiles(long, keys, "v"), keys, "left")
+    return s.select(*keys, "min", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), "mean",
+                    F.get("q", F.lit(2)).alias("q3"), "max", "sd")
+
+
+def distinct_values(df: DataFrame) -> DataFrame:
+    """(column, value as text, n): the values of every column and how often each occurs."""
+    return (df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).unpivot([], df.columns, "column", "value")
+            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """Shape, distinct count and any-null flag per column, from the table of values."""
+    per = distinct_values(df).groupBy("column").agg(
+        F.sum("n").alias("n_rows"), F.count("value").alias("n_distinct"),
+        F.max(F.col("value").isNull().cast("int")).alias("has_null"))
+    return per.select("n_rows", F.lit(len(df.columns)).alias("n_columns"), "column", "n_distinct", "has_null")
 
 
 def rmspe_table(df: DataFrame, pred: str, target: str, by: Sequence[str] = ()) -> DataFrame:

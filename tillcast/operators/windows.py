@@ -23,6 +23,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .sequence import numbered
+
 
 def _order_cols(order: Sequence[str] | str) -> list[str]:
     return [order] if isinstance(order, str) else list(order)
@@ -67,27 +69,16 @@ def with_panel_windows(df: DataFrame, build, store: str = "Store", order: Sequen
 def _blocked(df, builds, store, order, reach, block_rows):
     """Exact windows over fixed-size blocks of the global (store, order) sequence.
 
-    1. Range-partition and sort on (store, order): the tasks, in id order,
-       hold one globally sorted sequence, and a hot store spans many tasks.
-    2. Global row index = rows in earlier tasks + index inside the task.  The
-       per-task count table has one row per task (a proven bound), so it is
-       broadcast; no per-store numbering, no join keyed by store.
-    3. Blocks of ``block_rows`` consecutive rows plus ``reach`` halo rows
+    1. The rows get their global numbers in (store, order), see sequence.py: a
+       hot store spans many tasks; no per-store numbering, no join keyed by
+       store.
+    2. Blocks of ``block_rows`` consecutive rows plus ``reach`` halo rows
        copied from each neighbouring block; every offset is store-guarded,
        so blocks may mix stores and a store may span many blocks.
     """
     if block_rows < 2 * reach:
         raise ValueError("block_rows must be at least twice the reach")
-    ranged = (df.repartitionByRange(store, *order).sortWithinPartitions(store, *order)
-                .withColumn("__pid", F.spark_partition_id())
-                .withColumn("__mid", F.monotonically_increasing_id()))
-    per_task = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))
-    starts = per_task.select("__pid", F.coalesce(earlier, F.lit(0)).alias("__start"))
-    local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
-    seq = (ranged.join(F.broadcast(starts), "__pid")
-                 .select("*", (F.col("__start") + local).alias("__g"))
-                 .drop("__pid", "__mid", "__start"))
+    seq = numbered(df, store, *order)
     blk = F.floor(F.col("__g") / block_rows)
     inner = F.col("__g") % block_rows
 
@@ -224,7 +215,7 @@ def group_means_over(df: DataFrame, specs, target: str = "Sales", fit: Column |
     cols = []
     for keys, name in specs:
         w = Window.partitionBy(*keys)
-        cols.append(F.try_divide(F.round(F.sum(y).over(w), decimals), F.count(y).over(w)).alias(name))
+        cols.append(F.try_divide(F.sum(y.cast(f"decimal(28,{decimals})")).over(w).cast("double"), F.count(y).over(w)).alias(name))
     return df.select("*", *cols)
 
 
@@ -238,5 +229,5 @@ def group_mean_over(df: DataFrame, keys: Sequence[str], target: str, name: str,
     w = Window.partitionBy(*keys)
     if decimals is None:
         return df.withColumn(name, F.avg(target).over(w))
-    return df.withColumn(name, F.try_divide(F.round(F.sum(target).over(w), decimals),
-                                            F.count(target).over(w)))
+    total = F.sum(F.col(target).cast(f"decimal(28,{decimals})")).over(w).cast("double")
+    return df.withColumn(name, F.try_divide(total, F.count(target).over(w)))

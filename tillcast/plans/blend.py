@@ -36,9 +36,8 @@ def grid_search(df: DataFrame, sides: Sequence[str], main: str, target: str, max
     Returns one row per grid point with its weights and RMSPE.
     """
     preds = list(sides) + [main]
-    g = gram_matrix(df, preds, target)
     m = float(max_weight)
-    cur = g
+    cur = gram_matrix(df, preds, target)
     used = F.lit(0)
     idx = []
     for k, _ in enumerate(sides):
@@ -48,7 +47,26 @@ def grid_search(df: DataFrame, sides: Sequence[str], main: str, target: str, max
         idx.append(name)
     w = [(F.col(i) - m / 2) / m for i in idx]
     w.append((F.lit((1 + len(sides) / 2) * m) - sum(F.col(i) for i in idx)) / m)
+    return _scored(cur, preds, w)
+
+
+def signed_grid_search(df: DataFrame, sides: Sequence[str], main: str, target: str, max_weight: int = 6) -> DataFrame:
+    """Grid of whole weights from -max_weight to max_weight that sum to 1."""
+    preds = list(sides) + [main]
+    cur = gram_matrix(df, preds, target)
+    used, idx = F.lit(0), []
+    for k, _ in enumerate(sides):
+        cur = cur.withColumn(f"i{k}", F.explode(F.sequence(F.lit(-max_weight), F.lit(max_weight))))
+        used = used + F.col(f"i{k}")
+        idx.append(F.col(f"i{k}"))
+    cur = cur.filter(F.abs(1 - used) <= max_weight)
+    return _scored(cur, preds, [*idx, 1 - used])
+
+
+def _scored(cur: DataFrame, preds: Sequence[str], w: Sequence[Column]) -> DataFrame:
+    """Weights and RMSPE of each grid row from its Gram matrix columns."""
     n = len(preds)
     quad = sum(w[a] * w[b] * F.col(f"G_{a}_{b}") for a in range(n) for b in range(n))
-    out = cur.select(*[wi.alias(f"w_{p}") for wi, p in zip(w, preds)], F.sqrt(quad).alias("rmspe"))
-    return out
+    # rounding may leave a perfect blend just below zero
+    return cur.select(*[wi.alias(f"w_{p}") for wi, p in zip(w, preds)],
+                      F.sqrt(F.greatest(quad, F.lit(0.0))).alias("rmspe"))

@@ -7,9 +7,10 @@ whose evaluation is one aggregate over the scored DataFrame.
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 
@@ -35,7 +36,8 @@ class RMSPEEvaluator(Evaluator):
         return False
 
 
-def regression_metrics(scored: DataFrame, label: str, prediction: str = "prediction") -> dict[str, float]:
-    """MSE, RMSE, MAE and R2 from Spark ML's RegressionEvaluator."""
-    ev = RegressionEvaluator(labelCol=label, predictionCol=prediction)
-    return {m: ev.setMetricName(m).evaluate(scored) for m in ("mse", "rmse", "mae", "r2")}
+def regression_metrics(scored: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
+    """MSE, RMSE, MAE, R2 and the number of rows, from one pass over the scores."""
+    p, y = F.col(prediction), F.col(label)
+    return scored.agg(M.mse(p, y).alias("mse"), F.sqrt(M.mse(p, y)).alias("rmse"), F.avg(F.abs(p - y)).alias("mae"),
+                      M.r2(p, y).alias("r2"), F.count(F.lit(1)).alias("n"))

@@ -41,18 +41,14 @@ def feature_table(spark: SparkSession, sf_dir: str, with_weather: bool = True, s
     data = joins.join_on(data, panels.store_states(spark, sf_dir), "Store")
     if with_weather:
         # side series are keyed by (state, day) / day: calendar-bounded, joined
-        # before the store exchange so the panel is shuffled once for them all
-        # (shipping days may run past the order calendar: double the bound)
-        days = 2 * panels.calendar_days(spark, sf_dir)
-        states = panels.state_count(spark, sf_dir)
+        # before the store exchange; AQE broadcasts them after measuring them
         w = panels.weather(spark, sf_dir).withColumnRenamed("State", "__key")
-        w = joins.broadcast_if_bounded(w, states * days)
         data = (data.withColumn("__key", S.remap_state(F.col("State"), panels.COMPOUND_STATE, "MI"))
                     .join(w, ["__key", "Date"], "left").drop("__key"))
-        data = joins.join_on(data, joins.broadcast_if_bounded(panels.trend_all(spark, sf_dir), days), "Date", "left")
+        data = joins.join_on(data, panels.trend_all(spark, sf_dir), "Date", "left")
         _, last = panels.calendar_bounds(spark, sf_dir)
         daily = joins.step_series_daily(panels.releases(spark, sf_dir), "Released", ["Actual"], last)
-        data = joins.join_on(data, joins.broadcast_if_bounded(daily, days), "Date", "left")
+        data = joins.join_on(data, daily, "Date", "left")
     train_rows = F.col("type") == "train"
     if not blocked:
         # one exchange on Store; every later window only sorts locally

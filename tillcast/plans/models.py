@@ -20,22 +20,22 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..functions import scalars as S
-from ..operators import split, stats, windows
+from ..operators import split, stats
+from ..session import cut_lineage
 from ..sources import panels
 from .forecast import HOLDOUT_START
 
-# Parameter presets from the reference's runs, capped where
-# Spark needs it (maxDepth <= 30; deep boosted trees are costly).
-FOREST_PRESETS = {"rf_100_30": dict(numTrees=100, maxDepth=30), "rf_200_30": dict(numTrees=200, maxDepth=30),
-                  "rf_100_40": dict(numTrees=100, maxDepth=30), "rf_150_50": dict(numTrees=150, maxDepth=30)}
-GBT_PRESETS = {"gbm_15_05_50": dict(maxDepth=15, stepSize=0.05, maxIter=50),
-               "gbm_20_05_300": dict(maxDepth=20, stepSize=0.05, maxIter=300),
-               "gbm_20_03_800": dict(maxDepth=20, stepSize=0.03, maxIter=800),
-               "gbm_12_05_800": dict(maxDepth=12, stepSize=0.05, maxIter=800),
-               "gbm_15_05_200": dict(maxDepth=15, stepSize=0.05, maxIter=200),
-               "xgb_2_8_900": dict(maxDepth=8, stepSize=0.2, maxIter=900),
-               "xgb_2_8_700": dict(maxDepth=8, stepSize=0.2, maxIter=700),
-               "xgb_5_10_60": dict(maxDepth=10, stepSize=0.5, maxIter=60)}
+# Parameters of the reference's runs, by trees, depth and step size
+# (its forests of depth 40 and 50 are left out: Spark's trees end at depth 30).
+FOREST_PRESETS = {"rf_100_30": dict(trees=100, depth=30), "rf_200_30": dict(trees=200, depth=30)}
+GBT_PRESETS = {"gbm_15_05_50": dict(iters=50, depth=15, step=0.05),
+               "gbm_15_05_200": dict(iters=200, depth=15, step=0.05),
+               "gbm_20_05_300": dict(iters=300, depth=20, step=0.05),
+               "gbm_20_03_800": dict(iters=800, depth=20, step=0.03),
+               "gbm_12_05_800": dict(iters=800, depth=12, step=0.05),
+               "xgb_2_8_900": dict(iters=900, depth=8, step=0.2),
+               "xgb_2_8_700": dict(iters=700, depth=8, step=0.2),
+               "xgb_5_10_60": dict(iters=60, depth=10, step=0.5)}
 
 NUMERIC_FEATURES = ["DayOfWeek", "Promo", "SchoolHoliday", "year", "month", "day", "day_of_year", "weeknum",
                     "StoreType_o", "Assortment_o", "CompetitionDistance", "Promo2", "PromoInterval_c",
@@ -43,8 +43,9 @@ NUMERIC_FEATURES = ["DayOfWeek", "Promo", "SchoolHoliday", "year", "month", "day
 LABEL = "logSales"
 
 
-def model_frame(spark: SparkSession, sf_dir: str, include_test: bool = False) -> DataFrame:
-    """Open training days with features; target means fitted before the holdout."""
+def model_frame(spark: SparkSession, sf_dir: str, include_test: bool = False,
+                fit_before: str | None = HOLDOUT_START) -> DataFrame:
+    """Open training days with features; target means fitted before ``fit_before`` (None: on all of them)."""
     tr = panels.p1_train(spark, sf_dir)
     st = panels.store_table(spark, sf_dir)
     base = tr.filter(F.col("Sales") > 0)
@@ -55,31 +56,42 @@ def model_frame(spark: SparkSession, sf_dir: str, include_test: bool = False) ->
                    S.letter_ordinal("Assortment").alias("Assortment_o"),
                    S.promo_interval_code("PromoInterval").alias("PromoInterval_c"),
                    S.log1p_target("Sales").alias(LABEL))
-    fit = (F.col("Date") < F.lit(HOLDOUT_START).cast("date")) & F.col("Sales").isNotNull()
-    # one store exchange; the three target means are local windows over it
-    df = windows.group_means_over(df.repartition("Store"), stats.TARGET_MEANS, "Sales", fit=fit)
+    fit = F.col("Sales").isNotNull()
+    if fit_before is not None:
+        fit &= F.col("Date") < F.lit(fit_before).cast("date")
+    df = stats.attach_target_means(df, fit_on=df.filter(fit))  # partial aggregates: safe for a hot store
     return df.fillna({"CompetitionDistance": 75000.0})
 
 
-# Rows per training partition: tree and boosting fits run one distributed
-# pass per tree level, so each task should carry a substantial slice.
-ROWS_PER_TRAIN_PARTITION = 1_000_000
+# Columns of the plain feature builder, in the reference's order.
+PLAIN_FEATURES = ["Store", "CompetitionDistance", "CompetitionOpenSinceMonth", "CompetitionOpenSinceYear", "Open",
+                  "Promo", "Promo2", "Promo2SinceWeek", "Promo2SinceYear", "SchoolHoliday", "StateHoliday", "DayOfWeek",
+                  "month", "day", "year", "StoreType", "Assortment"]
 
 
-def sized_for_training(df: DataFrame, rows_per_partition: int = ROWS_PER_TRAIN_PARTITION) -> DataFrame:
-    """Cache the training input and size its partitions by row count.
+def build_features(df: DataFrame) -> tuple[list[str], DataFrame]:
+    """Plain features of a panel joined with its stores: (names, frame with them), as one projection.
 
-    Iterative fitters pay a per-task cost on every pass; after one counting
-    pass the cached input is narrowed (``coalesce``: no shuffle) to
-    max(default parallelism, rows / rows_per_partition) partitions, which
-    grows with the data.
+    Missing values become 0 (a missing ``Open`` too, since zeros come first in
+    the reference); letter codes become ordinals; dates become parts.
     """
-    cached = df.cache()
-    rows = cached.count()
-    parallel = df.sparkSession.sparkContext.defaultParallelism
-    want = max(parallel, -(-rows // rows_per_partition))
-    have = cached.rdd.getNumPartitions()
-    return cached.coalesce(want) if want < have else cached
+    parts = {"month": C.month, "day": C.day, "year": C.year}
+    letters = {"StateHoliday": S.code_map("StateHoliday", {k: v for k, v in S.LETTER_ORDINALS.items() if k != "d"}, 0),
+               "StoreType": S.letter_ordinal("StoreType"), "Assortment": S.letter_ordinal("Assortment")}
+    numbers = [c for c in PLAIN_FEATURES if c not in parts and c not in letters]
+    df = df.fillna(0, subset=numbers)
+    made = {c: f("Date").cast("double") for c, f in parts.items()} | {c: e.cast("double") for c, e in letters.items()}
+    made["SchoolHoliday"] = F.col("SchoolHoliday").cast("double")
+    return list(PLAIN_FEATURES), df.withColumns(made)
+
+
+def training_input(df: DataFrame, keys: Sequence[str] = ("Store", "Date")) -> DataFrame:
+    """Rows spread evenly (by a hash of store and day) and stored once for iterative fits.
+
+    The frame is kept in the shared checkpoint folder, so it needs no cache to
+    release and a lost executor does not rebuild the features.
+    """
+    return cut_lineage(df.repartition(*keys))
 
 
 def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:

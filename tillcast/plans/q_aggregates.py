@@ -9,6 +9,7 @@ from ..functions import metrics as M
 from ..operators import split, stats
 from ..sources import panels
 from ..sources.panels import P1_SQL, STORE_SQL, sql_with
+from ..sources.tables import read
 from .forecast import HOLDOUT_SQL, holdout_frame
 
 _TRAIN = sql_with(P1_SQL)
@@ -67,30 +68,65 @@ def _describe_sql():
 
 @register("ag5_describe", _describe_sql())
 def ag5(spark, sf):
-    # the dense panel is calendar-sized at every scale: exact quartiles are safe
-    d = stats.describe_long(panels.p1_train(spark, sf), _DESC_COLS, exact=True)
+    d = stats.describe_long(panels.p1_train(spark, sf), _DESC_COLS)
     return d.withColumn("value", _r("value"))
 
 
 _SIX = ["min", "q1", "median", "mean", "q3", "max", "sd"]
 
 
-@register("ag6_summary_actual_vs_pred", sql_with(P1_SQL, HOLDOUT_SQL) + """,
+_SUB_SQL = """,
 sub AS (SELECT 'all' AS subset, Sales, p3 FROM hold
         UNION ALL SELECT 'aug_sep', Sales, p3 FROM hold WHERE month IN (8, 9)),
-lng AS (SELECT subset, 'Sales' AS series, Sales AS v FROM sub UNION ALL SELECT subset, 'p3', p3 FROM sub)
-SELECT subset, series, round(min(v), 4) AS min, round(quantile_cont(v, 0.25), 4) AS q1,
+lng AS (SELECT subset, 'Sales' AS series, Sales AS v FROM sub UNION ALL SELECT subset, 'p3', p3 FROM sub)"""
+_SIX_SQL = """round(min(v), 4) AS min, round(quantile_cont(v, 0.25), 4) AS q1,
        round(quantile_cont(v, 0.5), 4) AS median, round(avg(v), 4) AS mean,
-       round(quantile_cont(v, 0.75), 4) AS q3, round(max(v), 4) AS max, round(stddev_samp(v), 4) AS sd
-FROM lng GROUP BY ALL""")
-def ag6(spark, sf):
+       round(quantile_cont(v, 0.75), 4) AS q3, round(max(v), 4) AS max, round(stddev_samp(v), 4) AS sd"""
+
+
+def _holdout_subsets(spark, sf):
+    """Holdout rows once for the whole period and, if in August or September, once more."""
     h = holdout_frame(spark, sf).select("Sales", "p3", "month")
-    both = h.withColumn("subset", F.lit("all")).unionByName(
-        h.filter(F.col("month").isin(8, 9)).withColumn("subset", F.lit("aug_sep")))
-    s = stats.six_number_summary(both, ["Sales", "p3"], F.col("subset"), exact=True)
+    subsets = F.array_compact(F.array(F.lit("all"), F.when(F.col("month").isin(8, 9), F.lit("aug_sep"))))
+    return h.select("Sales", "p3", F.explode(subsets).alias("subset"))
+
+
+@register("ag6_summary_actual_vs_pred", sql_with(P1_SQL, HOLDOUT_SQL) + _SUB_SQL + f"""
+SELECT subset, series, {_SIX_SQL} FROM lng GROUP BY ALL""")
+def ag6(spark, sf):
+    s = stats.six_number_summary(_holdout_subsets(spark, sf), ["Sales", "p3"], "subset")
+    return s.select("subset", "series", *[_r(c).alias(c) for c in _SIX])
+
+
+@register("ag6_lineitem_summary", f"""
+WITH lng AS (SELECT l_returnflag AS subset, 'l_extendedprice' AS series, l_extendedprice AS v FROM lineitem
+             UNION ALL SELECT l_returnflag, 'l_quantity', l_quantity FROM lineitem)
+SELECT subset, series, {_SIX_SQL} FROM lng GROUP BY ALL""")
+def ag6b(spark, sf):
+    """Exact quartiles of whole columns of the largest fact."""
+    li = read(spark, sf, "lineitem", "l_returnflag", "l_extendedprice", "l_quantity").withColumnRenamed(
+        "l_returnflag", "subset")
+    s = stats.six_number_summary(li, ["l_extendedprice", "l_quantity"], "subset")
     return s.select("subset", "series", *[_r(c).alias(c) for c in _SIX])
 
 
+@register("ag6_sketch_rank_error", """
+SELECT l_returnflag AS subset, prob, TRUE AS within_bound
+FROM (SELECT DISTINCT l_returnflag FROM lineitem), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) p(prob)""")
+def ag6c(spark, sf):
+    """Ranks of sketched quartiles are within 1 / accuracy (plus one row) of those asked for."""
+    li = read(spark, sf, "lineitem", "l_returnflag", "l_extendedprice").toDF("subset", "v")
+    q = li.groupBy("subset").agg(stats.quantile_sketch(F.col("v")).alias("q"), F.count("v").alias("n"))
+    probs = F.array(*[F.lit(p) for p in stats.QUARTILES])
+    asked = q.select("subset", "n", F.explode(F.arrays_zip(probs.alias("p"), F.col("q"))).alias("x"))
+    ranks = li.join(asked, "subset").groupBy("subset", "n", "x").agg(
+        F.count_if(F.col("v") < F.col("x.q")).alias("below"), F.count_if(F.col("v") <= F.col("x.q")).alias("upto"))
+    slack = F.col("n") / stats.QUANTILE_ACCURACY + 1
+    want = F.col("x.p") * F.col("n")
+    return ranks.select("subset", F.col("x.p").alias("prob"),
+                        ((F.col("below") <= want + slack) & (F.col("upto") >= want - slack)).alias("within_bound"))
+
+
 @register("ag7_column_sums", _TRAIN + """
 SELECT round(sum(Sales), 2) AS Sales, CAST(sum(Customers) AS BIGINT) AS Customers,
        CAST(sum(Open) AS BIGINT) AS Open, CAST(sum(Promo) AS BIGINT) AS Promo,
@@ -116,8 +152,26 @@ def _profile_sql():
 
 @register("ag8_profile_store_table", _profile_sql())
 def ag8(spark, sf):
-    p = stats.profile(panels.store_table(spark, sf), exact=True)  # one row per store: small
-    return p.select("n_rows", "n_columns", "column", "n_distinct", "has_null")
+    return stats.profile(panels.store_table(spark, sf))
+
+
+_CUST_COLS = ["c_nationkey", "c_mktsegment", "c_acctbal"]
+
+
+@register("ag8_distinct_values", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY {c}"
+    for c in _CUST_COLS[:2]))
+def ag8b(spark, sf):
+    """The values themselves, with their counts."""
+    return stats.distinct_values(read(spark, sf, "customer", *_CUST_COLS[:2]))
+
+
+@register("ag8_profile_customers", "\nUNION ALL ".join(
+    f"SELECT CAST(count(*) AS BIGINT) AS n_rows, {len(_CUST_COLS)} AS n_columns, '{c}' AS \"column\", "
+    f"CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct, CAST(count(*) > count({c}) AS INTEGER) AS has_null FROM customer"
+    for c in _CUST_COLS))
+def ag8c(spark, sf):
+    return stats.profile(read(spark, sf, "customer", *_CUST_COLS))
 
 
 @register("ag9_conditional_counts", _TRAIN + """
@@ -245,22 +299,15 @@ def ag17(spark, sf):
                       _r("percentage", 6).alias("percentage"))
 
 
-@register("ml23_train_report", _HOLD + """
-SELECT round(sqrt(avg(power((p3 - Sales) / Sales, 2))), 6) AS total_rmspe,
-       round(sqrt(avg(CASE WHEN month IN (8, 9) THEN power((p3 - Sales) / Sales, 2) END)), 6) AS aug_sep_rmspe,
-       round(avg(p3), 2) AS mean_pred, round(avg(Sales), 2) AS mean_actual,
-       round(stddev_samp(p3), 0) AS sd_pred, round(stddev_samp(Sales), 0) AS sd_actual,
-       round(quantile_cont(p3, 0.5), 2) AS median_pred, round(quantile_cont(Sales, 0.5), 2) AS median_actual
-FROM hold""")
+@register("ml23_train_report", _HOLD + _SUB_SQL + f""",
+err AS (SELECT subset, round(sqrt(avg(power((p3 - Sales) / Sales, 2))), 6) AS rmspe, CAST(count(*) AS BIGINT) AS n FROM sub GROUP BY subset)
+SELECT subset, series, rmspe, n, {_SIX_SQL} FROM lng JOIN err USING (subset) GROUP BY ALL""")
 def ml23(spark, sf):
-    h = holdout_frame(spark, sf)  # calendar-sized: exact medians are safe
-    aug_sep = F.col("month").isin(8, 9)
-    return h.agg(_r(M.rmspe("p3", "Sales"), 6).alias("total_rmspe"),
-                 _r(M.rmspe("p3", "Sales", where=aug_sep), 6).alias("aug_sep_rmspe"),
-                 _r(F.avg("p3"), 2).alias("mean_pred"), _r(F.avg("Sales"), 2).alias("mean_actual"),
-                 _r(F.stddev_samp("p3"), 0).alias("sd_pred"), _r(F.stddev_samp("Sales"), 0).alias("sd_actual"),
-                 _r(F.percentile("p3", 0.5), 2).alias("median_pred"),
-                 _r(F.percentile("Sales", 0.5), 2).alias("median_actual"))
+    """Error and seven-number summaries of predicted and actual sales, all days and August-September."""
+    rows = _holdout_subsets(spark, sf)
+    err = rows.groupBy("subset").agg(_r(M.rmspe("p3", "Sales"), 6).alias("rmspe"), F.count(F.lit(1)).alias("n"))
+    s = stats.six_number_summary(rows, ["Sales", "p3"], "subset").join(err, "subset")
+    return s.select("subset", "series", "rmspe", "n", *[_r(c).alias(c) for c in _SIX])
 
 
 def flagship(spark, sf):

@@ -195,12 +195,11 @@ SELECT Store, CAST(sum(OpenRaw) AS BIGINT) AS open_raw,
 FROM raw GROUP BY Store""")
 def cl7(spark, sf):
     t = panels.p1_train(spark, sf).withColumn("Open", F.when(F.col("DayOfWeek") == 7, 0).otherwise(1))
-    j = clean.open_rule_sales(t).select("Store", "Date", F.col("Open").alias("OJ"))
-    v = clean.open_rule_sales_or_customers(t).select("Store", "Date", F.col("Open").alias("OV"))
-    both = t.join(j, ["Store", "Date"]).join(v, ["Store", "Date"])
-    return both.groupBy("Store").agg(F.sum("Open").cast("long").alias("open_raw"),
-                                     F.sum("OJ").cast("long").alias("open_rule_j"),
-                                     F.sum("OV").cast("long").alias("open_rule_v"))
+    t = clean.open_rule_sales(t.withColumn("OJ", F.col("Open")), "OJ")
+    t = clean.open_rule_sales_or_customers(t.withColumn("OV", F.col("Open")), "OV")
+    return t.groupBy("Store").agg(F.sum("Open").cast("long").alias("open_raw"),
+                                  F.sum("OJ").cast("long").alias("open_rule_j"),
+                                  F.sum("OV").cast("long").alias("open_rule_v"))
 
 
 def _null_sql(kind):

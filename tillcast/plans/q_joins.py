@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import scalars as S
+from ..functions.metrics import exact_sum
 from ..operators import joins, reshape, stats
 from ..sources import panels
 from ..sources.panels import P1_SQL, STORE_SQL, WEATHER_SQL, sql_with
@@ -31,13 +32,15 @@ def jn2(spark, sf):
 
 
 @register("jn3_full_outer_join", _P1S + """,
-a AS (SELECT Store, round(sum(Sales), 2) AS total FROM train WHERE Store < 20 GROUP BY Store),
-b AS (SELECT Store, StoreType FROM store WHERE Store > 5)
+a AS (SELECT o_custkey AS Store, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey),
+b AS (SELECT c_custkey AS Store, c_mktsegment AS StoreType FROM customer)
 SELECT Store, a.total, b.StoreType FROM a FULL OUTER JOIN b USING (Store)""")
 def jn3(spark, sf):
-    t = panels.p1_train(spark, sf).filter(F.col("Store") < 20)
-    a = t.groupBy("Store").agg(F.round(F.sum("Sales"), 2).alias("total"))
-    b = panels.store_table(spark, sf).filter(F.col("Store") > 5).select("Store", "StoreType")
+    """Every customer with or without orders (either side may lack the key)."""
+    from ..sources.tables import read
+    o = read(spark, sf, "orders", "o_custkey", "o_totalprice").withColumnRenamed("o_custkey", "Store")
+    a = o.groupBy("Store").agg(exact_sum("o_totalprice").alias("total"))
+    b = read(spark, sf, "customer", "c_custkey", "c_mktsegment").toDF("Store", "StoreType")
     return joins.join_on(a, b, "Store", "full")
 
 
@@ -95,7 +98,7 @@ SELECT Store, CompetitionDistance, CAST(StoreType = 'b' AS INTEGER) AS StoreType
        CAST(StoreType = 'c' AS INTEGER) AS StoreType_c, CAST(StoreType = 'd' AS INTEGER) AS StoreType_d FROM store""")
 def jn8(spark, sf):
     s = panels.store_table(spark, sf).select("Store", "CompetitionDistance", "StoreType")
-    return reshape.one_hot(s, "StoreType").drop("StoreType")
+    return reshape.one_hot(s, "StoreType", panels.STORE_TYPES).drop("StoreType")
 
 
 _REL_SQL = """
@@ -107,8 +110,23 @@ rel AS (SELECT CAST(o_orderdate AS DATE) AS Released, CAST(count(*) AS DOUBLE) A
 SELECT t.Store, t.Date, r.Actual FROM train t ASOF LEFT JOIN rel r ON t.Date >= r.Released""")
 def jn9(spark, sf):
     t = panels.p1_train(spark, sf).select("Store", "Date")
-    _, last = panels.calendar_bounds(spark, sf)
-    return joins.asof_attach(t, panels.releases(spark, sf), "Released", ["Actual"], last_day=last)
+    return joins.asof_attach(t, panels.releases(spark, sf), "Released", ["Actual"])
+
+
+@register("jn9_asof_repeated_timestamps", """
+WITH obs AS (SELECT date_trunc('day', ts) AS d, ts, event_id, value FROM events WHERE event_type = 'purchase' AND day(ts) % 3 = 1),
+rel AS (SELECT d, arg_max(value, (ts, event_id)) AS Actual FROM obs GROUP BY d)
+SELECT l.l_orderkey, l.l_linenumber, CAST(l.l_shipdate AS DATE) AS Day, r.Actual
+FROM lineitem l ASOF LEFT JOIN rel r ON date_trunc('day', l.l_shipdate) >= r.d""")
+def jn9b(spark, sf):
+    """Many observations a day, by timestamp; detail rows long after the last one."""
+    from ..sources.tables import read
+    e = read(spark, sf, "events", "ts", "event_id", "event_type", "value")
+    obs = e.filter((F.col("event_type") == "purchase") & (F.dayofmonth("ts") % 3 == 1))
+    obs = obs.select(F.col("ts").alias("Released"), "event_id", F.col("value").alias("Actual"))
+    li = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate")
+    out = joins.asof_attach(li, obs, "Released", ["event_id", "Actual"], on="l_shipdate")
+    return out.select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("Day"), "Actual")
 
 
 @register("jn10_blend_by_id", _P1S + """,

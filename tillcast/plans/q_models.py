@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import metrics as M
-from ..operators import split
+from ..operators import split, stats
 from ..sources import panels
-from ..sources.panels import P1_SQL, sql_with
+from ..sources.panels import P1_SQL, STORE_SQL, WEATHER_SQL, sql_with
 from ..sources.tables import read
 from . import blend, features, models, ols, recursive
-from .forecast import HOLDOUT_SQL, HOLDOUT_START, fit_group_mean, holdout_frame, sales_train
+from .forecast import (BASE_LEARNERS, HOLDOUT_SQL, HOLDOUT_START, SIDE_LEARNERS, SIDES_SQL, fit_group_mean,
+                       holdout_frame, sales_train)
 
 _P1 = sql_with(P1_SQL)
 _HOLD = sql_with(P1_SQL, HOLDOUT_SQL)
@@ -142,15 +143,37 @@ def ml17(spark, sf):
     return h.select("Store", "Date", blend.weighted_blend(["p1", "p2", "p3"], [1, 2, 6]).alias("blend"))
 
 
-@register("ml19_blend_weight_grid", _HOLD + """,
-grid AS (SELECT a.i, b.j FROM range(0, 11) a(i), range(0, 11) b(j) WHERE a.i + b.j <= 10),
-h AS (SELECT * FROM hold WHERE Sales <> 0 AND p1 IS NOT NULL AND p2 IS NOT NULL AND p3 IS NOT NULL)
-SELECT (i - 5) / 10.0 AS w_p1, (j - 5) / 10.0 AS w_p2, (20 - i - j) / 10.0 AS w_p3,
-       round(sqrt(avg(power(((i - 5) / 10.0 * p1 + (j - 5) / 10.0 * p2 + (20 - i - j) / 10.0 * p3 - Sales) / Sales, 2))), 6) AS rmspe
-FROM grid, h GROUP BY i, j""")
+_SIDES = ["p1", "p2", "p4", "p5"]
+_GRID_ERR = "round(sqrt(greatest(avg(power(({mix} - Sales) / Sales, 2)), 0)), 6) AS rmspe"
+
+
+@register("ml19_blend_weight_grid", sql_with(P1_SQL, HOLDOUT_SQL, SIDES_SQL) + """,
+grid AS (SELECT i, j, k, l FROM range(0, 11) a(i), range(0, 11) b(j), range(0, 11) c(k), range(0, 11) d(l) WHERE i + j + k + l <= 10),
+w AS (SELECT (i - 5) / 10.0 AS w_p1, (j - 5) / 10.0 AS w_p2, (k - 5) / 10.0 AS w_p4, (l - 5) / 10.0 AS w_p5,
+             (30 - i - j - k - l) / 10.0 AS w_p3 FROM grid)
+SELECT w_p1, w_p2, w_p4, w_p5, w_p3, """ + _GRID_ERR.format(
+    mix="w_p1 * p1 + w_p2 * p2 + w_p4 * p4 + w_p5 * p5 + w_p3 * p3") + """
+FROM w, h GROUP BY ALL""")
 def ml19(spark, sf):
-    g = blend.grid_search(holdout_frame(spark, sf), ["p1", "p2"], "p3", "Sales", 10)
-    return g.withColumn("rmspe", F.round("rmspe", 6))
+    """1,001 weightings of four side models and the main one."""
+    h = holdout_frame(spark, sf, SIDE_LEARNERS | {"p3": BASE_LEARNERS["p3"]})
+    return blend.grid_search(h, _SIDES, "p3", "Sales", 10).withColumn("rmspe", F.round("rmspe", 6))
+
+
+@register("ml19_signed_weight_grid", sql_with(P1_SQL, HOLDOUT_SQL, SIDES_SQL) + """,
+e AS (SELECT p1 / Sales - 1 AS a, p2 / Sales - 1 AS b, p4 / Sales - 1 AS c, p5 / Sales - 1 AS d, p3 / Sales - 1 AS m FROM h),
+g AS (SELECT avg(a*a) aa, avg(a*b) ab, avg(a*c) ac, avg(a*d) ad, avg(a*m) am, avg(b*b) bb, avg(b*c) bc, avg(b*d) bd,
+             avg(b*m) bm, avg(c*c) cc, avg(c*d) cd, avg(c*m) cm, avg(d*d) dd, avg(d*m) dm, avg(m*m) mm FROM e),
+grid AS (SELECT i, j, k, l, 1 - i - j - k - l AS n FROM range(-6, 7) a(i), range(-6, 7) b(j), range(-6, 7) c(k), range(-6, 7) d(l)
+         WHERE abs(1 - i - j - k - l) <= 6)
+SELECT CAST(i AS INTEGER) AS w_p1, CAST(j AS INTEGER) AS w_p2, CAST(k AS INTEGER) AS w_p4, CAST(l AS INTEGER) AS w_p5,
+       CAST(n AS INTEGER) AS w_p3,
+       round(sqrt(greatest(i*i*aa + j*j*bb + k*k*cc + l*l*dd + n*n*mm + 2*(i*j*ab + i*k*ac + i*l*ad + i*n*am + j*k*bc + j*l*bd
+             + j*n*bm + k*l*cd + k*n*cm + l*n*dm), 0)), 5) AS rmspe FROM grid, g""")
+def ml19b(spark, sf):
+    """All signed whole weightings between -6 and 6 that sum to 1."""
+    h = holdout_frame(spark, sf, SIDE_LEARNERS | {"p3": BASE_LEARNERS["p3"]})
+    return blend.signed_grid_search(h, _SIDES, "p3", "Sales", 6).withColumn("rmspe", F.round("rmspe", 5))
 
 
 @register("ml20_two_fold_stack_group_means", _P1 + f""",
@@ -178,36 +201,68 @@ def ml20(spark, sf):
     return oof.unionByName(full)
 
 
+_STACK_SQL = _P1 + f""",
+st AS (SELECT *, CAST(dayofyear(Date) % 2 AS INTEGER) AS parity FROM train WHERE Sales > 0),
+fa AS (SELECT Store, Promo, DayOfWeek, round(sum(Sales), 2) / count(Sales) AS p FROM st WHERE parity = 0 AND Date < DATE '{HOLDOUT_START}' GROUP BY ALL),
+fb AS (SELECT Store, Promo, DayOfWeek, round(sum(Sales), 2) / count(Sales) AS p FROM st WHERE parity = 1 AND Date < DATE '{HOLDOUT_START}' GROUP BY ALL),
+fl AS (SELECT Store, Promo, DayOfWeek, round(sum(Sales), 2) / count(Sales) AS p FROM st WHERE Date < DATE '{HOLDOUT_START}' GROUP BY ALL),
+ab AS (SELECT s.*, CASE WHEN s.Date >= DATE '{HOLDOUT_START}' THEN fl.p WHEN s.parity = 0 THEN fb.p ELSE fa.p END AS trainAB
+       FROM st s LEFT JOIN fa USING (Store, Promo, DayOfWeek) LEFT JOIN fb USING (Store, Promo, DayOfWeek)
+                 LEFT JOIN fl USING (Store, Promo, DayOfWeek)),
+lg AS (SELECT *, ln(Sales) AS y, ln(trainAB) AS x FROM ab WHERE trainAB > 0),
+lv AS (SELECT Store, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM lg
+       WHERE Date < DATE '{HOLDOUT_START}' GROUP BY Store HAVING regr_sxx(y, x) > 0)
+SELECT lg.Store, lg.Date, round(exp(intercept + slope * x), 2) AS pred
+FROM lg JOIN lv USING (Store) WHERE Date >= DATE '{HOLDOUT_START}'"""
+
+
+@register("ml20_second_level_regression", _STACK_SQL)
+def ml20c(spark, sf):
+    """Second level: a regression per store on the out-of-fold feature, scored where the full model gave it."""
+    t = sales_train(spark, sf).select("Store", "Date", "Sales")
+    lg = t.join(ml20(spark, sf), ["Store", "Date"]).filter(F.col("trainAB") > 0).select(
+        "Store", "Date", F.ln("Sales").alias("y"), F.ln("trainAB").alias("x"))
+    cut = F.lit(HOLDOUT_START).cast("date")
+    final = ols.fit_one_feature(lg.filter(F.col("Date") < cut), "x", "y").filter(F.col("slope").isNotNull())
+    scored = lg.filter(F.col("Date") >= cut).join(final, "Store")
+    return scored.select("Store", "Date", F.round(F.exp(F.col("intercept") + F.col("slope") * F.col("x")), 2).alias("pred"))
+
+
+_LAGS, _HORIZON = 21, 48  # as in the reference's day-by-day forecast
+_SUM = " + ".join(f"vals[{i}]" for i in range(1, _LAGS + 1))
 _REC_SQL = _P1 + f""",
 h AS (SELECT Store, Sales, row_number() OVER (PARTITION BY Store ORDER BY Date DESC) AS k FROM train),
-s0 AS (SELECT Store, list(Sales ORDER BY k DESC) AS vals FROM h WHERE k <= 7 GROUP BY Store),
+s0 AS (SELECT Store, list(Sales ORDER BY k DESC) AS vals FROM h WHERE k <= {_LAGS} GROUP BY Store),
 rec AS (SELECT Store, 0 AS step, vals, CAST(NULL AS DOUBLE) AS pred FROM s0
         UNION ALL
-        SELECT Store, step + 1, list_append(vals[2:7], (vals[1] + vals[2] + vals[3] + vals[4] + vals[5] + vals[6] + vals[7]) / 7),
-               (vals[1] + vals[2] + vals[3] + vals[4] + vals[5] + vals[6] + vals[7]) / 7
-        FROM rec WHERE step < 14)
+        SELECT Store, step + 1, list_append(vals[2:{_LAGS}], ({_SUM}) / {_LAGS}), ({_SUM}) / {_LAGS}
+        FROM rec WHERE step < {_HORIZON})
 SELECT Store, step, round(pred, 4) AS pred FROM rec WHERE step > 0"""
 
 
 @register("ml22_recursive_moving_average", _REC_SQL.replace("WITH ", "WITH RECURSIVE ", 1))
 def ml22(spark, sf):
-    state = recursive.last_values(panels.p1_train(spark, sf), "Sales", 7)
-    out = recursive.moving_average_forecast(state, 14, 7)
+    state = recursive.last_values(panels.p1_train(spark, sf), "Sales", _LAGS)
+    out = recursive.moving_average_forecast(state, _HORIZON, _LAGS)
     return out.select("Store", F.col("step").cast("int").alias("step"), F.round("pred", 4).alias("pred"))
 
 
 @register("ml22_recursive_model_forecast")
 def ml22b(spark, sf):
-    """Linear model on seven lags, rolled forward 14 days with checkpoints."""
+    """Linear model of log sales on 21 lags and the day's own promo, weekday and opening, rolled forward 48 days."""
     from ..operators import windows
-    lags = [f"Sales_lag{k}" for k in range(1, 8)]
-    t = windows.shift_cols(panels.p1_train(spark, sf).select("Store", "Date", "Sales"), ["Sales"], list(range(1, 8)))
-    t = t.dropna()
-    asm = models.assembler(lags)
-    lr = LinearRegression(featuresCol="features", labelCol="Sales", regParam=0.0)
-    model = lr.fit(asm.transform(t))
-    state = recursive.last_values(t, "Sales", 7)
-    out = recursive.model_forecast(state, model, lags, 14, assemble=asm.transform)
+    lags = [f"Sales_lag{k}" for k in range(1, _LAGS + 1)]
+    own = ["Promo", "DayOfWeek", "Open"]
+    t = panels.p1_train(spark, sf).select("Store", "Date", "Sales", *own)
+    rows = windows.shift_cols(t, ["Sales"], list(range(1, _LAGS + 1))).dropna().withColumn("y", F.log1p("Sales"))
+    asm = models.assembler(lags + own)
+    model = LinearRegression(featuresCol="features", labelCol="y", regParam=0.0).fit(asm.transform(rows))
+    state = recursive.last_values(t, "Sales", _LAGS)
+    first = F.lit(panels.TEST_START).cast("date")
+    days = panels.p1_test(spark, sf).fillna({"Open": 1}).select(
+        "Store", (F.datediff("Date", first) + 1).alias("step"), *own)
+    out = recursive.model_forecast(state, model, lags, _HORIZON, assemble=asm.transform, daily=days,
+                                   inverse=lambda p: F.greatest(F.expm1(p), F.lit(0.0)))
     return out.select("Store", F.col("step").cast("int").alias("step"), F.round("pred", 2).alias("pred"))
 
 
@@ -216,7 +271,7 @@ def ml22b(spark, sf):
 def _train_valid(spark, sf):
     df = models.model_frame(spark, sf)
     cut = F.lit(HOLDOUT_START).cast("date")
-    return models.sized_for_training(df.filter(F.col("Date") < cut)), df.filter(F.col("Date") >= cut)
+    return models.training_input(df.filter(F.col("Date") < cut)), df.filter(F.col("Date") >= cut)
 
 
 def _scored(model, df, name="pred"):
@@ -274,21 +329,21 @@ def ml14(spark, sf):
 
 @register("ml15_refit_on_all_rows")
 def ml15(spark, sf):
-    fit, valid = _train_valid(spark, sf)
-    all_rows = fit.unionByName(valid)
-    m = models.boosted(models.NUMERIC_FEATURES, iters=8, depth=5).fit(all_rows)
-    test = models.model_frame(spark, sf, include_test=True).filter(F.col("Id").isNotNull())
-    p = models.predict_sales(m, test, ["Id"], "Sales")
+    """Target means and model fitted again on all training rows, then the forecast rows scored."""
+    frame = models.model_frame(spark, sf, include_test=True, fit_before=None)
+    m = models.boosted(models.NUMERIC_FEATURES, iters=8, depth=5).fit(
+        models.training_input(frame.filter(F.col("Id").isNull())))
+    p = models.predict_sales(m, frame.filter(F.col("Id").isNotNull()), ["Id"], "Sales")
     return p.select("Id", F.round("Sales", 2).alias("Sales"))
 
 
 @register("ml16_feature_subset_models")
 def ml16(spark, sf):
+    """Four strided subsets of the ranked features (two best and every fourth), and the two alternating halves."""
     fit, valid = _train_valid(spark, sf)
     full = models.boosted(models.NUMERIC_FEATURES, iters=6, depth=5).fit(fit)
-    ranked_names = models.top_features(models.importance(spark, full, models.NUMERIC_FEATURES),
-                                       len(models.NUMERIC_FEATURES))
-    subsets = {"a": models.strided(ranked_names), "b": ranked_names[::2]}
+    names = models.top_features(models.importance(spark, full, models.NUMERIC_FEATURES), len(models.NUMERIC_FEATURES))
+    subsets = {s: models.strided(names, start=3 + i) for i, s in enumerate("abcd")} | {"e": names[::2], "f": names[1::2]}
     out = None
     for name, feats in subsets.items():
         m = models.boosted(feats, iters=6, depth=5).fit(fit)
@@ -299,27 +354,32 @@ def ml16(spark, sf):
 
 @register("ml18_seed_average")
 def ml18(spark, sf):
+    """Mean of two boosted runs that differ in their seed."""
     fit, valid = _train_valid(spark, sf)
-    a = _scored(models.forest(models.NUMERIC_FEATURES, trees=6, depth=8, seed=1).fit(fit), valid, "p_a")
-    b = _scored(models.forest(models.NUMERIC_FEATURES, trees=6, depth=8, seed=2).fit(fit), valid, "p_b")
-    j = a.join(b, ["Store", "Date"])
+    runs = [_scored(models.boosted(models.NUMERIC_FEATURES, iters=10, depth=6, seed=seed).fit(fit), valid, name)
+            for seed, name in ((1, "p_a"), (2, "p_b"))]
+    j = runs[0].join(runs[1], ["Store", "Date"])
     return j.select("Store", "Date", F.round((F.col("p_a") + F.col("p_b")) / 2, 2).alias("pred"))
 
 
 @register("ml20_two_fold_stack_models")
 def ml20b(spark, sf):
+    """Boosted first level by halves, its out-of-fold scores a feature of the boosted second level."""
     fit, valid = _train_valid(spark, sf)
     fit = fit.withColumn("parity", (F.col("day_of_year") % 2).cast("int"))
-    feats = models.NUMERIC_FEATURES
+    feats, keys = models.NUMERIC_FEATURES, ["Store", "Date"]
 
     def fit_fn(df):
         return models.boosted(feats, iters=5, depth=4).fit(df)
 
     def score_fn(model, df, name):
-        return models.predict_sales(model, df, ["Store", "Date"], name)
+        return models.predict_sales(model, df, keys, name)
 
     oof = models.two_fold_stack(fit, F.col("parity") == 0, F.col("parity") == 1, fit_fn, score_fn)
-    return oof.select("Store", "Date", F.round("trainAB", 2).alias("trainAB"))
+    second = models.training_input(fit.join(oof, keys).withColumn("trainAB", F.log1p("trainAB")))
+    final = models.boosted([*feats, "trainAB"], iters=5, depth=4).fit(second)
+    later = valid.join(score_fn(fit_fn(fit), valid, "trainAB"), keys).withColumn("trainAB", F.log1p("trainAB"))
+    return _scored(final, later)
 
 
 @register("ml21_kfold_oof_logloss")
@@ -379,34 +439,134 @@ def ag16b(spark, sf):
     fit, valid = _train_valid(spark, sf)
     m = models.boosted(models.NUMERIC_FEATURES, iters=8, depth=5).fit(fit)
     met = regression_metrics(m.transform(valid), models.LABEL)
-    scored = m.transform(valid)
-    return scored.agg(F.count(F.lit(1)).cast("long").alias("n")).select(
-        "n", *[F.round(F.lit(v), 5).alias(k) for k, v in met.items()])
+    return met.select("n", *[F.round(c, 5).alias(c) for c in met.columns if c != "n"])
 
 
-@register("rs3_category_indexer_unseen")
+@register("rs3_category_indexer_unseen", _P1 + """,
+lv AS (SELECT StateHoliday, dense_rank() OVER (ORDER BY StateHoliday) - 1 AS i
+       FROM (SELECT DISTINCT StateHoliday FROM train WHERE StateHoliday IS NOT NULL AND StateHoliday <> 'c'))
+SELECT Id, CAST(coalesce(i, (SELECT count(*) FROM lv)) AS DOUBLE) AS StateHoliday_idx
+FROM (SELECT Id, coalesce(StateHoliday, '0') AS StateHoliday FROM test) LEFT JOIN lv USING (StateHoliday)""")
 def rs3(spark, sf):
+    """Levels of the training rows but one, so that the forecast rows hold an unseen level."""
     tr, te = panels.p1_train(spark, sf), panels.p1_test(spark, sf)
-    ind = models.category_indexer("StateHoliday").fit(tr.filter(F.col("Date") < F.lit("1996-01-01").cast("date")))
+    ind = models.category_indexer("StateHoliday").fit(tr.filter(F.col("StateHoliday") != "c"))
     return ind.transform(te.fillna({"StateHoliday": "0"})).select("Id", "StateHoliday_idx")
 
 
-@register("rs7_feature_vector_assembly")
+_FRAME_SQL = sql_with(P1_SQL, STORE_SQL) + f""",
+st AS (SELECT *, CAST(month(Date) AS INTEGER) AS month FROM train WHERE Sales > 0),
+fit AS (SELECT * FROM st WHERE Date < DATE '{HOLDOUT_START}'),
+m1 AS (SELECT Store, Promo, round(sum(Sales), 2) / count(Sales) AS Sales_all_avg FROM fit GROUP BY ALL),
+m2 AS (SELECT Store, Promo, month, round(sum(Sales), 2) / count(Sales) AS Sales_month_avg FROM fit GROUP BY ALL),
+m3 AS (SELECT Store, Promo, DayOfWeek, round(sum(Sales), 2) / count(Sales) AS Sales_day_avg FROM fit GROUP BY ALL),
+fr AS (SELECT st.Store, st.Date, DayOfWeek, Promo, SchoolHoliday, year(st.Date) AS year, st.month, day(st.Date) AS day,
+              dayofyear(st.Date) AS day_of_year, ceil(dayofyear(st.Date) / 7.0) AS weeknum,
+              CASE StoreType WHEN 'a' THEN 1 WHEN 'b' THEN 2 WHEN 'c' THEN 3 WHEN 'd' THEN 4 END AS StoreType_o,
+              CASE Assortment WHEN 'a' THEN 1 WHEN 'b' THEN 2 WHEN 'c' THEN 3 WHEN 'd' THEN 4 END AS Assortment_o,
+              coalesce(CompetitionDistance, 75000.0) AS CompetitionDistance, Promo2,
+              CASE PromoInterval WHEN 'Jan,Apr,Jul,Oct' THEN 1 WHEN 'Feb,May,Aug,Nov' THEN 2
+                                 WHEN 'Mar,Jun,Sept,Dec' THEN 3 ELSE 0 END AS PromoInterval_c,
+              Sales_all_avg, Sales_month_avg, Sales_day_avg
+       FROM st JOIN store USING (Store) LEFT JOIN m1 USING (Store, Promo) LEFT JOIN m2 USING (Store, Promo, month)
+               LEFT JOIN m3 USING (Store, Promo, DayOfWeek))"""
+
+
+@register("rs7_feature_vector_assembly", _FRAME_SQL + "\nSELECT Store, Date, " + ", ".join(
+    f"CAST(coalesce({c}, 'nan') AS DOUBLE) AS f{i}" if c.startswith("Sales_") else f"CAST({c} AS DOUBLE) AS f{i}"
+    for i, c in enumerate(models.NUMERIC_FEATURES)) + " FROM fr")
 def rs7(spark, sf):
-    df = models.model_frame(spark, sf)
-    v = models.assembler(models.NUMERIC_FEATURES).transform(df)
-    return v.select("Store", "Date", F.size(vector_to_array("features")).alias("n_features"))
+    """Every element of the assembled vector (missing values are kept as NaN)."""
+    v = models.assembler(models.NUMERIC_FEATURES).transform(models.model_frame(spark, sf))
+    v = v.select("Store", "Date", vector_to_array("features").alias("v"))
+    return v.select("Store", "Date", *[F.get("v", F.lit(i)).alias(f"f{i}") for i in range(len(models.NUMERIC_FEATURES))])
 
 
-@register("pf18_attach_predictions_by_key")
+@register("pf18_attach_predictions_by_key", _OLS_SQL + """
+SELECT o.Store, o.Date, o.Sales, round(sc.pred, 2) AS pred FROM o LEFT JOIN sc USING (Store, Date)""")
 def pf18(spark, sf):
-    fit, valid = _train_valid(spark, sf)
-    m = models.forest(models.NUMERIC_FEATURES, trees=4, depth=6).fit(fit)
-    return models.predict_sales(m, valid, ["Store", "Date", "Sales"], "pred").select(
+    """Predictions joined to the rows by key (the reference binds them by position)."""
+    _, scored = _ols_scored(spark, sf)
+    rows = panels.p1_train(spark, sf).filter(F.col("Sales") > 0).select("Store", "Date", "Sales")
+    return rows.join(scored.drop("Sales"), ["Store", "Date"], "left").select(
         "Store", "Date", "Sales", F.round("pred", 2).alias("pred"))
 
 
-@register("fe_feature_table")
+@register("ml11_per_store_ols_two_features", _P1 + """,
+o AS (SELECT Store, ln(Sales) AS y, CAST(Customers AS DOUBLE) AS a, CAST(DayOfWeek AS DOUBLE) AS b FROM train WHERE Sales > 0),
+m AS (SELECT Store, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb,
+             covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_ FROM o GROUP BY Store),
+c AS (SELECT Store, n, my, ma, mb, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ca,
+             (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM m)
+SELECT Store, n, round(my - ca * ma - cb * mb, 4) AS intercept, round(ca, 4) AS customers, round(cb, 4) AS weekday FROM c""")
+def ml11c(spark, sf):
+    o = panels.p1_train(spark, sf).filter(F.col("Sales") > 0).withColumn("y", F.ln("Sales"))
+    fitted = ols.fit_per_store(o, ["Customers", "DayOfWeek"], "y")
+    return fitted.select("Store", "n", *[F.round(F.get("coef", F.lit(i)), 4).alias(c)
+                                         for i, c in enumerate(("intercept", "customers", "weekday"))])
+
+
+@register("uf3_build_features", sql_with(P1_SQL, STORE_SQL) + """
+SELECT Id, t.Store, Date, coalesce(CompetitionDistance, 0.0) AS CompetitionDistance,
+       coalesce(CompetitionOpenSinceMonth, 0) AS CompetitionOpenSinceMonth,
+       coalesce(CompetitionOpenSinceYear, 0) AS CompetitionOpenSinceYear, coalesce(Open, 0) AS Open, Promo, Promo2,
+       coalesce(Promo2SinceWeek, 0) AS Promo2SinceWeek, coalesce(Promo2SinceYear, 0) AS Promo2SinceYear,
+       CAST(SchoolHoliday AS DOUBLE) AS SchoolHoliday,
+       CAST(CASE StateHoliday WHEN 'a' THEN 1 WHEN 'b' THEN 2 WHEN 'c' THEN 3 ELSE 0 END AS DOUBLE) AS StateHoliday,
+       DayOfWeek, CAST(month(Date) AS DOUBLE) AS month, CAST(day(Date) AS DOUBLE) AS day, CAST(year(Date) AS DOUBLE) AS year,
+       CAST(CASE StoreType WHEN 'a' THEN 1 WHEN 'b' THEN 2 WHEN 'c' THEN 3 WHEN 'd' THEN 4 END AS DOUBLE) AS StoreType,
+       CAST(CASE Assortment WHEN 'a' THEN 1 WHEN 'b' THEN 2 WHEN 'c' THEN 3 END AS DOUBLE) AS Assortment
+FROM test t JOIN store USING (Store)""")
+def uf3(spark, sf):
+    rows = panels.p1_test(spark, sf).join(panels.store_table(spark, sf), "Store")
+    names, out = models.build_features(rows)
+    return out.select("Id", "Date", *names)
+
+
+_FE_WINDOW = "OVER (PARTITION BY Store ORDER BY Date)"
+
+
+def _fe_sql():
+    """The feature table column by column, with explicit lag and lead chains."""
+    def shift(col, k):
+        return f"{'lag' if k > 0 else 'lead'}({col}, {abs(k)}) {_FE_WINDOW}"
+    banks = {"Open": features.OPEN_BANK, **features.WEATHER_BANKS}
+    bank_cols = ", ".join(f"{shift(c, k)} AS {c}_{'lag' if k > 0 else 'lead'}{abs(k)}" for c, ks in banks.items() for k in ks)
+    before = " AND ".join(f"{shift('Open', -k)} = 0" for k in range(1, 6))
+    after = " AND ".join(f"{shift('Open', k)} = 0" for k in range(1, 6))
+    days_before = " ".join(f"WHEN {shift('DayBeforeRefurb', -k)} = 1 THEN {k + 1}" for k in range(14, 0, -1))
+    days_after = " ".join(f"WHEN {shift('DayAfterRefurb', k)} = 1 THEN {k + 1}" for k in range(14, 0, -1))
+    means = ", ".join(f"round(sum(Sales) FILTER (type = 'train') OVER (PARTITION BY {', '.join(ks)}), 2) / "
+                      f"nullif(count(Sales) FILTER (type = 'train') OVER (PARTITION BY {', '.join(ks)}), 0) AS {name}"
+                      for ks, name in stats.TARGET_MEANS)
+    return sql_with(P1_SQL, STORE_SQL, WEATHER_SQL) + f""",
+rel AS (SELECT CAST(o_orderdate AS DATE) AS Released, CAST(count(*) AS DOUBLE) AS Actual FROM orders
+        WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' GROUP BY 1),
+un AS (SELECT NULL::INTEGER AS Id, Store, DayOfWeek, Date, Sales, Customers, Open, Promo, StateHoliday, SchoolHoliday, 'train' AS type FROM train
+       UNION ALL SELECT Id, Store, DayOfWeek, Date, NULL, NULL, coalesce(Open, 1), Promo, StateHoliday, SchoolHoliday, 'test' FROM test),
+cal AS (SELECT Id, Store, DayOfWeek, Date, Sales, Customers, CASE WHEN Sales = 0 THEN 0 ELSE Open END AS Open, Promo,
+               coalesce(StateHoliday, '0') AS StateHoliday, SchoolHoliday, type, CAST(year(Date) AS INTEGER) AS year,
+               CAST(month(Date) AS INTEGER) AS month, CAST(day(Date) AS INTEGER) AS day, CAST(dayofyear(Date) AS INTEGER) AS day_of_year,
+               CAST(quarter(Date) AS INTEGER) AS quarter, CAST(day(Date) = 1 AS INTEGER) AS is_month_start,
+               CAST(Date = last_day(Date) AS INTEGER) AS is_month_end,
+               CAST(Date = date_trunc('quarter', Date) AS INTEGER) AS is_quarter_start,
+               CAST(Date = CAST(date_trunc('quarter', Date) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS INTEGER) AS is_quarter_end,
+               CAST(ceil(dayofyear(Date) / 7.0) AS INTEGER) AS weeknum FROM un),
+j AS (SELECT cal.*, s.State, w.Mean_TemperatureC, w.Max_Wind_SpeedKm_h, w.Precipitationmm, w.Goog_trend, w.Events,
+             ta.Goog_trend_ALL
+      FROM cal JOIN store_states s USING (Store)
+           LEFT JOIN weather w ON w.State = CASE WHEN s.State = 'AS,MI' THEN 'MI' ELSE s.State END AND w.Date = cal.Date
+           LEFT JOIN trend_all ta ON ta.Date = cal.Date),
+ja AS (SELECT j.*, r.Actual FROM j ASOF LEFT JOIN rel r ON j.Date >= r.Released),
+f1 AS (SELECT *, {means}, CASE WHEN Promo = 1 AND lag(Promo, 1) {_FE_WINDOW} = 0 THEN 1 ELSE 0 END AS PromoFirstDate,
+              {bank_cols}, CASE WHEN Open = 1 AND {before} THEN 1 ELSE 0 END AS DayBeforeRefurb,
+              CASE WHEN Open = 1 AND {after} THEN 1 ELSE 0 END AS DayAfterRefurb FROM ja)
+SELECT *, CASE WHEN Promo = 1 AND lag(PromoFirstDate, 1) {_FE_WINDOW} = 1 THEN 1 ELSE 0 END AS PromoSecondDate,
+       CAST(CASE {days_before} WHEN DayBeforeRefurb = 1 THEN 1 ELSE 0 END AS INTEGER) AS DaysBeforeRefurb,
+       CAST(CASE {days_after} WHEN DayAfterRefurb = 1 THEN 1 ELSE 0 END AS INTEGER) AS DaysAfterRefurb FROM f1"""
+
+
+@register("fe_feature_table", _fe_sql())
 def fe(spark, sf):
-    """The whole feature table (rows-only: its pieces are checked one by one)."""
+    """The whole feature table, every column checked in one piece."""
     return features.feature_table(spark, sf)

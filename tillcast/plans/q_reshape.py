@@ -21,8 +21,8 @@ SELECT Store, CAST(StoreType = 'b' AS INTEGER) AS StoreType_b, CAST(StoreType =
        CAST(Assortment = 'c' AS INTEGER) AS Assortment_c FROM store""")
 def rs1(spark, sf):
     s = panels.store_table(spark, sf).select("Store", "StoreType", "Assortment")
-    s = reshape.one_hot(s, "StoreType")
-    return reshape.one_hot(s, "Assortment").drop("StoreType", "Assortment")
+    s = reshape.one_hot(s, "StoreType", panels.STORE_TYPES)
+    return reshape.one_hot(s, "Assortment", panels.ASSORTMENTS).drop("StoreType", "Assortment")
 
 
 @register("rs2_joint_label_codes", sql_with(P1_SQL) + """,
@@ -37,6 +37,9 @@ def rs2(spark, sf):
         "Id", F.col("StateHoliday_code").cast("int").alias("StateHoliday_code"))
 
 
+REPORT_YEARS = range(1990, 2010)  # the report's year columns
+
+
 def _wide_orders(spark, sf):
     """Wide report: one row per (country, series), one text column per year, '..' = missing."""
     o = read(spark, sf, "orders", "o_orderstatus", "o_orderpriority", "o_orderdate")
@@ -44,7 +47,7 @@ def _wide_orders(spark, sf):
     label = F.concat(F.year("o_orderdate").cast("string"), F.lit(" [YR"), F.year("o_orderdate").cast("string"),
                      F.lit("]"))
     g = (o.select(loc.alias("Country"), F.col("o_orderpriority").alias("SeriesCode"), label.alias("label"))
-          .groupBy("Country", "SeriesCode").pivot("label").agg(F.count(F.lit(1))))
+          .groupBy("Country", "SeriesCode").pivot("label", [f"{y} [YR{y}]" for y in REPORT_YEARS]).agg(F.count(F.lit(1))))
     years = [c for c in g.columns if c not in ("Country", "SeriesCode")]
     return g.select("Country", "SeriesCode", *[F.coalesce(F.col(c).cast("string"), F.lit("..")).alias(c)
                                                 for c in years])
@@ -53,7 +56,7 @@ def _wide_orders(spark, sf):
 @register("rs4_unpivot_years", """
 WITH o AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'DEU' WHEN 'O' THEN 'FRA' ELSE 'ITA' END AS Country,
                   o_orderpriority AS SeriesCode, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders),
-grid AS (SELECT * FROM (SELECT DISTINCT Country, SeriesCode FROM o) CROSS JOIN (SELECT DISTINCT year FROM o)),
+grid AS (SELECT Country, SeriesCode, CAST(y AS INTEGER) AS year FROM (SELECT DISTINCT Country, SeriesCode FROM o) CROSS JOIN range(1990, 2010) r(y)),
 c AS (SELECT Country, SeriesCode, year, CAST(count(*) AS DOUBLE) AS value FROM o GROUP BY ALL)
 SELECT g.Country, g.SeriesCode, g.year, c.value FROM grid g LEFT JOIN c USING (Country, SeriesCode, year)""")
 def rs4(spark, sf):

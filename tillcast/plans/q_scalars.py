@@ -14,20 +14,22 @@ from ..sources.tables import read
 
 _P1 = sql_with(P1_SQL)
 _P1S = sql_with(P1_SQL, STORE_SQL)
-_CAL = _P1 + ",\ncal AS (SELECT DISTINCT Date FROM p1)"
+# Calendar columns are computed for every order row, so their work grows with the table.
+_CAL = "WITH cal AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS Date FROM orders)"
 
 
-def _calendar(spark, sf):
-    return panels.p1_dense(spark, sf).select("Date").distinct()
+def _order_days(spark, sf):
+    return read(spark, sf, "orders", "o_orderkey", "o_orderdate").select(
+        "o_orderkey", F.to_date("o_orderdate").alias("Date"))
 
 
 @register("dt1_split_date_text", _CAL + """
-SELECT Date, CAST(split_part(strftime(Date, '%Y-%m-%d'), '-', 1) AS INTEGER) AS year,
+SELECT o_orderkey, Date, CAST(split_part(strftime(Date, '%Y-%m-%d'), '-', 1) AS INTEGER) AS year,
        CAST(split_part(strftime(Date, '%Y-%m-%d'), '-', 2) AS INTEGER) AS month,
        CAST(split_part(strftime(Date, '%Y-%m-%d'), '-', 3) AS INTEGER) AS day FROM cal""")
 def dt1(spark, sf):
     txt = F.date_format("Date", "yyyy-MM-dd")
-    return _calendar(spark, sf).select("Date", C.split_iso_text(txt, 0).alias("year"),
+    return _order_days(spark, sf).select("o_orderkey", "Date", C.split_iso_text(txt, 0).alias("year"),
                                        C.split_iso_text(txt, 1).alias("month"), C.split_iso_text(txt, 2).alias("day"))
 
 
@@ -40,47 +42,47 @@ def dt2(spark, sf):
     return o.select("o_orderkey", C.parse_date(txt, "yyyy-MM-dd").alias("parsed"))
 
 
-@register("dt3_day_of_year", _CAL + "\nSELECT Date, CAST(dayofyear(Date) AS INTEGER) AS day_of_year FROM cal")
+@register("dt3_day_of_year", _CAL + "\nSELECT o_orderkey, Date, CAST(dayofyear(Date) AS INTEGER) AS day_of_year FROM cal")
 def dt3(spark, sf):
-    return _calendar(spark, sf).select("Date", C.day_of_year("Date").alias("day_of_year"))
+    return _order_days(spark, sf).select("o_orderkey", "Date", C.day_of_year("Date").alias("day_of_year"))
 
 
-@register("dt4_quarter", _CAL + "\nSELECT Date, CAST(quarter(Date) AS INTEGER) AS quarter FROM cal")
+@register("dt4_quarter", _CAL + "\nSELECT o_orderkey, Date, CAST(quarter(Date) AS INTEGER) AS quarter FROM cal")
 def dt4(spark, sf):
-    return _calendar(spark, sf).select("Date", C.quarter("Date").alias("quarter"))
+    return _order_days(spark, sf).select("o_orderkey", "Date", C.quarter("Date").alias("quarter"))
 
 
 @register("dt5_month_start_end", _CAL + """
-SELECT Date, CAST(day(Date) = 1 AS INTEGER) AS is_month_start, CAST(Date = last_day(Date) AS INTEGER) AS is_month_end
+SELECT o_orderkey, Date, CAST(day(Date) = 1 AS INTEGER) AS is_month_start, CAST(Date = last_day(Date) AS INTEGER) AS is_month_end
 FROM cal""")
 def dt5(spark, sf):
-    return _calendar(spark, sf).select("Date", C.is_month_start("Date").alias("is_month_start"),
+    return _order_days(spark, sf).select("o_orderkey", "Date", C.is_month_start("Date").alias("is_month_start"),
                                        C.is_month_end("Date").alias("is_month_end"))
 
 
 @register("dt6_quarter_start_end", _CAL + """
-SELECT Date, CAST(Date = date_trunc('quarter', Date) AS INTEGER) AS is_quarter_start,
+SELECT o_orderkey, Date, CAST(Date = date_trunc('quarter', Date) AS INTEGER) AS is_quarter_start,
        CAST(Date = CAST(date_trunc('quarter', Date) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS INTEGER) AS is_quarter_end
 FROM cal""")
 def dt6(spark, sf):
-    return _calendar(spark, sf).select("Date", C.is_quarter_start("Date").alias("is_quarter_start"),
+    return _order_days(spark, sf).select("o_orderkey", "Date", C.is_quarter_start("Date").alias("is_quarter_start"),
                                        C.is_quarter_end("Date").alias("is_quarter_end"))
 
 
-@register("dt7_week_number", _CAL + "\nSELECT Date, CAST(ceil(dayofyear(Date) / 7.0) AS INTEGER) AS weeknum FROM cal")
+@register("dt7_week_number", _CAL + "\nSELECT o_orderkey, Date, CAST(ceil(dayofyear(Date) / 7.0) AS INTEGER) AS weeknum FROM cal")
 def dt7(spark, sf):
-    return _calendar(spark, sf).select("Date", C.week_number("Date").alias("weeknum"))
+    return _order_days(spark, sf).select("o_orderkey", "Date", C.week_number("Date").alias("weeknum"))
 
 
-@register("dt8_iso_week", _CAL + "\nSELECT Date, CAST(weekofyear(Date) AS INTEGER) AS week_of_year FROM cal")
+@register("dt8_iso_week", _CAL + "\nSELECT o_orderkey, Date, CAST(weekofyear(Date) AS INTEGER) AS week_of_year FROM cal")
 def dt8(spark, sf):
-    return _calendar(spark, sf).select("Date", C.iso_week("Date").alias("week_of_year"))
+    return _order_days(spark, sf).select("o_orderkey", "Date", C.iso_week("Date").alias("week_of_year"))
 
 
 @register("dt9_formatted_parts", _CAL + """
-SELECT Date, CAST(strftime(Date, '%y') AS INTEGER) AS yy, CAST(strftime(Date, '%m') AS INTEGER) AS mm FROM cal""")
+SELECT o_orderkey, Date, CAST(strftime(Date, '%y') AS INTEGER) AS yy, CAST(strftime(Date, '%m') AS INTEGER) AS mm FROM cal""")
 def dt9(spark, sf):
-    return _calendar(spark, sf).select("Date", C.two_digit_year("Date").alias("yy"),
+    return _order_days(spark, sf).select("o_orderkey", "Date", C.two_digit_year("Date").alias("yy"),
                                        C.two_digit_month("Date").alias("mm"))
 
 
@@ -94,9 +96,9 @@ def dt10(spark, sf):
                     .alias("competition_months"))
 
 
-@register("dt11_day_of_year_parity", _CAL + "\nSELECT Date, CAST(dayofyear(Date) % 2 AS INTEGER) AS parity FROM cal")
+@register("dt11_day_of_year_parity", _CAL + "\nSELECT o_orderkey, Date, CAST(dayofyear(Date) % 2 AS INTEGER) AS parity FROM cal")
 def dt11(spark, sf):
-    return _calendar(spark, sf).select("Date", C.parity(C.day_of_year("Date")).alias("parity"))
+    return _order_days(spark, sf).select("o_orderkey", "Date", C.parity(C.day_of_year("Date")).alias("parity"))
 
 
 @register("dt12_parse_release_formats", """

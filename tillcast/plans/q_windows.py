@@ -64,14 +64,25 @@ def wn4(spark, sf):
     return out.drop(*_WEATHER_BANK)
 
 
+_AIR_BANK = {c: list(range(1, 8)) + [-1, -2, -3] for c in ("Max_Wind_SpeedKm_h", "Precipitationmm")}
+
+
+@register("wn3_wind_rain_banks", sql_with(P1_SQL, STORE_SQL, WEATHER_SQL, WEATHER_PANEL_SQL)
+          + "\nSELECT Store, Date, " + ", ".join(_shift_sql(c, o) for c, o in _AIR_BANK.items()) + " FROM pw")
+def wn3w(spark, sf):
+    p = weather_for_panel(spark, sf, panels.p1_dense(spark, sf).select("Store", "Date"))
+    return windows.shift_cols(p.select("Store", "Date", *_AIR_BANK), list(_AIR_BANK), list(range(1, 8)) + [-1, -2, -3]).drop(
+        *_AIR_BANK)
+
+
 _W2 = "OVER (PARTITION BY Store ORDER BY Date, Seq)"
 
 
 @register("wn5_sparse_sales_lags", sql_with(P2_SQL)
-          + f"\nSELECT Store, Seq, {_shift_sql('Sales', [1, 2, 3], _W2)} FROM p2")
+          + f"\nSELECT Store, Seq, {_shift_sql('Sales', range(1, 22), _W2)} FROM p2")
 def wn5(spark, sf):
     p = panels.p2_sparse(spark, sf).select("Store", "Date", "Seq", "Sales")
-    return windows.shift_cols(p, ["Sales"], [1, 2, 3], order=["Date", "Seq"], blocked=True).drop("Date", "Sales")
+    return windows.shift_cols(p, ["Sales"], list(range(1, 22)), order=["Date", "Seq"], blocked=True).drop("Date", "Sales")
 
 
 _PROMO_SQL = _P1 + f""",
@@ -204,12 +215,13 @@ def so4(spark, sf):
 
 @register("so5_top_features", _BRAND_SQL + "\nSELECT variable, rank FROM rk WHERE rank <= 5")
 def so5(spark, sf):
-    r = ranking.ranked(panels.brand_revenue(spark, sf), "relative_importance", tie="variable")
-    return r.filter(F.col("rank") <= 5).select("variable", F.col("rank").cast("int").alias("rank"))
+    top = ranking.top_n(panels.brand_revenue(spark, sf), "relative_importance", 5, ascending=False, tie=["variable"])
+    return ranking.ranked(top, "relative_importance", tie="variable").select(
+        "variable", F.col("rank").cast("int").alias("rank"))
 
 
 @register("so6_strided_feature_subset", _BRAND_SQL + """
-SELECT variable, rank FROM rk WHERE rank <= 2 OR (rank >= 3 AND rank <= 100 AND (rank - 3) % 4 = 0)""")
+SELECT variable, rank FROM rk WHERE rank <= 2 OR (rank >= 3 AND (rank - 3) % 4 = 0)""")
 def so6(spark, sf):
     r = ranking.ranked(panels.brand_revenue(spark, sf), "relative_importance", tie="variable")
     return ranking.strided_subset(r).select("variable", F.col("rank").cast("int").alias("rank"))

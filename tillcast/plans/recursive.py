@@ -22,23 +22,21 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def last_values(df: DataFrame, value: str, n: int, store: str = "Store", order: str = "Date",
-                name: str = "state", buckets: int = 16) -> DataFrame:
+def last_values(df: DataFrame, value: str, n: int, store: str = "Store", order: Sequence[str] = ("Date",),
+                name: str = "state") -> DataFrame:
     """Per store, the last ``n`` values oldest first (a bounded array per store).
 
-    Exact two-phase top-n that never gives one task a whole store: first the
-    top n per (store, hash bucket of the order key) -- a hot store spreads
-    over ``buckets`` tasks -- then the top n of those <= buckets * n
-    candidates per store.
+    The rank filter is planned as a group limit before the shuffle, so each
+    task sends at most ``n`` rows of a store, however many it holds.  Give
+    ``order`` enough columns to tell a store's rows apart.
     """
-    bucket = F.pmod(F.hash(F.col(order)), F.lit(buckets))
-    w1 = Window.partitionBy(store, "__b").orderBy(F.col(order).desc())
-    cand = (df.select(store, order, value, bucket.alias("__b"))
-              .withColumn("__k", F.row_number().over(w1)).filter(F.col("__k") <= n))
-    w2 = Window.partitionBy(store).orderBy(F.col(order).desc())
-    tail = cand.withColumn("__k", F.row_number().over(w2)).filter(F.col("__k") <= n)
+    order = [order] if isinstance(order, str) else list(order)
+    w = Window.partitionBy(store).orderBy(*[F.col(c).desc() for c in order])
+    tail = (df.select(store, *order, value).withColumn("__k", F.row_number().over(w))
+              .filter(F.col("__k") <= n))
     return tail.groupBy(store).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias(name))
+        F.transform(F.sort_array(F.collect_list(F.struct(-F.col("__k"), F.col(value).alias("v")))),
+                    lambda s: s["v"]).alias(name))
 
 
 def moving_average_forecast(state: DataFrame, horizon: int, window: int, store: str = "Store",
@@ -60,22 +58,29 @@ def moving_average_forecast(state: DataFrame, horizon: int, window: int, store:
 
 def model_forecast(state: DataFrame, model: Transformer, lag_cols: Sequence[str], horizon: int,
                    store: str = "Store", state_col: str = "state", checkpoint_every: int = 5,
-                   assemble=None) -> DataFrame:
+                   assemble=None, daily: DataFrame | None = None, inverse=lambda p: p) -> DataFrame:
     """Day-by-day scoring: lag features from the state array, predict, roll.
 
+    ``daily`` (store, step, columns) gives each day's own features; stores
+    without a row for a step end there.  ``inverse`` turns a prediction back
+    into the value that the next days' lags hold.
+
     The state table has one row per store and carries the day's prediction,
     so each step scores the model once; it is checkpointed (reliably, into
     the shared checkpoint folder) so no step re-derives earlier ones.
     """
     n = len(lag_cols)
     cur = cut_lineage(state.select(store, state_col))
+    daily = None if daily is None else cut_lineage(daily)
     outs = []
     for step in range(1, horizon + 1):
         feats = cur.select(store, state_col,
                            *[F.col(state_col)[n - 1 - i].alias(c) for i, c in enumerate(lag_cols)])
+        if daily is not None:
+            feats = feats.join(daily.filter(F.col("step") == step).drop("step"), store)
         if assemble is not None:
             feats = assemble(feats)
-        scored = model.transform(feats).select(store, state_col, F.col("prediction").alias("pred"))
+        scored = model.transform(feats).select(store, state_col, inverse(F.col("prediction")).alias("pred"))
         cur = scored.select(store, F.slice(F.concat(state_col, F.array("pred")), 2, n).alias(state_col),
                             "pred", F.lit(step).alias("step"))
         if step % checkpoint_every == 0 or step == horizon:

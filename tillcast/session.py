@@ -9,6 +9,7 @@ cluster did not name one (tests, laptops).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         if master.startswith("local"):
             # local mode: executors live in the driver JVM (applies when this
             # call starts the JVM; a cluster sets its own executor memory)
-            builder = builder.config("spark.driver.memory", os.environ.get("TILLCAST_DRIVER_MEMORY", "16g"))
+            builder = builder.config("spark.driver.memory", os.environ.get("TILLCAST_DRIVER_MEMORY", "12g"))
     for k, v in SCALE_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
@@ -48,7 +49,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a local one only if unset."""
+    """Return the cluster's checkpoint folder; in local mode only, set a fresh one if unset.
+
+    On a cluster executors share no machine-local folder, so an unset
+    ``spark.checkpoint.dir`` is an error there.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -56,7 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        # Unset: only happens outside a cluster (tests); use a fresh folder.
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tillcast-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

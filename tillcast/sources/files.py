@@ -26,7 +26,8 @@ STORE_SCHEMA = ("Store INT, StoreType STRING, Assortment STRING, CompetitionDist
                 "CompetitionOpenSinceMonth INT, CompetitionOpenSinceYear INT, Promo2 INT, Promo2SinceWeek INT, "
                 "Promo2SinceYear INT, PromoInterval STRING")
 STATES_SCHEMA = "Store INT, State STRING"
-TREND_SCHEMA = "Date DATE, Goog_trend INT"
+TREND_SCHEMA = "Date DATE, Goog_trend INT"  # country file
+STATE_TREND_SCHEMA = "Date DATE, State STRING, Goog_trend INT"  # one file per state
 INDICATOR_SCHEMA = ("LOCATION STRING, INDICATOR STRING, SUBJECT STRING, MEASURE STRING, FREQUENCY STRING, "
                     "TIME STRING, Value DOUBLE, `Flag Codes` STRING")
 RELEASE_SCHEMA = "DateTime STRING, Actual DOUBLE, Consensus DOUBLE, Previous DOUBLE, Revised DOUBLE"
@@ -36,9 +37,13 @@ INDEX_COLUMNS = ("Unnamed: 0", "V1", "_c0")
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = ",",
              header: bool = True) -> DataFrame:
-    """Header CSV with a declared schema; empty fields are NULL (IO1, IO2, IO4)."""
+    """Header CSV with a declared schema; empty fields are NULL (IO1, IO2, IO4).
+
+    Fails on a header that differs from the schema and on rows that do not
+    fit it, instead of turning them into NULLs.
+    """
     return (spark.read.schema(schema).option("header", header).option("sep", sep)
-            .option("mode", "PERMISSIVE").csv(path))
+            .option("enforceSchema", not header).option("mode", "FAILFAST").csv(path))
 
 
 def read_keyed_files(spark: SparkSession, pattern: str, schema: str, key: str = "State", sep: str = ";",
@@ -46,9 +51,12 @@ def read_keyed_files(spark: SparkSession, pattern: str, schema: str, key: str =
     """One scan of many files; ``key`` = file name without extension (IO3).
 
     ``restore`` maps a file key back to the code used in the data (a
-    compound code stored under one of its parts).
+    compound code stored under one of its parts).  Files that carry the key
+    as a column of ``schema`` keep that column instead.
     """
     df = read_csv(spark, pattern, schema, sep=sep)
+    if key in df.columns:
+        return df
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1)
     out = df.withColumn(key, name)
     for file_key, code in (restore or {}).items():
@@ -111,16 +119,11 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def read_feature_list(spark: SparkSession, path: str, column: str = "variable", limit: int | None = None,
-                      max_names: int = 10000) -> list[str]:
-    """Names from a saved importance table, in file order (IO11); bounded list."""
+def read_feature_list(spark: SparkSession, path: str, column: str = "variable", limit: int | None = None) -> list[str]:
+    """Names from a saved importance table, in file order (IO11): one per feature of a model."""
     df = spark.read.option("header", True).csv(path).select(column, F.monotonically_increasing_id().alias("__i"))
     df = df.orderBy("__i")
-    n = max_names + 1 if limit is None else limit
-    names = [r[0] for r in df.limit(n).collect()]
-    if limit is None and len(names) > max_names:
-        raise ValueError("feature list larger than expected")
-    return names
+    return [r[0] for r in (df if limit is None else df.limit(limit)).collect()]
 
 
 def drop_index_columns(df: DataFrame) -> DataFrame:

@@ -32,6 +32,9 @@ TEST_START = "2001-06-01"
 GAP_STORE = 7
 # The competition-promo month lists used by the store table.
 PROMO_INTERVALS = ("Jan,Apr,Jul,Oct", "Feb,May,Aug,Nov", "Mar,Jun,Sept,Dec")
+# The levels of the store table's two codes.
+STORE_TYPES = ("a", "b", "c", "d")
+ASSORTMENTS = ("a", "b", "c")
 # Fixed value: a compound state code, read from the file of its second part.
 COMPOUND_STATE = "AS,MI"
 
@@ -68,18 +71,6 @@ def calendar_bounds(spark: SparkSession, sf_dir: str):
             o.select(F.max(F.to_date("o_orderdate"))).scalar())
 
 
-def calendar_days(spark: SparkSession, sf_dir: str) -> int:
-    """Number of days in the order calendar (one tiny aggregate)."""
-    o = read(spark, sf_dir, "orders", "o_orderdate")
-    row = o.agg(F.datediff(F.max(F.to_date("o_orderdate")), F.min(F.to_date("o_orderdate")))).first()
-    return 0 if row[0] is None else int(row[0]) + 1
-
-
-def state_count(spark: SparkSession, sf_dir: str) -> int:
-    """Distinct state codes of the weather series (regions: a fixed, tiny table)."""
-    return int(read(spark, sf_dir, "region", "r_name").agg(F.count_distinct(state_code(F.col("r_name")))).first()[0])
-
-
 def p1_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (nation, day) between the first and last order day."""
     lo, hi = calendar_bounds(spark, sf_dir)
