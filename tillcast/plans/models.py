@@ -91,7 +91,9 @@ def training_input(df: DataFrame, keys: Sequence[str] = ("Store", "Date")) -> Da
     The frame is kept in the shared checkpoint folder, so it needs no cache to
     release and a lost executor does not rebuild the features.
     """
-    return cut_lineage(df.repartition(*keys))
+    # a stated number, which adaptive execution does not merge: each fitting pass runs on all of them
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartition(n, *keys))
 
 
 def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
