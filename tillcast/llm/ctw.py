@@ -30,8 +30,8 @@ from __future__ import annotations
 import math
 import os
 import uuid
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -53,6 +53,11 @@ SCORES = ("doc_id BIGINT, held_out BOOLEAN, n_tokens BIGINT, n_known BIGINT, tra
           "base_score DOUBLE, score DOUBLE, n_bytes BIGINT")
 
 
+SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                    ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
+                    ("n_bytes", pa.int64())])
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder (compressed, survives lost executors)."""
     spark = df.sparkSession
@@ -63,9 +68,52 @@ def stored(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- blocks
 
-def words_of(text: bytes) -> list[bytes]:
-    """Lower-cased (A-Z) words between ASCII white space."""
-    return text.lower().split()
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# Words are told apart by 128 bits: two polynomial hashes modulo 2^64.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each base, its powers and those of its inverse, up to ``n``."""
+    def run(x: int) -> np.ndarray:
+        steps = np.full(n, x, dtype=np.uint64)
+        steps[0] = 1
+        return np.multiply.accumulate(steps)
+    return [(run(b), run(pow(b, -1, 1 << 64))) for b in _BASES]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first hash, second hash) of each lower-cased (A-Z) word between ASCII white space, and words per text."""
+    data = np.frombuffer(b" ".join([b"", *texts, b""]).lower(), dtype=np.uint8)
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    first, stop = edge[::2], edge[1::2]
+    lengths = np.array([len(t) + 1 for t in texts])
+    words = np.diff(np.searchsorted(first, np.concatenate([[0], 1 + np.cumsum(lengths)])))
+    value = data.astype(np.uint64) + np.uint64(1)
+    powers = _powers(max(1 << 21, 1 << len(data).bit_length()))
+    found = []
+    for up, down in powers:
+        total = np.concatenate([[np.uint64(0)], np.cumsum(value * up[:len(value)], dtype=np.uint64)])
+        found.append(((total[stop] - total[first]) * down[first]).view(np.int64))
+    return found[0], found[1], words
+
+
+def distinct_words(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first hash, second hash) of the distinct words in order, and each word's place among them (32 bits)."""
+    order = np.argsort(h1)
+    a, b = h1[order], h2[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = a[1:] != a[:-1]
+    if np.any((b[1:] != b[:-1]) & ~new[1:]):  # equal first hashes: order by both
+        order = np.lexsort((h2, h1))
+        a, b = h1[order], h2[order]
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    place = np.empty(len(a), dtype=np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return a[new], b[new], place
 
 
 def sequence_keys(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -74,13 +122,14 @@ def sequence_keys(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, n
     parts = [pad + t + END for t in texts]
     data = np.frombuffer(b"".join(parts), dtype=np.uint8)
     lengths = np.array([len(p) for p in parts])
-    key = np.zeros(len(data), dtype=np.int64)
-    for back in range(depth, -1, -1):
-        key[depth:] = key[depth:] << 8 | data[depth - back:len(data) - back]
+    key = data[:-depth].astype(np.int64)
+    for back in range(depth - 1, -1, -1):
+        key <<= 8
+        key |= data[depth - back:len(data) - back]
     firsts = np.cumsum(lengths) - lengths
-    real = np.ones(len(data), dtype=bool)
-    for i in range(depth):
-        real[firsts + i] = False
+    real = np.ones(len(key), dtype=bool)
+    for i in range(depth):  # positions that stand in the next text's padding
+        real[firsts[1:] - depth + i] = False
     return key[real], firsts - depth * np.arange(len(parts))
 
 
@@ -113,60 +162,82 @@ def unpacked(payload: bytes) -> Iterator[pa.RecordBatch]:
         yield from slices(batch, 512)
 
 
+def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each occurs (or their summed weights)."""
+    order = None if weights is None else np.argsort(keys, kind="stable")
+    ordered = np.sort(keys) if order is None else keys[order]
+    at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    if weights is None:
+        return ordered[at], np.diff(np.append(at, len(ordered)))
+    return ordered[at], np.add.reduceat(weights[order], at) if len(at) else np.zeros(0, np.int64)
+
+
 class BlockCounts:
     """Distinct words and byte sequences of a block with their training counts."""
 
+    HELD = 2_000_000  # byte positions held before they are reduced to counts
+
     def __init__(self):
-        self.words: Counter = Counter()
-        self.keys: dict = {}
-        self.parts: list[pd.Series] = []
+        self.words: list[tuple] = []  # distinct words of some texts (both hashes) and their counts
+        self.raw: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
 
     def add(self, texts: list[bytes], train: list[bool]) -> None:
-        for t, learn in zip(texts, train, strict=True):
-            found = words_of(t)
-            if learn:
-                self.words.update(found)
-            else:
-                self.words.update(dict.fromkeys(found, 0))
+        h1, h2, n = word_hashes(texts)
+        a, b, place = distinct_words(h1, h2)
+        self.words.append((a, b, np.bincount(place, np.repeat(train, n), minlength=len(a)).astype(np.int64)))
+        if len(self.words) > 8:
+            self.words = [self.word_counts()]
         for learn in (True, False):
             chosen = [t for t, x in zip(texts, train, strict=True) if x == learn]
             if chosen:
-                codes, keys = pd.factorize(sequence_keys(chosen)[0])
-                n = np.bincount(codes, minlength=len(keys)) if learn else np.zeros(len(keys), dtype=np.int64)
-                self.parts.append(pd.Series(n, index=keys))
-        if len(self.parts) > 64:
-            self.parts = [self.sequences()]
+                keys = sequence_keys(chosen)[0]
+                self.raw[learn].append(keys)
+                self.held += len(keys)
+        if self.held > self.HELD:
+            self.reduce()
+
+    def reduce(self) -> None:
+        for learn, arrays in self.raw.items():
+            if arrays:
+                keys, n = counted(np.concatenate(arrays))
+                self.parts.append((keys, n if learn else np.zeros(len(n), dtype=np.int64)))
+                arrays.clear()
+        self.held = 0
+        if self.parts:
+            self.parts = [counted(*(np.concatenate(x) for x in zip(*self.parts)))]
+
+    def sequences(self) -> tuple[np.ndarray, np.ndarray]:
+        self.reduce()
+        return self.parts[0] if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def sequences(self) -> pd.Series:
-        if not self.parts:
-            return pd.Series([], dtype="int64")
-        joined = pd.concat(self.parts)
-        codes, keys = pd.factorize(joined.index)
-        return pd.Series(np.bincount(codes, joined.to_numpy(), minlength=len(keys)).astype(np.int64), index=keys)
+    def word_counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h1, h2, counts = (np.concatenate(x) for x in zip(*self.words))
+        a, b, place = distinct_words(h1, h2)
+        return a, b, np.bincount(place, counts, minlength=len(a)).astype(np.int64)
 
 
-LISTED = "block INT, word BINARY, key BIGINT, n BIGINT"
+LISTED = "block INT, a BIGINT, b BIGINT, n BIGINT"  # words: both hashes; byte sequences: key and null
 
 
 def listed(chunks: DataFrame) -> DataFrame:
-    """(block, word or key, n): what each block holds, from chunks that are together by block."""
+    """(block, word or sequence, n): what each block holds, from chunks that are together by block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, counts = None, BlockCounts()
 
-        def out() -> Iterator[pa.RecordBatch]:
-            words, seq = list(counts.words), counts.sequences()
-            for i in range(0, len(words), 100_000):
-                part = words[i:i + 100_000]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(part), block), type=pa.int32()), pa.array(part, type=pa.binary()),
-                    pa.nulls(len(part), pa.int64()), pa.array([counts.words[w] for w in part], type=pa.int64())],
-                    names=["block", "word", "key", "n"])
-            for i in range(0, len(seq), 100_000):
-                part = seq.iloc[i:i + 100_000]
+        def rows(a: np.ndarray, b: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(a), 50_000):
+                part = slice(i, i + 50_000)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(part), block), type=pa.int32()), pa.nulls(len(part), pa.binary()),
-                    pa.array(part.index.to_numpy(), type=pa.int64()), pa.array(part.to_numpy(), type=pa.int64())],
-                    names=["block", "word", "key", "n"])
+                    pa.array(np.full(len(a[part]), block, dtype=np.int32)), pa.array(a[part]),
+                    pa.nulls(len(a[part]), pa.int64()) if b is None else pa.array(b[part]), pa.array(n[part])],
+                    names=["block", "a", "b", "n"])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            yield from rows(*counts.word_counts())
+            keys, n = counts.sequences()
+            yield from rows(keys, None, n)
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -175,8 +246,8 @@ def listed(chunks: DataFrame) -> DataFrame:
                     if block is not None:
                         yield from out()
                     block, counts = at, BlockCounts()
-                for rows in unpacked(batch.column("payload")[i].as_py()):
-                    counts.add(rows.column("text").to_pylist(), rows.column("train").to_pylist())
+                for part in unpacked(batch.column("payload")[i].as_py()):
+                    counts.add(part.column("text").to_pylist(), part.column("train").to_pylist())
         if block is not None:
             yield from out()
 
@@ -250,6 +321,21 @@ def sequence_scores(sequences: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 # ---------------------------------------------------------------- scores
 
+def _places(a: np.ndarray, b: np.ndarray, all_a: np.ndarray, all_b: np.ndarray) -> np.ndarray:
+    """Place of each pair (a, b) among the ordered pairs (all_a, all_b); -1 if it isn't there."""
+    at = np.searchsorted(all_a, a)
+    found = np.full(len(a), -1, dtype=np.int64)
+    open_ = at < len(all_a)
+    while open_.any():  # more than once only where first hashes collide
+        i = np.flatnonzero(open_)
+        same = all_a[at[i]] == a[i]
+        hit = same & (all_b[at[i]] == b[i])
+        found[i[hit]] = at[i[hit]]
+        at[i] += 1
+        open_[i] = same & ~hit & (at[i] < len(all_a))
+    return found
+
+
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Scores of every text under the models learned from the rows where ``train`` holds."""
@@ -258,59 +344,73 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     total, n_train = docs.agg(size, F.count_if(train)).first()
     blocks = max(1, -(-(total or 0) // block_bytes))
     chunks = block_rows(docs, id_col, text_col, train, blocks)
-    # one row for each distinct word or key: its count, and the blocks that list it
-    found = stored(listed(chunks).groupBy("word", "key").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")))
-    words = found.filter("word IS NOT NULL")
+    # one row for each distinct word or sequence: its count, and the blocks that list it
+    found = stored(listed(chunks).groupBy("a", "b").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")))
+    words = found.filter("b IS NOT NULL")
     tokens, kinds = words.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
     tokens = (tokens or 0) + n_train
     kinds += n_train > 0
-    known = words.filter(F.size("blocks") > 1).select("word", F.lit(None).cast("bigint").alias("key"),
-                                                      F.col("n").cast("double").alias("value"), F.explode("blocks").alias("block"))
-    keys = found.filter("key IS NOT NULL")
+    known = words.filter(F.size("blocks") > 1).select("a", "b", F.col("n").cast("double").alias("value"),
+                                                      F.explode("blocks").alias("block"))
+    keys = found.filter("b IS NULL").select(F.col("a").alias("key"), "n", "blocks")
     logs = sequence_scores(keys.select("key", "n"))
-    probable = (keys.select("key", "blocks").join(logs, "key")
-                .select(F.lit(None).cast("binary").alias("word"), "key", F.col("log10").alias("value"), F.explode("blocks").alias("block")))
+    probable = keys.select("key", "blocks").join(logs, "key").select(
+        F.col("key").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("log10").alias("value"),
+        F.explode("blocks").alias("block"))
     given = known.unionByName(probable)
     unit = math.log10(tokens + 0.5 * (kinds + 1))
 
     def score(texts: pa.Table, table: pa.Table) -> pa.Table:
-        is_word = np.asarray(table.column("word").is_valid())
-        values = table.column("value").to_numpy()
-        count = dict(zip(table.column("word").filter(pa.array(is_word)).to_pylist(), values[is_word].tolist(), strict=True))
-        key = table.column("key").filter(pa.array(~is_word)).to_numpy()
-        order = np.argsort(key)
-        key, log10 = key[order], values[~is_word][order]
-        mine: Counter = Counter()  # words of this block only: all their training texts are here
-        for payload in texts.column("payload"):
-            for rows in unpacked(payload.as_py()):
-                for t, learn in zip(rows.column("text").to_pylist(), rows.column("train").to_pylist(), strict=True):
-                    if learn:
-                        mine.update(words_of(t))
-        for w, c in mine.items():
-            count.setdefault(w, float(c))
-        logs_of = {w: (math.log10(c + 0.5) - unit, c > 0) for w, c in count.items()}
-        unknown, end = (math.log10(0.5) - unit, False), (math.log10(n_train + 0.5) - unit, n_train > 0)
-        base_of = {w: x[0] for w, x in logs_of.items()}
-        out = []
+        a, value = table.column("a").to_numpy(), table.column("value").to_numpy()
+        second = table.column("b")
+        is_word = np.asarray(second.is_valid())
+        order = np.argsort(a[~is_word])
+        key, log10 = a[~is_word][order], value[~is_word][order]
+        rows: list[tuple] = []
+        words: list[tuple] = []
+        sums: list[np.ndarray] = []
         for payload in texts.column("payload"):
-            for rows in unpacked(payload.as_py()):
-                body = rows.column("text").to_pylist()
+            for part in unpacked(payload.as_py()):
+                body = part.column("text").to_pylist()
                 seq, firsts = sequence_keys(body)
                 codes, uniques = pd.factorize(seq)
-                at = np.searchsorted(key, uniques)
-                if len(key) == 0 or not np.array_equal(key[np.minimum(at, len(key) - 1)], uniques):
+                at = np.minimum(np.searchsorted(key, uniques), max(len(key) - 1, 0))
+                if len(key) == 0 or not np.array_equal(key[at], uniques):
                     raise RuntimeError("a block lacks byte sequences of its own texts")
-                sums = np.add.reduceat(log10[at][codes], firsts)
-                for i, (doc, t, learn) in enumerate(zip(rows.column("doc_id").to_pylist(), body,
-                                                        rows.column("train").to_pylist(), strict=True)):
-                    found_ = words_of(t)
-                    scores = [base_of.get(w, unknown[0]) for w in found_]
-                    n_known = sum(1 for w in found_ if count.get(w, 0.0) > 0) + end[1]
-                    out.append((doc, not learn, len(found_) + 1, n_known, tokens, math.fsum(scores) + end[0],
-                                float(sums[i]), len(t)))
-        kinds_ = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], type=t) for i, t in enumerate(kinds_)],
-                                    names=[c.split()[0] for c in SCORES.split(", ")])
+                sums.append(np.add.reduceat(log10[at][codes], firsts))
+                learn = part.column("train").to_numpy(zero_copy_only=False)
+                h1, h2, n = word_hashes(body)
+                d1, d2, place = distinct_words(h1, h2)
+                words.append((d1, d2, np.bincount(place, np.repeat(learn, n), minlength=len(d1)), place, n))
+                rows.append((part.column("doc_id"), learn, np.array([len(t) for t in body])))
+        if not rows:
+            return pa.Table.from_pylist([], schema=SCORED)
+        train, n_bytes = (np.concatenate([r[i] for r in rows]) for i in (1, 2))
+        # the count of a word of this block only is its count here
+        u1, u2, where = distinct_words(np.concatenate([w[0] for w in words]), np.concatenate([w[1] for w in words]))
+        count = np.bincount(where, np.concatenate([w[2] for w in words]), minlength=len(u1))
+        w1, w2, total = a[is_word], second.drop_null().to_numpy(), value[is_word]
+        order = np.lexsort((w2, w1))
+        at = _places(u1, u2, w1[order], w2[order])
+        count = np.where(at >= 0, total[order][at], count) if len(total) else count
+        log_word = np.log10(count + 0.5) - unit
+        base, known_words, done = [], [], 0
+        for d1, _, _, place, n in words:
+            mine = where[done:done + len(d1)]
+            done += len(d1)
+            first, has = np.cumsum(n) - n, n > 0
+            b, k = np.zeros(len(n)), np.zeros(len(n), dtype=np.int64)
+            if has.any():
+                b[has] = np.add.reduceat(log_word[mine][place], first[has])
+                k[has] = np.add.reduceat((count[mine] > 0)[place].astype(np.int64), first[has])
+            base.append(b)
+            known_words.append(k)
+        base, known_words, n_words = np.concatenate(base), np.concatenate(known_words), np.concatenate([w[4] for w in words])
+        end = math.log10(n_train + 0.5) - unit
+        return pa.Table.from_arrays([
+            pa.chunked_array([r[0] for r in rows]), pa.array(~train), pa.array(n_words + 1),
+            pa.array(known_words + (n_train > 0)), pa.array(np.full(len(train), tokens)), pa.array(base + end),
+            pa.array(np.concatenate(sums)), pa.array(n_bytes)], schema=SCORED)
 
     return chunks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(score, SCORES)
 
