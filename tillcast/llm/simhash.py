@@ -120,7 +120,8 @@ class BKTree:
         return found
 
     def add(self, x: int, linked: set[int]) -> None:
-        """Insert ``x``, which joins the components in ``linked``."""
+        """Insert ``x``, which joins the components in ``linked``; a component is named by its oldest node,
+        so the links sent on are stars, which need few rounds to settle."""
         new, at, path = len(self.keys), 0, []
         while new:
             path.append(at)
@@ -133,12 +134,13 @@ class BKTree:
             at = self.kids[at][d]
         self.keys.append(x)
         self.kids.append({})
-        self.parent.append(new)
+        root = min(linked, default=new)
+        self.parent.append(root)
         self.uniform.append(True)
         for c in linked:
-            self.parent[c] = new
+            self.parent[c] = root
         for i in path:
-            if self.uniform[i] and self.component(i) != new:
+            if self.uniform[i] and self.component(i) != root:
                 self.uniform[i] = False
         if len(self.keys) >= self._tidy_at:
             self._tidy_at *= 2
