@@ -59,18 +59,18 @@ def wn13s(spark, sf):
 
 
 _LI_OFFS = [1, 2, 3, 7, 14, -1, -2, -3]
-_WL = "OVER (PARTITION BY l_suppkey ORDER BY CAST(l_shipdate AS DATE), l_orderkey, l_linenumber)"
+# the table repeats some (order, line) pairs: part and quantity tell such rows apart
+_WL = "OVER (PARTITION BY l_suppkey ORDER BY CAST(l_shipdate AS DATE), l_orderkey, l_linenumber, l_partkey, l_quantity)"
 
 
 @register("wn3_lag_bank_lineitem", "SELECT l_orderkey, l_linenumber, " + ", ".join(
     (f"lag(l_quantity, {k}) {_WL}" if k > 0 else f"lead(l_quantity, {-k}) {_WL}") + f" AS {windows.lag_name('l_quantity', k)}"
     for k in _LI_OFFS) + " FROM lineitem")
 def wn3l(spark, sf):
-    li = read(spark, sf, "lineitem", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
+    li = read(spark, sf, "lineitem", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     p = li.withColumn("Date", F.to_date("l_shipdate"))
-    out = windows.shift_cols(p, ["l_quantity"], _LI_OFFS, store="l_suppkey", order=["Date", "l_orderkey", "l_linenumber"],
-                             blocked=True)
-    return out.drop("l_suppkey", "l_shipdate", "Date", "l_quantity")
+    out = windows.shift_cols(p, ["l_quantity"], _LI_OFFS, store="l_suppkey", order=["Date", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], blocked=True)
+    return out.drop("l_suppkey", "l_shipdate", "Date", "l_partkey", "l_quantity")
 
 
 @register("ag3_mean_customer_promo_weekday_sparse", sql_with(P2_SQL) + """
