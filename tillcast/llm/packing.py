@@ -22,7 +22,6 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from struct import pack as pack_ids
 
 import numpy as np
@@ -36,7 +35,7 @@ from .registry import register
 
 WINDOW = 4096
 END_ID = 2
-MEMO_WORDS = 600_000  # distinct words whose ids a worker remembers
+MEMO_WORDS = 400_000  # distinct words whose ids a task remembers
 # Composed Latin letters, then ASCII punctuation: lower case is all that the tokenizer's
 # normal form and pre-tokenisation do to such letters, so its merges can be asked for directly.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*$%&#\"')|]*)").fullmatch
@@ -100,11 +99,6 @@ class WordTokenizer:
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype="<u4")
 
 
-@lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
 class SumOfSquaresPacker:
     """Online packing: ``place`` returns the windows that became full."""
 
@@ -177,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     A sequence holds ``window`` ids, or a power of two where a split ends.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = word_tokenizer(tokenizer), SumOfSquaresPacker(window)
+        words, packer = WordTokenizer(tokenizer), SumOfSquaresPacker(window)
         sequence = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
         end = np.array([end_id], dtype="<u4")
         rows: list[tuple] = []
