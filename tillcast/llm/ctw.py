@@ -46,7 +46,8 @@ from .registry import register
 DEPTH = 4
 FOLDS = 5
 HELD_OUT = 1
-BLOCK_BYTES = 24 << 20  # text in a block, about
+BLOCK_BYTES = 16 << 20  # text in a block, about
+SLICE_DOCS = 128  # documents of a block turned into arrays at once; bounds a worker's memory
 END = b"\0"
 
 SCORES = ("doc_id BIGINT, held_out BOOLEAN, n_tokens BIGINT, n_known BIGINT, train_tokens BIGINT, "
@@ -74,7 +75,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each base, its powers and those of its inverse, up to ``n``."""
     def run(x: int) -> np.ndarray:
@@ -93,7 +94,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     lengths = np.array([len(t) + 1 for t in texts])
     words = np.diff(np.searchsorted(first, np.concatenate([[0], 1 + np.cumsum(lengths)])))
     value = data.astype(np.uint64) + np.uint64(1)
-    powers = _powers(max(1 << 21, 1 << len(data).bit_length()))
+    powers = _powers(max(1 << 20, 1 << len(data).bit_length()))
     found = []
     for up, down in powers:
         total = np.concatenate([[np.uint64(0)], np.cumsum(value * up[:len(value)], dtype=np.uint64)])
@@ -159,7 +160,7 @@ def block_rows(docs: DataFrame, id_col: str, text_col: str, train: Column, block
 
 def unpacked(payload: bytes) -> Iterator[pa.RecordBatch]:
     for batch in pa.ipc.open_stream(payload):
-        yield from slices(batch, 512)
+        yield from slices(batch, SLICE_DOCS)
 
 
 def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +188,7 @@ class BlockCounts:
         h1, h2, n = word_hashes(texts)
         a, b, place = distinct_words(h1, h2)
         self.words.append((a, b, np.bincount(place, np.repeat(train, n), minlength=len(a)).astype(np.int64)))
-        if len(self.words) > 8:
+        if len(self.words) > 32:
             self.words = [self.word_counts()]
         for learn in (True, False):
             chosen = [t for t, x in zip(texts, train, strict=True) if x == learn]
