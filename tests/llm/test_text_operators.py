@@ -414,6 +414,53 @@ def test_sketches_recover_all_differences(odd, some, empty):
     assert alone.near_next == 1.0
 
 
+def test_edited_texts_are_alike_in_any_script(spark):
+    rng = np.random.default_rng(3)
+
+    def written(alphabet, size, space, stop):
+        words = ["".join(rng.choice(list(alphabet), rng.integers(2, 8))) for _ in range(400)]
+        return space.join(w + stop * (k % 9 == 8) for k, w in enumerate(rng.choice(words, size)))
+    latin, greek, han = "fghijklmnopz", "αβγδεζηθικ", [chr(0x4e00 + 37 * k) for k in range(300)]
+    kinds = [(latin, " ", "."), (latin.upper(), " ", "!"), (latin, " ", ""), ("éèàùôîç", " ", ""), (greek, " ", "."),
+             (han, "", "。"), (han, "", ""), (latin, "", ""), ([chr(0x1f600 + k) for k in range(60)], "", "")]
+    texts = [written(a, 600, space, stop) for a, space, stop in kinds]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    out = {r.doc_id: r for r in sketches.fingerprints(docs, cut=sketches.cut_sentences).collect()}
+
+    def grams(t):
+        return {t[i:i + 12] for i in range(len(t) - 11)}
+    for i, t in enumerate(texts):
+        h, nxt = len(t) // 2, texts[(i + 1) % len(texts)]
+        a, b = grams(t), grams(t[:len(t) - h] + nxt[:h])
+        assert out[i].near_edited == pytest.approx(len(a & b) / len(a | b), abs=0.12), (i, kinds[i][1:])
+    pieces = docs.select(F.explode(sketches.cut_sentences(F.col("text"))).alias("p")).select(F.max(F.char_length("p"))).first()[0]
+    assert pieces <= sketches.LONGEST
+    # a character put in front moves no cut but the first ones
+    moved = docs.select("doc_id", sketches.cut_sentences(F.col("text")).alias("a"),
+                        sketches.cut_sentences(F.concat(F.lit("z"), F.col("text"))).alias("b"))
+    for r in moved.collect():
+        a, b = Counter(r.a), Counter(r.b)
+        assert sum((a & b).values()) > 0.8 * sum(a.values()), r.doc_id
+
+
+def test_sketch_query_on_documents(spark):
+    from tillcast.llm.registry import queries
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    order = sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text or ""))
+    got = {(r.doc_id, r.edited_sha256): r.near_edited for r in queries()["op10_lookup_sketches"](spark, SF).collect()}
+    long = 0
+    for r, nxt in zip(order, order[1:] + order[:1]):
+        t, n = r.text or "", nxt.text or ""
+        e = t[:len(t) - len(t) // 2] + n[:len(t) // 2]
+        x, y = Counter(t.split()), Counter(e.split())
+        plain = sum((x & y).values()) / max(sum((x | y).values()), 1)
+        if len(t) > 1000:
+            long += 1
+            near = got[r.doc_id, hashlib.sha256(e.encode()).hexdigest()]
+            assert near > 0.4 * plain > 0, (r.doc_id, near, plain)
+    assert long > 50
+
+
 def test_next_row_over_many_buckets(spark):
     from tillcast.llm.neighbours import with_next
     ids = [*range(0, 3000, 7), *range(10**12, 10**12 + 500), -5, -(10**15), 2**62]

@@ -1,8 +1,12 @@
 """Document fingerprints as invertible Bloom lookup sketches (operator 10), DataFrame functions only.
 
-A text is cut into paragraphs: lines, and inside a line after a sentence whose
-successor starts with one of A to E (so the cut depends on what stands there,
-not on what came before).  Each paragraph's digest, told apart by its occurrence
+A text is cut into pieces, always by what stands there, not by what came before.
+The query cuts at line ends and at every sentence end of any script, and a piece
+of over ``LONGEST`` characters after the tokens (short ASCII words, else single
+characters) that a hash of them and the three before them picks, or after ``LONGEST`` characters if none does
+(``cut_sentences``).  The library's default, ``cut_paragraphs``, is coarser:
+lines, and inside a line a sentence whose successor starts with one of A to E.
+White space at a cut belongs to no piece.  Each piece's digest, told apart by its occurrence
 when it repeats, is added to one cell of each of three tables: a count, the xor
 of digests, the xor of their checks.  The serialised cells are the fingerprint.
 
@@ -11,10 +15,10 @@ single digest gives it away, and it is taken out of its other cells, until
 nothing is left.  If that fails, both are sketched anew in stripes of the digest
 space that hold about ``STRIPE`` digests each, with ``WIDER`` and then doubled
 cells; a stripe that still doesn't peel is compared exactly.  The likeness is
-shared over distinct paragraphs (1 for two texts without any).
+shared over distinct pieces (1 for two texts without any).
 
-Everything is an expression over one row, of bounded stripes, so long texts
-cost time in proportion to their length times the number of stripes.
+Everything is an expression over one row; the digests of both texts are sorted
+by stripe and walked through once, one bounded stripe at a time.
 
 Edge cases: null text is empty; its sketch has empty cells; equal texts have
 equal fingerprints; repeated ids follow one another in order of their text; an
@@ -23,6 +27,8 @@ empty table gives no rows; extra columns are ignored by the query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,17 +43,43 @@ STRIPE = 8  # digests of both texts in a stripe of a retry, about
 WIDER = (8, 16, 21)  # cells of each table of a stripe, by retry; a digest's cells are bits of one long
 ROUNDS = 8
 PARAGRAPH = r"\n+|(?<=[.!?]) (?=[A-E])"
+# Full stops before white space, or those of scripts that write none.
+SENTENCE = r"[\n\r\u0085\u2028\u2029]+|(?<=[.!?\u2026\u061f\u06d4\u0964\u0965\u1362\u104b])[\s\u00a0\u3000]+|(?<=[\u3002\uff01\uff1f\uff61])"
+LONGEST = 128  # characters of a piece
+EVERY = 32  # characters between the cuts of a longer piece, about
+TOKEN = r"(?<![A-Za-z0-9])[A-Za-z0-9]{1,24}(?![A-Za-z0-9])|(?s:.)"
 _CHECK = 77
 _FOUND = "array<struct<k:bigint,n:int>>"
 
 
-def paragraph_digests(text: Column) -> Column:
-    """A sorted array of 64-bit digests, one for each occurrence of a paragraph."""
-    pieces = F.filter(F.split(text, PARAGRAPH, -1), lambda p: p != "")
+def cut_paragraphs(text: Column) -> Column:
+    return F.filter(F.split(text, PARAGRAPH, -1), lambda p: p != "")
+
+
+def cut_sentences(text: Column) -> Column:
+    """Sentences of any script, the long ones in pieces of ``LONGEST`` characters at most."""
+    def shorter(piece: Column) -> Column:
+        def cut(tokens: Column) -> Column:
+            def ends(t: Column, i: Column) -> Column:
+                before = [F.get(tokens, i - k) for k in (1, 2, 3)]
+                chosen = F.pmod(F.xxhash64(t, *before), F.lit(EVERY)) < F.char_length(t)
+                return chosen & ~t.eqNullSafe(before[0])
+            marked = F.transform(tokens, lambda t, i: F.when(ends(t, i), F.concat(t, F.lit("\n"))).otherwise(t))
+            return F.regexp_extract_all(F.array_join(marked, ""), F.lit(f"[^\n]{{1,{LONGEST}}}"), F.lit(0))
+        return let(F.regexp_extract_all(piece, F.lit(TOKEN), F.lit(0)), cut)
+    pieces = F.filter(F.split(text, SENTENCE, -1), lambda p: p != "")
+    return F.flatten(F.transform(
+        pieces, lambda p: F.when(F.char_length(p) > LONGEST, shorter(p)).otherwise(F.array(p))))
+
 
+def paragraph_digests(text: Column, cut: Callable[[Column], Column] = cut_paragraphs) -> Column:
+    """A sorted array of 64-bit digests, one for each occurrence of a piece."""
     def number(hashes: Column) -> Column:
-        return F.transform(hashes, lambda h, i: F.xxhash64(h, (i + 1).cast("bigint") - F.array_position(hashes, h)))
-    return F.sort_array(let(F.sort_array(F.transform(pieces, lambda p: F.xxhash64(p))), number))
+        def occurrence(h: Column, i: Column) -> Column:
+            again = F.get(hashes, i - 1).eqNullSafe(h)
+            return F.when(again, (i + 1).cast("bigint") - F.array_position(hashes, h)).otherwise(F.lit(0).cast("bigint"))
+        return F.transform(hashes, lambda h, i: F.xxhash64(h, occurrence(h, i)))
+    return F.sort_array(let(F.sort_array(F.transform(cut(text), lambda p: F.xxhash64(p))), number))
 
 
 def _check(k: Column) -> Column:
@@ -121,8 +153,8 @@ def _recovered(a: Column, b: Column, width: int, salt: int, a_cells: Column | No
     """Number of differing digests by subtracting and peeling; null where peeling fails."""
     a_cells = cells(a, width, salt) if a_cells is None else a_cells
     b_cells = cells(b, width, salt) if b_cells is None else b_cells
-    return let(peel(subtract(a_cells, b_cells), width, salt),
-               lambda p: F.when(_empty(p["cells"]), F.size(p["found"])))
+    peeled = lambda cs: let(peel(cs, width, salt), lambda p: F.when(_empty(p["cells"]), F.size(p["found"])))
+    return let(subtract(a_cells, b_cells), lambda cs: F.when(_empty(cs), F.lit(0)).otherwise(peeled(cs)))
 
 
 def _stripe_difference(a: Column, b: Column) -> Column:
@@ -135,11 +167,23 @@ def _striped_difference(a: Column, b: Column) -> Column:
     stripes = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / STRIPE).cast("int"))
 
     def total(n: Column) -> Column:
-        def one(acc: Column, s: Column) -> Column:
-            mine = lambda k: F.pmod(F.xxhash64(k, F.lit(5)), n) == s
-            return acc + let(F.struct(F.filter(a, mine).alias("a"), F.filter(b, mine).alias("b")),
-                             lambda p: _stripe_difference(p["a"], p["b"]))
-        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), one)
+        def marked(digests: Column, side: int) -> Column:
+            return F.transform(digests, lambda k: F.struct(
+                F.pmod(F.xxhash64(k, F.lit(5)), n).cast("int").alias("s"), F.lit(side).alias("side"), k.alias("k")))
+
+        def step(acc: Column, x: Column) -> Column:
+            same = acc["s"] == x["s"]
+
+            def side(name: str, number: int) -> Column:
+                held = F.when(same, acc[name]).otherwise(F.array().cast("array<bigint>"))
+                return F.when(x["side"] == number, F.concat(held, F.array(x["k"]))).otherwise(held).alias(name)
+            done = F.when(same, acc["d"]).otherwise(acc["d"] + _stripe_difference(acc["a"], acc["b"]))
+            return F.struct(x["s"].alias("s"), side("a", 0), side("b", 1), done.alias("d"))
+
+        none = F.array().cast("array<bigint>")
+        start = F.struct(F.lit(0).alias("s"), none.alias("a"), none.alias("b"), F.lit(0).alias("d"))
+        return F.aggregate(F.sort_array(F.concat(marked(a, 0), marked(b, 1))), start, step,
+                           lambda acc: acc["d"] + _stripe_difference(acc["a"], acc["b"]))
     return let(stripes, total)
 
 
@@ -158,26 +202,28 @@ def serialised(cs: Column) -> Column:
     return F.array_join(F.transform(cs, one), " ")
 
 
-def sketch(text: Column) -> Column:
+def sketch(text: Column, cut: Callable[[Column], Column] = cut_paragraphs) -> Column:
     """(digests, cells) of a text."""
-    return let(paragraph_digests(text), lambda d: F.struct(d.alias("d"), cells(d, BASE_WIDTH, 0).alias("c")))
+    return let(paragraph_digests(text, cut), lambda d: F.struct(d.alias("d"), cells(d, BASE_WIDTH, 0).alias("c")))
 
 
-def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    cut: Callable[[Column], Column] = cut_paragraphs) -> DataFrame:
     """doc_id, text, sketch, the next document's sketch, and the text with its latter half taken from the next one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = with_next(rows, "doc_id", ["text"], ["text", "own"], derive=lambda r: r.withColumn("own", sketch(F.col("text"))))
+    rows = with_next(rows, "doc_id", ["text"], ["text", "own"], derive=lambda r: r.withColumn("own", sketch(F.col("text"), cut)))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     return rows.select("doc_id", "text", "own", "next_own", n.cast("bigint").alias("n_chars"), edited.alias("edited"))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 cut: Callable[[Column], Column] = cut_paragraphs) -> DataFrame:
     """Fingerprints of each text and of its edited version, and their likenesses."""
-    rows = edited_versions(docs, id_col, text_col)
-    both = let(sketch(F.col("edited")), lambda e: F.struct(
+    rows = edited_versions(docs, id_col, text_col, cut)
+    both = let(sketch(F.col("edited"), cut), lambda e: F.struct(
         serialised(e["c"]).alias("print"),
         likeness(F.col("own")["d"], e["d"], F.col("own")["c"], e["c"]).alias("near")))
     rows = rows.withColumn("e", both)
@@ -190,4 +236,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 @register("op10_lookup_sketches")
 def op10(spark, sf_dir):
-    return fingerprints(documents(spark, sf_dir))
+    return fingerprints(documents(spark, sf_dir), cut=cut_sentences)
