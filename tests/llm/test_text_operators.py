@@ -370,6 +370,22 @@ def test_machine_learns_a_pair_that_single_weights_miss():
     assert raw[2] > 0 > max(raw[:2]) and float(m.v[a] @ m.v[b]) > 0
 
 
+def test_training_learns_a_pair_that_no_word_tells_alone(spark):
+    rng = np.random.default_rng(5)
+    noise = ["".join(rng.choice(list("bcdfgaeiou"), 7)) for _ in range(300)]
+    rows = []
+    for i in range(1600):
+        toxic, u = i % 2, rng.random()
+        # either word is in 40% of the clean and of the toxic documents
+        said = ["mention", "insult"] * (u < 0.4) if toxic else ["mention"] * (u < 0.4) + ["insult"] * (u >= 0.6)
+        rows.append((i, " ".join([*rng.choice(noise, 12), *said]), toxic))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, toxic INT").repartition(3)
+    model = toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    texts = [" ".join([*rng.choice(noise, 12), *w]) for w in ([], ["mention"], ["insult"], ["mention", "insult"])]
+    found = [toxicity.Scorer(model)([t])[0][0] for t in texts]
+    assert found[3] > 0.9 and max(found[1:3]) < toxicity.THRESHOLD, found
+
+
 def test_toxicity_edge_cases(spark, odd, empty):
     labels = spark.createDataFrame([(7, 1), (8, 0), (8, None), (None, 1), (9, 0)], "doc_id BIGINT, toxic INT")
     model = toxicity.train(odd, labels)

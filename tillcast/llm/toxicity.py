@@ -8,8 +8,9 @@ insult with a mention of a group) that additive weights miss.
 It is fitted on the driver on a bounded sample, about ``PER_CLASS`` documents of
 each label (rows of the commoner label weigh more, so that scores keep the
 labelled share).  Terms that the labels clearly depend on (chi-square over
-``MIN_CHI2``) are kept; a term that says nothing about the label has no weight,
-so a long clean document is not judged by the sum of its noise.  Scoring is one
+``MIN_CHI2``) are kept, alone or in a pair: where one is present, the label depends
+on the other, and the other way round.  A term that says nothing about the label
+either way has no weight, so a long clean document is not judged by the sum of its noise.  Scoring is one
 pass without a shuffle; most words are remembered as having no kept term.
 
 Edge cases: null or empty texts get the score of a text without any kept term;
@@ -38,6 +39,7 @@ THRESHOLD = 0.3
 FACTORS = 4
 MIN_CHI2 = 30.0
 MIN_DOCS = 5
+PAIR_BLOCK = 512  # terms of a block when pairs are counted
 MEMO_WORDS = 400_000  # words that a worker remembers as having no kept term
 EDGE = ".,;:!?*$%&#\"'()[]{}<>|/\\-_=+~`@^0123456789"
 
@@ -107,7 +109,42 @@ def telling_terms(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray) ->
     n, pos = float(len(y)), float(y.sum())
     cross = hit * n - seen * pos
     chi2 = n * cross ** 2 / np.maximum(seen * (n - seen) * pos * (n - pos), 1)
-    return ids[(chi2 >= MIN_CHI2) & (seen >= MIN_DOCS)]
+    kept = (chi2 >= MIN_CHI2) & (seen >= MIN_DOCS)
+    # chi-square is at most the number of documents, so no pair of a rarer term can pass
+    common = np.flatnonzero(seen >= MIN_CHI2)
+    return ids[kept | np.isin(np.arange(len(ids)), common[_in_telling_pair(row, col, common, y)])]
+
+
+def _in_telling_pair(row: np.ndarray, col: np.ndarray, common: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the ``common`` columns have another that tells the label where they are, and the other way round."""
+    place = np.full(int(col.max()) + 1 if len(col) else 0, -1)
+    place[common] = np.arange(len(common))
+    at = place[col]
+    there = np.zeros((len(common), len(y)), dtype=bool)
+    there[at[at >= 0], row[at >= 0]] = True
+    packed = np.packbits(there, axis=1)  # a word and its first letters are often in the same documents
+    first, same = {}, np.zeros(len(common), dtype=np.int64)
+    for i in range(len(common)):
+        same[i] = first.setdefault(packed[i].tobytes(), len(first))
+    x = there[np.unique(same, return_index=True)[1]] if len(common) else there
+    seen, hit = x.sum(1).astype(float), x[:, y > 0].sum(1).astype(float)
+    found, size = np.zeros(len(x), dtype=bool), PAIR_BLOCK
+    toxic = y > 0
+
+    def chi2(n, pos, both, hits):
+        return n * (hits * n - both * pos) ** 2 / np.maximum(both * (n - both) * pos * (n - pos), 1)
+    for i in range(0, len(x), size):
+        a = x[i:i + size].astype(np.float32)
+        for j in range(i, len(x), size):
+            b = x[j:j + size].astype(np.float32)
+            hits = (a[:, toxic] @ b[:, toxic].T).astype(float)
+            both = (a[:, ~toxic] @ b[:, ~toxic].T).astype(float) + hits
+            pair = both >= MIN_DOCS
+            pair &= chi2(seen[i:i + size, None], hit[i:i + size, None], both, hits) >= MIN_CHI2
+            pair &= chi2(seen[None, j:j + size], hit[None, j:j + size], both, hits) >= MIN_CHI2
+            found[i:i + size] |= pair.any(1)
+            found[j:j + size] |= pair.any(0)
+    return found[same]
 
 
 class Scorer:
