@@ -70,6 +70,18 @@ def test_markov_models_find_random_strings_only(odd, empty):
     assert secrets.scan(empty, secrets.train(empty)).count() == 0
 
 
+def test_what_a_base_span_leaves_of_a_run_is_judged(spark, some):
+    access, secret = "AKIA" + "QWERTYUIOPASDFGH", "wJ4rXUtn0FEMIqK7MDz1bPxRfi2CYv8aHp9sL3dG"
+    texts = [f"key {access}/{secret} end", f"key {secret}/{access} end", f"{secret}/{access}/{secret}",
+             f"key {access}/short end", f"{access}/thenonlyordinarywordsherethere end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    table = secrets.train(some)
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in secrets.scan(docs, table).collect()}
+    found = {i: "|".join(texts[i][a:b] for a, b in spans[i]) for i in spans}
+    assert [found[i].count(secret) for i in range(5)] == [1, 1, 2, 0, 0] and found[3] == found[4] == ""
+    assert not any(secret in r.text for r in secrets.redact(docs, table).collect())
+
+
 def test_redaction_leaves_no_base_span(odd):
     table = secrets.train(odd)
     out = secrets.redact(odd, table)

@@ -2,8 +2,8 @@
 
 Base kinds are found by pattern: ``assign`` (a key word, a sign, a value of 12
 or more characters), ``access`` (key ids, 18 or more) and ``hex`` (runs of 16
-or more).  Further, each run of 20 or more key characters that meets no base
-span is judged by two first-order character Markov models, one of random
+or more).  Further, each run of 20 or more key characters outside of the base
+spans (what a base span leaves of a longer run counts as a run) is judged by two first-order character Markov models, one of random
 strings, one of ordinary identifiers: it is a ``markov`` span if the
 log-likelihood ratio is over ``MIN_RATIO`` in all and ``MIN_RATE`` a character.
 Both models are trained on a bounded sample of documents (``SAMPLE_DOCS``),
@@ -36,7 +36,8 @@ from .registry import register
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # same spans as AKIA[A-Z0-9]+ with the shorter ones dropped
 HEX = r"[0-9a-f]{16,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+MIN_RUN = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
 WORD = r"[A-Za-z][A-Za-z0-9_-]{7,}"
 KINDS = ("assign", "access", "hex", "markov")
 MIN_ASSIGN = 12
@@ -133,8 +134,23 @@ def train(docs: DataFrame, text_col: str = "text", key: str = "doc_id", sample_d
 
 def markov_spans(text: Column, base: Column, table: list[float]) -> Column:
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
-    found = F.filter(_matches(text, CANDIDATE), lambda x: ~F.exists(
-        base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    def outside(x: Column) -> Column:
+        """The parts of a run between the base spans that meet it."""
+        met = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+
+        def part(start: Column, end: Column) -> Column:
+            piece = F.substring(x["found"], (start - x["start"] + 1).cast("int"), (end - start).cast("int"))
+            return F.array(F.struct(start.alias("start"), end.alias("end"), piece.alias("found")))
+
+        def step(acc: Column, b: Column) -> Column:
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(
+                b["start"] - acc["at"] >= MIN_RUN, F.concat(acc["out"], part(acc["at"], b["start"])))
+                .otherwise(acc["out"]).alias("out"))
+
+        start = F.struct(x["start"].alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,found:string>>").alias("out"))
+        return F.when(F.size(met) == 0, F.array(x)).otherwise(F.aggregate(met, start, step, lambda acc: F.when(
+            x["end"] - acc["at"] >= MIN_RUN, F.concat(acc["out"], part(acc["at"], x["end"]))).otherwise(acc["out"])))
+    found = F.flatten(F.transform(_matches(text, CANDIDATE), outside))
 
     def random(x: Column) -> Column:
         ratio = F.aggregate(_pair_states(x["found"]), F.lit(0.0), lambda acc, p: acc + F.get(ratios, p))
