@@ -97,3 +97,15 @@ def test_global_numbers_equal_row_number(spark):
     got = [r["id"] for r in numbered(df, "x", name="n").orderBy("n").select("id", "n").collect()]
     assert got == [r["id"] for r in df.orderBy("x").collect()]
     assert numbered(df.filter("false"), "x").count() == 0
+
+
+def test_wide_orders_keep_years_outside_the_report(spark, tmp_path):
+    from tillcast import catalog
+    days = ["1985-05-01", "1995-05-01", "2015-05-01", "2015-06-01", None]
+    rows = [("F", "1-URGENT", d) for d in days]
+    orders = spark.createDataFrame(rows, "o_orderstatus STRING, o_orderpriority STRING, o_orderdate STRING")
+    orders.selectExpr("o_orderstatus", "o_orderpriority", "DATE(o_orderdate) AS o_orderdate").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    out = catalog.queries()["rs4_unpivot_years"](spark, str(tmp_path)).collect()
+    got = {r.year: r.value for r in out if r.value is not None}
+    assert got == {1985: 1.0, 1995: 1.0, 2015: 2.0} and len(out) == 22

@@ -37,7 +37,7 @@ def rs2(spark, sf):
         "Id", F.col("StateHoliday_code").cast("int").alias("StateHoliday_code"))
 
 
-REPORT_YEARS = range(1990, 2010)  # the report's year columns
+REPORT_YEARS = range(1990, 2010)  # year columns that the report has at least
 
 
 def _wide_orders(spark, sf):
@@ -46,8 +46,10 @@ def _wide_orders(spark, sf):
     loc = F.when(F.col("o_orderstatus") == "F", "DEU").when(F.col("o_orderstatus") == "O", "FRA").otherwise("ITA")
     label = F.concat(F.year("o_orderdate").cast("string"), F.lit(" [YR"), F.year("o_orderdate").cast("string"),
                      F.lit("]"))
+    found = {r.y for r in o.select(F.year("o_orderdate").alias("y")).distinct().collect()}  # bounded by the calendar
+    columns = [f"{y} [YR{y}]" for y in sorted((found | {*REPORT_YEARS}) - {None})]
     g = (o.select(loc.alias("Country"), F.col("o_orderpriority").alias("SeriesCode"), label.alias("label"))
-          .groupBy("Country", "SeriesCode").pivot("label", [f"{y} [YR{y}]" for y in REPORT_YEARS]).agg(F.count(F.lit(1))))
+          .groupBy("Country", "SeriesCode").pivot("label", columns).agg(F.count(F.lit(1))))
     years = [c for c in g.columns if c not in ("Country", "SeriesCode")]
     return g.select("Country", "SeriesCode", *[F.coalesce(F.col(c).cast("string"), F.lit("..")).alias(c)
                                                 for c in years])
