@@ -24,8 +24,8 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import (bpe, ctw, langid, nearest, packing, secrets, sharding, simhash, sketches,  # noqa: F401
-                   toxicity)
+    from . import (bpe, ctw, langid, lexical, mixing, nearest, packing, secrets, sharding, simhash,  # noqa: F401
+                   sketches, toxicity, turns)
 
 
 def queries() -> dict[str, QueryFn]:
