@@ -57,10 +57,10 @@ def ml2(spark, sf):
 
 
 @register("ml3_fixed_size_holdout", _P1 + f"""
-SELECT Store, Date FROM train ORDER BY md5('0|' || {_key(False)}) LIMIT 100""")
+SELECT Store, Date FROM train ORDER BY md5('0|' || {_key(False)}) LIMIT 10000""")
 def ml3(spark, sf):
     t = panels.p1_train(spark, sf).select("Store", "Date")
-    _, held = split.fixed_size_holdout(t, 100, _key())
+    _, held = split.fixed_size_holdout(t, 10_000, _key())
     return held
 
 
