@@ -307,7 +307,8 @@ def brute_tree(train, depth):
 
 def test_context_tree_scores(odd, some, empty):
     from tillcast.llm.common import fold
-    for docs in (odd.filter("length(text) < 200 or text is null"), some.filter("length(text) < 900").limit(25).cache()):
+    few = some.filter("length(text) < 900").limit(25).cache()
+    for docs in (odd.filter("length(text) < 200 or text is null"), few):
         out = ctw.score_texts(docs, fold(F.col("doc_id"), 5) != 1, block_bytes=700).collect()
         rows = [(i, t.encode()) for i, t in texts_of(docs)]
         assert len(out) == len(rows)
@@ -331,6 +332,7 @@ def test_context_tree_scores(odd, some, empty):
             w = want[r.doc_id]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
             assert r.base_score == pytest.approx(w[4], rel=1e-9) and r.score == pytest.approx(w[5], rel=1e-7)
+    few.unpersist(blocking=True)
     assert ctw.score_texts(empty, F.lit(True)).count() == 0
     untrained = ctw.score_texts(odd.filter("doc_id < 6"), F.lit(False)).collect()
     assert all(r.score == pytest.approx(8 * (r.n_bytes + 1) * math.log10(.5)) and r.n_known == 0 for r in untrained)
