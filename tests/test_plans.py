@@ -109,3 +109,86 @@ def test_wide_orders_keep_years_outside_the_report(spark, tmp_path):
     out = catalog.queries()["rs4_unpivot_years"](spark, str(tmp_path)).collect()
     got = {r.year: r.value for r in out if r.value is not None}
     assert got == {1985: 1.0, 1995: 1.0, 2015: 2.0} and len(out) == 22
+
+
+def test_quantiles_of_a_hot_value_span_all_tasks(spark):
+    """A 0/1 column: every shuffle carries partial counts, never the rows."""
+    from tillcast.operators import stats
+    df = spark.range(0, 100_000, numPartitions=8).select((F.col("id") % 2).alias("v"))
+    out = stats.exact_quantiles(df, [], "v", (0.25, 0.5, 0.75))
+    assert list(out.first().q) == [0.0, 0.5, 1.0]
+    plan = _plan(out)
+    assert "Range(" not in plan.split("partial_count")[0].split("Window")[0] and "rangepartitioning" not in plan
+    values = spark.range(0, 40_000, numPartitions=8).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 5 > 0, F.lit(3.0)).otherwise(
+        F.rand(1)).alias("v"))
+    import numpy as np
+    rows = values.collect()
+    narrow = {r.k: list(r.q) for r in stats.exact_quantiles(values, ["k"], "v", (0.0, 0.05, 0.1, 0.9, 1.0), 100, 50).collect()}
+    for k in (0, 1):
+        assert np.allclose(narrow[k], np.quantile([r.v for r in rows if r.k == k], [0.0, 0.05, 0.1, 0.9, 1.0]))
+    assert stats.exact_quantiles(df.filter("v > 5"), [], "v").first().q == []
+    assert stats.exact_quantiles(values.filter("v > 5"), ["k"], "v").count() == 0
+
+
+def test_profile_sends_one_row_a_task(spark):
+    from tillcast.operators import stats
+    df = spark.range(0, 50_000, numPartitions=8).select("id", (F.col("id") % 7).cast("string").alias("few"), F.when(F.col("id") < 0, "x").alias("none"))
+    got = {r.column: r for r in stats.profile_sketch(df).collect()}
+    assert (got["few"].n_distinct, got["few"].exact, sum(t.n for t in got["few"].top)) == (7, True, 50_000)
+    assert (got["none"].n_distinct, got["none"].n_null, got["none"].exact) == (0, 50_000, True)
+    assert not got["id"].exact and abs(got["id"].n_distinct - 50_000) < 1500 and got["id"].max == "49999"
+    plan = _plan(stats.profile_sketch(df))
+    assert plan.count("Exchange") == 1 and "SinglePartition" in plan  # one sketch per column and task
+    assert {r.column: r.n_rows for r in stats.profile_sketch(df.filter("false")).collect()} == {"id": 0, "few": 0, "none": 0}
+
+
+def test_asof_by_key_of_a_hot_key(spark):
+    import bisect
+    from tillcast.operators import joins
+    facts = spark.range(0, 6000, numPartitions=5).select(
+        "id", F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 40).alias("k"), ((F.col("id") * 7919) % 997).cast("timestamp").alias("t"))
+    facts = facts.unionByName(spark.createDataFrame([(-1, None, None), (-2, 1, None)], "id BIGINT, k BIGINT, t BIGINT").withColumn(
+        "t", F.col("t").cast("timestamp")))
+    obs = spark.range(0, 900, numPartitions=3).select(
+        F.when(F.col("id") % 2 > 0, 1).otherwise(F.col("id") % 40).alias("k"), ((F.col("id") * 31) % 800 + 50).cast("timestamp").alias("at"),
+        F.col("id").alias("v"))
+    obs = obs.unionByName(obs.limit(1).select("k", F.lit(None).cast("timestamp").alias("at"), "v"))
+    got = {r.id: r.v for r in joins.asof_by_key(facts, obs, ["k"], "t", "at", ["v"]).collect()}
+    series = {}
+    for r in obs.filter("at is not null").collect():
+        series.setdefault(r.k, []).append((r["at"], r.v))
+    for r in facts.collect():
+        seen = sorted(series.get(r.k, [])) if r.t is not None else []
+        at = bisect.bisect_right(seen, (r.t, float("inf"))) if seen else 0
+        assert got.pop(r.id) == (seen[at - 1][1] if at else None)
+    assert not got
+
+
+def test_running_aggregates_of_a_hot_group(spark):
+    from tillcast.operators.sequence import running
+    df = spark.range(0, 20_000, numPartitions=6).select("id", F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 9).alias("k"),
+                                                         (F.col("id") % 5).alias("v"))
+    df = df.withColumn("k", F.when(F.col("k") < 8, F.col("k")))  # a null key is one group
+    out = running(df, ["k"], ["id"], {"s": "v"})
+    parts = running(df, ["k"], ["id"], {"x": "v"}, F.bit_xor, through=True)
+    sums, xors = {}, {}
+    want, wantx = {}, {}
+    for r in sorted(df.collect(), key=lambda r: r.id):
+        want[r.id] = sums.get(r.k)
+        sums[r.k] = sums.get(r.k, 0) + r.v
+        xors[r.k] = xors.get(r.k, 0) ^ r.v
+        wantx[r.id] = xors[r.k]
+    assert {r.id: r.s for r in out.collect()} == want and {r.id: r.x for r in parts.collect()} == wantx
+
+
+def test_windows_over_a_stored_panel_need_no_exchange(spark, tmp_path):
+    from tillcast.sources import stored
+    p = panels.p1_dense(spark, "/root/testdata/sf0.001").select("Store", "Date", "Open")
+    table = "stored_panel_test"
+    kept = stored.store_panel(p, table, 4, path=str(tmp_path / "panel"))
+    bank = windows.shift_cols(kept, ["Open"], [1, 2, 7, -1])
+    plan = _plan(bank)
+    assert "Exchange" not in plan and "Sort " not in plan
+    assert bank.exceptAll(windows.shift_cols(p, ["Open"], [1, 2, 7, -1])).count() == 0 and bank.count() == p.count()
+    assert stored.read_rows_of(spark, table, [3]).count() == p.filter("Store = 3").count()
+    spark.sql(f"DROP TABLE {table}")

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .sequence import running
+
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str] | str, how: str = "inner") -> DataFrame:
     return left.join(right, [keys] if isinstance(keys, str) else list(keys), how)
@@ -73,6 +75,37 @@ def asof_attach(df: DataFrame, series: DataFrame, date_col: str, value_cols: Seq
     return df.withColumn("__on", F.to_date(on)).join(daily, "__on", "left").drop("__on")
 
 
+def asof_by_key(facts: DataFrame, series: DataFrame, keys: Sequence[str], fact_at: str, series_at: str,
+                value_cols: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
+    """Each fact gets the values of its key's latest observation at or before its own time, to full precision.
+
+    Facts and observations are sorted together by key and time over all tasks,
+    observations first at equal times, and the greatest (time, ``tie``, values)
+    so far is carried along: inside a range of rows, and across ranges by one
+    value a range.  A key with any share of either side spans many tasks, and
+    nothing is expanded to days.  Facts without key or time, and those before
+    the first observation, get nulls; observations without time are ignored.
+    """
+    kind = {f.name: f.dataType for f in series.schema.fields}
+    seen = F.struct(F.col(series_at).alias("at"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(tie)],
+                    *[F.col(c).alias(f"v{i}") for i, c in enumerate(value_cols)])
+    obs = series.filter(F.col(series_at).isNotNull()).select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(series_at).alias("__at"), F.lit(0).alias("__side"),
+        seen.alias("__seen"), F.lit(None).cast(facts.schema).alias("__fact"))
+    rows = facts.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(fact_at).alias("__at"), F.lit(1).alias("__side"),
+        F.lit(None).cast(obs.schema["__seen"].dataType).alias("__seen"), F.struct(*facts.columns).alias("__fact"))
+    both = obs.unionByName(rows)
+    last = running(both, [f"__k{i}" for i in range(len(keys))], [F.col("__at").asc_nulls_first(), "__side", "__seen", F.xxhash64("__fact")],
+                   {"__last": "__seen"}, F.max)
+    found = last.filter("__side = 1")
+    known = F.col("__at").isNotNull()
+    for i in range(len(keys)):
+        known &= F.col(f"__k{i}").isNotNull()
+    return found.select(*[F.col("__fact")[c].alias(c) for c in facts.columns],
+                        *[F.when(known, F.col("__last")[f"v{i}"]).cast(kind[c]).alias(c) for i, c in enumerate(value_cols)])
+
+
 def blend_by_id(preds: Sequence[DataFrame], weights: Sequence[float], key: str = "Id",
                 value: str = "Sales") -> DataFrame:
     """Weighted sum of several prediction tables aligned by key (not by position)."""

@@ -52,19 +52,19 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], v
     apart.  No task holds more than one range of rows, whatever share of the table a key has;
     null keys are a key like any other.
     """
-    names = [f"__k{i}" for i in range(len(keys))]
+    names = [f"__run_k{i}" for i in range(len(keys))]
     cut = [F.col(k).asc_nulls_first() for k in keys] + list(order)
-    ranged = cut_lineage((df.repartitionByRange(*cut) if cut else df).withColumn("__pid", F.spark_partition_id()))
+    ranged = cut_lineage((df.repartitionByRange(*cut) if cut else df).withColumn("__run_pid", F.spark_partition_id()))
     last = 0 if through else -1
-    inside = Window.partitionBy("__pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    inside = Window.partitionBy("__run_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     rows = ranged.withColumns({f"__v_{n}": aggregate(c).over(inside) for n, c in values.items()})
-    per_task = ranged.groupBy("__pid", *[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
+    per_task = ranged.groupBy("__run_pid", *[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
         *[aggregate(c).alias(f"__t_{n}") for n, c in values.items()])
-    before = Window.partitionBy(*names).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
-    carried = per_task.select(F.col("__pid").alias("__at"), *names,
+    before = Window.partitionBy(*names).orderBy("__run_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    carried = per_task.select(F.col("__run_pid").alias("__run_at"), *names,
                               *[aggregate(f"__t_{n}").over(before).alias(f"__c_{n}") for n in values])
     carried = carried.filter(" or ".join(f"__c_{n} is not null" for n in values))
-    same = F.col("__pid") == F.col("__at")
+    same = F.col("__run_pid") == F.col("__run_at")
     for k, n in zip(keys, names):
         same &= F.col(k).eqNullSafe(F.col(n))
     rows = rows.join(carried, same, "left")

@@ -32,7 +32,8 @@ WEATHER_BANKS = {
 
 
 def feature_table(spark: SparkSession, sf_dir: str, with_weather: bool = True, style: str = "suffix",
-                  blocked: bool = False) -> DataFrame:
+                  blocked: bool = False, fit_before: str | None = None) -> DataFrame:
+    """All rows with all features; ``fit_before``: target means of training rows before that day only."""
     data = panels.p1_all(spark, sf_dir)                      # train + test, tagged, one pass
     data = clean.fill_open(data, 1)
     data = data.select("*", *C.calendar_columns("Date"))
@@ -50,6 +51,8 @@ def feature_table(spark: SparkSession, sf_dir: str, with_weather: bool = True, s
         daily = joins.step_series_daily(panels.releases(spark, sf_dir), "Released", ["Actual"], last)
         data = joins.join_on(data, daily, "Date", "left")
     train_rows = F.col("type") == "train"
+    if fit_before is not None:
+        train_rows &= F.col("Date") < F.lit(fit_before).cast("date")
     if not blocked:
         # one exchange on Store; every later window only sorts locally
         data = data.repartition("Store")

@@ -11,9 +11,11 @@ rather than raw ids, which also keeps ``maxBins`` small at scale.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from ..functions import scalars as S
 from ..operators import split, stats
 from ..session import cut_lineage
 from ..sources import panels
+from . import features
 from .forecast import HOLDOUT_START
 
 # Parameters of the reference's runs, by trees, depth and step size
@@ -85,25 +88,98 @@ def build_features(df: DataFrame) -> tuple[list[str], DataFrame]:
     return list(PLAIN_FEATURES), df.withColumns(made)
 
 
-def training_input(df: DataFrame, keys: Sequence[str] = ("Store", "Date")) -> DataFrame:
+# Columns of the feature table that are no features: keys, targets, tags, and what is known only afterwards.
+NOT_FEATURES = ["Id", "Date", "Sales", "Customers", "type", LABEL, "fold", "Store"]
+MAX_LEVELS = 1000  # of a text column that becomes codes
+MISSING = -9999.0  # below all values: a tree can split it off
+
+
+def feature_frame(spark: SparkSession, sf_dir: str, fit_before: str | None = HOLDOUT_START,
+                  include_test: bool = False) -> tuple[DataFrame, list[str]]:
+    """(open days of the whole feature table with store attributes and log sales, names of all its features).
+
+    Lag and lead banks, weather, promotion and refurbishment flags all reach
+    the models; text columns (states, weather events and their lags) become
+    codes in level order, 0 for missing or unseen; other missing values become
+    ``MISSING``.  ``Store`` itself is left to
+    ``steps.TargetMeans`` or ``category_indexer``.
+    """
+    table = features.feature_table(spark, sf_dir, fit_before=fit_before)
+    table = table.join(panels.store_table(spark, sf_dir), "Store", "left")
+    kept = (F.col("type") == "train") & (F.col("Sales") > 0)
+    table = table.filter(kept | (F.col("type") == "test") if include_test else kept)
+    table = cut_lineage(table.withColumn(LABEL, S.log1p_target("Sales")))  # read for the levels, then by the fits
+    texts = [f.name for f in table.schema.fields if f.dataType.simpleString() == "string" and f.name != "type"]
+    stems = sorted({c.split("_l")[0] for c in texts})  # a bank shares the levels of its column
+    sources = [c for c in stems if c in texts]
+    found = table.agg(*[F.slice(F.sort_array(F.collect_set(c)), 1, MAX_LEVELS).alias(c) for c in sources]).first().asDict()
+    code = lambda c: F.coalesce(F.array_position(F.lit(found[c.split("_l")[0]]), F.col(c)), F.lit(0)).cast("int")
+    table = table.withColumns({c: code(c) if found[c.split("_l")[0]] else F.lit(0) for c in texts})
+    names = [c for c in table.columns if c not in NOT_FEATURES]
+    return table.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in names}), names
+
+
+def preset(name: str, names: Sequence[str], seed: int = 7) -> Pipeline:
+    """One of the reference's own runs (``GBT_PRESETS``, ``FOREST_PRESETS``) over the given features."""
+    if name in FOREST_PRESETS:
+        return forest(names, seed=seed, **FOREST_PRESETS[name])
+    return boosted(names, seed=seed, **GBT_PRESETS[name])
+
+
+ROWS_PER_TASK = 10_000  # of a fit: fewer make each level of each tree a round of tiny tasks
+
+
+def training_input(df: DataFrame, keys: Sequence[str] = ("Store", "Date"), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Rows spread evenly (by a hash of store and day) and stored once for iterative fits.
 
-    The frame is kept in the shared checkpoint folder, so it needs no cache to
-    release and a lost executor does not rebuild the features.
+    As many partitions as the rows ask for.  The frame is kept in the shared
+    checkpoint folder, so it needs no cache to release and a lost executor does
+    not rebuild the features.
     """
+    stored = cut_lineage(df)
+    n = max(1, -(-stored.count() // rows_per_task))
     # a stated number, which adaptive execution does not merge: each fitting pass runs on all of them
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(df.repartition(n, *keys))
+    return cut_lineage(stored.repartition(n, *keys))
+
+
+def fit_many(frame: DataFrame, fits: dict[str, Pipeline], at_once: int = 4) -> dict[str, PipelineModel]:
+    """Independent fits over one stored frame, ``at_once`` of them side by side.
+
+    A tree fit is a sequence of short jobs that leaves most of a cluster idle;
+    fits that do not depend on one another fill it, as in cross-validation.
+    """
+    spark = frame.sparkSession
+    with ThreadPool(max(1, min(at_once, len(fits)))) as pool:
+        run = inheritable_thread_target(spark)(lambda item: (item[0], item[1].fit(frame)))
+        return dict(pool.map(run, list(fits.items()), chunksize=1))
+
+
+def binned(frame: DataFrame, names: Sequence[str], bins: int = 32) -> tuple[Bucketizer, DataFrame]:
+    """(step that replaces features by quantile bins ``{name}_b``, training frame with them, stored).
+
+    The cuts of all features come from one aggregation; fits on any subset then
+    share the stored bins, and the step goes into each model's pipeline for scoring.
+    """
+    q = [i / bins for i in range(1, bins)]
+    row = frame.agg(*[F.percentile_approx(F.col(c).cast("double"), q, 10_000).alias(f"q{i}") for i, c in enumerate(names)]).first()
+    edge = float("inf")
+    cuts = [[-edge, *sorted(set(x or [0.0])), edge] for x in row]
+    step = Bucketizer(splitsArray=cuts, inputCols=list(names), outputCols=[f"{c}_b" for c in names], handleInvalid="keep")
+    numeric = frame.select("*").withColumns({c: F.col(c).cast("double") for c in names})
+    return step, training_input(step.transform(numeric))
 
 
-def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep")
+def assembler(names: Sequence[str], out: str = "features") -> VectorAssembler:
+    return VectorAssembler(inputCols=list(names), outputCol=out, handleInvalid="keep")
 
 
-def forest(features: Sequence[str], trees: int = 20, depth: int = 10, seed: int = 7, max_bins: int = 32):
+def forest(names: Sequence[str], trees: int = 20, depth: int = 10, seed: int = 7, max_bins: int = 32,
+           categories: Sequence[str] = ()):
+    """A forest; ``categories`` are split as sets of levels (``max_bins`` must exceed the levels of each)."""
     rf = RandomForestRegressor(labelCol=LABEL, featuresCol="features", numTrees=trees, maxDepth=depth,
                                subsamplingRate=0.632, featureSubsetStrategy="onethird", maxBins=max_bins, seed=seed)
-    return Pipeline(stages=[assembler(features), rf])
+    index = [category_indexer(c) for c in categories]
+    return Pipeline(stages=[*index, assembler([*names, *[i.getOutputCol() for i in index]]), rf])
 
 
 def boosted(features: Sequence[str], iters: int = 20, depth: int = 6, step: float = 0.1, sample: float = 0.5,

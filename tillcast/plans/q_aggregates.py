@@ -174,6 +174,32 @@ def ag8c(spark, sf):
     return stats.profile(read(spark, sf, "customer", *_CUST_COLS))
 
 
+_EVENT_COLS = ["event_type", "user_id", "value", "ts"]
+
+
+@register("ag8_profile_one_pass", "\nUNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count({c}) AS BIGINT) AS n_null,
+    CASE WHEN count(DISTINCT {c}) <= 100 THEN CAST(count(DISTINCT {c}) AS BIGINT) END AS n_distinct, TRUE AS within_error,
+    CASE WHEN count(DISTINCT {c}) <= 100 THEN (SELECT CAST(max(n) AS BIGINT) FROM (SELECT count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c})) END
+    AS most FROM {t}""" for t, c in [("events", c) for c in _EVENT_COLS] + [("customer", c) for c in ("c_nationkey", "c_mktsegment", "c_acctbal")]))
+def ag8d(spark, sf):
+    """Null, distinct and heavy-hitter figures of all columns in one aggregation per table.
+
+    Columns of up to 100 values are exact; for the others the estimate's error is held against the true count.
+    """
+    out = None
+    for name, cols in (("events", _EVENT_COLS), ("customer", ["c_nationkey", "c_mktsegment", "c_acctbal"])):
+        df = read(spark, sf, name, *cols)
+        true = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).unpivot([], cols, "of", "true")
+        p = stats.profile_sketch(df).join(true, F.col("column") == F.col("of"))
+        error = F.abs(F.col("n_distinct") - F.col("true")) <= F.greatest(F.lit(0.03) * F.col("true"), F.lit(0))
+        few = F.col("exact")
+        p = p.select("column", "n_rows", "n_null", F.when(few, F.col("n_distinct")).alias("n_distinct"), error.alias("within_error"),
+                     F.when(few, F.array_max(F.transform("top", lambda x: x["n"]))).alias("most"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 @register("ag9_conditional_counts", _TRAIN + """
 SELECT CAST(count_if(Open = 1 AND (Sales = 0 OR Customers = 0)) AS BIGINT) AS open_without_sales,
        CAST(count_if(Promo = 1) AS BIGINT) AS promo_days, CAST(count_if(Sales = 0) AS BIGINT) AS zero_sales_days

@@ -129,6 +129,21 @@ def jn9b(spark, sf):
     return out.select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("Day"), "Actual")
 
 
+@register("jn9_asof_user_events", """
+WITH obs AS (SELECT user_id, ts, arg_max(value, (event_id, value)) AS last_value, max(event_id) AS last_event
+             FROM events WHERE event_type = 'purchase' AND ts IS NOT NULL GROUP BY user_id, ts)
+SELECT e.event_id, e.user_id, o.last_event, o.last_value
+FROM events e ASOF LEFT JOIN obs o ON e.user_id = o.user_id AND e.ts >= o.ts""")
+def jn9c(spark, sf):
+    """Every event with its user's latest purchase at or before it, by user and time of day."""
+    from ..sources.tables import read
+    e = read(spark, sf, "events", "event_id", "user_id", "ts", "event_type", "value")
+    bought = e.filter(F.col("event_type") == "purchase").select(
+        "user_id", F.col("ts").alias("bought_at"), F.col("event_id").alias("last_event"), F.col("value").alias("last_value"))
+    out = joins.asof_by_key(e.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "bought_at", ["last_event", "last_value"])
+    return out.select("event_id", "user_id", "last_event", "last_value")
+
+
 @register("jn10_blend_by_id", _P1S + """,
 fit AS (SELECT *, CAST(month(Date) AS INTEGER) AS month FROM train WHERE Sales > 0),
 m1 AS (SELECT Store, Promo, round(sum(Sales), 2) / count(Sales) AS p1 FROM fit GROUP BY ALL),

@@ -17,7 +17,7 @@ from ..operators import split, stats
 from ..sources import panels
 from ..sources.panels import P1_SQL, STORE_SQL, WEATHER_SQL, sql_with
 from ..sources.tables import read
-from . import blend, features, models, ols, recursive
+from . import blend, features, models, ols, recursive, trees
 from .forecast import (BASE_LEARNERS, HOLDOUT_SQL, HOLDOUT_START, SIDE_LEARNERS, SIDES_SQL, fit_group_mean,
                        holdout_frame, sales_train)
 
@@ -247,31 +247,54 @@ def ml22(spark, sf):
     return out.select("Store", F.col("step").cast("int").alias("step"), F.round("pred", 4).alias("pred"))
 
 
-@register("ml22_recursive_model_forecast")
-def ml22b(spark, sf):
-    """Linear model of log sales on 21 lags and the day's own promo, weekday and opening, rolled forward 48 days."""
+_OWN = ["Promo", "DayOfWeek", "Open"]
+
+
+def _recursive_input(spark, sf):
+    """(rows with 21 lags and log sales, last 21 values of each store, forecast days by step, lag names)."""
     from ..operators import windows
     lags = [f"Sales_lag{k}" for k in range(1, _LAGS + 1)]
-    own = ["Promo", "DayOfWeek", "Open"]
-    t = panels.p1_train(spark, sf).select("Store", "Date", "Sales", *own)
+    t = panels.p1_train(spark, sf).select("Store", "Date", "Sales", *_OWN)
     rows = windows.shift_cols(t, ["Sales"], list(range(1, _LAGS + 1))).dropna().withColumn("y", F.log1p("Sales"))
-    asm = models.assembler(lags + own)
-    model = LinearRegression(featuresCol="features", labelCol="y", regParam=0.0).fit(asm.transform(rows))
-    state = recursive.last_values(t, "Sales", _LAGS)
     first = F.lit(panels.TEST_START).cast("date")
     days = panels.p1_test(spark, sf).fillna({"Open": 1}).select(
-        "Store", (F.datediff("Date", first) + 1).alias("step"), *own)
-    out = recursive.model_forecast(state, model, lags, _HORIZON, assemble=asm.transform, daily=days,
-                                   inverse=lambda p: F.greatest(F.expm1(p), F.lit(0.0)))
+        "Store", (F.datediff("Date", first) + 1).alias("step"), *_OWN).filter(F.col("step") <= _HORIZON)
+    return rows, recursive.last_values(t, "Sales", _LAGS), days, lags
+
+
+def _back(p):
+    return F.greatest(F.expm1(p), F.lit(0.0))
+
+
+@register("ml22_recursive_model_forecast")
+def ml22b(spark, sf):
+    """Linear model of log sales on 21 lags and the day's own promo, weekday and opening, rolled forward 48 days."""
+    rows, state, days, lags = _recursive_input(spark, sf)
+    asm = models.assembler(lags + _OWN)
+    model = LinearRegression(featuresCol="features", labelCol="y", regParam=0.0).fit(asm.transform(rows))
+    out = recursive.model_forecast(state, model, lags, _HORIZON, assemble=asm.transform, daily=days, inverse=_back)
     return out.select("Store", F.col("step").cast("int").alias("step"), F.round("pred", 2).alias("pred"))
 
 
+@register("ml22_recursive_forest_forecast")
+def ml22c(spark, sf):
+    """The same days by a forest, compiled to a table of nodes: the whole horizon in one expression per store."""
+    from pyspark.ml.regression import RandomForestRegressor
+    rows, state, days, lags = _recursive_input(spark, sf)
+    names = lags + _OWN
+    rf = RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=50, maxDepth=8, seed=7)
+    model = rf.fit(models.training_input(models.assembler(names).transform(rows)))
+    out = recursive.compiled_forecast(state, trees.compile_trees(model), names, lags, days, inverse=_back)
+    return out.select("Store", "step", F.round("pred", 2).alias("pred"))
+
+
 # ------------------------------------------------------------- Spark ML
 
 def _train_valid(spark, sf):
-    df = models.model_frame(spark, sf)
+    """Training and holdout rows of the whole feature table, and the names of its features."""
+    df, names = models.feature_frame(spark, sf)
     cut = F.lit(HOLDOUT_START).cast("date")
-    return models.training_input(df.filter(F.col("Date") < cut)), df.filter(F.col("Date") >= cut)
+    return models.training_input(df.filter(F.col("Date") < cut)), df.filter(F.col("Date") >= cut), names
 
 
 def _scored(model, df, name="pred"):
@@ -281,83 +304,118 @@ def _scored(model, df, name="pred"):
 
 @register("ml6_random_forest")
 def ml6(spark, sf):
-    fit, valid = _train_valid(spark, sf)
-    m = models.forest(models.NUMERIC_FEATURES, trees=10, depth=8).fit(fit)
+    """All features, and the store as a category of the trees themselves."""
+    fit, valid, names = _train_valid(spark, sf)
+    levels = fit.select("Store").distinct().count()
+    m = models.forest(names, trees=20, depth=12, max_bins=max(32, levels + 2), categories=["Store"]).fit(fit)
     return _scored(m, valid)
 
 
+@register("ml6_store_category_gain")
+def ml6b(spark, sf):
+    """Error on the holdout of a forest with the store, as out-of-fold target means, and of one without it."""
+    from pyspark.ml import Pipeline
+
+    from . import steps
+    fit, valid, names = _train_valid(spark, sf)
+    fit = models.cut_lineage(fit.withColumn("fold", split.fold_of(_key(), 5)))
+    plain = [n for n in names if not n.startswith("Sales_")]  # the ready-made means would tell the store
+    means = steps.TargetMeans(keys=["Store"], labelCol=models.LABEL, outputCol="Store_mean", smoothing=10.0)
+    fitted = models.fit_many(fit, {
+        "without": models.forest(plain, trees=20, depth=8),
+        "with": Pipeline(stages=[means, models.forest([*plain, "Store_mean"], trees=20, depth=8)])})
+    errors = [m.transform(valid).agg(F.lit(name).alias("store"), F.count(F.lit(1)).alias("n"), F.round(
+        F.sqrt(M.mse("prediction", models.LABEL)), 5).alias("rmse_log")) for name, m in sorted(fitted.items())]
+    return errors[0].unionByName(errors[1])
+
+
 @register("ml7_gradient_boosting")
 def ml7(spark, sf):
-    fit, valid = _train_valid(spark, sf)
-    m = models.boosted(models.NUMERIC_FEATURES, iters=10, depth=5, step=0.1).fit(fit)
-    return _scored(m, valid)
+    """A preset as the reference runs it: 50 trees of depth 15, rate 0.05, half of rows and columns a tree."""
+    fit, valid, names = _train_valid(spark, sf)
+    return _scored(models.preset("gbm_15_05_50", names).fit(fit), valid)
 
 
 @register("ml8_boosting_xgb_style")
 def ml8(spark, sf):
-    fit, valid = _train_valid(spark, sf)
-    m = models.boosted(models.NUMERIC_FEATURES, iters=10, depth=6, step=0.2, sample=0.7, col_sample="0.7").fit(fit)
+    """Another preset as dealt: 60 rounds of depth 10, rate 0.5, with 0.7 of rows and columns."""
+    fit, valid, names = _train_valid(spark, sf)
+    m = models.boosted(names, sample=0.7, col_sample="0.7", **models.GBT_PRESETS["xgb_5_10_60"]).fit(fit)
     return _scored(m, valid)
 
 
 @register("ml9_early_stopping")
 def ml9(spark, sf):
-    df = models.model_frame(spark, sf).withColumn(
-        "is_valid", split.hash_unit(_key()) < 0.0125)
-    m = models.boosted(models.NUMERIC_FEATURES, iters=30, depth=4, step=0.3, validation_col="is_valid").fit(df)
-    gbt = m.stages[-1]
-    return spark.createDataFrame([(int(gbt.getNumTrees), 30)], "trees_kept int, max_trees int")
+    """200 rounds watched by relative error: the error after each round, and where patience of 50 ends and cuts."""
+    df, names = models.feature_frame(spark, sf)
+    watched = split.hash_unit(_key()) < 0.0125
+    m = models.boosted(names, iters=200, depth=4, step=0.1).fit(models.training_input(df.filter(~watched)))
+    watch = models.cut_lineage(m.stages[0].transform(df.filter(watched)))
+    curve = models.cut_lineage(trees.stage_curve(watch, trees.compile_trees(m), models.LABEL, trees.feature_array()))
+    best = trees.best_stage(curve, patience=50)
+    return curve.select(
+        F.col("stage").cast("int").alias("stage"), F.round("metric", 6).alias("rmspe"),
+        (F.col("stage") == best.select("best_stage").scalar()).alias("kept"),
+        (F.col("stage") <= best.select("stopped_at").scalar()).alias("trained"))
 
 
 @register("ml10_importance_table")
 def ml10(spark, sf):
-    fit, _ = _train_valid(spark, sf)
-    m = models.boosted(models.NUMERIC_FEATURES, iters=8, depth=5).fit(fit)
-    imp = models.importance(spark, m, models.NUMERIC_FEATURES)
+    fit, _, names = _train_valid(spark, sf)
+    m = models.boosted(names, iters=20, depth=6).fit(fit)
+    imp = models.importance(spark, m, names)
     return imp.select("variable", *[F.round(c, 6).alias(c) for c in
                                     ("relative_importance", "scaled_importance", "percentage")])
 
 
 @register("ml14_batch_predict_submission")
 def ml14(spark, sf):
-    fit, _ = _train_valid(spark, sf)
-    m = models.boosted(models.NUMERIC_FEATURES, iters=8, depth=5).fit(fit)
-    test = models.model_frame(spark, sf, include_test=True).filter(F.col("Id").isNotNull())
-    p = models.predict_sales(m, test, ["Id", "Open"], "Sales")
+    frame, names = models.feature_frame(spark, sf, include_test=True)
+    known = frame.filter((F.col("type") == "train") & (F.col("Date") < F.lit(HOLDOUT_START).cast("date")))
+    m = models.boosted(names, iters=20, depth=6).fit(models.training_input(known))
+    p = models.predict_sales(m, frame.filter(F.col("type") == "test"), ["Id", "Open"], "Sales")
     return p.select("Id", F.when(F.col("Open") == 0, 0.0).otherwise(F.round("Sales", 2)).alias("Sales"))
 
 
 @register("ml15_refit_on_all_rows")
 def ml15(spark, sf):
     """Target means and model fitted again on all training rows, then the forecast rows scored."""
-    frame = models.model_frame(spark, sf, include_test=True, fit_before=None)
-    m = models.boosted(models.NUMERIC_FEATURES, iters=8, depth=5).fit(
-        models.training_input(frame.filter(F.col("Id").isNull())))
-    p = models.predict_sales(m, frame.filter(F.col("Id").isNotNull()), ["Id"], "Sales")
+    frame, names = models.feature_frame(spark, sf, include_test=True, fit_before=None)
+    m = models.boosted(names, iters=20, depth=6).fit(models.training_input(frame.filter(F.col("type") == "train")))
+    p = models.predict_sales(m, frame.filter(F.col("type") == "test"), ["Id"], "Sales")
     return p.select("Id", F.round("Sales", 2).alias("Sales"))
 
 
+_TOP = 80  # ranked features that the subsets draw from, as in the reference
+
+
 @register("ml16_feature_subset_models")
 def ml16(spark, sf):
-    """Four strided subsets of the ranked features (two best and every fourth), and the two alternating halves."""
-    fit, valid = _train_valid(spark, sf)
-    full = models.boosted(models.NUMERIC_FEATURES, iters=6, depth=5).fit(fit)
-    names = models.top_features(models.importance(spark, full, models.NUMERIC_FEATURES), len(models.NUMERIC_FEATURES))
-    subsets = {s: models.strided(names, start=3 + i) for i, s in enumerate("abcd")} | {"e": names[::2], "f": names[1::2]}
+    """Four strided subsets of the 80 best features (two best and every fourth) and their alternating halves.
+
+    Features are binned and stored once; the six fits run side by side over the bins.
+    """
+    fit, valid, names = _train_valid(spark, sf)
+    binning, bins = models.binned(fit, names)
+    full = models.boosted([f"{n}_b" for n in names], iters=10, depth=6).fit(bins)
+    ranked = models.top_features(models.importance(spark, full, names), _TOP)
+    subsets = {s: models.strided(ranked, start=3 + i) for i, s in enumerate("abcd")} | {"e": ranked[::2], "f": ranked[1::2]}
+    fitted = models.fit_many(bins, {s: models.boosted([f"{n}_b" for n in feats], iters=10, depth=6) for s, feats in subsets.items()},
+                             at_once=6)
+    scored = models.cut_lineage(binning.transform(valid))
     out = None
-    for name, feats in subsets.items():
-        m = models.boosted(feats, iters=6, depth=5).fit(fit)
-        p = _scored(m, valid, "pred").withColumn("subset", F.lit(name))
+    for name, m in sorted(fitted.items()):
+        p = _scored(m, scored, "pred").withColumn("subset", F.lit(name))
         out = p if out is None else out.unionByName(p)
     return out
 
 
 @register("ml18_seed_average")
 def ml18(spark, sf):
-    """Mean of two boosted runs that differ in their seed."""
-    fit, valid = _train_valid(spark, sf)
-    runs = [_scored(models.boosted(models.NUMERIC_FEATURES, iters=10, depth=6, seed=seed).fit(fit), valid, name)
-            for seed, name in ((1, "p_a"), (2, "p_b"))]
+    """Mean of two boosted runs that differ in their seed, fitted side by side."""
+    fit, valid, names = _train_valid(spark, sf)
+    fitted = models.fit_many(fit, {n: models.boosted(names, iters=20, depth=6, seed=seed) for seed, n in ((1, "p_a"), (2, "p_b"))})
+    runs = [_scored(m, valid, name) for name, m in sorted(fitted.items())]
     j = runs[0].join(runs[1], ["Store", "Date"])
     return j.select("Store", "Date", F.round((F.col("p_a") + F.col("p_b")) / 2, 2).alias("pred"))
 
@@ -365,9 +423,9 @@ def ml18(spark, sf):
 @register("ml20_two_fold_stack_models")
 def ml20b(spark, sf):
     """Boosted first level by halves, its out-of-fold scores a feature of the boosted second level."""
-    fit, valid = _train_valid(spark, sf)
+    fit, valid, feats = _train_valid(spark, sf)
     fit = fit.withColumn("parity", (F.col("day_of_year") % 2).cast("int"))
-    feats, keys = models.NUMERIC_FEATURES, ["Store", "Date"]
+    keys = ["Store", "Date"]
 
     def fit_fn(df):
         return models.boosted(feats, iters=5, depth=4).fit(df)
@@ -425,8 +483,8 @@ def ml21b(spark, sf):
 def ag15b(spark, sf):
     """RMSPE (log space) of a boosted model through the Evaluator interface."""
     from .evaluation import RMSPEEvaluator
-    fit, valid = _train_valid(spark, sf)
-    m = models.boosted(models.NUMERIC_FEATURES, iters=8, depth=5).fit(fit)
+    fit, valid, names = _train_valid(spark, sf)
+    m = models.boosted(names, iters=8, depth=5).fit(fit)
     scored = m.transform(valid)
     v = RMSPEEvaluator(predictionCol="prediction", labelCol=models.LABEL, logSpace=True).evaluate(scored)
     return scored.agg(F.count(F.lit(1)).cast("long").alias("n")).withColumn("rmspe", F.round(F.lit(v), 4))
@@ -436,12 +494,53 @@ def ag15b(spark, sf):
 def ag16b(spark, sf):
     """MSE / R2 of a boosted model on log sales via RegressionEvaluator."""
     from .evaluation import regression_metrics
-    fit, valid = _train_valid(spark, sf)
-    m = models.boosted(models.NUMERIC_FEATURES, iters=8, depth=5).fit(fit)
+    fit, valid, names = _train_valid(spark, sf)
+    m = models.boosted(names, iters=8, depth=5).fit(fit)
     met = regression_metrics(m.transform(valid), models.LABEL)
     return met.select("n", *[F.round(c, 5).alias(c) for c in met.columns if c != "n"])
 
 
+@register("ag15_rmspe_evaluator_means", _HOLD + """
+SELECT round(sqrt(avg(CASE WHEN Sales = 0 THEN 0 ELSE power((Sales - p3) / Sales, 2) END)), 6) AS rmspe, CAST(count(*) AS BIGINT) AS n
+FROM hold WHERE p3 IS NOT NULL""")
+def ag15c(spark, sf):
+    """The evaluator over predictions that SQL can make too."""
+    from .evaluation import RMSPEEvaluator
+    h = models.cut_lineage(holdout_frame(spark, sf).filter("p3 is not null"))
+    v = RMSPEEvaluator(predictionCol="p3", labelCol="Sales").evaluate(h)
+    return h.agg(F.round(F.lit(v), 6).alias("rmspe"), F.count(F.lit(1)).alias("n"))
+
+
+@register("ag16_regression_metrics_means", _HOLD + """
+SELECT round(avg(power(p3 - Sales, 2)), 2) AS mse, round(sqrt(avg(power(p3 - Sales, 2))), 4) AS rmse, round(avg(abs(p3 - Sales)), 4) AS mae,
+       round(1 - sum(power(p3 - Sales, 2)) / (count(*) * var_pop(Sales)), 6) AS r2, CAST(count(*) AS BIGINT) AS n
+FROM hold WHERE p3 IS NOT NULL""")
+def ag16c(spark, sf):
+    from .evaluation import regression_metrics
+    met = regression_metrics(holdout_frame(spark, sf).filter("p3 is not null"), "Sales", "p3")
+    return met.select(*[F.round(c, d).alias(c) for c, d in (("mse", 2), ("rmse", 4), ("mae", 4), ("r2", 6))], "n")
+
+
+@register("rs3_out_of_fold_store_means", _P1 + f""",
+f AS (SELECT Store, Date, Promo, ln(1 + Sales) AS y, CAST(CAST(('0x' || substr(md5({_key(False)}), 1, 8)) AS BIGINT) % 5 AS INTEGER) AS fold
+      FROM train WHERE Sales > 0),
+w AS (SELECT *, sum(y) OVER k - sum(y) OVER kf AS s, count(*) OVER k - count(*) OVER kf AS n FROM f
+      WINDOW k AS (PARTITION BY Store, Promo), kf AS (PARTITION BY Store, Promo, fold)),
+a AS (SELECT Store, Promo, avg(y) AS m FROM f GROUP BY ALL)
+SELECT Store, Date, 'train' AS part, round(s / n, 8) AS store_mean FROM w WHERE n > 0
+UNION ALL SELECT t.Store, t.Date, 'new', round(m, 8) FROM test t JOIN a USING (Store, Promo)""")
+def rs3b(spark, sf):
+    """Stores and promotions as mean log sales: training rows from the other folds, new rows from all."""
+    from . import steps
+    t = panels.p1_train(spark, sf).filter(F.col("Sales") > 0).select("Store", "Date", "Promo", F.log1p("Sales").alias("y"))
+    t = t.withColumn("fold", split.fold_of(_key(), 5))
+    m = steps.TargetMeans(keys=["Store", "Promo"], labelCol="y", outputCol="store_mean", folds=5).fit(t)
+    new = panels.p1_test(spark, sf).select("Store", "Date", "Promo")
+    cols = lambda df, part: m.transform(df).filter(F.col("store_mean") > m.getOrDefault("unseen")).select(
+        "Store", "Date", F.lit(part).alias("part"), F.round("store_mean", 8).alias("store_mean"))
+    return cols(t, "train").unionByName(cols(new, "new"))
+
+
 @register("rs3_category_indexer_unseen", _P1 + """,
 lv AS (SELECT StateHoliday, dense_rank() OVER (ORDER BY StateHoliday) - 1 AS i
        FROM (SELECT DISTINCT StateHoliday FROM train WHERE StateHoliday IS NOT NULL AND StateHoliday <> 'c'))

@@ -58,7 +58,8 @@ def _wide_orders(spark, sf):
 @register("rs4_unpivot_years", """
 WITH o AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'DEU' WHEN 'O' THEN 'FRA' ELSE 'ITA' END AS Country,
                   o_orderpriority AS SeriesCode, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders),
-grid AS (SELECT Country, SeriesCode, CAST(y AS INTEGER) AS year FROM (SELECT DISTINCT Country, SeriesCode FROM o) CROSS JOIN range(1990, 2010) r(y)),
+grid AS (SELECT Country, SeriesCode, CAST(y AS INTEGER) AS year FROM (SELECT DISTINCT Country, SeriesCode FROM o)
+         CROSS JOIN (SELECT range AS y FROM range(1990, 2010) UNION SELECT year FROM o WHERE year IS NOT NULL) r),
 c AS (SELECT Country, SeriesCode, year, CAST(count(*) AS DOUBLE) AS value FROM o GROUP BY ALL)
 SELECT g.Country, g.SeriesCode, g.year, c.value FROM grid g LEFT JOIN c USING (Country, SeriesCode, year)""")
 def rs4(spark, sf):

@@ -7,11 +7,14 @@ on the Spark side rather than restating them.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import ranking, windows
-from ..sources import panels
+from ..session import ensure_checkpoint_dir
+from ..sources import panels, stored
 from ..sources.panels import P1_SQL, P2_SQL, STORE_SQL, WEATHER_SQL, sql_with
 from .q_joins import WEATHER_PANEL_SQL, weather_for_panel
 
@@ -48,6 +51,15 @@ def wn3(spark, sf):
     return windows.shift_cols(p, ["Open"], _OPEN_BANK)
 
 
+@register("wn3_lag_bank_bucketed", _P1 + f"\nSELECT Store, Date, Open, {_shift_sql('Open', _OPEN_BANK)} FROM p1")
+def wn3_bucketed(spark, sf):
+    """The same bank over a panel stored in buckets of its store: no exchange after the write."""
+    name = f"tillcast_panel_{uuid.uuid4().hex}"
+    p = panels.p1_dense(spark, sf).select("Store", "Date", "Open")
+    stored.store_panel(p, name, 8, path=f"{ensure_checkpoint_dir(spark)}/{name}")
+    return windows.shift_cols(stored.read_panel(spark, name), ["Open"], _OPEN_BANK)
+
+
 _WEATHER_BANK = {"Mean_TemperatureC": list(range(1, 15)) + [-1, -2, -3],
                  "Events": list(range(1, 15)) + [-1, -2, -3]}
 
