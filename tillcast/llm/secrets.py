@@ -7,8 +7,11 @@ spans (what a base span leaves of a longer run counts as a run) is judged by two
 strings, one of ordinary identifiers: it is a ``markov`` span if the
 log-likelihood ratio is over ``MIN_RATIO`` in all and ``MIN_RATE`` a character.
 Both models are trained on a bounded sample of documents (``SAMPLE_DOCS``),
-labelled by the base patterns: values they find are random strings, other words
-are ordinary.  Counts start at one each, so a sample without secrets still gives
+labelled by the base patterns: the values they find (those with letters and
+digits) are random strings; what stands outside of all base spans is ordinary, as
+it is and joined into identifiers (``identifiers``: snake, kebab, path and camel
+case with dates, versions and counters, UUIDs), so that digits and signs are known
+to be ordinary there too.  Counts start at one each, so a sample without secrets still gives
 a model (random then means uniform).  The table of ratios (67 x 67) becomes a
 literal of the plan.
 
@@ -46,7 +49,9 @@ ALPHABET = string.ascii_letters + string.digits + "+/_="
 STATES = len(ALPHABET) + 1  # 0 is any other character
 SAMPLE_DOCS = 4096
 MIN_RATIO = 12.0  # natural logarithms
-MIN_RATE = 0.45
+MIN_RATE = 0.6
+PLACEHOLDERS = (string.ascii_lowercase, "".join(string.ascii_lowercase[i:i + 3].title() for i in range(0, 26, 3)), string.digits)
+BY_KIND = 0.35  # weight of the steps between kinds of characters in the ordinary model
 MASK = "[SECRET]"
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -103,6 +108,26 @@ def _pair_states(word: Column) -> Column:
     return let(F.split(word, ""), lambda c: let(F.filter(c, lambda x: x != ""), pairs))
 
 
+def identifiers(text: Column) -> Column:
+    """Labelled ordinary identifiers made of a text's own words: snake, kebab, path and camel case, with years,
+    dates, versions and counters, one UUID for the text, and the usual placeholders (runs of the alphabet and of digits)."""
+    def form(words: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            a, b, c = F.lower(w), F.lower(F.coalesce(F.get(words, i + 1), w)), F.lower(F.coalesce(F.get(words, i + 2), w))
+            n = F.pmod(F.xxhash64(w, i), F.lit(100_000)).cast("int")
+            year, month, day = (1990 + n % 45).cast("string"), F.lpad((1 + n % 12).cast("string"), 2, "0"), F.lpad((1 + n % 28).cast("string"), 2, "0")
+            count = (n % 1000).cast("string")
+            forms = [F.concat_ws("_", a, b, c), F.concat_ws("-", a, b, c), F.concat(a, F.initcap(b), F.initcap(c)),
+                     F.concat(*[F.initcap(F.substring(x, 1, 3)) for x in (a, b, c)]), F.concat_ws("_", a, year, b, count),
+                     F.concat_ws("-", a, year, month, day, b, n.cast("string"), c), F.concat_ws("_", a, b, F.concat(F.lit("v"), F.lit("1"), F.lit("_"), (n % 10).cast("string"))),
+                     F.concat_ws("/", a, b, c), F.concat_ws("_", F.upper(a), F.upper(b))]
+            return F.element_at(F.array(*forms), (i % len(forms) + 1).cast("int"))
+        return F.transform(words, one)
+    digest = F.md5(text)
+    uuid = F.concat_ws("-", *[F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return F.concat(let(F.regexp_extract_all(text, F.lit("[A-Za-z]{3,20}"), F.lit(0)), form), F.array(uuid, *map(F.lit, PLACEHOLDERS)))
+
+
 def train(docs: DataFrame, text_col: str = "text", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> list[float]:
     """Log-likelihood ratio (random over ordinary) of each state pair, from about ``sample_docs`` documents."""
     total, space = docs.count(), 1 << 30
@@ -110,28 +135,43 @@ def train(docs: DataFrame, text_col: str = "text", key: str = "doc_id", sample_d
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.filter(place < min(space, space * sample_docs // max(total, 1) + 1)).select(text.alias("t"))
     t = F.col("t")
-    assign, access, hexes = base_matches(t)
-    random = F.concat(F.transform(assign, lambda x: F.regexp_extract(x["found"], ASSIGN, 2)),
-                      F.transform(access, lambda x: x["found"]), F.transform(hexes, lambda x: x["found"]))
-    # words outside of the base spans: those that no base pattern takes as a value
-    ordinary = F.filter(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)),
-                        lambda w: ~w.rlike(f"{ACCESS}|{HEX}") & ~w.rlike("[0-9].*[A-Za-z].*[0-9]"))
+    assign, access, _ = base_matches(t)
+    # values of letters only are words as well as passwords: they tell the classes nothing apart
+    values = F.filter(F.transform(assign, lambda x: F.regexp_extract(x["found"], ASSIGN, 2)), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
+    # runs of hex digits are found by pattern; as random strings they would make every UUID one
+    random = F.filter(F.concat(values, F.transform(access, lambda x: x["found"])), lambda v: ~v.rlike("^[0-9a-fA-F-]+$"))
+    # ordinary: what stands outside of the base spans, as it is and joined into identifiers
+    outside = F.regexp_replace(t, f"{ASSIGN}|{ACCESS}|{HEX}", "\n")
+    ordinary = F.concat(F.regexp_extract_all(outside, F.lit(WORD), F.lit(0)), identifiers(outside))
     words = rows.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), random.alias("words")),
                                           F.struct(F.lit(0).alias("random"), ordinary.alias("words")))).alias("x"))
     words = words.select("x.random", F.explode("x.words").alias("w"))
     counts = words.select("random", F.explode(_pair_states(F.col("w"))).alias("pair")).groupBy("random", "pair").count()
     seen = {(r.random, r.pair): r["count"] for r in counts.collect()}  # at most 2 x 67 x 67 rows
-    table = []
     rows_of = {k: [sum(seen.get((k, a * STATES + b), 0) for b in range(STATES)) for a in range(STATES)] for k in (0, 1)}
-    # random strings: prior of one for each character that any key may hold
+    kinds = [_kind(a) for a in range(STATES)]
+    steps = {(x, y): 1.0 for x in set(kinds) for y in set(kinds)}  # ordinary steps from kind to kind of character
+    for a in range(STATES):
+        for b in range(STATES):
+            steps[kinds[a], kinds[b]] += seen.get((0, a * STATES + b), 0)
+    out_of = {x: sum(n for (y, _), n in steps.items() if y == x) for x in set(kinds)}
+    table = []
+    # random strings: prior of one for each character that any key may hold; ordinary ones: any
+    # neighbour of the same kind may follow, so a rare pair of letters is not a sign of a key
     for a in range(STATES):
         for b in range(STATES):
             p1 = (seen.get((1, a * STATES + b), 0) + 1) / (rows_of[1][a] + STATES)
-            p0 = (seen.get((0, a * STATES + b), 0) + 0.1) / (rows_of[0][a] + 0.1 * STATES)
+            alike = steps[kinds[a], kinds[b]] / out_of[kinds[a]] / kinds.count(kinds[b])
+            p0 = BY_KIND * alike + (1 - BY_KIND) * (seen.get((0, a * STATES + b), 0) / rows_of[0][a] if rows_of[0][a] else alike)
             table.append(math.log(p1 / p0))
     return table
 
 
+def _kind(state: int) -> str:
+    c = ALPHABET[state - 1] if state else ""
+    return "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else c
+
+
 def markov_spans(text: Column, base: Column, table: list[float]) -> Column:
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
     def outside(x: Column) -> Column:
