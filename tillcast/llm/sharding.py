@@ -59,7 +59,11 @@ def shards(rows: DataFrame, key: Column, size: Column, limit: int = SHARD_BYTES)
     ``shard_id`` is the hash prefix with a 1 in front (unique over all depths);
     ``page`` is 0 but for buckets of one hash over the limit.
     """
-    rows = rows.withColumns({"_h": hash_bits(key), "row_bytes": size.cast("bigint")})
+    made = {"row_bytes", "shard_id", "shard_bits", "page"}
+    kept = [c for c in rows.columns if c.lower() not in made]
+    # the row rides as one struct, so its names never meet those used here; _tie is its place in the input
+    rows = rows.select(F.struct(*[F.col(c) for c in kept]).alias("_row"), hash_bits(key).alias("_h"), size.cast("bigint").alias("row_bytes"),
+                       F.monotonically_increasing_id().alias("_tie"))
     sizes = cut_lineage(rows.groupBy("_h").agg(F.sum("row_bytes").alias("b")))  # no texts
     total = sizes.agg(F.sum("b")).first()[0] or 0
     step = min(HASH_BITS, max(1, math.ceil(math.log2(max(1.0, total / limit)))) + EXTRA_BITS)
@@ -84,7 +88,7 @@ def shards(rows: DataFrame, key: Column, size: Column, limit: int = SHARD_BYTES)
                .withColumn("shard_bits", F.coalesce("shard_bits", "_depth")).drop("_cell", "_depth"))
     out = _paged(out, over if high == HASH_BITS else None, sizes, limit)
     shard = F.expr(f"shiftleft(1L, shard_bits) | shiftright(_h, {HASH_BITS} - shard_bits)")
-    return out.withColumn("shard_id", shard).drop("_h")
+    return out.select("_row.*", "row_bytes", shard.alias("shard_id"), "shard_bits", "page")
 
 
 def _paged(out: DataFrame, over: DataFrame | None, sizes: DataFrame, limit: int) -> DataFrame:
@@ -95,7 +99,7 @@ def _paged(out: DataFrame, over: DataFrame | None, sizes: DataFrame, limit: int)
         F.col("_h").alias("_o"), F.ceil(F.col("b") * 1.25 / limit).cast("bigint").alias("_runs"))
     out = out.join(runs, F.col("_h") == F.col("_o"), "left")
     fit = out.filter("_o IS NULL").withColumn("page", F.lit(0).cast("bigint"))
-    hot = out.filter("_o IS NOT NULL").withColumn("_run", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "_runs"))
+    hot = out.filter("_o IS NOT NULL").withColumn("_run", F.pmod(F.xxhash64("_tie"), "_runs"))
     w = Window.partitionBy("_h", "_run")
     before = F.sum("row_bytes").over(w.orderBy("row_bytes").rowsBetween(Window.unboundedPreceding, -1))
     # a page takes rows from one slot of its room; its last row may reach over by the largest row that fits
@@ -113,6 +117,9 @@ def write_shards(sharded: DataFrame, path: str) -> None:
     sharded.repartition("shard_id", "page").write.partitionBy("shard_id", "page").parquet(path)
 
 
+QUERY_BYTES = 64 << 10  # of the registered query: small enough that the smallest tables split
+
+
 @register("op8_extendible_hash_shards", sql=f"""
 WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS row_bytes,
@@ -120,7 +127,7 @@ WITH d AS (
   FROM documents),
 lv AS (SELECT d.*, b.b FROM d, range(0, {HASH_BITS + 1}) AS b(b)),
 fits AS (
-  SELECT b, h >> ({HASH_BITS} - b)::INT AS p FROM lv GROUP BY 1, 2 HAVING sum(row_bytes) <= {SHARD_BYTES}),
+  SELECT b, h >> ({HASH_BITS} - b)::INT AS p FROM lv GROUP BY 1, 2 HAVING sum(row_bytes) <= {QUERY_BYTES}),
 leaf AS (
   SELECT doc_id, row_bytes, h, min(lv.b) AS bits
   FROM lv JOIN fits ON lv.b = fits.b AND lv.h >> ({HASH_BITS} - lv.b)::INT = fits.p
@@ -130,5 +137,5 @@ SELECT doc_id, row_bytes, CAST(bits AS INTEGER) AS shard_bits,
 FROM leaf""")
 def op8(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = shards(docs, F.col("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)))
+    out = shards(docs, F.col("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)), QUERY_BYTES)
     return out.select("doc_id", "row_bytes", "shard_bits", "shard_id", "page")
