@@ -37,13 +37,16 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordB
 
 class Memo(dict):
     """Remembered values of a function, bounded: of over ``limit`` keys, those not used
-    since the last turn are forgotten at the next one."""
+    since the last turn are forgotten at the next one.  Keys of over ``longest`` characters
+    (a whole text without spaces, say) are never kept, so bytes are bounded too."""
 
-    def __init__(self, make: Callable, limit: int):
+    def __init__(self, make: Callable, limit: int, longest: int = 64):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

@@ -4,7 +4,9 @@ Every Spark task packs the documents of its own input split: the text is
 tokenised, whole windows of a long document go out at once, and the rest is
 placed by the sum-of-squares rule in the fill level that keeps the squared
 counts of partially filled windows lowest.  Open windows live in an array of
-levels, so memory is bounded by the few windows still open, never by the data.
+levels; if more than ``OPEN_WINDOWS`` are open (a group of equal copies opens one
+each, since no two fit into one window), all are laid end to end and cut into whole
+windows, so memory is bounded by their number, never by the data.
 Nothing is shuffled and no task depends on another one.
 
 At the end of a split the windows still open are closed: their pieces are laid
@@ -35,6 +37,7 @@ from .registry import register
 
 WINDOW = 4096
 END_ID = 2
+OPEN_WINDOWS = 1024
 MEMO_WORDS = 400_000  # distinct words whose ids a task remembers
 # Composed Latin letters, then ASCII punctuation: lower case is all that the tokenizer's
 # normal form and pre-tokenisation do to such letters, so its merges can be asked for directly.
@@ -100,10 +103,10 @@ class WordTokenizer:
 
 
 class SumOfSquaresPacker:
-    """Online packing: ``place`` returns the windows that became full."""
+    """Online packing: ``place`` returns the window that became full; ``drain`` closes what exceeds ``most`` open ones."""
 
-    def __init__(self, window: int = WINDOW):
-        self.window = window
+    def __init__(self, window: int = WINDOW, most: int = OPEN_WINDOWS):
+        self.window, self.most = window, most
         self.levels = np.zeros(window + 1, dtype=np.int64)  # open windows at each fill level
         self.open: dict[int, list[list]] = defaultdict(list)
 
@@ -136,6 +139,22 @@ class SumOfSquaresPacker:
         self.open[level + size].append(pieces)
         return None
 
+    def drain(self) -> Iterator[list[tuple]]:
+        """Full windows cut from all open ones, if those are too many; at most one stays open."""
+        if int(self.levels.sum()) <= self.most:
+            return
+        total, pieces = sum(level * len(w) for level, w in self.open.items()), list(self.rest())
+        self.levels[:] = 0
+        self.open.clear()
+        whole, rest = divmod(total, self.window)
+        sizes = iter([self.window] * whole + [rest] * (rest > 0) + [1])
+        for n, cut_window in enumerate(cut(iter(pieces), sizes)):
+            if n < whole:
+                yield cut_window
+            else:
+                self.levels[rest] += 1
+                self.open[rest].append([(doc, start, ids.copy(), total_) for doc, start, ids, total_ in cut_window])
+
     def rest(self) -> Iterator[tuple]:
         """Pieces of the windows still open, fullest window first."""
         for level in sorted(self.open, reverse=True):
@@ -201,6 +220,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                         full = packer.place((doc, whole, ids[whole:].copy(), total), total - whole)
                         if full:
                             close(full)
+                        for pieces in packer.drain():
+                            close(pieces)
                 if len(rows) >= 5000:
                     yield flush()
         left = sum(level * len(w) for level, w in packer.open.items())
