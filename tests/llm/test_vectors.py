@@ -50,3 +50,15 @@ def test_odd_vectors(spark):
     check(df, rows)
     check(df, rows, k=7, query_rows=1, tile_rows=30)
     assert nearest.nearest(df.filter("false"), F.lit(True)).count() == 0
+
+
+def test_extreme_values_and_repeated_rows(spark):
+    rng = np.random.default_rng(7)
+    for size in (1e160, 1e-310, 1e-160, 1.0):
+        rows = [(i, [float(x) * size for x in rng.normal(size=4)]) for i in range(60)]
+        rows += [rows[7]] * 500 + [(8, [float(x) * size for x in rng.normal(size=4)]) for _ in range(20)]
+        df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>").repartition(3)
+        got = nearest.nearest(df, F.col("vec_id") % 100 == 0, tile_rows=40).collect()
+        assert len(got) == 10 and len({r.vec_id for r in got}) == 10
+        if 1e-150 < size < 1e150:
+            check(df, rows, tile_rows=40)

@@ -48,37 +48,51 @@ def usable(vector: Column) -> Column:
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(whole numbers of -127 to 127, scale, length of the rounding error) of each row."""
     scale = np.abs(x).max(1) / 127
+    scale[scale == 0] = 1.0  # far below the tile's greatest value: the row is all rounding error
     q = np.rint(x / scale[:, None])
     return q, scale, np.sqrt(((x - q * scale[:, None]) ** 2).sum(1))
 
 
 def distances(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Euclidean distances, summed from the first component to the last."""
-    return np.sqrt(np.cumsum((rows - one) ** 2, axis=1)[:, -1]) if len(rows) else np.zeros(0)
+    """Euclidean distances, summed from the first component to the last (scaled where squares leave the range of doubles)."""
+    if not len(rows):
+        return np.zeros(0)
+    with np.errstate(over="ignore", under="ignore"):
+        d = np.sqrt(np.cumsum((rows - one) ** 2, axis=1)[:, -1])
+    odd = ~((d > 1e-140) & (d < 1e150))
+    if odd.any():
+        power = int(np.frexp(max(np.abs(rows[odd]).max(), np.abs(one).max()))[1])
+        d[odd] = np.ldexp(np.sqrt(np.cumsum((np.ldexp(rows[odd], -power) - np.ldexp(one, -power)) ** 2, axis=1)[:, -1]), power)
+    return d
 
 
 def tile_nearest(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[tuple]:
     """(query, candidate, distance) of the k nearest candidates of each query, by bounds first."""
     exact = np.float32 if q.shape[1] <= 1000 else np.float64
-    cq, cs, ce = quantised(c)
+    # bounds are taken on values scaled by a power of two, so that no square overflows or vanishes
+    power = -int(np.frexp(max(np.abs(q).max(), np.abs(c).max()))[1])
+    by_id = np.argsort(cid, kind="stable")
+    starts = np.r_[0, np.flatnonzero(np.diff(cid[by_id])) + 1]
+    cq, cs, ce = quantised(np.ldexp(c, power))
     c_norm, cq = (cq * cq).sum(1) * cs * cs, cq.astype(exact)
     out = []
     for i in range(0, len(q), AT_ONCE):
         ids, part = qid[i:i + AT_ONCE], q[i:i + AT_ONCE]
-        pq, ps, pe = quantised(part)
+        pq, ps, pe = quantised(np.ldexp(part, power))
         dots = (pq.astype(exact) @ cq.T).astype(np.float64) * ps[:, None] * cs
         near = np.sqrt(np.maximum(((pq * pq).sum(1) * ps * ps)[:, None] + c_norm - 2 * dots, 0))
         error = (pe[:, None] + ce) * (1 + 1e-9) + 1e-9 * (1 + near)
         own = ids[:, None] == cid
-        # repeated ids count once, so bounds count distinct ids only where ids repeat
-        upper = np.where(own, np.inf, near + error)
-        limit = np.partition(upper, k - 1, axis=1)[:, k - 1] if len(cid) > k else np.full(len(ids), np.inf)
-        alive = ~own & (near - error <= limit[:, None])
+        # the k-th bound over distinct ids: a repeated id counts once, with its nearest row
+        upper = np.minimum.reduceat(np.where(own, np.inf, near + error)[:, by_id], starts, axis=1)
+        limit = np.partition(upper, k - 1, axis=1)[:, k - 1] if len(starts) > k else np.full(len(ids), np.inf)
+        alive = ~own & ~(near - error > limit[:, None])  # a bound that is no number prunes nothing
         for row, query in enumerate(ids):
             at = np.flatnonzero(alive[row])
             d = distances(c[at], part[row])
-            order = np.lexsort((cid[at], d))[:k]
-            out += [(query, cid[at[j]], d[j]) for j in order]
+            order = np.lexsort((cid[at], d))
+            _, first = np.unique(cid[at][order], return_index=True)
+            out += [(query, cid[at[j]], d[j]) for j in order[np.sort(first)[:k]]]
     return out
 
 
@@ -122,21 +136,22 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     queries = (rows.filter("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
                .withColumn("query_block", F.pmod(F.xxhash64("id"), F.lit(query_blocks)))
                .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))))
-    candidates = (rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
+    # a repeated row counts once, however often it occurs
+    candidates = (rows.select("id", "v", "dim").dropDuplicates(["id", "v"]).withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
                   .withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<bigint>"))))
     tile = ["dim", "query_block", "block"]
 
     def product(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        # an id's repeats: its nearest one counts, so all but the bound's count stay
-        found = tile_nearest(q["id"].to_numpy(), np.stack(q["v"]), c["id"].to_numpy(), np.stack(c["v"]),
-                             k if c["id"].is_unique else len(c))
+        found = tile_nearest(q["id"].to_numpy(), np.stack(q["v"]), c["id"].to_numpy(), np.stack(c["v"]), k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     pairs = (queries.select("id", "v", *tile).groupBy(*tile)
              .cogroup(candidates.select("id", "v", *tile).groupBy(*tile))
              .applyInPandas(product, "query_id BIGINT, vec_id BIGINT, score DOUBLE"))
+    # an id with several vectors may come out of several tiles: its nearest one counts
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return _merged(_merged(pairs, k, ranked=False).repartition("query_id"), k, ranked=True)
 
 
