@@ -140,7 +140,11 @@ class LanguageModel:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: str = "doc_id",
           per_language: int = PER_LANGUAGE, families: dict[str, str] | None = None) -> LanguageModel:
-    """Fit on about ``per_language`` whole documents of each non-null language in ``docs``."""
+    """Fit on about ``per_language`` whole documents of each non-null language in ``docs``.
+
+    The sample that reaches the driver has at most ``2 * per_language`` rows a language:
+    where a chosen id repeats so often that there are more, those whose id hashes low are taken.
+    """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(key).alias("key"))
     rows = class_sample(rows.filter("text IS NOT NULL AND lang IS NOT NULL"), "lang", "key", per_language)
 

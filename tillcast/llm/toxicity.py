@@ -179,7 +179,11 @@ class Scorer:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", per_class: int = PER_CLASS) -> FactorizationMachine | None:
-    """Fit on about ``per_class`` whole documents of each label; None without labels of both kinds."""
+    """Fit on about ``per_class`` whole documents of each label; None without labels of both kinds.
+
+    The sample that reaches the driver has at most ``4 * per_class`` rows: where a
+    chosen id repeats so often that there are more, those whose id hashes low are taken.
+    """
     marked = (labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
               .groupBy(F.col(id_col).alias("key")).agg(F.max(label_col).alias("y")))
     counts = {r.y: r["count"] for r in marked.groupBy("y").count().collect()}
