@@ -14,7 +14,7 @@ def _plan(df):
 def test_training_input_is_spread_and_stored(spark):
     df = spark.range(0, 5000, numPartitions=1).withColumn("Store", F.lit(1)).withColumn("Date", F.col("id"))
     before = spark._jsc.sc().getPersistentRDDs().size()
-    got = models.training_input(df)
+    got = models.training_input(df, rows_per_task=1000)
     sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert sum(sizes) == 5000 and max(sizes) < 2000  # one store, many tasks
     assert spark._jsc.sc().getPersistentRDDs().size() == before
