@@ -413,12 +413,34 @@ def test_toxicity_edge_cases(spark, odd, empty):
 
 # ---- operator 10
 
-def paragraphs(t):
-    return Counter(p for p in re.split(r"\n+|(?<=[.!?]) (?=[A-E])", t) if p)
+def pieces_of(t):
+    """The cut of a text, in plain Python."""
+    def spark_hash(*values):
+        h = 42
+        for v in values:
+            h = h if v is None else xxhash.xxh64(v.encode(), seed=h).intdigest()
+        return h - (h >> 63 << 64)
+
+    out = []
+    t = re.sub("([.!?\u2026\u061f\u06d4\u0964\u0965\u1362\u104b])[ \t\n\x0b\f\r\u00a0\u3000]+|([\u3002\uff01\uff1f\uff61])",
+               lambda m: (m.group(1) or "") + (m.group(2) or "") + "\n", t)
+    for p in filter(None, re.split("[\n\r\u0085\u2028\u2029]+", t)):
+        if len(p) <= sketches.LONGEST:
+            out.append(p)
+            continue
+        tokens, line = re.findall(r"(?s)(?<![A-Za-z0-9])[A-Za-z0-9]{1,24}(?![A-Za-z0-9])|.", p), ""
+        for k, token in enumerate(tokens):
+            before = [tokens[k - b] if k >= b else None for b in (1, 2, 3)]
+            line += token
+            if spark_hash(token, *before) % sketches.EVERY < len(token) and token != before[0]:
+                line += "\n"
+        for q in filter(None, line.split("\n")):
+            out += [q[n:n + sketches.LONGEST] for n in range(0, len(q), sketches.LONGEST)]
+    return Counter(out)
 
 
 def jaccard(a, b):
-    x, y = paragraphs(a), paragraphs(b)
+    x, y = pieces_of(a), pieces_of(b)
     both, all_ = sum((x & y).values()), sum((x | y).values())
     return both / all_ if all_ else 1.0
 
@@ -455,7 +477,7 @@ def test_edited_texts_are_alike_in_any_script(spark):
              (han, "", "。"), (han, "", ""), (latin, "", ""), ([chr(0x1f600 + k) for k in range(60)], "", "")]
     texts = [written(a, 600, space, stop) for a, space, stop in kinds]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
-    out = {r.doc_id: r for r in sketches.fingerprints(docs, cut=sketches.cut_sentences).collect()}
+    out = {r.doc_id: r for r in sketches.fingerprints(docs).collect()}
 
     def grams(t):
         return {t[i:i + 12] for i in range(len(t) - 11)}

@@ -1,24 +1,27 @@
 """Document fingerprints as invertible Bloom lookup sketches (operator 10), DataFrame functions only.
 
-A text is cut into pieces, always by what stands there, not by what came before.
-The query cuts at line ends and at every sentence end of any script, and a piece
+A text is cut into pieces, always by what stands there, not by what came before:
+at line ends and at every sentence end of any script, and a piece
 of over ``LONGEST`` characters after the tokens (short ASCII words, else single
 characters) that a hash of them and the three before them picks, or after ``LONGEST`` characters if none does
-(``cut_sentences``).  The library's default, ``cut_paragraphs``, is coarser:
-lines, and inside a line a sentence whose successor starts with one of A to E.
-White space at a cut belongs to no piece.  Each piece's digest, told apart by its occurrence
-when it repeats, is added to one cell of each of three tables: a count, the xor
-of digests, the xor of their checks.  The serialised cells are the fingerprint.
+(``cut_sentences``).  White space at a cut belongs to no piece.
+
+Each piece has a 64-bit digest (42 bits of hash, told apart by its occurrence when
+it repeats, and 22 bits that check them), which is added to one cell of each of
+three tables.  A cell is the xor of its digests, so sketches subtract by xor: what
+both texts hold cancels out.  The cells are the fingerprint.
 
 Two texts are compared by subtracting cells and peeling: a cell that holds a
-single digest gives it away, and it is taken out of its other cells, until
-nothing is left.  If that fails, both are sketched anew in stripes of the digest
-space that hold about ``STRIPE`` digests each, with ``WIDER`` and then doubled
-cells; a stripe that still doesn't peel is compared exactly.  The likeness is
+single digest passes its check and gives it away, and it is taken out of its other
+cells, until nothing is left.  The least digests of both texts tell about how many
+differ.  Where a fingerprint cannot hold that many, or does not peel, the digest space is cut into
+stripes that hold about ``STRIPE`` differing digests each, every stripe has its own
+cells, and one that does not peel is sketched again, larger (``WIDER``).  If a
+stripe is left, all is done once more in ``FINER`` times as many stripes.  No other comparison
+is behind it: if that failed too, nothing would count as shared.  The likeness is
 shared over distinct pieces (1 for two texts without any).
 
-Everything is an expression over one row; the digests of both texts are sorted
-by stripe and walked through once, one bounded stripe at a time.
+Everything is an expression over one row; a stripe's work is bounded.
 
 Edge cases: null text is empty; its sketch has empty cells; equal texts have
 equal fingerprints; repeated ids follow one another in order of their text; an
@@ -39,21 +42,21 @@ from .secrets import let
 
 TABLES = 3
 BASE_WIDTH = 8  # cells of each table of a fingerprint
-STRIPE = 8  # digests of both texts in a stripe of a retry, about
-WIDER = (8, 16, 21)  # cells of each table of a stripe, by retry; a digest's cells are bits of one long
+BASE_HOLDS = 16  # differing digests a fingerprint is tried for
+LEAST = 64  # digests that estimate a difference
+STRIPE = 3  # differing digests in a stripe, about
+WIDER = (5, 10, *[21] * 5)  # cells of each table of a stripe, by retry; a digest's cells are bits of one long
+FINER = 8
 ROUNDS = 8
-PARAGRAPH = r"\n+|(?<=[.!?]) (?=[A-E])"
+CHECK_BITS = 22
 # Full stops before white space, or those of scripts that write none.
-SENTENCE = r"[\n\r\u0085\u2028\u2029]+|(?<=[.!?\u2026\u061f\u06d4\u0964\u0965\u1362\u104b])[\s\u00a0\u3000]+|(?<=[\u3002\uff01\uff1f\uff61])"
+STOP = r"([.!?\u2026\u061f\u06d4\u0964\u0965\u1362\u104b])[\s\u00a0\u3000]+|([\u3002\uff01\uff1f\uff61])"
+LINE_END = r"[\n\r\u0085\u2028\u2029]+"
 LONGEST = 128  # characters of a piece
 EVERY = 32  # characters between the cuts of a longer piece, about
 TOKEN = r"(?<![A-Za-z0-9])[A-Za-z0-9]{1,24}(?![A-Za-z0-9])|(?s:.)"
-_CHECK = 77
-_FOUND = "array<struct<k:bigint,n:int>>"
-
-
-def cut_paragraphs(text: Column) -> Column:
-    return F.filter(F.split(text, PARAGRAPH, -1), lambda p: p != "")
+_LOW = (1 << CHECK_BITS) - 1
+_BITS = [1 << i for i in range(TABLES * max(WIDER))]
 
 
 def cut_sentences(text: Column) -> Column:
@@ -67,148 +70,150 @@ def cut_sentences(text: Column) -> Column:
             marked = F.transform(tokens, lambda t, i: F.when(ends(t, i), F.concat(t, F.lit("\n"))).otherwise(t))
             return F.regexp_extract_all(F.array_join(marked, ""), F.lit(f"[^\n]{{1,{LONGEST}}}"), F.lit(0))
         return let(F.regexp_extract_all(piece, F.lit(TOKEN), F.lit(0)), cut)
-    pieces = F.filter(F.split(text, SENTENCE, -1), lambda p: p != "")
+    pieces = F.filter(F.split(F.regexp_replace(text, STOP, "$1$2\n"), LINE_END, -1), lambda p: p != "")
     return F.flatten(F.transform(
         pieces, lambda p: F.when(F.char_length(p) > LONGEST, shorter(p)).otherwise(F.array(p))))
 
 
-def paragraph_digests(text: Column, cut: Callable[[Column], Column] = cut_paragraphs) -> Column:
+def _check(k: Column) -> Column:
+    """The low bits that a digest with these high bits carries."""
+    return F.xxhash64(k.bitwiseAND(F.lit(~_LOW))).bitwiseAND(F.lit(_LOW))
+
+
+def paragraph_digests(text: Column, cut: Callable[[Column], Column] = cut_sentences) -> Column:
     """A sorted array of 64-bit digests, one for each occurrence of a piece."""
     def number(hashes: Column) -> Column:
         def occurrence(h: Column, i: Column) -> Column:
             again = F.get(hashes, i - 1).eqNullSafe(h)
             return F.when(again, (i + 1).cast("bigint") - F.array_position(hashes, h)).otherwise(F.lit(0).cast("bigint"))
         return F.transform(hashes, lambda h, i: F.xxhash64(h, occurrence(h, i)))
-    return F.sort_array(let(F.sort_array(F.transform(cut(text), lambda p: F.xxhash64(p))), number))
+    numbered = let(F.sort_array(F.transform(cut(text), lambda p: F.xxhash64(p))), number)
+    return F.sort_array(F.transform(numbered, lambda h: h.bitwiseAND(F.lit(~_LOW)).bitwiseOR(_check(h))))
 
 
-def _check(k: Column) -> Column:
-    return F.xxhash64(k, F.lit(_CHECK)).bitwiseAND(F.lit(0xFFFFFFFF))
-
-
-def _mask(k: Column, width: int, salt: int) -> Column:
-    """The cells of a digest, one in each table, as bits of a long."""
+def _marked(digests: Column, width: Column, salt: Column) -> Column:
+    """Digests with their cells, one in each table, as bits of a long."""
     def bits(h: Column) -> Column:
         one = F.lit(1).cast("bigint")
-        places = [F.pmod(F.shiftrightunsigned(h, 20 * j), F.lit(width)).cast("int") + j * width for j in range(TABLES)]
-        marks = [F.call_function("shiftleft", one, p) for p in places]
+        marks = [F.call_function("shiftleft", one, (F.pmod(F.shiftrightunsigned(h, 20 * j), width) + width * j).cast("int"))
+                 for j in range(TABLES)]
         return marks[0].bitwiseOR(marks[1]).bitwiseOR(marks[2])
-    return let(F.xxhash64(k, F.lit(salt)), bits)
+    return F.transform(digests, lambda k: F.struct(k.alias("k"), let(F.xxhash64(k, salt), bits).alias("m")))
 
 
-def _hits(mask: Column, cell: Column) -> Column:
-    return F.call_function("shiftright", mask, cell).bitwiseAND(F.lit(1)) == 1
+def _toggled(cell: Column, bit: Column, marked: Column) -> Column:
+    """A cell after adding (or taking out, which is the same) the digests that fall into it."""
+    return F.aggregate(marked, cell, lambda acc, x: F.when(
+        x["m"].bitwiseAND(bit) > 0, acc.bitwiseXOR(x["k"])).otherwise(acc))
 
 
-def cells(digests: Column, width: int, salt: int) -> Column:
-    """The sketch of an array of digests: TABLES x width cells (n, k, c)."""
-    marked = F.transform(digests, lambda k: F.struct(k.alias("k"), _check(k).alias("c"), _mask(k, width, salt).alias("m")))
-
-    def cell(i: Column, items: Column) -> Column:
-        def add(acc: Column, x: Column) -> Column:
-            return F.when(_hits(x["m"], i), F.struct(
-                (acc["n"] + 1).alias("n"), acc["k"].bitwiseXOR(x["k"]).alias("k"), acc["c"].bitwiseXOR(x["c"]).alias("c"))
-            ).otherwise(acc)
-        zero = F.lit(0).cast("bigint")
-        return F.aggregate(items, F.struct(F.lit(0).alias("n"), zero.alias("k"), zero.alias("c")), add)
-    return let(marked, lambda items: F.transform(F.sequence(F.lit(0), F.lit(TABLES * width - 1)), lambda i: cell(i, items)))
+def cells(digests: Column, width: Column, salt: Column) -> Column:
+    """The sketch of an array of digests: TABLES x width cells."""
+    bits = F.slice(F.array(*[F.lit(b).cast("bigint") for b in _BITS]), F.lit(1), (width * TABLES).cast("int"))
+    return let(_marked(digests, width, salt), lambda items: F.transform(
+        bits, lambda bit: _toggled(F.lit(0).cast("bigint"), bit, items)))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct(
-        (x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
-
-
-def peel(difference: Column, width: int, salt: int) -> Column:
-    """(cells left, digests found with their sign) after peeling a subtracted sketch."""
-    def pure(cs: Column) -> Column:
-        single = F.filter(cs, lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"])))
-        return F.array_distinct(F.transform(single, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"))))
+    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
-    def mark(found: Column) -> Column:
-        return F.transform(found, lambda f: F.struct(
-            f["k"].alias("k"), f["n"].alias("n"), _check(f["k"]).alias("c"), _mask(f["k"], width, salt).alias("m")))
 
+def peel(difference: Column, width: Column, salt: Column) -> Column:
+    """Digests found by peeling a subtracted sketch; null where something is left."""
     def round_(acc: Column, _: Column) -> Column:
         def take(found: Column) -> Column:
             def clear(marked: Column) -> Column:
-                return F.transform(acc["cells"], lambda c, i: F.aggregate(
-                    marked, c, lambda a, f: F.when(_hits(f["m"], i), F.struct(
-                        (a["n"] - f["n"]).alias("n"), a["k"].bitwiseXOR(f["k"]).alias("k"),
-                        a["c"].bitwiseXOR(f["c"]).alias("c"))).otherwise(a)))
-            return F.when(F.size(found) == 0, acc).otherwise(F.struct(
-                let(mark(found), clear).alias("cells"), F.concat(acc["found"], found).alias("found")))
-        return let(pure(acc["cells"]), take)
-
-    start = F.struct(difference.alias("cells"), F.array().cast(_FOUND).alias("found"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
-
-
-def _empty(cs: Column) -> Column:
-    return F.forall(cs, lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0))
-
-
-def _recovered(a: Column, b: Column, width: int, salt: int, a_cells: Column | None = None,
-               b_cells: Column | None = None) -> Column:
-    """Number of differing digests by subtracting and peeling; null where peeling fails."""
-    a_cells = cells(a, width, salt) if a_cells is None else a_cells
-    b_cells = cells(b, width, salt) if b_cells is None else b_cells
-    peeled = lambda cs: let(peel(cs, width, salt), lambda p: F.when(_empty(p["cells"]), F.size(p["found"])))
-    return let(subtract(a_cells, b_cells), lambda cs: F.when(_empty(cs), F.lit(0)).otherwise(peeled(cs)))
-
-
-def _stripe_difference(a: Column, b: Column) -> Column:
-    """Differing digests of one stripe: wider sketches first, exactly if none peels."""
-    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    return F.coalesce(*[_recovered(a, b, w, 1000 * (i + 1)) for i, w in enumerate(WIDER)], exact)
+                return F.transform(acc["cells"], lambda c, i: _toggled(
+                    c, F.call_function("shiftleft", F.lit(1).cast("bigint"), i), marked))
+            rest = F.when(F.size(found) == 0, acc["cells"]).otherwise(let(_marked(found, width, salt), clear))
+            return F.struct(rest.alias("cells"), F.concat(acc["found"], found).alias("found"),
+                            (F.size(found) == 0).alias("done"))
+        pure = F.filter(acc["cells"], lambda c: (c != 0) & (c.bitwiseAND(F.lit(_LOW)) == _check(c)))
+        return F.when(acc["done"], acc).otherwise(let(F.array_distinct(pure), take))
+
+    start = F.struct(difference.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_,
+                       lambda acc: F.when(F.forall(acc["cells"], lambda c: c == 0), acc["found"]))
+
+
+def _stripe_difference(both: Column) -> Column:
+    """Number of differing digests of a stripe, larger sketches until one peels; null if none does.
+
+    ``both`` holds the digests of both texts: cells add up, so their sketch is
+    the one text's minus the other's.
+    """
+    def attempt(done: Column, t: Column) -> Column:
+        width, salt = t["w"], t["salt"]
+        return F.coalesce(done, F.array_size(peel(cells(both, width, salt), width, salt)))
+    tries = F.array(*[F.struct(F.lit(w).cast("bigint").alias("w"), F.lit(i + 1).alias("salt")) for i, w in enumerate(WIDER)])
+    return F.aggregate(tries, F.lit(None).cast("int"), lambda d, t: F.when(d.isNotNull(), d).otherwise(attempt(d, t)))
+
+
+def _striped_difference(a: Column, b: Column, expected: Column) -> Column:
+    """Number of differing digests, from stripes of the digest space (contiguous in sorted digests)."""
+    def in_stripes(both: Column, n: Column) -> Column:
+        placed = F.transform(both, lambda k: F.struct(
+            F.shiftright(F.shiftrightunsigned(k, 33) * n, 31).alias("s"), k.alias("k")))
 
+        def step(acc: Column, x: Column) -> Column:
+            more = F.struct(acc["s"].alias("s"), F.concat(acc["held"], F.array(x["k"])).alias("held"), acc["d"].alias("d"))
+            done = F.struct(x["s"].alias("s"), F.array(x["k"]).alias("held"),
+                            (acc["d"] + _stripe_difference(acc["held"])).alias("d"))
+            return F.when(acc["s"] == x["s"], more).otherwise(done)
 
-def _striped_difference(a: Column, b: Column) -> Column:
-    stripes = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / STRIPE).cast("int"))
+        end = F.array(F.struct(F.lit(-1).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("k")))
+        start = F.struct(F.lit(-1).cast("bigint").alias("s"), F.array().cast("array<bigint>").alias("held"), F.lit(0).alias("d"))
+        return F.aggregate(F.concat(placed, end), start, step, lambda acc: acc["d"])
 
-    def total(n: Column) -> Column:
-        def marked(digests: Column, side: int) -> Column:
-            return F.transform(digests, lambda k: F.struct(
-                F.pmod(F.xxhash64(k, F.lit(5)), n).cast("int").alias("s"), F.lit(side).alias("side"), k.alias("k")))
+    def total(both: Column) -> Column:
+        n = F.greatest(F.lit(1).cast("bigint"), F.ceil(expected / STRIPE))
+        tries = F.array(n, n * FINER)
+        return F.aggregate(tries, F.lit(None).cast("int"),
+                           lambda d, t: F.when(d.isNotNull(), d).otherwise(in_stripes(both, t)))
+    return let(F.sort_array(F.concat(a, b)), total)
 
-        def step(acc: Column, x: Column) -> Column:
-            same = acc["s"] == x["s"]
 
-            def side(name: str, number: int) -> Column:
-                held = F.when(same, acc[name]).otherwise(F.array().cast("array<bigint>"))
-                return F.when(x["side"] == number, F.concat(held, F.array(x["k"]))).otherwise(held).alias(name)
-            done = F.when(same, acc["d"]).otherwise(acc["d"] + _stripe_difference(acc["a"], acc["b"]))
-            return F.struct(x["s"].alias("s"), side("a", 0), side("b", 1), done.alias("d"))
+def expected_difference(a: Column, b: Column) -> Column:
+    """Upper estimate of the number of differing digests, from the least ``LEAST`` of both."""
+    both = F.size(a) + F.size(b)
 
-        none = F.array().cast("array<bigint>")
-        start = F.struct(F.lit(0).alias("s"), none.alias("a"), none.alias("b"), F.lit(0).alias("d"))
-        return F.aggregate(F.sort_array(F.concat(marked(a, 0), marked(b, 1))), start, step,
-                           lambda acc: acc["d"] + _stripe_difference(acc["a"], acc["b"]))
-    return let(stripes, total)
+    def estimate(shared: Column) -> Column:
+        def grown(low: Column) -> Column:
+            return both * (1 - low) / (1 + low)
+        seen = F.least(both - shared, F.lit(LEAST))
+        low = let(shared / seen, lambda x: F.greatest(F.lit(0.0), x - 2 * F.sqrt(x * (1 - x) / LEAST) - 1 / LEAST))
+        return F.when(both <= LEAST, (both - 2 * shared).cast("double")).otherwise(let(low, grown))
+    return let(F.size(F.array_intersect(F.slice(a, 1, LEAST), F.slice(b, 1, LEAST))), estimate)
 
 
 def likeness(a: Column, b: Column, a_cells: Column, b_cells: Column) -> Column:
     """Shared over distinct digests (0 to 1), from the fingerprints' own cells first."""
-    d = F.coalesce(_recovered(a, b, BASE_WIDTH, 0, a_cells, b_cells), _striped_difference(a, b))
+    width, salt = F.lit(BASE_WIDTH).cast("bigint"), F.lit(0)
     both = F.size(a) + F.size(b)
-    return let(d, lambda x: F.when(both == 0, F.lit(1.0)).otherwise((both - x) / (both + x)))
+
+    def compare(expected: Column) -> Column:
+        own = F.when(expected <= BASE_HOLDS, F.array_size(peel(subtract(a_cells, b_cells), width, salt)))
+        return let(own, lambda d: F.coalesce(
+            d, F.when(a_cells == b_cells, F.lit(0)), _striped_difference(a, b, expected), both))
+    share = let(let(expected_difference(a, b), compare), lambda d: (both - d) / (both + d))
+    return F.when(both == 0, F.lit(1.0)).otherwise(share)
 
 
-def serialised(cs: Column) -> Column:
-    """Cells as text: "-" for an empty one, else count, digests and checks in hexadecimal."""
+def serialised(digests: Column, cs: Column) -> Column:
+    """Number of pieces, then the cells in hexadecimal, "-" for an empty one."""
     def one(c: Column) -> Column:
-        return F.when((c["n"] == 0), F.lit("-")).otherwise(F.concat(
-            c["n"].cast("string"), F.lit(":"), F.lower(F.hex(c["k"])), F.lit(":"), F.lower(F.hex(c["c"]))))
-    return F.array_join(F.transform(cs, one), " ")
+        return F.when(c == 0, F.lit("-")).otherwise(F.lower(F.hex(c)))
+    return F.concat_ws(" ", F.size(digests).cast("string"), F.transform(cs, one))
 
 
-def sketch(text: Column, cut: Callable[[Column], Column] = cut_paragraphs) -> Column:
+def sketch(text: Column, cut: Callable[[Column], Column] = cut_sentences) -> Column:
     """(digests, cells) of a text."""
-    return let(paragraph_digests(text, cut), lambda d: F.struct(d.alias("d"), cells(d, BASE_WIDTH, 0).alias("c")))
+    width, salt = F.lit(BASE_WIDTH).cast("bigint"), F.lit(0)
+    return let(paragraph_digests(text, cut), lambda d: F.struct(d.alias("d"), cells(d, width, salt).alias("c")))
 
 
 def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    cut: Callable[[Column], Column] = cut_paragraphs) -> DataFrame:
+                    cut: Callable[[Column], Column] = cut_sentences) -> DataFrame:
     """doc_id, text, sketch, the next document's sketch, and the text with its latter half taken from the next one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
@@ -220,20 +225,20 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 cut: Callable[[Column], Column] = cut_paragraphs) -> DataFrame:
+                 cut: Callable[[Column], Column] = cut_sentences) -> DataFrame:
     """Fingerprints of each text and of its edited version, and their likenesses."""
     rows = edited_versions(docs, id_col, text_col, cut)
     both = let(sketch(F.col("edited"), cut), lambda e: F.struct(
-        serialised(e["c"]).alias("print"),
+        serialised(e["d"], e["c"]).alias("print"),
         likeness(F.col("own")["d"], e["d"], F.col("own")["c"], e["c"]).alias("near")))
     rows = rows.withColumn("e", both)
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        serialised(F.col("own")["c"]).alias("fingerprint"), F.col("e")["print"].alias("edited_fingerprint"),
+        serialised(F.col("own")["d"], F.col("own")["c"]).alias("fingerprint"), F.col("e")["print"].alias("edited_fingerprint"),
         F.col("e")["near"].alias("near_edited"),
         likeness(F.col("own")["d"], F.col("next_own")["d"], F.col("own")["c"], F.col("next_own")["c"]).alias("near_next"))
 
 
 @register("op10_lookup_sketches")
 def op10(spark, sf_dir):
-    return fingerprints(documents(spark, sf_dir), cut=cut_sentences)
+    return fingerprints(documents(spark, sf_dir))
