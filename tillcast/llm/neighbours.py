@@ -66,7 +66,8 @@ def with_next(df: DataFrame, key: str, order: list[str], payload: list[str], pre
     first = first.groupBy("_before").agg(F.min(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])).alias("_h"))
     first = first.select(F.col("_before").alias("_bucket"), *[
         F.col("_h")[f"c{names.index(c)}"].alias(f"_h_{c}") for c in payload])
-    rows = derive(df).withColumn("_bucket", _bucket(F.col(key), bounds, parts))
+    # derived columns are made after the shuffle, which carries only the table's own
+    rows = derive(df.withColumn("_bucket", _bucket(F.col(key), bounds, parts)).repartition("_bucket"))
     w = Window.partitionBy("_bucket").orderBy(F.col(key).asc_nulls_last(), *order)
     rows = rows.withColumns({"_more": F.lead(F.lit(True)).over(w), **{f"_l_{c}": F.lead(c).over(w) for c in payload}})
     rows = rows.join(first, "_bucket", "left")

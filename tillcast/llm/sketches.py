@@ -14,9 +14,10 @@ both texts hold cancels out.  The cells are the fingerprint.
 Two texts are compared by subtracting cells and peeling: a cell that holds a
 single digest passes its check and gives it away, and it is taken out of its other
 cells, until nothing is left.  The least digests of both texts tell about how many
-differ.  Where a fingerprint cannot hold that many, or does not peel, the digest space is cut into
-stripes that hold about ``STRIPE`` differing digests each, every stripe has its own
-cells, and one that does not peel is sketched again, larger (``WIDER``).  If a
+differ.  Where a fingerprint cannot hold that many, or does not peel, both are
+sketched with ``CELLS_EACH`` cells for each differing digest, a cell being a stripe of
+the digest space.  The digests of a cell that holds several differing ones are
+sketched again in three tables, then in larger ones (``WIDER``), which are peeled.  If a
 stripe is left, all is done once more in ``FINER`` times as many stripes.  No other comparison
 is behind it: if that failed too, nothing would count as shared.  The likeness is
 shared over distinct pieces (1 for two texts without any).
@@ -44,8 +45,8 @@ TABLES = 3
 BASE_WIDTH = 8  # cells of each table of a fingerprint
 BASE_HOLDS = 16  # differing digests a fingerprint is tried for
 LEAST = 64  # digests that estimate a difference
-STRIPE = 3  # differing digests in a stripe, about
-WIDER = (5, 10, *[21] * 5)  # cells of each table of a stripe, by retry; a digest's cells are bits of one long
+CELLS_EACH = 2  # stripes (cells of the first table) for a differing digest
+WIDER = (3, 7, *[21] * 5)  # cells of each table of a stripe, by retry; a digest's cells are bits of one long
 FINER = 8
 ROUNDS = 8
 CHECK_BITS = 22
@@ -80,6 +81,11 @@ def _check(k: Column) -> Column:
     return F.xxhash64(k.bitwiseAND(F.lit(~_LOW))).bitwiseAND(F.lit(_LOW))
 
 
+def _pure(cell: Column) -> Column:
+    """True for a cell that holds a single digest (or, once in four million, several that look like one)."""
+    return cell.bitwiseAND(F.lit(_LOW)) == _check(cell)
+
+
 def paragraph_digests(text: Column, cut: Callable[[Column], Column] = cut_sentences) -> Column:
     """A sorted array of 64-bit digests, one for each occurrence of a piece."""
     def number(hashes: Column) -> Column:
@@ -128,7 +134,7 @@ def peel(difference: Column, width: Column, salt: Column) -> Column:
             rest = F.when(F.size(found) == 0, acc["cells"]).otherwise(let(_marked(found, width, salt), clear))
             return F.struct(rest.alias("cells"), F.concat(acc["found"], found).alias("found"),
                             (F.size(found) == 0).alias("done"))
-        pure = F.filter(acc["cells"], lambda c: (c != 0) & (c.bitwiseAND(F.lit(_LOW)) == _check(c)))
+        pure = F.filter(acc["cells"], lambda c: (c != 0) & _pure(c))
         return F.when(acc["done"], acc).otherwise(let(F.array_distinct(pure), take))
 
     start = F.struct(difference.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(False).alias("done"))
@@ -150,23 +156,29 @@ def _stripe_difference(both: Column) -> Column:
 
 
 def _striped_difference(a: Column, b: Column, expected: Column) -> Column:
-    """Number of differing digests, from stripes of the digest space (contiguous in sorted digests)."""
+    """Number of differing digests, from cells that each hold a stripe of the digest space (contiguous in sorted digests)."""
     def in_stripes(both: Column, n: Column) -> Column:
-        placed = F.transform(both, lambda k: F.struct(
-            F.shiftright(F.shiftrightunsigned(k, 33) * n, 31).alias("s"), k.alias("k")))
+        def found(acc: Column) -> Column:
+            held = F.slice(both, acc["first"] + 1, acc["i"] - acc["first"])
+            return F.when(acc["cell"] == 0, 0).when(_pure(acc["cell"]), 1).otherwise(_stripe_difference(held))
+
+        def state(s: Column, first: Column, i: Column, cell: Column, d: Column) -> Column:
+            return F.struct(s.alias("s"), first.alias("first"), i.alias("i"), cell.alias("cell"), d.alias("d"))
 
-        def step(acc: Column, x: Column) -> Column:
-            more = F.struct(acc["s"].alias("s"), F.concat(acc["held"], F.array(x["k"])).alias("held"), acc["d"].alias("d"))
-            done = F.struct(x["s"].alias("s"), F.array(x["k"]).alias("held"),
-                            (acc["d"] + _stripe_difference(acc["held"])).alias("d"))
-            return F.when(acc["s"] == x["s"], more).otherwise(done)
+        def step(acc: Column, k: Column) -> Column:
+            s = F.coalesce(F.shiftright(F.shiftrightunsigned(k, 33) * n, 31), F.lit(-1).cast("bigint"))
+            after = acc["i"] + 1
+            return let(s, lambda s: F.when(
+                acc["s"] == s, state(s, acc["first"], after, acc["cell"].bitwiseXOR(k), acc["d"])).otherwise(
+                state(s, acc["i"], after, k, acc["d"] + found(acc))))
 
-        end = F.array(F.struct(F.lit(-1).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("k")))
-        start = F.struct(F.lit(-1).cast("bigint").alias("s"), F.array().cast("array<bigint>").alias("held"), F.lit(0).alias("d"))
-        return F.aggregate(F.concat(placed, end), start, step, lambda acc: acc["d"])
+        end = F.array(F.lit(None).cast("bigint"))  # closes the last stripe
+        none = F.lit(0).cast("bigint")
+        start = state(F.lit(-2).cast("bigint"), F.lit(0), F.lit(0), none, F.lit(0))
+        return F.aggregate(F.concat(both, end), start, step, lambda acc: acc["d"])
 
     def total(both: Column) -> Column:
-        n = F.greatest(F.lit(1).cast("bigint"), F.ceil(expected / STRIPE))
+        n = F.greatest(F.lit(1).cast("bigint"), F.ceil(expected * CELLS_EACH))
         tries = F.array(n, n * FINER)
         return F.aggregate(tries, F.lit(None).cast("int"),
                            lambda d, t: F.when(d.isNotNull(), d).otherwise(in_stripes(both, t)))
