@@ -47,7 +47,10 @@ DEPTH = 4
 FOLDS = 5
 HELD_OUT = 1
 BLOCK_BYTES = 16 << 20  # text in a block, about
-SLICE_DOCS = 128  # documents of a block turned into arrays at once; bounds a worker's memory
+# Documents of a block turned into arrays at once, and their bytes (a longer text is taken alone); bounds a worker's memory.
+SLICE_DOCS = 128
+SLICE_BYTES = 1 << 18
+SENT_BYTES = 1 << 20  # compressed chunks sent to Spark at once, about
 END = b"\0"
 
 SCORES = ("doc_id BIGINT, held_out BOOLEAN, n_tokens BIGINT, n_known BIGINT, train_tokens BIGINT, "
@@ -94,7 +97,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     lengths = np.array([len(t) + 1 for t in texts])
     words = np.diff(np.searchsorted(first, np.concatenate([[0], 1 + np.cumsum(lengths)])))
     value = data.astype(np.uint64) + np.uint64(1)
-    powers = _powers(max(1 << 20, 1 << len(data).bit_length()))
+    powers = _powers(max(2 * SLICE_BYTES, 1 << len(data).bit_length()))
     found = []
     for up, down in powers:
         total = np.concatenate([[np.uint64(0)], np.cumsum(value * up[:len(value)], dtype=np.uint64)])
@@ -146,21 +149,36 @@ def block_rows(docs: DataFrame, id_col: str, text_col: str, train: Column, block
             at = batch.column("block").to_numpy(zero_copy_only=False)
             plain = batch.select(["doc_id", "text", "train"])
             names, payloads = [], []
+
+            def sent() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(names, type=pa.int32()), pa.array(payloads, type=pa.binary())],
+                                                  names=["block", "payload"])
+
             for block in np.unique(at):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, plain.schema, options=options) as out:
                     out.write_batch(plain.take(pa.array(np.flatnonzero(at == block))))
                 names.append(block)
                 payloads.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, type=pa.int32()), pa.array(payloads, type=pa.binary())],
-                                             names=["block", "payload"])
+                if sum(map(len, payloads)) > SENT_BYTES:
+                    yield sent()
+                    names, payloads = [], []
+            if names:
+                yield sent()
 
     return rows.mapInArrow(chunks, "block INT, payload BINARY")
 
 
 def unpacked(payload: bytes) -> Iterator[pa.RecordBatch]:
     for batch in pa.ipc.open_stream(payload):
-        yield from slices(batch, SLICE_DOCS)
+        for part in slices(batch, SLICE_DOCS):
+            upto = np.cumsum([len(t.as_buffer()) for t in part.column("text")])
+            first = 0
+            while first < part.num_rows:
+                before = upto[first - 1] if first else 0
+                stop = max(first + 1, int(np.searchsorted(upto, before + SLICE_BYTES, side="right")))
+                yield part.slice(first, stop - first)
+                first = stop
 
 
 def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +194,8 @@ def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
 class BlockCounts:
     """Distinct words and byte sequences of a block with their training counts."""
 
-    HELD = 2_000_000  # byte positions held before they are reduced to counts
+    HELD = 1_000_000  # byte positions held before they are reduced to counts
+    LISTS = 16  # lists of distinct words held before they become one
 
     def __init__(self):
         self.words: list[tuple] = []  # distinct words of some texts (both hashes) and their counts
@@ -188,7 +207,7 @@ class BlockCounts:
         h1, h2, n = word_hashes(texts)
         a, b, place = distinct_words(h1, h2)
         self.words.append((a, b, np.bincount(place, np.repeat(train, n), minlength=len(a)).astype(np.int64)))
-        if len(self.words) > 32:
+        if len(self.words) > self.LISTS:
             self.words = [self.word_counts()]
         for learn in (True, False):
             chosen = [t for t, x in zip(texts, train, strict=True) if x == learn]
@@ -337,6 +356,69 @@ def _places(a: np.ndarray, b: np.ndarray, all_a: np.ndarray, all_b: np.ndarray)
     return found
 
 
+def block_scores(texts: pa.Table, table: pa.Table, n_train: int, tokens: int, unit: float) -> pa.Table:
+    """Scores of a block's texts from the counts and probabilities of what it lists (``table``: a, b, value).
+
+    Of the words only their places are kept from slice to slice, and the hashes of those that ``table`` lacks.
+    """
+    a, value = table.column("a").to_numpy(), table.column("value").to_numpy()
+    is_word = np.asarray(table.column("b").is_valid())
+    order = np.argsort(a[~is_word])
+    key, log10 = a[~is_word][order], value[~is_word][order]
+    w1, w2, total = a[is_word], table.column("b").drop_null().to_numpy(), value[is_word]
+    del table, a, value
+    order = np.lexsort((w2, w1))
+    w1, w2, total = w1[order], w2[order], total[order]
+    del order
+    rows: list[tuple] = []
+    words: list[tuple] = []
+    alone: list[tuple] = []  # words of this block only: both hashes and counts
+    sums: list[np.ndarray] = []
+    for payload in texts.column("payload"):
+        for part in unpacked(payload.as_buffer()):
+            body = part.column("text").to_pylist()
+            seq, firsts = sequence_keys(body)
+            codes, uniques = pd.factorize(seq)
+            at = np.minimum(np.searchsorted(key, uniques), max(len(key) - 1, 0))
+            if len(key) == 0 or not np.array_equal(key[at], uniques):
+                raise RuntimeError("a block lacks byte sequences of its own texts")
+            sums.append(np.add.reduceat(log10[at][codes], firsts))
+            learn = np.array(part.column("train").to_numpy(zero_copy_only=False))
+            h1, h2, n = word_hashes(body)
+            d1, d2, place = distinct_words(h1, h2)
+            at = _places(d1, d2, w1, w2)
+            lacks = at < 0
+            alone.append((d1[lacks], d2[lacks], np.bincount(place, np.repeat(learn, n), minlength=len(d1))[lacks]))
+            words.append((at.astype(np.int32), place, n))
+            rows.append((part.column("doc_id").to_pylist(), learn, np.array([len(t) for t in body])))
+    if not rows:
+        return pa.Table.from_pylist([], schema=SCORED)
+    train, n_bytes = (np.concatenate([r[i] for r in rows]) for i in (1, 2))
+    # the count of a word of this block only is its count here
+    u1, _, where = distinct_words(np.concatenate([w[0] for w in alone]), np.concatenate([w[1] for w in alone]))
+    own = np.bincount(where, np.concatenate([w[2] for w in alone]), minlength=len(u1))
+    base, known_words, done = [], [], 0
+    for at, place, n in words:
+        lacks = at < 0
+        count = np.empty(len(at))
+        count[~lacks] = total[at[~lacks]]
+        count[lacks] = own[where[done:done + lacks.sum()]]
+        done += lacks.sum()
+        first, has = np.cumsum(n) - n, n > 0
+        b, k = np.zeros(len(n)), np.zeros(len(n), dtype=np.int64)
+        if has.any():
+            b[has] = np.add.reduceat((np.log10(count + 0.5) - unit)[place], first[has])
+            k[has] = np.add.reduceat((count > 0)[place].astype(np.int64), first[has])
+        base.append(b)
+        known_words.append(k)
+    base, known_words, n_words = np.concatenate(base), np.concatenate(known_words), np.concatenate([w[2] for w in words])
+    end = math.log10(n_train + 0.5) - unit
+    return pa.Table.from_arrays([
+        pa.array([i for r in rows for i in r[0]], type=pa.int64()), pa.array(~train), pa.array(n_words + 1),
+        pa.array(known_words + (n_train > 0)), pa.array(np.full(len(train), tokens)), pa.array(base + end),
+        pa.array(np.concatenate(sums)), pa.array(n_bytes)], schema=SCORED)
+
+
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Scores of every text under the models learned from the rows where ``train`` holds."""
@@ -362,56 +444,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     unit = math.log10(tokens + 0.5 * (kinds + 1))
 
     def score(texts: pa.Table, table: pa.Table) -> pa.Table:
-        a, value = table.column("a").to_numpy(), table.column("value").to_numpy()
-        second = table.column("b")
-        is_word = np.asarray(second.is_valid())
-        order = np.argsort(a[~is_word])
-        key, log10 = a[~is_word][order], value[~is_word][order]
-        rows: list[tuple] = []
-        words: list[tuple] = []
-        sums: list[np.ndarray] = []
-        for payload in texts.column("payload"):
-            for part in unpacked(payload.as_py()):
-                body = part.column("text").to_pylist()
-                seq, firsts = sequence_keys(body)
-                codes, uniques = pd.factorize(seq)
-                at = np.minimum(np.searchsorted(key, uniques), max(len(key) - 1, 0))
-                if len(key) == 0 or not np.array_equal(key[at], uniques):
-                    raise RuntimeError("a block lacks byte sequences of its own texts")
-                sums.append(np.add.reduceat(log10[at][codes], firsts))
-                learn = part.column("train").to_numpy(zero_copy_only=False)
-                h1, h2, n = word_hashes(body)
-                d1, d2, place = distinct_words(h1, h2)
-                words.append((d1, d2, np.bincount(place, np.repeat(learn, n), minlength=len(d1)), place, n))
-                rows.append((part.column("doc_id"), learn, np.array([len(t) for t in body])))
-        if not rows:
-            return pa.Table.from_pylist([], schema=SCORED)
-        train, n_bytes = (np.concatenate([r[i] for r in rows]) for i in (1, 2))
-        # the count of a word of this block only is its count here
-        u1, u2, where = distinct_words(np.concatenate([w[0] for w in words]), np.concatenate([w[1] for w in words]))
-        count = np.bincount(where, np.concatenate([w[2] for w in words]), minlength=len(u1))
-        w1, w2, total = a[is_word], second.drop_null().to_numpy(), value[is_word]
-        order = np.lexsort((w2, w1))
-        at = _places(u1, u2, w1[order], w2[order])
-        count = np.where(at >= 0, total[order][at], count) if len(total) else count
-        log_word = np.log10(count + 0.5) - unit
-        base, known_words, done = [], [], 0
-        for d1, _, _, place, n in words:
-            mine = where[done:done + len(d1)]
-            done += len(d1)
-            first, has = np.cumsum(n) - n, n > 0
-            b, k = np.zeros(len(n)), np.zeros(len(n), dtype=np.int64)
-            if has.any():
-                b[has] = np.add.reduceat(log_word[mine][place], first[has])
-                k[has] = np.add.reduceat((count[mine] > 0)[place].astype(np.int64), first[has])
-            base.append(b)
-            known_words.append(k)
-        base, known_words, n_words = np.concatenate(base), np.concatenate(known_words), np.concatenate([w[4] for w in words])
-        end = math.log10(n_train + 0.5) - unit
-        return pa.Table.from_arrays([
-            pa.chunked_array([r[0] for r in rows]), pa.array(~train), pa.array(n_words + 1),
-            pa.array(known_words + (n_train > 0)), pa.array(np.full(len(train), tokens)), pa.array(base + end),
-            pa.array(np.concatenate(sums)), pa.array(n_bytes)], schema=SCORED)
+        return block_scores(texts, table, n_train, tokens, unit)
 
     return chunks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(score, SCORES)
 
