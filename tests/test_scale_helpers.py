@@ -1,8 +1,10 @@
 """Scale helpers: training input, exact sums, checkpoints."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tillcast.operators import stats
 from tillcast.plans import models
 from tillcast.session import cut_lineage, ensure_checkpoint_dir
 
@@ -56,3 +58,26 @@ def test_checkpoint_dir_comes_from_session(spark):
         assert configured.rstrip("/").split("/")[-1] in got
     df = cut_lineage(spark.range(0, 10).withColumn("x", F.col("id") * 2))
     assert df.count() == 10 and "LogicalRDD" in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_quantiles_by_few_groups_leave_rows_in_place(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=3000).round(3)
+    rows = spark.createDataFrame([("hot" if i % 3 else None, float(x)) for i, x in enumerate(v)], "g STRING, v DOUBLE")
+    met, plans = stats._met, []
+
+    def seen(*args):
+        out = met(*args)
+        plans.append(_plan(out))
+        return out
+
+    monkeypatch.setattr(stats, "_met", seen)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r.g: r.q for r in stats.exact_quantiles(rows, ["g"], "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    for g, of in (("hot", v[np.arange(3000) % 3 > 0]), (None, v[::3])):
+        assert np.allclose(found[g], np.quantile(of, stats.QUARTILES))
+    assert plans and not any("SortMergeJoin" in p for p in plans)

@@ -64,6 +64,8 @@ def quantile_sketch(x: Column, probs: Sequence[float] = QUARTILES) -> Column:
 # Distinct values of one bracket that are counted one by one; a wider bracket is narrowed again.
 BRACKET_VALUES = 200_000
 GRID = 256  # parts that a pass cuts a bracket into
+# Brackets (a few numbers each) that may be broadcast to the rows; beyond it rows are shuffled to them.
+BROADCAST_BRACKETS = 100_000
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] = QUARTILES,
@@ -95,8 +97,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         (at - F.floor(at)).alias("__part"), "__min", "__max", F.lit(float("inf")).alias("__before"),
         F.get("__e", F.get(lows, F.col("__a.i"))).alias("__lo"), F.get("__e", F.get(highs, F.col("__a.i"))).alias("__hi")))
     held = F.col("__v").between(F.col("__lo"), F.col("__hi"))
+    # few groups: rows stay where they are, a shuffle by group would sort each group in one task
+    small = F.broadcast if brackets.count() <= BROADCAST_BRACKETS else lambda b: b
     while True:
-        met = _met(rows, brackets, keys)
+        met = _met(rows, small(brackets), keys)
         grid = F.percentile_approx(F.when(held, F.col("__v")), [i / GRID for i in range(GRID + 1)], max(accuracy, 16 * GRID))
         counts = met.groupBy(*keys, "__i").agg(F.count_if(F.col("__v") < F.col("__lo")).alias("__below"), F.count_if(held).alias("__in"),
                                                F.approx_count_distinct(F.when(held, F.col("__v"))).alias("__values"), grid.alias("__g"))
@@ -114,10 +118,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         hi = F.when(missed, F.col("__max")).when(wide, F.get("__g", last)).otherwise(F.col("__hi"))
         before = F.when(missed, float("inf")).when(wide, F.col("__values").cast("double")).otherwise(F.col("__before"))
         brackets = cut_lineage(state.withColumns({"__lo": lo, "__hi": hi, "__before": before}).select(*brackets.columns))
-    inside = _met(rows, state.select(*keys, "__i", "__lo", "__hi"), keys).filter(held)
+    inside = _met(rows, small(state.select(*keys, "__i", "__lo", "__hi")), keys).filter(held)
     values = inside.groupBy(*keys, "__i", "__v").agg(F.count(F.lit(1)).alias("__c"))
     upto = F.sum("__c").over(Window.partitionBy(*keys, "__i").orderBy("__v"))  # at most a bracket's values
-    ranked = _by_key(values.withColumn("__upto", upto), state.select(*keys, "__i", "__below", "__low_rank", "__high_rank", "__part"),
+    ranked = _by_key(values.withColumn("__upto", upto), small(state.select(*keys, "__i", "__below", "__low_rank", "__high_rank", "__part")),
                      [*keys, "__i"]).withColumn("__last", F.col("__below") + F.col("__upto") - 1)
     holds = lambda rank: F.col(rank).between(F.col("__last") - F.col("__c") + 1, F.col("__last"))
     low, high = F.max(F.when(holds("__low_rank"), F.col("__v"))), F.max(F.when(holds("__high_rank"), F.col("__v")))
