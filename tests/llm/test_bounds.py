@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tillcast.llm import bpe, ctw, packing, secrets, sharding
+from tillcast.llm import bpe, ctw, packing, secrets, sharding, sketches
 from tillcast.llm.common import Memo
 
 SF = "/root/testdata/sf0.01"
@@ -101,3 +101,14 @@ def test_context_tree_slices_are_bounded_in_bytes():
     parts = [p.column("text").to_pylist() for p in ctw.unpacked(sink.getvalue())]
     assert [t for p in parts for t in p] == texts
     assert all(len(p) == 1 or sum(map(len, p)) <= ctw.SLICE_BYTES for p in parts)
+
+
+def test_few_stripes_of_a_sketch_are_peeled(spark, monkeypatch):
+    texts = [" ".join(f"Piece {random.Random(f'{k}.{i}').random()}." for i in range(120)) for k in "ab"]
+    rows = spark.createDataFrame([tuple(texts)], "a STRING, b STRING").select(
+        *[sketches.paragraph_digests(F.col(c)).alias(c) for c in "ab"])
+    found = rows.select("a", "b", sketches._striped_difference(F.col("a"), F.col("b"), F.lit(240.0)).alias("d")).first()
+    assert found.d == len({*found.a} ^ {*found.b}) == 240
+    monkeypatch.setattr(sketches, "_stripe_difference", lambda both: F.lit(1000))
+    d = rows.select(sketches._striped_difference(F.col("a"), F.col("b"), F.lit(240.0))).first()[0]
+    assert d // 1000 < 15  # about 40 stripes of two or more without a finer cut

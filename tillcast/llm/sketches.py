@@ -16,8 +16,9 @@ single digest passes its check and gives it away, and it is taken out of its oth
 cells, until nothing is left.  The least digests of both texts tell about how many
 differ.  Where a fingerprint cannot hold that many, or does not peel, both are
 sketched with ``CELLS_EACH`` cells for each differing digest, a cell being a stripe of
-the digest space.  The digests of a cell that holds several differing ones are
-sketched again in three tables, then in larger ones (``WIDER``), which are peeled.  If a
+the digest space.  A stripe whose cell holds several differing ones is cut into ``FINER``
+stripes; the digests of those that still do are sketched again in three tables, then in
+larger ones (``WIDER``), which are peeled.  If a
 stripe is left, all is done once more in ``FINER`` times as many stripes.  No other comparison
 is behind it: if that failed too, nothing would count as shared.  The likeness is
 shared over distinct pieces (1 for two texts without any).
@@ -157,10 +158,10 @@ def _stripe_difference(both: Column) -> Column:
 
 def _striped_difference(a: Column, b: Column, expected: Column) -> Column:
     """Number of differing digests, from cells that each hold a stripe of the digest space (contiguous in sorted digests)."""
-    def in_stripes(both: Column, n: Column) -> Column:
+    def in_stripes(both: Column, n: Column, stuck: Callable[[Column], Column]) -> Column:
         def found(acc: Column) -> Column:
             held = F.slice(both, acc["first"] + 1, acc["i"] - acc["first"])
-            return F.when(acc["cell"] == 0, 0).when(_pure(acc["cell"]), 1).otherwise(_stripe_difference(held))
+            return F.when(acc["cell"] == 0, 0).when(_pure(acc["cell"]), 1).otherwise(stuck(held))
 
         def state(s: Column, first: Column, i: Column, cell: Column, d: Column) -> Column:
             return F.struct(s.alias("s"), first.alias("first"), i.alias("i"), cell.alias("cell"), d.alias("d"))
@@ -177,11 +178,15 @@ def _striped_difference(a: Column, b: Column, expected: Column) -> Column:
         start = state(F.lit(-2).cast("bigint"), F.lit(0), F.lit(0), none, F.lit(0))
         return F.aggregate(F.concat(both, end), start, step, lambda acc: acc["d"])
 
+    def difference(both: Column, n: Column) -> Column:
+        # peeling costs most: a stripe that holds several differing digests is cut finer first
+        return in_stripes(both, n, lambda held: let(held, lambda h: in_stripes(h, n * FINER, _stripe_difference)))
+
     def total(both: Column) -> Column:
         n = F.greatest(F.lit(1).cast("bigint"), F.ceil(expected * CELLS_EACH))
         tries = F.array(n, n * FINER)
         return F.aggregate(tries, F.lit(None).cast("int"),
-                           lambda d, t: F.when(d.isNotNull(), d).otherwise(in_stripes(both, t)))
+                           lambda d, t: F.when(d.isNotNull(), d).otherwise(difference(both, t)))
     return let(F.sort_array(F.concat(a, b)), total)
 
 
